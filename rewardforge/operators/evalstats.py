@@ -100,3 +100,144 @@ def eval_accuracy(
     if perplexity_col:
         aggs.append(F.coalesce(F.avg(perplexity_col), F.lit(0.0)).alias("mean_perplexity"))
     return long.groupBy(*group_cols, "strategy").agg(*aggs)
+
+
+# ---------------- metric logs (W1, W2, A9-A15, U1) ----------------
+EVAL_EVERY_FULL = 200
+
+
+def eval_gate(log: DataFrame, eval_every: int = EVAL_EVERY, run_cols: Sequence[str] = ("reward_type",)) -> DataFrame:
+    """A record is evaluated if step % eval_every == 0 or step >= the run's last step;
+    otherwise accuracy is 0.0 and perplexity null.
+
+    The last step per run is one aggregate joined back (runs are few; AQE
+    broadcasts it after measuring), not a window over the whole run.
+    """
+    last = log.groupBy(*run_cols).agg(F.max("step").alias("_max_step"))
+    j = log.join(last, list(run_cols))
+    ev = (F.col("step") % eval_every == 0) | (F.col("step") >= F.col("_max_step"))
+    return (
+        j.withColumn("evaluated", ev)
+        .withColumn("accuracy", F.when(ev, F.col("accuracy")).otherwise(F.lit(0.0)))
+        .withColumn("perplexity", F.when(ev, F.col("perplexity")))
+        .drop("_max_step")
+    )
+
+
+def running_best(log: DataFrame, run_cols: Sequence[str] = ("reward_type",)) -> DataFrame:
+    """Best accuracy before each record (from 0.0) and the strict new-best flag.
+
+    A run can hold a third of all records, so the running maximum is a blocked
+    prefix scan over range partitions rather than one window per run.
+    """
+    pre = blocked_prefix(log, ["step"], list(run_cols), {"_best": ("accuracy", "max")}, inclusive=False)
+    before = F.greatest(F.lit(0.0), F.coalesce(F.col("_best"), F.lit(0.0)))
+    return (
+        pre.withColumn("best_before", before)
+        .withColumn("new_best", F.col("accuracy") > F.col("best_before"))
+        .withColumn("best_after", F.greatest(F.col("best_before"), F.col("accuracy")))
+        .drop("_best")
+    )
+
+
+def batch_mean_reward(batched: DataFrame, reward_col: str, every: int = 10) -> DataFrame:
+    """Mean reward per (epoch, batch), kept where batch % every == 0 (filter first)."""
+    kept = batched.where(F.col("batch_id") % every == 0)
+    return kept.groupBy("epoch", "batch_id").agg(
+        F.count(F.lit(1)).alias("n"), exact_avg(reward_col).alias("mean_reward")
+    )
+
+
+def run_summary(log: DataFrame, run_col: str = "reward_type") -> DataFrame:
+    """A10: records, final accuracy (last record), best accuracy (from 0.0), last step;
+    plus the accuracy of the last evaluated record (note Q6)."""
+    has_eval = "evaluated" in log.columns
+    aggs = [
+        F.count(F.lit(1)).alias("n_records"),
+        F.max_by("accuracy", "step").alias("final_accuracy"),
+        F.greatest(F.lit(0.0), F.max("accuracy")).alias("best_accuracy"),
+        F.max("step").alias("last_step"),
+    ]
+    if has_eval:
+        aggs.append(F.max_by(F.when(F.col("evaluated"), F.col("accuracy")), F.when(F.col("evaluated"), F.col("step"))).alias("final_evaluated_accuracy"))
+    return log.groupBy(run_col).agg(*aggs)
+
+
+REC_PERPLEXITY = "Perplexity rewards show smoother optimization."
+REC_HARD = "Hard rewards converge faster to verifiable answers."
+
+
+def winner_pair(summary: DataFrame, run_col: str = "reward_type") -> DataFrame:
+    """Final and best winners (perplexity only if strictly greater), delta in
+    points, and the recommendation text."""
+
+    def pick(rt: str, c: str) -> Column:
+        return F.coalesce(F.max(F.when(F.col(run_col) == rt, F.col(c))), F.lit(0.0)).alias(f"{c}_{rt}")
+
+    w = summary.agg(
+        pick("hard", "final_accuracy"), pick("perplexity", "final_accuracy"),
+        pick("hard", "best_accuracy"), pick("perplexity", "best_accuracy"),
+    )
+    hf, pf = F.col("final_accuracy_hard"), F.col("final_accuracy_perplexity")
+    hb, pb = F.col("best_accuracy_hard"), F.col("best_accuracy_perplexity")
+    best_label = F.when(pb > hb, "perplexity-based").otherwise("hard")
+    rec = F.concat(
+        F.lit("Use "), best_label, F.lit(" reward: achieved best accuracy of "),
+        F.format_string("%.3f", F.greatest(hb, pb)), F.lit(". "),
+        F.when(pb > hb, F.lit(REC_PERPLEXITY)).otherwise(F.lit(REC_HARD)),
+    )
+    return w.select(
+        "*",
+        F.when(pf > hf, "perplexity").otherwise("hard").alias("winner_final"),
+        F.when(pb > hb, "perplexity").otherwise("hard").alias("winner_best"),
+        (F.abs(pf - hf) * 100).alias("improvement"),
+        rec.alias("recommendation"),
+    )
+
+
+def argmax_priority(df: DataFrame, group_cols: Sequence[str], name_col: str, score_col: str, priority: Sequence[str]) -> DataFrame:
+    """Highest score per group; ties go to the earlier name in ``priority``."""
+    rank = F.array_position(F.array(*[F.lit(p) for p in priority]), F.col(name_col))
+    best = df.groupBy(*group_cols).agg(F.max(F.struct(F.col(score_col).alias("s"), (-rank).alias("p"), F.col(name_col).alias("n"))).alias("b"))
+    return best.select(*group_cols, F.col("b.n").alias("winner"), F.col("b.s").alias(score_col))
+
+
+def hist_density(values: DataFrame, group_cols: Sequence[str], value_col: str, bins: int = HIST_BINS) -> DataFrame:
+    """Equal-width bins from min to max (last bin closed; min = max -> +-0.5),
+    density = count / (n * width), empty bins included."""
+    g = list(group_cols)
+    st = values.groupBy(*g).agg(F.min(value_col).alias("_mn"), F.max(value_col).alias("_mx"), F.count(value_col).alias("n"))
+    same = F.col("_mn") == F.col("_mx")
+    st = st.select(
+        *g, "n",
+        F.when(same, F.col("_mn") - 0.5).otherwise(F.col("_mn")).alias("lo"),
+        F.when(same, F.col("_mx") + 0.5).otherwise(F.col("_mx")).alias("hi"),
+    ).withColumn("width", (F.col("hi") - F.col("lo")) / float(bins))
+    b = values.join(st, g).withColumn(
+        "bin", F.least(F.lit(bins - 1), F.floor((F.col(value_col) - F.col("lo")) / F.col("width")).cast("int"))
+    )
+    counts = b.groupBy(*g, "bin").agg(F.count(F.lit(1)).alias("count"))
+    grid = st.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    out = grid.join(counts, [*g, "bin"], "left").withColumn("count", F.coalesce(F.col("count"), F.lit(0)))
+    return out.select(
+        *g, "bin", (F.col("lo") + F.col("bin") * F.col("width")).alias("bin_lo"), "count",
+        (F.col("count") / (F.col("n") * F.col("width"))).alias("density"),
+    )
+
+
+def series_by_step(log: DataFrame, runs: Sequence[str] = ("hard", "perplexity")) -> DataFrame:
+    """Chart table per step > 0 with accuracy, loss, perplexity of each run in one row."""
+    pos = log.where(F.col("step") > 0)
+    aggs = []
+    for rt in runs:
+        for c, short in (("accuracy", "acc"), ("loss", "loss"), ("perplexity", "ppl")):
+            aggs.append(F.max(F.when(F.col("reward_type") == rt, F.col(c))).alias(f"{short}_{rt}"))
+    return pos.groupBy("step").agg(*aggs)
+
+
+def metrics_union(*logs: DataFrame) -> DataFrame:
+    """Stack the logs of several runs (by column name)."""
+    out = logs[0]
+    for lg in logs[1:]:
+        out = out.unionByName(lg)
+    return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .oracle import (
+from .oracle import (  # noqa: I001
     SCORED,
     SCORED_H,
     cascade,
@@ -44,3 +44,326 @@ from (select model, 'marker' as strategy, pred_marker as pred, correct_answer fr
       union all
       select model, 'cascade', pred_cascade, correct_answer from scored where split = 'test') l
 group by model, strategy""", [SCORED]))
+
+
+# ---------------- shared CTEs ----------------
+from .oracle import exact_avg, hard, md5_int, toks, words  # noqa: E402
+
+SAMPLES = (
+    "samples",
+    f"""select qa_id, prompt, correct_answer, wrong_answer,
+  'Let''s think step by step.' || chr(10) || prompt || chr(10) || ans as chosen,
+  'Let''s think step by step.' || chr(10) || prompt || chr(10) ||
+    (case when instr(ans, g) > 0 then substr(ans, 1, instr(ans, g) - 1) || w || substr(ans, instr(ans, g) + length(g)) else ans end) as rejected,
+  'Let''s solve this step by step.' || chr(10) || chr(10) || ans as chosen_variant
+from (select *, cast(correct_answer as varchar) as g, cast(wrong_answer as varchar) as w
+      from (select qa_id, prompt, ans, correct_answer,
+              case when correct_answer + off = correct_answer then correct_answer + 3.0 else correct_answer + off end as wrong_answer
+            from (select qa_id, {strip('question')} as prompt, {strip('answer')} as ans, {gold_first(strip('answer'))} as correct_answer,
+                    ({md5_int("'3407:' || cast(qa_id as varchar)")} % 20) - 10 as off
+                  from qa) a
+            where correct_answer is not null) b) c""",
+)
+
+
+def bigram_ctes(prefix: str, source: str, id_cols: str, text_expr: str, max_len: int | None) -> list[tuple[str, str]]:
+    """Token rows and adjacent-token pairs of texts (positions 2..max_len)."""
+    lim = f" and b.pos <= {max_len}" if max_len else ""
+    ids_a = ", ".join(f"a.{c.strip()}" for c in id_cols.split(","))
+    on = " and ".join(f"a.{c.strip()} = b.{c.strip()}" for c in id_cols.split(","))
+    return [
+        (f"{prefix}_t", f"select {id_cols}, {toks(text_expr)} as t from {source}"),
+        (f"{prefix}_tok", f"select {id_cols}, unnest(t) as tok, generate_subscripts(t, 1) as pos from {prefix}_t"),
+        (f"{prefix}_bg", f"select {ids_a}, a.tok as prev, b.tok as tok from {prefix}_tok a join {prefix}_tok b on {on} and b.pos = a.pos + 1{lim}"),
+    ]
+
+
+def model_ctes(name: str, source: str, text_col: str) -> list[tuple[str, str]]:
+    return bigram_ctes(name, f"(select row_number() over () as rid, {text_col} as txt from {source})", "rid", "txt", None) + [
+        (f"{name}_pairs", f"select prev, tok, count(*) as c_pair from {name}_bg group by prev, tok"),
+        (f"{name}_ctx", f"select prev, cast(sum(c_pair) as bigint) as c_ctx from {name}_pairs group by prev"),
+        (f"{name}_v", f"select count(distinct tok) as v from {name}_tok"),
+    ]
+
+
+def score_ctes(name: str, model: str, source: str, id_cols: str, text_expr: str) -> list[tuple[str, str]]:
+    ids = ", ".join(f"s.{c.strip()}" for c in id_cols.split(","))
+    on = " and ".join(f"s.{c.strip()} = g.{c.strip()}" for c in id_cols.split(","))
+    return bigram_ctes(name, source, id_cols, text_expr, 2048) + [
+        (f"{name}_lp", f"""select g.*, ln((coalesce(p.c_pair, 0)::double + 1.0) / (coalesce(c.c_ctx, 0)::double + 1.0 * ((select v from {model}_v) + 1))) as lp
+from {name}_bg g left join {model}_pairs p on g.prev = p.prev and g.tok = p.tok left join {model}_ctx c on g.prev = c.prev"""),
+        (name, f"""select {ids}, count(g.lp) as n_pred, round(exp(-avg(g.lp)), 6) as ppl
+from {source} s left join {name}_lp g on {on} group by {ids}"""),
+    ]
+
+
+CUR = model_ctes("cur", "qa where split = 'train'", "answer")
+BASE = model_ctes("base", "conversations", "text")
+RESP_PPL = score_ctes("rppl", "cur", "response", "qa_id, sample_idx", "prompt || ' ' || response")
+RESP_PPL_BASE = score_ctes("bppl", "base", "response", "qa_id, sample_idx", "prompt || ' ' || response")
+
+
+def clip(x: str) -> str:
+    return f"round(case when ({x}) is null then 0.1 else least(1.0, greatest(0.0, {x})) end, 6)"
+
+
+def reward_log_sql(ppl: str, text: str, right_expr: str) -> str:
+    return clip(f"1.0 / (1.0 + ln(1 + {ppl})) + least(0.3, {words(text)} / 100.0::double) + (case when {right_expr} then 0.1 else 0.0 end)")
+
+
+def reward_linear_sql(ppl: str, text: str, right_expr: str) -> str:
+    return clip(f"1.0 / (1.0 + {ppl} / 100.0) + least(0.2, {words(text)} / 50.0::double) + (case when {right_expr} then 0.1 else 0.0 end)")
+
+
+def reward_rel_sql(base: str, train: str, hard_expr: str) -> str:
+    return clip(f"({base} - {train}) / ({base} + 1e-8) + (case when {hard_expr} > 0.5 then 0.1 else 0.0 end)")
+
+
+REWARDED = (
+    "rewarded",
+    f"""select h.*, p.ppl, {reward_log_sql('p.ppl', 'h.response', 'h.hard_marker > 0.5')} as reward
+from scored_h h join rppl p on h.qa_id = p.qa_id and h.sample_idx = p.sample_idx""",
+)
+
+PREF_RAW = (
+    "preference_raw",
+    """select u.conv_id, u.turn,
+  case when u.conv_id % 2 = 0 and c.text is not null then [{'role': 'assistant', 'content': c.text}] end as chosen_messages,
+  case when u.conv_id % 2 <> 0 then c.text end as chosen_text,
+  case when u.conv_id % 2 = 0 and r.text is not null then [{'role': 'assistant', 'content': r.text}] end as rejected_messages,
+  case when u.conv_id % 2 <> 0 then r.text end as rejected_text
+from conversations u
+  left join conversations c on c.conv_id = u.conv_id and c.turn = u.turn + 1 and c.role = 'assistant'
+  left join conversations r on r.conv_id = u.conv_id and r.turn = u.turn + 3 and r.role = 'assistant'
+where u.role = 'user'""",
+)
+PREF_SCAN = (
+    "pref",
+    """select conv_id, turn, coalesce(chosen_messages[1].content, chosen_text) as chosen,
+  coalesce(rejected_messages[1].content, rejected_text) as rejected
+from preference_raw
+where (chosen_messages is not null or chosen_text is not null) and (rejected_messages is not null or rejected_text is not null)""",
+)
+CHUNKS = ("chunks", "select *, row_number() over (order by conv_id, turn) - 1 as idx, (row_number() over (order by conv_id, turn) - 1) // 1000 as chunk_id from pref")
+
+GATED = (
+    "gated",
+    """select m.reward_type, m.step, m.loss,
+  (m.step % 200 = 0 or m.step >= x.mx) as evaluated,
+  case when (m.step % 200 = 0 or m.step >= x.mx) then m.accuracy else 0.0 end as accuracy,
+  case when (m.step % 200 = 0 or m.step >= x.mx) then m.perplexity end as perplexity
+from metric_log m join (select reward_type, max(step) as mx from metric_log group by reward_type) x on m.reward_type = x.reward_type""",
+)
+SUMMARY = (
+    "summary",
+    """select reward_type, count(*) as n_records, arg_max(accuracy, step) as final_accuracy,
+  greatest(0.0, max(accuracy)) as best_accuracy, max(step) as last_step,
+  arg_max(accuracy, step) filter (where evaluated) as final_evaluated_accuracy
+from gated group by reward_type""",
+)
+
+
+def batches_sql(source: str, id_expr: str, epochs: int, size: int) -> str:
+    return f"""select e.epoch, s.*,
+  row_number() over (partition by e.epoch order by md5('3407:' || cast(e.epoch as varchar) || ':' || {id_expr}), {id_expr}) - 1 as idx,
+  (row_number() over (partition by e.epoch order by md5('3407:' || cast(e.epoch as varchar) || ':' || {id_expr}), {id_expr}) - 1) // {size} as batch_id
+from {source} s cross join (select unnest(range({epochs})) as epoch) e"""
+
+
+# ---------------- 2.1 ----------------
+sql("qa_sample", with_fixtures(["qa"], "select qa_id, question, answer from qa where split = 'train' order by md5('3407:' || cast(qa_id as varchar)), qa_id limit 1000"))
+sql("preference_scan", with_fixtures([], "select * from pref", [PREF_RAW, PREF_SCAN]))
+sql("chunk_assign", with_fixtures([], "select conv_id, turn, idx, chunk_id from chunks", [PREF_RAW, PREF_SCAN, CHUNKS]))
+sql("chunk_examples", with_fixtures(["response"], """select e.epoch, h.chunk_id, h.row_in_chunk, h.conv_id, h.turn, h.input, h.output
+from (select qa_id as epoch, max(hard_marker) as reward from scored_h group by qa_id) e
+join (select chunk_id, row_number() over (partition by chunk_id order by idx) as row_in_chunk, conv_id, turn,
+        substr(chosen, 1, 500) as input, 'This is a good response.' as output from chunks
+      qualify row_in_chunk <= 10) h
+  on e.epoch % (select max(chunk_id) + 1 from chunks) = h.chunk_id
+where e.reward > 0.5""", [SCORED, SCORED_H, PREF_RAW, PREF_SCAN, CHUNKS]))
+
+PAIRS_HARD = (
+    "pairs_hard",
+    f"""select qa_id, prompt,
+  case when cr <= rr then rejected else chosen end as chosen,
+  case when cr <= rr then chosen else rejected end as rejected,
+  case when cr <= rr then rr else cr end as chosen_reward,
+  case when cr <= rr then cr else rr end as rejected_reward
+from (select *, {hard(marker('chosen'), 'correct_answer')} as cr, {hard(marker('rejected'), 'correct_answer')} as rr from samples) s""",
+)
+sql("preference_export", with_fixtures(["qa"], "select * from pairs_hard", [SAMPLES, PAIRS_HARD]))
+sql("batch_assign", with_fixtures(["qa"], "select epoch, qa_id, idx, batch_id from b",
+                                  [SAMPLES, ("b", batches_sql("(select qa_id from samples)", "cast(s.qa_id as varchar)", 3, 4))]))
+
+# ---------------- 2.2 ----------------
+sql("chosen_text", with_fixtures(["qa"], "select qa_id, prompt, chosen, chosen_variant, correct_answer from samples", [SAMPLES]))
+sql("rejected_text", with_fixtures(["qa"], "select qa_id, correct_answer, wrong_answer, rejected, rejected = chosen as unchanged from samples", [SAMPLES]))
+sql("chat_messages", with_fixtures(["qa"], """select qa_id, 'user' as prompt_role, prompt as prompt_content, 'assistant' as chosen_role,
+  chosen as chosen_content, 'assistant' as rejected_role, rejected as rejected_content from samples""", [SAMPLES]))
+sql("chat_template", with_fixtures(["qa"], f"""select qa_id,
+  '<bos><start_of_turn>user' || chr(10) || {strip('question')} || '<end_of_turn>' || chr(10) || '<start_of_turn>model' || chr(10) || {strip('answer')} || '<end_of_turn><eos>' as sft_text,
+  '<bos><start_of_turn>user' || chr(10) || question || '<end_of_turn>' || chr(10) || '<start_of_turn>model' || chr(10) as eval_prompt
+from qa"""))
+sql("chat_template_conv", """select conv_id, count(*) as n_turns,
+  '<bos>' || string_agg('<start_of_turn>' || (case when role = 'user' then 'user' else 'model' end) || chr(10) || text || '<end_of_turn>' || chr(10), '' order by turn) || '<eos>' as chat_text
+from conversations group by conv_id""")
+sql("rl_prompts", with_fixtures(["qa"], "select qa_id, prompt as query, correct_answer from samples", [SAMPLES]))
+sql("length_bonus", with_fixtures(["response"], f"""select qa_id, sample_idx, {words('response')} as words,
+  least(0.3, {words('response')} / 100.0::double) as bonus_log, least(0.2, {words('response')} / 50.0::double) as bonus_linear from response"""))
+sql("completion_filter", r"""select d.doc_id, regexp_matches(d.text, '[.!?]\s*$') as ends_sentence,
+  coalesce(cast(l.quality as varchar) = '1', false) as judged_done,
+  regexp_matches(d.text, '[.!?]\s*$') and coalesce(cast(l.quality as varchar) = '1', false) as is_complete
+from documents d left join labels l on d.doc_id = l.doc_id""")
+sql("pad_batches", with_fixtures(["qa"], f"""select epoch, batch_id, qa_id, mq - len(qt) as query_pad, mr - len(rt) as response_pad,
+  array_to_string(list_resize(qt, mq, '<pad>'), ' ') as query_padded, array_to_string(list_resize(rt, mr, '<pad>'), ' ') as response_padded
+from (select *, max(len(qt)) over (partition by epoch, batch_id) as mq, max(len(rt)) over (partition by epoch, batch_id) as mr
+      from (select b.epoch, b.batch_id, b.qa_id, {toks('s.prompt')} as qt, {toks('s.chosen')} as rt
+            from b join samples s on b.qa_id = s.qa_id) x) y""",
+    [SAMPLES, ("b", batches_sql("(select qa_id from samples)", "cast(s.qa_id as varchar)", 1, 4))]))
+sql("truncate_tokens", f"""select doc_id, len(t) as n_tokens, len(t[1:2048]) as n_kept, array_to_string(t[1:2048], ' ') as kept_text
+from (select doc_id, {toks('text')} as t from documents) d""")
+
+# ---------------- 2.3 ----------------
+sql("perplexity_logged", with_fixtures(["token_logprob"], """select sample_id, count(*) as n_pred,
+  round(exp(-avg(logp_train)), 6) as ppl_train, round(exp(-avg(logp_base)), 6) as ppl_base
+from token_logprob where pos between 2 and 2048 group by sample_id"""))
+sql("ngram_train", with_fixtures(["qa"], """select p.prev, p.tok, p.c_pair, c.c_ctx, (select v from cur_v) as vocab
+from cur_pairs p join cur_ctx c on p.prev = c.prev""", CUR))
+sql("ngram_perplexity", with_fixtures(["response"], "select * from rppl", CUR + RESP_PPL))
+sql("reward_log", with_fixtures(["response"], "select qa_id, sample_idx, ppl, reward as reward_log from rewarded",
+                                [SCORED, SCORED_H] + CUR + RESP_PPL + [REWARDED]))
+sql("reward_linear", with_fixtures(["response"], f"""select h.qa_id, h.sample_idx, p.ppl,
+  {reward_linear_sql('p.ppl', 'h.response', 'h.hard_cascade > 0.5')} as reward_linear
+from scored_h h join rppl p on h.qa_id = p.qa_id and h.sample_idx = p.sample_idx""", [SCORED, SCORED_H] + CUR + RESP_PPL))
+sql("baseline_join", with_fixtures(["response"], """select b.qa_id, b.sample_idx, b.ppl as base_ppl, c.ppl as train_ppl
+from bppl b join rppl c on b.qa_id = c.qa_id and b.sample_idx = c.sample_idx""", CUR + BASE + RESP_PPL + RESP_PPL_BASE))
+sql("reward_relative", with_fixtures(["response"], f"""select b.qa_id, b.sample_idx, b.ppl as base_ppl, c.ppl as train_ppl,
+  {reward_rel_sql('b.ppl', 'c.ppl', 'h.hard_marker')} as reward_relative
+from bppl b join rppl c on b.qa_id = c.qa_id and b.sample_idx = c.sample_idx
+  join scored_h h on h.qa_id = b.qa_id and h.sample_idx = b.sample_idx""", [SCORED, SCORED_H] + CUR + BASE + RESP_PPL + RESP_PPL_BASE))
+sql("reward_vs_gold", with_fixtures(["response"], """select r.qa_id, r.sample_idx, r.ppl as resp_ppl, g.ppl as gold_ppl,
+  round((g.ppl - r.ppl) / (g.ppl + 1e-8), 6) as reward_vs_gold
+from rppl r join gppl g on r.qa_id = g.qa_id""", CUR + RESP_PPL + score_ctes("gppl", "cur", "qa", "qa_id", "question || ' ' || answer")))
+
+# ---------------- 2.6 ----------------
+sql("pairs_ranked", with_fixtures(["qa"], "select * from pairs_hard", [SAMPLES, PAIRS_HARD]))
+SIDE_TEXTS = ("sides", "select qa_id, 'c' as side, prompt, correct_answer, chosen as text from samples union all select qa_id, 'r', prompt, correct_answer, rejected from samples")
+SIDE_PPL = score_ctes("sppl", "cur", "sides", "qa_id, side", "prompt || ' ' || text")
+SIDE_PPL_BASE = score_ctes("sbppl", "base", "sides", "qa_id, side", "prompt || ' ' || text")
+sql("pairs_ranked_ppl", with_fixtures(["qa"], f"""select qa_id, prompt,
+  case when cr <= rr then rejected else chosen end as chosen, case when cr <= rr then chosen else rejected end as rejected,
+  case when cr <= rr then rr else cr end as chosen_reward, case when cr <= rr then cr else rr end as rejected_reward
+from (select s.*, c.reward as cr, r.reward as rr from samples s
+      join sr c on c.qa_id = s.qa_id and c.side = 'c' join sr r on r.qa_id = s.qa_id and r.side = 'r') x""",
+    [SAMPLES, SIDE_TEXTS] + CUR + SIDE_PPL + [("sr", f"""select t.qa_id, t.side,
+  {reward_log_sql('p.ppl', 't.text', right(marker('t.text'), 't.correct_answer'))} as reward
+from sides t join sppl p on t.qa_id = p.qa_id and t.side = p.side""")]))
+sql("pairs_fixed", with_fixtures(["qa"], "select qa_id, prompt, chosen, rejected, 1.0 as chosen_reward, 0.0 as rejected_reward from samples", [SAMPLES]))
+sql("pairs_fixed_ppl", with_fixtures(["qa"], """select s.qa_id, s.prompt, s.chosen, s.rejected, c.reward as chosen_reward, r.reward as rejected_reward
+from samples s join sr c on c.qa_id = s.qa_id and c.side = 'c' join sr r on r.qa_id = s.qa_id and r.side = 'r'""",
+    [SAMPLES, SIDE_TEXTS] + CUR + BASE + SIDE_PPL + SIDE_PPL_BASE + [("sr", f"""select t.qa_id, t.side,
+  {reward_rel_sql('b.ppl', 'p.ppl', hard(marker('t.text'), 't.correct_answer'))} as reward
+from sides t join sppl p on t.qa_id = p.qa_id and t.side = p.side join sbppl b on t.qa_id = b.qa_id and t.side = b.side""")]))
+sql("shortest_correct", with_fixtures(["response"], """select qa_id, sample_idx, length from (
+  select qa_id, sample_idx, length(response) as length,
+    row_number() over (partition by qa_id order by length(response), sample_idx) as rn
+  from scored_h where hard_marker > 0.5) x where rn = 1""", [SCORED, SCORED_H]))
+sql("pairs_by_length", with_fixtures(["response"], """select s.qa_id, s.sample_idx as chosen_idx, g.sample_idx as rejected_idx, s.l as chosen_len, g.l as rejected_len
+from (select qa_id, sample_idx, length(response) as l, count(*) over (partition by qa_id) as n,
+        row_number() over (partition by qa_id order by length(response), sample_idx) as rn from scored_h where hard_marker > 0.5) s
+join (select qa_id, sample_idx, length(response) as l,
+        row_number() over (partition by qa_id order by length(response) desc, sample_idx) as rn from scored_h where hard_marker > 0.5) g
+  on s.qa_id = g.qa_id and s.rn = 1 and g.rn = 1
+where s.n >= 2 and s.l <> g.l""", [SCORED, SCORED_H]))
+sql("group_advantage", with_fixtures(["response"], """select h.qa_id, h.sample_idx, h.hard_marker as reward,
+  case when g.sd = 0 then 0.0 else (h.hard_marker - g.mean) / (g.sd + 1e-8) end as advantage
+from scored_h h join (select qa_id, mean, sqrt(greatest(0.0, m2 - mean * mean)) as sd
+  from (select qa_id, sum(hard_marker) / count(hard_marker) as mean, sum(hard_marker * hard_marker) / count(hard_marker) as m2
+        from scored_h group by qa_id) a) g on h.qa_id = g.qa_id""", [SCORED, SCORED_H]))
+BEST_WORST = (
+    "bw",
+    """select b.qa_id, b.sample_idx as chosen_idx, w.sample_idx as rejected_idx, b.reward as chosen_reward, w.reward as rejected_reward
+from (select qa_id, sample_idx, reward, row_number() over (partition by qa_id order by reward desc, sample_idx) as rn from rewarded) b
+join (select qa_id, sample_idx, reward, row_number() over (partition by qa_id order by reward, sample_idx) as rn from rewarded) w
+  on b.qa_id = w.qa_id and b.rn = 1 and w.rn = 1
+where b.reward <> w.reward""",
+)
+sql("pairs_best_worst", with_fixtures(["response"], "select * from bw", [SCORED, SCORED_H] + CUR + RESP_PPL + [REWARDED, BEST_WORST]))
+sql("reward_gap", with_fixtures(["response"], f"""select qa_id, chosen_reward - rejected_reward as gap,
+  case when (select {exact_avg('chosen_reward - rejected_reward')} from bw) <> 0
+       then (chosen_reward - rejected_reward) / (select {exact_avg('chosen_reward - rejected_reward')} from bw) end as weight
+from bw""", [SCORED, SCORED_H] + CUR + RESP_PPL + [REWARDED, BEST_WORST]))
+sql("difficulty_balance", with_fixtures(["response"], """select qa_id, difficulty, bucket from (
+  select *, row_number() over (partition by bucket order by md5('3407:' || cast(qa_id as varchar)), qa_id) - 1 as i from d) x
+where i < (select case when count(*) = 3 then min(n) else 0 end from (select bucket, count(*) as n from d group by bucket) c)""",
+    [SCORED, SCORED_H, ("d", """select qa_id, difficulty,
+  case when difficulty < 0.3333333333333333 then 'hard' when difficulty < 0.6666666666666666 then 'moderate' else 'easy' end as bucket
+from (select qa_id, avg(case when hard_marker > 0.5 then 1.0 else 0.0 end) as difficulty from scored_h group by qa_id) a""")]))
+sql("preference_loss_audit", with_fixtures(["token_logprob"], """select c.pair_id, margin,
+  round(ln(1.0 + exp(-(0.1 * margin))), 6) as dpo_loss,
+  round(ln(1.0 + exp(-((c.mean_logp - ln(1.0 - exp(c.mean_logp))) - (r.mean_logp - ln(1.0 - exp(r.mean_logp)))))), 6) as or_loss
+from (select *, (c.logp - c.logp_ref) as cm from seq c where side = 'chosen') c
+join (select * from seq where side = 'rejected') r on c.pair_id = r.pair_id,
+lateral (select (c.logp - c.logp_ref) - (r.logp - r.logp_ref) as margin) m""",
+    [("seq", """select sample_id // 2 as pair_id, case when sample_id % 2 = 0 then 'chosen' else 'rejected' end as side,
+  sum(logp_train) as logp, sum(logp_base) as logp_ref, avg(logp_train) as mean_logp
+from token_logprob where pos >= 2 group by sample_id""")]))
+
+# ---------------- 2.5 / 2.7 metric logs ----------------
+sql("eval_gate", with_fixtures(["metric_log"], "select reward_type, step, evaluated, loss, accuracy, perplexity from gated", [GATED]))
+sql("running_best", with_fixtures(["metric_log"], """select reward_type, step, accuracy, best_before, greatest(best_before, accuracy) as best_after,
+  accuracy > best_before as new_best
+from (select *, greatest(0.0, coalesce(max(accuracy) over (partition by reward_type order by step rows between unbounded preceding and 1 preceding), 0.0)) as best_before
+      from gated) x""", [GATED]))
+sql("run_summary", with_fixtures(["metric_log"], "select * from summary", [GATED, SUMMARY]))
+WINNER = (
+    "winner",
+    """select fh as final_accuracy_hard, fp as final_accuracy_perplexity, bh as best_accuracy_hard, bp as best_accuracy_perplexity,
+  case when fp > fh then 'perplexity' else 'hard' end as winner_final,
+  case when bp > bh then 'perplexity' else 'hard' end as winner_best,
+  abs(fp - fh) * 100 as improvement,
+  'Use ' || (case when bp > bh then 'perplexity-based' else 'hard' end) || ' reward: achieved best accuracy of ' || printf('%.3f', greatest(bh, bp)) || '. ' ||
+    (case when bp > bh then 'Perplexity rewards show smoother optimization.' else 'Hard rewards converge faster to verifiable answers.' end) as recommendation
+from (select coalesce(max(case when reward_type = 'hard' then final_accuracy end), 0.0) as fh,
+             coalesce(max(case when reward_type = 'perplexity' then final_accuracy end), 0.0) as fp,
+             coalesce(max(case when reward_type = 'hard' then best_accuracy end), 0.0) as bh,
+             coalesce(max(case when reward_type = 'perplexity' then best_accuracy end), 0.0) as bp from summary) s""",
+)
+sql("winner_pair", with_fixtures(["metric_log"], "select * from winner", [GATED, SUMMARY, WINNER]))
+sql("winner_three", with_fixtures(["response"], f"""select strategy, model as winner, accuracy from (
+  select *, row_number() over (partition by strategy order by accuracy desc, model) as rn from (
+    select model, strategy, sum(case when {right('pred', 'correct_answer')} then 1 else 0 end) / greatest(1, count(*)) as accuracy
+    from (select model, 'marker' as strategy, pred_marker as pred, correct_answer from scored where split = 'test'
+          union all select model, 'cascade', pred_cascade, correct_answer from scored where split = 'test') l
+    group by model, strategy) a) b where rn = 1""", [SCORED]))
+sql("batch_mean_reward", with_fixtures(["response"], f"""select epoch, batch_id, count(*) as n, {exact_avg('hard_marker')} as mean_reward
+from b where batch_id % 10 = 0 group by epoch, batch_id""",
+    [SCORED, SCORED_H, ("b", batches_sql("scored_h", "(cast(s.qa_id as varchar) || ':' || cast(s.sample_idx as varchar))", 3, 4))]))
+sql("hist_density", with_fixtures(["metric_log"], """select st.reward_type, st.metric, g.bin, st.lo + g.bin * st.width as bin_lo,
+  coalesce(c.cnt, 0) as count, coalesce(c.cnt, 0) / (st.n * st.width) as density
+from st cross join (select unnest(range(10)) as bin) g
+left join (select v.reward_type, v.metric, least(9, cast(floor((v.value - st.lo) / st.width) as integer)) as bin, count(*) as cnt
+           from vals v join st on v.reward_type = st.reward_type and v.metric = st.metric group by all) c
+  on c.reward_type = st.reward_type and c.metric = st.metric and c.bin = g.bin""",
+    [GATED, ("vals", """select reward_type, 'accuracy' as metric, accuracy as value from gated
+  union all select reward_type, 'perplexity', perplexity from gated where perplexity is not null and perplexity <> 0"""),
+     ("st", """select reward_type, metric, n, lo, hi, (hi - lo) / 10.0 as width from (
+  select reward_type, metric, count(value) as n,
+    case when min(value) = max(value) then min(value) - 0.5 else min(value) end as lo,
+    case when min(value) = max(value) then max(value) + 0.5 else max(value) end as hi
+  from vals group by reward_type, metric) a""")]))
+sql("series_by_step", with_fixtures(["metric_log"], """select step,
+  max(case when reward_type = 'hard' then accuracy end) as acc_hard, max(case when reward_type = 'hard' then loss end) as loss_hard,
+  max(case when reward_type = 'hard' then perplexity end) as ppl_hard,
+  max(case when reward_type = 'perplexity' then accuracy end) as acc_perplexity, max(case when reward_type = 'perplexity' then loss end) as loss_perplexity,
+  max(case when reward_type = 'perplexity' then perplexity end) as ppl_perplexity
+from gated where step > 0 group by step""", [GATED]))
+sql("metrics_union", with_fixtures(["metric_log"], """select reward_type, step, loss, accuracy, perplexity from gated where reward_type = 'hard'
+union all select reward_type, step, loss, accuracy, perplexity from gated where reward_type = 'perplexity'""", [GATED]))
+sql("first_n_per_group", with_fixtures(["response"], """select model, qa_id, sample_idx, rn from (
+  select model, qa_id, sample_idx, row_number() over (partition by model order by qa_id, sample_idx) as rn from response) x where rn <= 20"""))
+sql("report_json", with_fixtures(["metric_log"], """select g.reward_type, g.step, g.loss, g.accuracy, g.perplexity, s.final_accuracy, s.best_accuracy
+from gated g join summary s on g.reward_type = s.reward_type""", [GATED, SUMMARY]))
+sql("scalar_log", with_fixtures(["metric_log"], """select reward_type || '/accuracy' as tag, step, accuracy as value from gated where evaluated
+union all select reward_type || '/perplexity', step, perplexity from gated where evaluated and perplexity is not null
+union all select reward_type || '/loss', step, loss from gated where evaluated""", [GATED]))

@@ -14,7 +14,12 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import answers as P
 from ..operators import evalstats as E
+from ..operators import ngram as NG
+from ..operators import pairs as D
+from ..operators import rewards as R
 from ..sources import fixtures as FX
+from ..sources import qa as S
+from ..sources import sinks as SK
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -74,5 +79,380 @@ def q_eval_accuracy(spark, sf):
     return E.eval_accuracy(_scored(spark, sf))
 
 
+# ---------------- shared building blocks ----------------
+def _samples(spark, sf):
+    return P.build_samples(FX.qa(spark, sf))
+
+
+def _current_model(spark, sf):
+    """Bigram model of the current training slice: answers of the train split."""
+    return NG.fit_bigram(FX.qa(spark, sf).where(F.col("split") == "train"), "answer")
+
+
+def _base_model(spark, sf):
+    """Frozen baseline bigram model: all conversation turns."""
+    return NG.fit_bigram(FX.conversations_text(spark, sf), "text")
+
+
+def _resp_text():
+    return F.concat(F.col("prompt"), F.lit(" "), F.col("response"))
+
+
+def _resp_ppl(spark, sf, model):
+    return NG.score_perplexity(model, FX.response(spark, sf), ["qa_id", "sample_idx"], _resp_text())
+
+
+def _rewarded(spark, sf):
+    """Scored responses with the log reward (A4, marker reader) of each."""
+    sc = _scored(spark, sf)
+    ppl = _resp_ppl(spark, sf, _current_model(spark, sf))
+    j = sc.join(ppl, ["qa_id", "sample_idx"])
+    return j.withColumn("reward", R.reward_log(F.col("ppl"), F.col("response"), F.col("hard_marker") > 0.5))
+
+
+def _side_scorer_log(spark, sf):
+    model = _current_model(spark, sf)
+
+    def score(sides):
+        ppl = NG.score_perplexity(model, sides, ["qa_id", "side"], F.concat(F.col("prompt"), F.lit(" "), F.col("text")))
+        j = sides.join(ppl, ["qa_id", "side"])
+        right = T.is_right(T.extract_marker("text"), F.col("correct_answer"))
+        return j.select("qa_id", "side", R.reward_log(F.col("ppl"), F.col("text"), right).alias("reward"))
+
+    return D.sides_scorer(score, "qa_id")
+
+
+def _side_scorer_relative(spark, sf):
+    base, cur = _base_model(spark, sf), _current_model(spark, sf)
+
+    def score(sides):
+        text = F.concat(F.col("prompt"), F.lit(" "), F.col("text"))
+        j = R.baseline_join(
+            NG.score_perplexity(base, sides, ["qa_id", "side"], text),
+            NG.score_perplexity(cur, sides, ["qa_id", "side"], text), ["qa_id", "side"],
+        ).join(sides, ["qa_id", "side"])
+        hard = T.hard_reward(T.extract_marker("text"), F.col("correct_answer"))
+        return j.select("qa_id", "side", R.reward_relative(F.col("base_ppl"), F.col("train_ppl"), hard).alias("reward"))
+
+    return D.sides_scorer(score, "qa_id")
+
+
+# ---------------- 2.1 scans, sources, sinks ----------------
+@query("qa_sample")
+def q_qa_sample(spark, sf):
+    return S.qa_sample(FX.qa(spark, sf), 1000, "train").select("qa_id", "question", "answer")
+
+
+@query("preference_scan")
+def q_preference_scan(spark, sf):
+    return S.preference_scan(FX.preference_raw(spark, sf))
+
+
+@query("chunk_assign")
+def q_chunk_assign(spark, sf):
+    return S.chunk_assign(S.preference_scan(FX.preference_raw(spark, sf)), ["conv_id", "turn"]).select(
+        "conv_id", "turn", "idx", "chunk_id"
+    )
+
+
+@query("chunk_examples")
+def q_chunk_examples(spark, sf):
+    chunks = S.chunk_assign(S.preference_scan(FX.preference_raw(spark, sf)), ["conv_id", "turn"])
+    epochs = _scored(spark, sf).groupBy(F.col("qa_id").alias("epoch")).agg(F.max("hard_marker").alias("reward"))
+    ex = S.chunk_examples(chunks, epochs, ["conv_id", "turn"])
+    return ex.select("epoch", "chunk_id", "row_in_chunk", "conv_id", "turn", "input", "output")
+
+
+@query("preference_export")
+def q_preference_export(spark, sf):
+    pairs = D.pairs_ranked(_samples(spark, sf), D.hard_side_scorer)
+    return D.flatten_pairs(SK.preference_export(pairs))
+
+
+@query("batch_assign")
+def q_batch_assign(spark, sf):
+    prompts = P.rl_prompts(_samples(spark, sf))
+    return S.batch_assign(prompts, F.col("qa_id"), epochs=3, batch_size=4).select("epoch", "qa_id", "idx", "batch_id")
+
+
+# ---------------- 2.2 (continued) ----------------
+@query("chosen_text")
+def q_chosen_text(spark, sf):
+    return _samples(spark, sf).select("qa_id", "prompt", "chosen", "chosen_variant", "correct_answer")
+
+
+@query("rejected_text")
+def q_rejected_text(spark, sf):
+    return _samples(spark, sf).select("qa_id", "correct_answer", "wrong_answer", "rejected", "unchanged")
+
+
+@query("chat_messages")
+def q_chat_messages(spark, sf):
+    m = P.chat_messages(_samples(spark, sf))
+    return m.select(
+        "qa_id",
+        *[F.col(f"{s}_messages")[0][f].alias(f"{s}_{f}") for s in ("prompt", "chosen", "rejected") for f in ("role", "content")],
+    )
+
+
+@query("chat_template")
+def q_chat_template(spark, sf):
+    return P.chat_template(FX.qa(spark, sf)).select("qa_id", "sft_text", "eval_prompt")
+
+
+@query("chat_template_conv")
+def q_chat_template_conv(spark, sf):
+    return P.chat_template_turns(FX.conversations_text(spark, sf))
+
+
+@query("rl_prompts")
+def q_rl_prompts(spark, sf):
+    return P.rl_prompts(_samples(spark, sf))
+
+
+@query("length_bonus")
+def q_length_bonus(spark, sf):
+    return P.length_bonus(FX.response(spark, sf)).select("qa_id", "sample_idx", "words", "bonus_log", "bonus_linear")
+
+
+@query("completion_filter")
+def q_completion_filter(spark, sf):
+    docs = FX.read_table(spark, sf, "documents", "doc_id", "text")
+    out = FX.read_table(spark, sf, "labels", "doc_id", "quality").select("doc_id", F.col("quality").cast("string").alias("output"))
+    return P.completion_filter(docs, out, "doc_id")
+
+
+@query("pad_batches")
+def q_pad_batches(spark, sf):
+    samples = _samples(spark, sf)
+    b = S.batch_assign(P.rl_prompts(samples), F.col("qa_id"), epochs=1, batch_size=4)
+    b = b.join(samples.select("qa_id", "chosen"), "qa_id")
+    b = b.withColumn("q_tok", T.tokens("query")).withColumn("r_tok", T.tokens("chosen"))
+    p = P.pad_batches(b, ["epoch", "batch_id"], ["q_tok", "r_tok"], "<pad>")
+    return p.select(
+        "epoch", "batch_id", "qa_id", F.col("q_tok_pad").alias("query_pad"), F.col("r_tok_pad").alias("response_pad"),
+        F.array_join("q_tok_padded", " ").alias("query_padded"), F.array_join("r_tok_padded", " ").alias("response_padded"),
+    )
+
+
+@query("truncate_tokens")
+def q_truncate_tokens(spark, sf):
+    docs = FX.read_table(spark, sf, "documents", "doc_id", "text").withColumn("tok", T.tokens("text"))
+    t = P.truncate_tokens(docs, "tok", NG.MAX_LENGTH)
+    return t.select("doc_id", F.size("tok").alias("n_tokens"), F.size("tok_kept").alias("n_kept"), F.array_join("tok_kept", " ").alias("kept_text"))
+
+
+# ---------------- 2.3 perplexity and continuous rewards ----------------
+@query("perplexity_logged")
+def q_perplexity_logged(spark, sf):
+    tl = FX.token_logprob(spark, sf)
+    return NG.perplexity_from_logprobs(tl, "sample_id", "pos", {"ppl_train": "logp_train", "ppl_base": "logp_base"})
+
+
+@query("ngram_train")
+def q_ngram_train(spark, sf):
+    m = _current_model(spark, sf)
+    return m.pairs.join(m.contexts, "prev").withColumn("vocab", m.vocab.scalar())
+
+
+@query("ngram_perplexity")
+def q_ngram_perplexity(spark, sf):
+    return _resp_ppl(spark, sf, _current_model(spark, sf))
+
+
+@query("reward_log")
+def q_reward_log(spark, sf):
+    return _rewarded(spark, sf).select("qa_id", "sample_idx", "ppl", F.col("reward").alias("reward_log"))
+
+
+@query("reward_linear")
+def q_reward_linear(spark, sf):
+    sc = _scored(spark, sf)
+    j = sc.join(_resp_ppl(spark, sf, _current_model(spark, sf)), ["qa_id", "sample_idx"])
+    r = R.reward_linear(F.col("ppl"), F.col("response"), F.col("hard_cascade") > 0.5)
+    return j.select("qa_id", "sample_idx", "ppl", r.alias("reward_linear"))
+
+
+def _relative(spark, sf):
+    base = _resp_ppl(spark, sf, _base_model(spark, sf))
+    cur = _resp_ppl(spark, sf, _current_model(spark, sf))
+    return R.baseline_join(base, cur, ["qa_id", "sample_idx"])
+
+
+@query("baseline_join")
+def q_baseline_join(spark, sf):
+    return _relative(spark, sf)
+
+
+@query("reward_relative")
+def q_reward_relative(spark, sf):
+    j = _relative(spark, sf).join(_scored(spark, sf).select("qa_id", "sample_idx", "hard_marker"), ["qa_id", "sample_idx"])
+    r = R.reward_relative(F.col("base_ppl"), F.col("train_ppl"), F.col("hard_marker"))
+    return j.select("qa_id", "sample_idx", "base_ppl", "train_ppl", r.alias("reward_relative"))
+
+
+@query("reward_vs_gold")
+def q_reward_vs_gold(spark, sf):
+    model = _current_model(spark, sf)
+    gold = NG.score_perplexity(model, FX.qa(spark, sf), ["qa_id"], F.concat(F.col("question"), F.lit(" "), F.col("answer")))
+    resp = _resp_ppl(spark, sf, model)
+    j = resp.select("qa_id", "sample_idx", F.col("ppl").alias("resp_ppl")).join(gold.select("qa_id", F.col("ppl").alias("gold_ppl")), "qa_id")
+    return j.withColumn("reward_vs_gold", R.reward_vs_gold(F.col("gold_ppl"), F.col("resp_ppl")))
+
+
+# ---------------- 2.6 preference pairs ----------------
+@query("pairs_ranked")
+def q_pairs_ranked(spark, sf):
+    return D.flatten_pairs(D.pairs_ranked(_samples(spark, sf), D.hard_side_scorer))
+
+
+@query("pairs_ranked_ppl")
+def q_pairs_ranked_ppl(spark, sf):
+    return D.flatten_pairs(D.pairs_ranked(_samples(spark, sf), _side_scorer_log(spark, sf)))
+
+
+@query("pairs_fixed")
+def q_pairs_fixed(spark, sf):
+    return D.flatten_pairs(D.pairs_fixed(_samples(spark, sf)))
+
+
+@query("pairs_fixed_ppl")
+def q_pairs_fixed_ppl(spark, sf):
+    return D.flatten_pairs(D.pairs_fixed(_samples(spark, sf), _side_scorer_relative(spark, sf)))
+
+
+def _right(spark, sf):
+    return _scored(spark, sf).withColumn("right", F.col("hard_marker") > 0.5)
+
+
+@query("shortest_correct")
+def q_shortest_correct(spark, sf):
+    return D.shortest_correct(_right(spark, sf), "qa_id", "sample_idx", "response", "right")
+
+
+@query("pairs_by_length")
+def q_pairs_by_length(spark, sf):
+    return D.pairs_by_length(_right(spark, sf), "qa_id", "sample_idx", "response", "right")
+
+
+@query("group_advantage")
+def q_group_advantage(spark, sf):
+    a = D.group_advantage(_scored(spark, sf), "qa_id", "hard_marker")
+    return a.select("qa_id", "sample_idx", F.col("hard_marker").alias("reward"), "advantage")
+
+
+@query("pairs_best_worst")
+def q_pairs_best_worst(spark, sf):
+    return D.pairs_best_worst(_rewarded(spark, sf), "qa_id", "sample_idx", "reward")
+
+
+@query("reward_gap")
+def q_reward_gap(spark, sf):
+    pairs = D.pairs_best_worst(_rewarded(spark, sf), "qa_id", "sample_idx", "reward")
+    return D.reward_gap(pairs).select("qa_id", "gap", "weight")
+
+
+@query("difficulty_balance")
+def q_difficulty_balance(spark, sf):
+    return D.difficulty_balance(_right(spark, sf), "qa_id", "right")
+
+
+def _seq_logprobs(spark, sf):
+    tl = FX.token_logprob(spark, sf).where(F.col("pos") >= 2)
+    seq = tl.groupBy("sample_id").agg(
+        F.sum("logp_train").alias("logp"), F.sum("logp_base").alias("logp_ref"), F.avg("logp_train").alias("mean_logp")
+    )
+    return seq.select(
+        F.floor(F.col("sample_id") / 2).alias("pair_id"),
+        F.when(F.col("sample_id") % 2 == 0, "chosen").otherwise("rejected").alias("side"),
+        "logp", "logp_ref", "mean_logp",
+    )
+
+
+@query("preference_loss_audit")
+def q_preference_loss_audit(spark, sf):
+    return D.preference_loss_audit(_seq_logprobs(spark, sf), "pair_id")
+
+
+# ---------------- 2.5 / 2.7 metric logs ----------------
+def _gated(spark, sf):
+    return E.eval_gate(FX.metric_log(spark, sf), E.EVAL_EVERY_FULL)
+
+
+@query("eval_gate")
+def q_eval_gate(spark, sf):
+    return _gated(spark, sf).select("reward_type", "step", "evaluated", "loss", "accuracy", "perplexity")
+
+
+@query("running_best")
+def q_running_best(spark, sf):
+    return E.running_best(_gated(spark, sf)).select("reward_type", "step", "accuracy", "best_before", "best_after", "new_best")
+
+
+@query("run_summary")
+def q_run_summary(spark, sf):
+    return E.run_summary(_gated(spark, sf))
+
+
+@query("winner_pair")
+def q_winner_pair(spark, sf):
+    return E.winner_pair(E.run_summary(_gated(spark, sf)))
+
+
+@query("winner_three")
+def q_winner_three(spark, sf):
+    acc = E.eval_accuracy(_scored(spark, sf))
+    return E.argmax_priority(acc, ["strategy"], "model", "accuracy", ["model_0", "model_1", "model_2"])
+
+
+@query("batch_mean_reward")
+def q_batch_mean_reward(spark, sf):
+    sc = _scored(spark, sf)
+    b = S.batch_assign(sc, F.concat_ws(":", "qa_id", "sample_idx"), epochs=3, batch_size=4)
+    return E.batch_mean_reward(b, "hard_marker")
+
+
+@query("hist_density")
+def q_hist_density(spark, sf):
+    g = _gated(spark, sf)
+    vals = g.select("reward_type", F.lit("accuracy").alias("metric"), F.col("accuracy").alias("value")).unionByName(
+        g.where(F.col("perplexity").isNotNull() & (F.col("perplexity") != 0)).select(
+            "reward_type", F.lit("perplexity").alias("metric"), F.col("perplexity").alias("value")
+        )
+    )
+    return E.hist_density(vals, ["reward_type", "metric"], "value")
+
+
+@query("series_by_step")
+def q_series_by_step(spark, sf):
+    return E.series_by_step(_gated(spark, sf))
+
+
+@query("metrics_union")
+def q_metrics_union(spark, sf):
+    g = _gated(spark, sf).select("reward_type", "step", "loss", "accuracy", "perplexity")
+    return E.metrics_union(g.where(F.col("reward_type") == "hard"), g.where(F.col("reward_type") == "perplexity"))
+
+
+@query("first_n_per_group")
+def q_first_n_per_group(spark, sf):
+    r = FX.response(spark, sf)
+    return E.first_n_per_group(r, ["model"], ["qa_id", "sample_idx"], E.EVAL_SIZE).select("model", "qa_id", "sample_idx", "rn")
+
+
+@query("report_json")
+def q_report_json(spark, sf):
+    g = _gated(spark, sf)
+    summ = E.run_summary(g)
+    path = SK.write_report(E.winner_pair(summ), summ, g, {"eval_every": E.EVAL_EVERY_FULL, "eval_size": E.EVAL_SIZE})
+    _, metrics = SK.read_report(spark, path)
+    return metrics.select("reward_type", "step", "loss", "accuracy", "perplexity", "final_accuracy", "best_accuracy")
+
+
+@query("scalar_log")
+def q_scalar_log(spark, sf):
+    return SK.scalar_log(_gated(spark, sf))
+
+
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)

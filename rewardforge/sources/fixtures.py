@@ -110,6 +110,11 @@ def chat_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.join(a, ["conv_id", "turn"])
 
 
+def conversations_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversation turns (the baseline corpus and multi-turn chats)."""
+    return read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+
+
 def judge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Judge shift per document in {-1, 0, 1}."""
     lab = read_table(spark, sf_dir, "labels", "doc_id", "quality", "toxic")
@@ -138,3 +143,28 @@ def rollout(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("o_custkey") % n_part).alias("leaf_id"),
         (F.col("o_totalprice") / 100000.0 - 2.0).alias("reward"),
     )
+
+
+def preference_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw preference rows from conversations (our fixture for S2-S4).
+
+    For each user turn: chosen = the assistant answer that follows, rejected =
+    the assistant answer of the next exchange. Even conversations store a side
+    as a one-message list, odd ones as plain text; a missing side is null.
+    """
+    conv = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    u = conv.where(F.col("role") == "user").select("conv_id", "turn")
+    a = conv.where(F.col("role") == "assistant")
+    c = a.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("_c"))
+    r = a.select("conv_id", (F.col("turn") - 3).alias("turn"), F.col("text").alias("_r"))
+    j = u.join(c, ["conv_id", "turn"], "left").join(r, ["conv_id", "turn"], "left")
+    even = F.col("conv_id") % 2 == 0
+
+    def msgs(t: str) -> F.Column:
+        return F.when(even & F.col(t).isNotNull(), F.array(F.struct(F.lit("assistant").alias("role"), F.col(t).alias("content"))))
+
+    return j.select(
+        "conv_id", "turn",
+        msgs("_c").alias("chosen_messages"), F.when(~even, F.col("_c")).alias("chosen_text"),
+        msgs("_r").alias("rejected_messages"), F.when(~even, F.col("_r")).alias("rejected_text"),
+    )
