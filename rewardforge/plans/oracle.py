@@ -58,7 +58,7 @@ from orders""",
 _DEPS = {"response": ["qa"]}
 
 
-def with_fixtures(names: list[str], body: str, extra: list[tuple[str, str]] = ()) -> str:
+def with_fixtures(names: list[str], body: str, extra: list[tuple[str, str]] = (), recursive: bool = False) -> str:
     """``with <fixtures>, <extra ctes> <body>``; fixture dependencies first."""
     order: list[str] = []
     for n in names:
@@ -68,7 +68,7 @@ def with_fixtures(names: list[str], body: str, extra: list[tuple[str, str]] = ()
         if n not in order:
             order.append(n)
     ctes = [f"{n} as (\n{FIXTURE_SQL[n]}\n)" for n in order] + [f"{n} as (\n{s}\n)" for n, s in extra]
-    return "with " + ",\n".join(ctes) + "\n" + body
+    return ("with recursive " if recursive else "with ") + ",\n".join(ctes) + "\n" + body
 
 
 # ---- expression snippets (same semantics as functions.text) ----

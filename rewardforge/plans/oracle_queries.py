@@ -367,3 +367,178 @@ from gated g join summary s on g.reward_type = s.reward_type""", [GATED, SUMMARY
 sql("scalar_log", with_fixtures(["metric_log"], """select reward_type || '/accuracy' as tag, step, accuracy as value from gated where evaluated
 union all select reward_type || '/perplexity', step, perplexity from gated where evaluated and perplexity is not null
 union all select reward_type || '/loss', step, loss from gated where evaluated""", [GATED]))
+
+
+# ---------------- 2.8 tree ----------------
+import math  # noqa: E402
+
+from ..operators.tree import LN, LN_FLOOR  # noqa: E402
+
+
+def dbl(x: float) -> str:
+    return f"{x!r}::double"
+
+
+def round_sig(x: str, digits: int = 10) -> str:
+    from ..functions.mathx import POW10_MAX, POW10_MIN, pow10_literals
+
+    table = "(cast([" + ", ".join(f"1e{k}" for k in range(POW10_MIN, POW10_MAX + 1)) + "] as double[]))"
+    assert len(pow10_literals()) == POW10_MAX - POW10_MIN + 1
+    scale = f"{table}[cast(greatest(least(floor(log10(abs({x}))), {POW10_MAX}), {POW10_MIN}) as integer) - ({POW10_MIN}) + 1]"
+    return f"(case when {x} = 0 or {x} is null or isnan({x}) then {x} else round({x} / {scale}, {digits - 1}) * {scale} end)"
+
+
+PATHS = [
+    ("p0", """select node_id, 0 as depth, [node_id] as path, token as context, '' as binary_code from tree_node where parent_id is null
+  union all
+  select t.node_id, p0.depth + 1, list_append(p0.path, t.node_id), p0.context || ' ' || t.token, p0.binary_code || t.bit
+  from tree_node t join p0 on t.parent_id = p0.node_id"""),
+    ("paths", "select node_id, depth, context, binary_code, unnest(path) as ancestor_id, generate_subscripts(path, 1) - 1 as ancestor_depth from p0"),
+    ("ninfo", "select node_id, depth, context, binary_code from p0"),
+]
+STATS = [
+    ("per_leaf", "select leaf_id as node_id, count(*) as n, sum(cast(reward as decimal(38,12))) as s from rollout group by leaf_id"),
+    ("up", "select a.ancestor_id as node_id, sum(l.n) as visits, sum(l.s) as s from per_leaf l join paths a on l.node_id = a.node_id group by a.ancestor_id"),
+    ("stats", """select t.node_id, cast(coalesce(up.visits, 0) as bigint) as visits, coalesce(cast(up.s as double), 0.0) as total_reward,
+  case when coalesce(up.visits, 0) > 0 then coalesce(cast(up.s as double), 0.0) / up.visits else 0.0 end as avg_reward
+from tree_node t left join up on t.node_id = up.node_id"""),
+    ("pj", """select c.node_id, c.parent_id, s.visits, s.avg_reward, p.visits as parent_visits
+from tree_node c join stats s on c.node_id = s.node_id join stats p on p.node_id = c.parent_id"""),
+]
+_K = list(LN)
+_ST = "(" * len(_K) + "0.0::double" + "".join(f" + c{i} * {dbl(LN[k])})" for i, k in enumerate(_K))
+_TOT = "(" * len(_K) + "0.0::double" + "".join(f" + t{i} * {dbl(LN[k])})" for i, k in enumerate(_K))
+WEIGHTS = [
+    ("onpath", """select a.ancestor_id as nid, r.iter, r.reward, t.bit from rollout r join paths a on r.leaf_id = a.node_id
+  join tree_node t on t.node_id = a.ancestor_id where a.ancestor_depth > 0"""),
+    ("kinds", """select nid, iter, cast(reward > 0 and bit = '1' as integer) as k0, cast(reward > 0 and bit <> '1' as integer) as k1,
+  cast(not (reward > 0) and bit <> '1' as integer) as k2, cast(not (reward > 0) and bit = '1' as integer) as k3 from onpath"""),
+    ("cum", """select nid, k0, k1, k2, k3,
+  sum(k0) over w as c0, sum(k1) over w as c1, sum(k2) over w as c2, sum(k3) over w as c3
+from kinds window w as (partition by nid order by iter rows between unbounded preceding and current row)"""),
+    ("wagg", f"""select nid, max({dbl(LN_FLOOR)} - {_ST}) as m, sum(k0) as t0, sum(k1) as t1, sum(k2) as t2, sum(k3) as t3 from cum group by nid"""),
+    ("weights", f"""select t.node_id, coalesce({round_sig(f"exp({_TOT} + greatest(0.0, w.m))")}, 1.0) as weight
+from tree_node t left join wagg w on t.node_id = w.nid"""),
+]
+UCB = ("ucb", f"""select pj.*, w.weight,
+  case when pj.visits = 0 then 'inf'::double
+       else {round_sig("((pj.avg_reward + 1.414::double * sqrt(ln(pj.parent_visits) / pj.visits)) * w.weight)")} end as ucb
+from pj join weights w on pj.node_id = w.node_id""")
+
+
+def cosine_ctes(name: str, source: str, keys: list[str], a: str, b: str) -> list[tuple[str, str]]:
+    k = ", ".join(keys)
+    on = lambda x, y: " and ".join(f"{x}.{c} = {y}.{c}" for c in keys)
+    return [
+        (f"{name}_a", f"select {k}, tok, count(*) as c1 from (select {k}, unnest({toks(a)}) as tok from {source}) x group by all"),
+        (f"{name}_b", f"select {k}, tok, count(*) as c2 from (select {k}, unnest({toks(b)}) as tok from {source}) x group by all"),
+        (f"{name}_dot", f"select {', '.join('a.' + c for c in keys)}, sum(a.c1 * b.c2) as dot from {name}_a a join {name}_b b on {on('a', 'b')} and a.tok = b.tok group by all"),
+        (f"{name}_n1", f"select {k}, sum(c1 * c1) as n1 from {name}_a group by all"),
+        (f"{name}_n2", f"select {k}, sum(c2 * c2) as n2 from {name}_b group by all"),
+        (name, f"""select {', '.join('s.' + c for c in keys)},
+  case when n1.n1 is null or n2.n2 is null then 0.0 else coalesce(d.dot, 0) / (sqrt(n1.n1) * sqrt(n2.n2)) end as cosine
+from {source} s left join {name}_n1 n1 on {on('s', 'n1')} left join {name}_n2 n2 on {on('s', 'n2')} left join {name}_dot d on {on('s', 'd')}"""),
+    ]
+
+
+COMBINED = cosine_ctes("ncos", "(select c.node_id, c.token, p.token as primary_token from tree_node c join tree_node p on c.parent_id = p.node_id)",
+                       ["node_id"], "primary_token", "token") + [
+    ("combined", """select u.node_id, u.parent_id, u.ucb, c.cosine,
+  case when u.ucb = 'inf'::double then 'inf'::double else u.ucb + c.cosine * u.weight end as combined
+from ucb u join ncos c on u.node_id = c.node_id"""),
+]
+TREE_ALL = PATHS + STATS + WEIGHTS + [UCB]
+
+sql("node_paths", with_fixtures(["tree_node"], "select node_id, ancestor_id, ancestor_depth, depth from paths", PATHS, recursive=True))
+sql("expand_nodes", with_fixtures(["tree_node"], """select g.parent_id, g.token, g.place, g.winner_seq, t.bit, t.model,
+  i.context || ' ' || g.token as context, i.binary_code || t.bit as binary_code
+from (select parent_id, token, min(node_id) as place, max(node_id) as winner_seq from tree_node where parent_id is not null group by parent_id, token) g
+join tree_node t on t.node_id = g.winner_seq join ninfo i on i.node_id = g.parent_id""", PATHS, recursive=True))
+sql("candidate_union", with_fixtures(["tree_node"], """select parent_id, model, bit, token, node_id, 0 as dir_rank from tree_node where parent_id is not null and bit = '1'
+union all select parent_id, model, bit, token, node_id, 1 from tree_node where parent_id is not null and bit = '0'"""))
+sql("token_set", with_fixtures(["tree_node"], """select distinct parent_id, case when bit = '1' then 'right' else 'wrong' end as direction, model, token
+from tree_node where parent_id is not null"""))
+sql("prompt_fill", with_fixtures(["tree_node"], """select r.parent_id, r.model, r.bit,
+  replace(replace('Question: [Insert your query here]' || chr(10) || 'So far: [Insert your context here]' || chr(10) || 'Next token:',
+                  '[Insert your query here]', (select min(context) from ninfo where depth = 0)), '[Insert your context here]', i.context)
+  || case when len(r.taken) > 0 then 'You must also ensure that the generated token is not from this array: ['
+       || array_to_string(list_transform(r.taken, lambda t: '''' || t || ''''), ', ') || ']' else '' end as prompt_text
+from (select parent_id, model, bit, list_sort(array_agg(distinct token)) as taken from tree_node where parent_id is not null group by all) r
+join ninfo i on i.node_id = r.parent_id""", PATHS, recursive=True))
+sql("backup_rewards", with_fixtures(["tree_node", "rollout"], "select node_id, visits, total_reward, avg_reward from stats", PATHS + STATS, recursive=True))
+sql("parent_join", with_fixtures(["tree_node", "rollout"], "select node_id, parent_id, visits, parent_visits from pj", PATHS + STATS, recursive=True))
+sql("node_weights", with_fixtures(["tree_node", "rollout"], "select node_id, weight from weights", PATHS + WEIGHTS, recursive=True))
+sql("ucb_score", with_fixtures(["tree_node", "rollout"], "select node_id, parent_id, visits, ucb from ucb", TREE_ALL, recursive=True))
+sql("combined_score", with_fixtures(["tree_node", "rollout"], "select * from combined", TREE_ALL + COMBINED, recursive=True))
+sql("top_child", with_fixtures(["tree_node", "rollout"], """select parent_id, node_id, combined from (
+  select *, row_number() over (partition by parent_id order by combined desc, node_id) as rn from combined) x where rn = 1""",
+    TREE_ALL + COMBINED, recursive=True))
+sql("best_path", with_fixtures(["tree_node", "rollout"], """select i.node_id, i.depth, t.token from ninfo i join tree_node t on i.node_id = t.node_id
+join (select a.node_id from paths a left join best b on a.ancestor_id = b.node_id where a.ancestor_depth > 0
+      group by a.node_id having bool_and(coalesce(b.is_best, false))) o on o.node_id = i.node_id""",
+    PATHS + STATS + [("best", """select node_id, true as is_best from (
+  select c.node_id, row_number() over (partition by c.parent_id order by s.visits desc, c.node_id) as rn
+  from tree_node c join stats s on c.node_id = s.node_id where c.parent_id is not null) x where rn = 1""")], recursive=True))
+sql("path_reward", with_fixtures(["tree_node"], f"""select i.node_id, i.depth + 1 as path_len,
+  (length(i.binary_code) - length(replace(i.binary_code, '1', ''))) * 1.0::double
+    + (length(i.binary_code) - (length(i.binary_code) - length(replace(i.binary_code, '1', '')))) * (-0.5)::double as direction_reward,
+  coalesce(round((r.root - p.ppl) / (r.root + 1e-8), 6), 0.0) as ppl_reward,
+  coalesce(case when j.node_id is not null then {hard(marker('i.context'), '0.0')} end, 0.0) as terminal_reward,
+  round(coalesce(round((r.root - p.ppl) / (r.root + 1e-8), 6), 0.0) + (-0.1)::double * (i.depth + 1)
+    + ((length(i.binary_code) - length(replace(i.binary_code, '1', ''))) * 1.0::double
+       + (length(i.binary_code) - (length(i.binary_code) - length(replace(i.binary_code, '1', '')))) * (-0.5)::double)
+    + coalesce(case when j.node_id is not null then {hard(marker('i.context'), '0.0')} end, 0.0), 6) as path_reward
+from ninfo i left join nppl p on i.node_id = p.node_id
+left join (select p_partkey as node_id from part where p_size > 40) j on j.node_id = i.node_id,
+(select min(n.ppl) as root from nppl n join ninfo z on n.node_id = z.node_id where z.depth = 0) r""",
+    PATHS + model_ctes("tctx", "ninfo", "context") + score_ctes("nppl", "tctx", "ninfo", "node_id", "context"), recursive=True))
+sql("seeded_pick", with_fixtures(["tree_node"], """select parent_id, node_id from (
+  select parent_id, node_id, row_number() over (partition by parent_id order by md5('3407:' || cast(parent_id as varchar) || ':' || cast(node_id as varchar))) as rn
+  from tree_node where parent_id is not null) x where rn = 1"""))
+sql("teacher_weights", with_fixtures(["tree_node", "rollout"], """select model, n_uses, round(score, 6) as score,
+  round(0.95::double * exp(score) / (select sum(exp(score)) from sc) + 0.05::double / (select count(*) from teachers), 6) as p
+from sc""", [
+    ("teachers", "select distinct model from tree_node"),
+    ("uses", """select t.model, r.iter, r.reward, row_number() over (partition by t.model order by r.iter) - 1 as i,
+  count(*) over (partition by t.model) as n from rollout r join tree_node t on r.leaf_id = t.node_id"""),
+    ("acc", "select model, sum(pow(0.9::double, n - 1 - i) * reward) as acc, min(n) as n from uses group by model"),
+    ("sc", """select t.model, coalesce(a.n, 0) as n_uses,
+  round(pow(0.9::double, coalesce(a.n, 0)) / (select count(*) from teachers) + 0.1::double * coalesce(a.acc, 0.0), 12) as score
+from teachers t left join acc a on t.model = a.model"""),
+]))
+
+# ---------------- 2.4 text-pair joins ----------------
+sql("token_cosine", with_fixtures(["chat_pair"], "select conv_id, turn, cosine from tc",
+                                  cosine_ctes("tc", "chat_pair", ["conv_id", "turn"], "prompt", "response")))
+sql("reward_shift", f"""select d.doc_id, least(0.3, {words('d.text')} / 100.0::double) as reward, j.shift,
+  least(0.3, {words('d.text')} / 100.0::double) + coalesce(j.shift, 0) as shifted_reward
+from documents d left join (select doc_id, quality - toxic as shift from labels) j on d.doc_id = j.doc_id""")
+
+
+def gram_rows(side: str, col: str) -> str:
+    return f"""select conv_id, turn, 1 as n, g from (select conv_id, turn, unnest({toks(col)}) as g from chat_pair) u
+union all
+select a.conv_id, a.turn, 2, a.tok || ' ' || b.tok from {side}_tok a join {side}_tok b on a.conv_id = b.conv_id and a.turn = b.turn and b.pos = a.pos + 1"""
+
+
+sql("rouge_overlap", with_fixtures(["chat_pair"], """select b.conv_id, b.turn, b.n, coalesce(m.match, 0) as match,
+  case when coalesce(c.tot, 0) > 0 then coalesce(m.match, 0) / c.tot else 0.0 end as precision,
+  case when coalesce(r.tot, 0) > 0 then coalesce(m.match, 0) / r.tot else 0.0 end as recall,
+  case when (case when coalesce(c.tot, 0) > 0 then coalesce(m.match, 0) / c.tot else 0.0 end)
+          + (case when coalesce(r.tot, 0) > 0 then coalesce(m.match, 0) / r.tot else 0.0 end) > 0
+       then (2.0::double * (case when coalesce(c.tot, 0) > 0 then coalesce(m.match, 0) / c.tot else 0.0 end)
+             * (case when coalesce(r.tot, 0) > 0 then coalesce(m.match, 0) / r.tot else 0.0 end))
+            / ((case when coalesce(c.tot, 0) > 0 then coalesce(m.match, 0) / c.tot else 0.0 end)
+               + (case when coalesce(r.tot, 0) > 0 then coalesce(m.match, 0) / r.tot else 0.0 end))
+       else 0.0 end as f1
+from (select conv_id, turn, unnest([1, 2]) as n from chat_pair) b
+left join (select r.conv_id, r.turn, r.n, sum(least(r.c, c.c)) as match from rc r join cc c
+           on r.conv_id = c.conv_id and r.turn = c.turn and r.n = c.n and r.g = c.g group by all) m
+  on b.conv_id = m.conv_id and b.turn = m.turn and b.n = m.n
+left join (select conv_id, turn, n, sum(c) as tot from rc group by all) r on b.conv_id = r.conv_id and b.turn = r.turn and b.n = r.n
+left join (select conv_id, turn, n, sum(c) as tot from cc group by all) c on b.conv_id = c.conv_id and b.turn = c.turn and b.n = c.n""",
+    bigram_ctes("rr", "chat_pair", "conv_id, turn", "prompt", None) + bigram_ctes("cr", "chat_pair", "conv_id, turn", "response", None) + [
+        ("rg", gram_rows("rr", "prompt")), ("cg", gram_rows("cr", "response")),
+        ("rc", "select conv_id, turn, n, g, count(*) as c from rg group by all"),
+        ("cc", "select conv_id, turn, n, g, count(*) as c from cg group by all"),
+    ]))

@@ -17,6 +17,7 @@ from ..operators import evalstats as E
 from ..operators import ngram as NG
 from ..operators import pairs as D
 from ..operators import rewards as R
+from ..operators import tree as TR
 from ..sources import fixtures as FX
 from ..sources import qa as S
 from ..sources import sinks as SK
@@ -454,5 +455,157 @@ def q_scalar_log(spark, sf):
     return SK.scalar_log(_gated(spark, sf))
 
 
+# ---------------- 2.8 search-tree analytics ----------------
+NODE_PROMPT_TEMPLATE = "Question: [Insert your query here]\nSo far: [Insert your context here]\nNext token:"
+
+
+def _tree(spark, sf):
+    nodes = FX.tree_node(spark, sf)
+    return nodes, TR.node_paths(nodes)
+
+
+def _stats(spark, sf, nodes, paths):
+    return TR.backup_rewards(nodes, paths, FX.rollout(spark, sf))
+
+
+def _ucb(spark, sf, nodes, paths):
+    stats = _stats(spark, sf, nodes, paths)
+    w = TR.node_weights(nodes, paths, FX.rollout(spark, sf))
+    return TR.ucb_score(TR.parent_join(nodes, stats).join(w, "node_id"))
+
+
+def _combined(spark, sf):
+    nodes, paths = _tree(spark, sf)
+    u = _ucb(spark, sf, nodes, paths)
+    pairs = nodes.where(F.col("parent_id").isNotNull()).select("node_id", "parent_id", "token").join(
+        nodes.select(F.col("node_id").alias("parent_id"), F.col("token").alias("primary_token")), "parent_id"
+    )
+    cos = TR.text_cosine(pairs, ["node_id"], "primary_token", "token")
+    j = u.join(cos, "node_id")
+    inf = F.col("ucb") == float("inf")
+    comb = F.when(inf, F.lit(float("inf"))).otherwise(F.col("ucb") + F.col("cosine") * F.col("weight"))
+    return j.withColumn("combined", comb)
+
+
+@query("node_paths")
+def q_node_paths(spark, sf):
+    _, paths = _tree(spark, sf)
+    return paths.select("node_id", "ancestor_id", "ancestor_depth", "depth")
+
+
+@query("expand_nodes")
+def q_expand_nodes(spark, sf):
+    nodes, paths = _tree(spark, sf)
+    cand = nodes.where(F.col("parent_id").isNotNull()).select("parent_id", "token", "bit", "model", F.col("node_id").alias("seq"))
+    return TR.expand_nodes(cand, TR.node_info(paths))
+
+
+@query("candidate_union")
+def q_candidate_union(spark, sf):
+    return TR.candidate_union(FX.tree_node(spark, sf))
+
+
+@query("token_set")
+def q_token_set(spark, sf):
+    return TR.token_set(FX.tree_node(spark, sf))
+
+
+@query("prompt_fill")
+def q_prompt_fill(spark, sf):
+    nodes, paths = _tree(spark, sf)
+    info = TR.node_info(paths)
+    root_ctx = info.where(F.col("depth") == 0).agg(F.min("context")).scalar()
+    req = nodes.where(F.col("parent_id").isNotNull()).groupBy("parent_id", "model", "bit").agg(F.collect_set("token").alias("taken"))
+    req = req.join(info.select(F.col("node_id").alias("parent_id"), "context"), "parent_id").withColumn("query", root_ctx)
+    return P.prompt_fill(req, NODE_PROMPT_TEMPLATE, "query", "context", "taken").select("parent_id", "model", "bit", "prompt_text")
+
+
+@query("backup_rewards")
+def q_backup_rewards(spark, sf):
+    nodes, paths = _tree(spark, sf)
+    return _stats(spark, sf, nodes, paths)
+
+
+@query("parent_join")
+def q_parent_join(spark, sf):
+    nodes, paths = _tree(spark, sf)
+    return TR.parent_join(nodes, _stats(spark, sf, nodes, paths)).select("node_id", "parent_id", "visits", "parent_visits")
+
+
+@query("node_weights")
+def q_node_weights(spark, sf):
+    nodes, paths = _tree(spark, sf)
+    return TR.node_weights(nodes, paths, FX.rollout(spark, sf))
+
+
+@query("ucb_score")
+def q_ucb_score(spark, sf):
+    nodes, paths = _tree(spark, sf)
+    return _ucb(spark, sf, nodes, paths).select("node_id", "parent_id", "visits", "ucb")
+
+
+@query("combined_score")
+def q_combined_score(spark, sf):
+    return _combined(spark, sf).select("node_id", "parent_id", "ucb", "cosine", "combined")
+
+
+@query("top_child")
+def q_top_child(spark, sf):
+    return TR.top_child(_combined(spark, sf), "combined")
+
+
+@query("best_path")
+def q_best_path(spark, sf):
+    nodes, paths = _tree(spark, sf)
+    return TR.best_path(nodes, paths, _stats(spark, sf, nodes, paths))
+
+
+@query("path_reward")
+def q_path_reward(spark, sf):
+    nodes, paths = _tree(spark, sf)
+    info = TR.node_info(paths)
+    model = NG.fit_bigram(info, "context")
+    ppl = NG.score_perplexity(model, info, ["node_id"], F.col("context"))
+    root_ppl = ppl.join(info.where(F.col("depth") == 0).select("node_id"), "node_id").agg(F.min("ppl")).scalar()
+    pr = ppl.select("node_id", R.reward_vs_gold(root_ppl, F.col("ppl")).alias("ppl_reward"))
+    judged = FX.node_judge(spark, sf).where(F.col("output") == "1").join(info, "node_id")
+    term = judged.select("node_id", T.hard_reward(T.extract_marker("context"), F.lit(0.0)).alias("terminal_reward"))
+    return TR.path_reward(info, pr, term)
+
+
+@query("seeded_pick")
+def q_seeded_pick(spark, sf):
+    kids = FX.tree_node(spark, sf).where(F.col("parent_id").isNotNull())
+    return TR.seeded_pick(kids, "parent_id", "node_id")
+
+
+@query("teacher_weights")
+def q_teacher_weights(spark, sf):
+    nodes = FX.tree_node(spark, sf)
+    uses = FX.rollout(spark, sf).join(nodes.select(F.col("node_id").alias("leaf_id"), "model"), "leaf_id").select("model", "iter", "reward")
+    return TR.teacher_weights(uses, nodes.select("model").distinct())
+
+
+# ---------------- 2.4 joins over text pairs ----------------
+@query("token_cosine")
+def q_token_cosine(spark, sf):
+    return TR.text_cosine(FX.chat_pair(spark, sf), ["conv_id", "turn"], "prompt", "response")
+
+
+@query("reward_shift")
+def q_reward_shift(spark, sf):
+    docs = FX.read_table(spark, sf, "documents", "doc_id", "text")
+    r = docs.select("doc_id", F.least(F.lit(0.3), T.word_count("text") / 100.0).alias("reward"))
+    j = r.join(FX.judge(spark, sf), "doc_id", "left")
+    return j.select("doc_id", "reward", "shift", (F.col("reward") + F.coalesce(F.col("shift"), F.lit(0))).alias("shifted_reward"))
+
+
+@query("rouge_overlap")
+def q_rouge_overlap(spark, sf):
+    from ..operators.overlap import rouge_n
+
+    return rouge_n(FX.chat_pair(spark, sf), ["conv_id", "turn"], "prompt", "response", (1, 2))
+
+
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)

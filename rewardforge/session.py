@@ -68,3 +68,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path for written tables next to the checkpoint data (shared storage)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/tables/{name}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it back.
+
+    Unlike a checkpoint, the read-back plan carries no constraints of the plan
+    that produced it, which keeps iterative self joins from growing their
+    inferred filters level by level.
+    """
+    import uuid
+
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex[:12]}")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -168,3 +168,9 @@ def preference_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         msgs("_c").alias("chosen_messages"), F.when(~even, F.col("_c")).alias("chosen_text"),
         msgs("_r").alias("rejected_messages"), F.when(~even, F.col("_r")).alias("rejected_text"),
     )
+
+
+def node_judge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judge output per tree node (our fixture for the terminal check): '1' = complete."""
+    part = read_table(spark, sf_dir, "part", "p_partkey", "p_size")
+    return part.select(F.col("p_partkey").alias("node_id"), F.when(F.col("p_size") > 40, "1").otherwise("0").alias("output"))
