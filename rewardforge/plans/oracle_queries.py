@@ -542,3 +542,29 @@ left join (select conv_id, turn, n, sum(c) as tot from cc group by all) c on b.c
         ("rc", "select conv_id, turn, n, g, count(*) as c from rg group by all"),
         ("cc", "select conv_id, turn, n, g, count(*) as c from cg group by all"),
     ]))
+
+
+# ---------------- 2.9 / 2.10 ----------------
+from ..functions.text import NUMBER_PATTERN  # noqa: E402
+
+sql("stream_running_best", with_fixtures(["metric_log"], """select reward_type, max(step) as latest_step, arg_max(accuracy, step) as latest_accuracy,
+  greatest(0.0, max(case when evaluated then accuracy end)) as best_accuracy, count(*) as n_records
+from gated group by reward_type""", [GATED]))
+sql("stream_reward_window", """select ws as window_start, ws + 3600 as window_end, count(*) as n,
+  cast(sum(cast(value as decimal(38,12))) as double) / count(*) as mean_reward
+from (select *, cast(floor(epoch(ts) / 3600) as bigint) * 3600 as ws from events) e
+where (ws + 3600) * 1000000 <= (select epoch_us(max(ts)) from events) - 600 * 1000000
+group by ws""")
+sql("stream_hard_reward", with_fixtures(["response"], "select qa_id, sample_idx, model, correct_answer, pred_marker, hard_marker from scored_h",
+                                        [SCORED, SCORED_H]))
+sql("metric_hook", ORACLE["scalar_log"])
+sql("evaluator_registry", with_fixtures(["response"], f"""select qa_id, sample_idx,
+  case model when 'model_0' then 'hard' when 'model_1' then 'hard_cascade' else 'any_number' end as evaluator,
+  case model when 'model_0' then {hard('pred_marker', 'correct_answer')}
+             when 'model_1' then {hard('pred_cascade', 'correct_answer')}
+             else (case when len(list_filter(regexp_extract_all(response, '{NUMBER_PATTERN}', 1),
+                                             lambda x: abs(cast(x as double) - correct_answer) < 1e-4)) > 0 then 1.0 else 0.0 end) end as reward
+from scored""", [SCORED]))
+sql("batched_map", with_fixtures(["qa"], f"""select qa_id,
+  '<bos><start_of_turn>user' || chr(10) || {strip('question')} || '<end_of_turn>' || chr(10) || '<start_of_turn>model' || chr(10) || {strip('answer')} || '<end_of_turn><eos>' as text
+from qa"""))

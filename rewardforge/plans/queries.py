@@ -607,5 +607,103 @@ def q_rouge_overlap(spark, sf):
     return rouge_n(FX.chat_pair(spark, sf), ["conv_id", "turn"], "prompt", "response", (1, 2))
 
 
+# ---------------- 2.9 streaming, 2.10 UDF surface ----------------
+def _stream_dirs(spark, name):
+    from ..session import scratch_path
+    import uuid
+
+    base = scratch_path(spark, f"stream-{name}-{uuid.uuid4().hex[:12]}")
+    return f"{base}/source", f"{base}/sink", f"{base}/checkpoint"
+
+
+def _write_source(df, path, order_col, files=8):
+    """Land a table as several parquet files in order (the stream's input)."""
+    df.repartitionByRange(files, order_col).write.mode("overwrite").parquet(path)
+
+
+@query("stream_running_best")
+def q_stream_running_best(spark, sf):
+    from ..streaming import streams as ST
+
+    src, sink, ck = _stream_dirs(spark, "best")
+    _write_source(_gated(spark, sf).select(*[f.name for f in ST.LOG_SCHEMA.fields]), src, "step")
+    return ST.stream_running_best(spark, src, sink, ck)
+
+
+@query("stream_reward_window")
+def q_stream_reward_window(spark, sf):
+    from ..streaming import streams as ST
+
+    src, sink, ck = _stream_dirs(spark, "window")
+    ev = FX.read_table(spark, sf, "events", "event_id", "ts", "value").select(
+        "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("reward")
+    )
+    _write_source(ev, src, "ts")
+    return ST.stream_reward_window(spark, src, sink, ck)
+
+
+@query("stream_hard_reward")
+def q_stream_hard_reward(spark, sf):
+    from ..streaming import streams as ST
+
+    src, sink, ck = _stream_dirs(spark, "hard")
+    _write_source(FX.response(spark, sf).select(*[f.name for f in ST.RESPONSE_SCHEMA.fields]), src, "qa_id")
+    qa = FX.qa(spark, sf)
+    gold = qa.select("qa_id", T.gold_first("answer").alias("correct_answer")).where(F.col("correct_answer").isNotNull())
+    return ST.stream_hard_reward(spark, src, gold, sink, ck)
+
+
+@query("metric_hook")
+def q_metric_hook(spark, sf):
+    from ..streaming import streams as ST
+
+    src, sink, ck = _stream_dirs(spark, "hook")
+    _write_source(_gated(spark, sf).select(*[f.name for f in ST.LOG_SCHEMA.fields]), src, "step")
+
+    def hook(batch):
+        return (
+            batch.where(F.col("evaluated"))
+            .unpivot(["reward_type", "step"], ["accuracy", "perplexity", "loss"], "metric", "value")
+            .where(F.col("value").isNotNull())
+            .select(F.concat_ws("/", "reward_type", "metric").alias("tag"), "step", "value")
+        )
+
+    return ST.stream_metric_hook(spark, src, sink, ck, hook)
+
+
+def _any_number_matches(prompt, response, gold):
+    """A user evaluator in Python: 1.0 if any number in the response equals the gold."""
+    import re
+
+    return 1.0 if any(abs(float(x) - gold) < T.TOLERANCE for x in re.findall(T.NUMBER_PATTERN, response)) else 0.0
+
+
+@query("evaluator_registry")
+def q_evaluator_registry(spark, sf):
+    from ..functions import registry as REG
+
+    REG.register_python("any_number", _any_number_matches, REG.HARD_FALLBACK)
+    j = E.response_gold_join(FX.response(spark, sf), FX.qa(spark, sf))
+    j = j.withColumn(
+        "evaluator",
+        F.when(F.col("model") == "model_0", "hard").when(F.col("model") == "model_1", "hard_cascade").otherwise("any_number"),
+    )
+    return REG.evaluate(j, "evaluator", "prompt", "response", "correct_answer").select("qa_id", "sample_idx", "evaluator", "reward")
+
+
+def _sft_batch(pdf):
+    import pandas as pd
+
+    text = [P.SFT_TEMPLATE.format(q=q.strip(), a=a.strip()) for q, a in zip(pdf["question"], pdf["answer"])]
+    return pd.DataFrame({"qa_id": pdf["qa_id"], "text": text})
+
+
+@query("batched_map")
+def q_batched_map(spark, sf):
+    from ..functions import registry as REG
+
+    return REG.batched_map(FX.qa(spark, sf), _sft_batch, "qa_id long, text string")
+
+
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)
