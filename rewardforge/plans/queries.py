@@ -128,16 +128,19 @@ def _side_scorer_relative(spark, sf):
 
     def score(sides):
         text = F.concat(F.col("prompt"), F.lit(" "), F.col("text"))
-        j = R.baseline_join(
-            NG.score_perplexity(base, sides, ["qa_id", "side"], text),
-            NG.score_perplexity(cur, sides, ["qa_id", "side"], text), ["qa_id", "side"],
-        ).join(sides, ["qa_id", "side"])
+        j = _both_ppl(base, cur, sides, ["qa_id", "side"], text).join(sides, ["qa_id", "side"])
         hard = T.hard_reward(T.extract_marker("text"), F.col("correct_answer"))
         return j.select("qa_id", "side", R.reward_relative(F.col("base_ppl"), F.col("train_ppl"), hard).alias("reward"))
 
     return D.sides_scorer(score, "qa_id")
 
 
+def _both_ppl(base, cur, df, ids, text):
+    """J1 in one pass: baseline and training perplexity of the same texts."""
+    both = NG.score_perplexities({"base": base, "train": cur}, df, ids, text)
+    return both.select(*ids, F.col("ppl_base").alias("base_ppl"), F.col("ppl_train").alias("train_ppl"))
+
+
 # ---------------- 2.1 scans, sources, sinks ----------------
 @query("qa_sample")
 def q_qa_sample(spark, sf):
@@ -275,9 +278,7 @@ def q_reward_linear(spark, sf):
 
 
 def _relative(spark, sf):
-    base = _resp_ppl(spark, sf, _base_model(spark, sf))
-    cur = _resp_ppl(spark, sf, _current_model(spark, sf))
-    return R.baseline_join(base, cur, ["qa_id", "sample_idx"])
+    return _both_ppl(_base_model(spark, sf), _current_model(spark, sf), FX.response(spark, sf), ["qa_id", "sample_idx"], _resp_text())
 
 
 @query("baseline_join")
