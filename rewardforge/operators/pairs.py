@@ -119,8 +119,8 @@ def shortest_correct(responses: DataFrame, group_col: str, idx_col: str, text_co
     right = responses.where(F.col(right_col))
     if mode == "all":
         return right.select(group_col, idx_col, F.length(text_col).alias("length"))
-    best = right.groupBy(group_col).agg(F.min(F.struct(F.length(text_col).alias("length"), F.col(idx_col).alias("idx"))).alias("b"))
-    return best.select(group_col, F.col("b.idx").alias(idx_col), F.col("b.length").alias("length"))
+    best = right.groupBy(group_col).agg(F.min(F.struct(F.length(text_col).alias("length"), F.col(idx_col).alias("idx"))).alias("_best"))
+    return best.select(group_col, F.col("_best.idx").alias(idx_col), F.col("_best.length").alias("length"))
 
 
 def pairs_by_length(responses: DataFrame, group_col: str, idx_col: str, text_col: str, right_col: str) -> DataFrame:
@@ -129,13 +129,13 @@ def pairs_by_length(responses: DataFrame, group_col: str, idx_col: str, text_col
     right = responses.where(F.col(right_col)).withColumn("_len", F.length(text_col))
     g = right.groupBy(group_col).agg(
         F.count(F.lit(1)).alias("n_right"),
-        F.min(F.struct(F.col("_len").alias("l"), F.col(idx_col).alias("i"))).alias("s"),
-        F.max(F.struct(F.col("_len").alias("l"), (-F.col(idx_col)).alias("ni"))).alias("g"),
+        F.min(F.struct(F.col("_len").alias("l"), F.col(idx_col).alias("i"))).alias("_short"),
+        F.max(F.struct(F.col("_len").alias("l"), (-F.col(idx_col)).alias("ni"))).alias("_long"),
     )
-    g = g.where((F.col("n_right") >= 2) & (F.col("s.l") != F.col("g.l")))
+    g = g.where((F.col("n_right") >= 2) & (F.col("_short.l") != F.col("_long.l")))
     return g.select(
-        group_col, F.col("s.i").alias("chosen_idx"), (-F.col("g.ni")).alias("rejected_idx"),
-        F.col("s.l").alias("chosen_len"), F.col("g.l").alias("rejected_len"),
+        group_col, F.col("_short.i").alias("chosen_idx"), (-F.col("_long.ni")).alias("rejected_idx"),
+        F.col("_short.l").alias("chosen_len"), F.col("_long.l").alias("rejected_len"),
     )
 
 
@@ -166,13 +166,13 @@ def pairs_best_worst(scored: DataFrame, group_col: str, idx_col: str, reward_col
     """best = chosen, worst = rejected (ties: lowest index); skip equal rewards."""
     r, i = F.col(reward_col), F.col(idx_col)
     g = scored.groupBy(group_col).agg(
-        F.max(F.struct(r.alias("r"), (-i).alias("ni"))).alias("b"),
-        F.min(F.struct(r.alias("r"), i.alias("i"))).alias("w"),
+        F.max(F.struct(r.alias("r"), (-i).alias("ni"))).alias("_best"),
+        F.min(F.struct(r.alias("r"), i.alias("i"))).alias("_worst"),
     )
-    g = g.where(F.col("b.r") != F.col("w.r"))
+    g = g.where(F.col("_best.r") != F.col("_worst.r"))
     return g.select(
-        group_col, (-F.col("b.ni")).alias("chosen_idx"), F.col("w.i").alias("rejected_idx"),
-        F.col("b.r").alias("chosen_reward"), F.col("w.r").alias("rejected_reward"),
+        group_col, (-F.col("_best.ni")).alias("chosen_idx"), F.col("_worst.i").alias("rejected_idx"),
+        F.col("_best.r").alias("chosen_reward"), F.col("_worst.r").alias("rejected_reward"),
     )
 
 
