@@ -23,23 +23,28 @@ def grams(text: Column, n: int) -> Column:
 
 def rouge_n(pairs: DataFrame, key_cols: list[str], reference: str, candidate: str, ns: Sequence[int] = (1, 2)) -> DataFrame:
     """Clipped n-gram matches, precision (over the candidate), recall (over the
-    reference) and F1 per pair and n; 0 where a side has no n-grams."""
-    def counts(c: str, name: str) -> DataFrame:
-        parts = [
-            pairs.select(*key_cols, F.lit(n).alias("n"), F.explode(grams(F.col(c), n)).alias("g")) for n in ns
-        ]
-        df = parts[0]
-        for p in parts[1:]:
-            df = df.unionByName(p)
-        return df.groupBy(*key_cols, "n", "g").agg(F.count(F.lit(1)).alias(name))
-
-    ref, cand = counts(reference, "c_ref"), counts(candidate, "c_cand")
+    reference) and F1 per pair and n; 0 where a side has no n-grams.
+
+    One explode of both texts with a side tag, one aggregation to counts per
+    (pair, n, gram) on both sides, and one to the sums per (pair, n).
+    """
+    def tag(n: int, ref: int):
+        # one-argument lambda: a second parameter would receive the element index
+        return lambda g: F.struct(F.lit(n).alias("n"), g.alias("g"), F.lit(ref).alias("r"), F.lit(1 - ref).alias("c"))
+
+    def tagged(c: str, ref: int) -> Column:
+        return F.concat(*[F.transform(grams(F.col(c), n), tag(n, ref)) for n in ns])
+
+    ex = pairs.select(*key_cols, F.explode(F.concat(tagged(reference, 1), tagged(candidate, 0))).alias("e"))
     keys = [*key_cols, "n"]
-    match = ref.join(cand, [*keys, "g"]).groupBy(*keys).agg(F.sum(F.least("c_ref", "c_cand")).alias("match"))
-    tot_r = ref.groupBy(*keys).agg(F.sum("c_ref").alias("tot_ref"))
-    tot_c = cand.groupBy(*keys).agg(F.sum("c_cand").alias("tot_cand"))
+    per_gram = ex.groupBy(*key_cols, F.col("e.n").alias("n"), F.col("e.g").alias("g")).agg(
+        F.sum("e.r").alias("c_ref"), F.sum("e.c").alias("c_cand")
+    )
+    sums = per_gram.groupBy(*keys).agg(
+        F.sum(F.least("c_ref", "c_cand")).alias("match"), F.sum("c_ref").alias("tot_ref"), F.sum("c_cand").alias("tot_cand")
+    )
     base = pairs.select(*key_cols).withColumn("n", F.explode(F.array(*[F.lit(n) for n in ns])))
-    j = base.join(match, keys, "left").join(tot_r, keys, "left").join(tot_c, keys, "left")
+    j = base.join(sums, keys, "left")
     m = F.coalesce("match", F.lit(0))
     prec = F.when(F.coalesce("tot_cand", F.lit(0)) > 0, m / F.col("tot_cand")).otherwise(F.lit(0.0))
     rec = F.when(F.coalesce("tot_ref", F.lit(0)) > 0, m / F.col("tot_ref")).otherwise(F.lit(0.0))

@@ -184,25 +184,30 @@ def ucb_score(joined: DataFrame, c: float = UCB_C, digits: int = 10) -> DataFram
 def text_cosine(pairs: DataFrame, key_cols: list[str], a: str | Column, b: str | Column) -> DataFrame:
     """Cosine of white-space token-count vectors of two texts (0 if one is empty).
 
-    Token counts per (pair, token) on each side, a join on (pair, token) for the
-    dot product, and norms from a second aggregation. Integer sums, so the
-    result does not depend on the row order.
+    Both texts are exploded once with a side tag; one aggregation gives the two
+    counts per (pair, token), a second gives the dot product and both squared
+    norms per pair. Integer sums, so the result does not depend on row order,
+    and no join on tokens is needed.
     """
-    def counts(c: str | Column, name: str) -> DataFrame:
-        return (
-            pairs.select(*key_cols, F.explode(T.tokens(T.col(c))).alias("tok"))
-            .groupBy(*key_cols, "tok")
-            .agg(F.count(F.lit(1)).alias(name))
-        )
-
-    ca, cb = counts(a, "c1"), counts(b, "c2")
-    dot = ca.join(cb, [*key_cols, "tok"]).groupBy(*key_cols).agg(F.sum(F.col("c1") * F.col("c2")).alias("dot"))
-    n1 = ca.groupBy(*key_cols).agg(F.sum(F.col("c1") * F.col("c1")).alias("n1"))
-    n2 = cb.groupBy(*key_cols).agg(F.sum(F.col("c2") * F.col("c2")).alias("n2"))
-    out = pairs.select(*key_cols).join(n1, key_cols, "left").join(n2, key_cols, "left").join(dot, key_cols, "left")
+    sides = pairs.select(
+        *key_cols,
+        F.explode(
+            F.concat(
+                F.transform(T.tokens(T.col(a)), lambda t: F.struct(t.alias("tok"), F.lit(1).alias("sa"), F.lit(0).alias("sb"))),
+                F.transform(T.tokens(T.col(b)), lambda t: F.struct(t.alias("tok"), F.lit(0).alias("sa"), F.lit(1).alias("sb"))),
+            )
+        ).alias("e"),
+    )
+    per_tok = sides.groupBy(*key_cols, F.col("e.tok").alias("tok")).agg(F.sum("e.sa").alias("c1"), F.sum("e.sb").alias("c2"))
+    per_pair = per_tok.groupBy(*key_cols).agg(
+        F.sum(F.col("c1") * F.col("c2")).alias("dot"),
+        F.sum(F.col("c1") * F.col("c1")).alias("n1"),
+        F.sum(F.col("c2") * F.col("c2")).alias("n2"),
+    )
+    out = pairs.select(*key_cols).join(per_pair, key_cols, "left")
     cos = F.when(
-        F.col("n1").isNull() | F.col("n2").isNull(), F.lit(0.0)
-    ).otherwise(F.coalesce(F.col("dot"), F.lit(0)) / (F.sqrt(F.col("n1")) * F.sqrt(F.col("n2"))))
+        F.coalesce(F.col("n1"), F.lit(0)) * F.coalesce(F.col("n2"), F.lit(0)) == 0, F.lit(0.0)
+    ).otherwise(F.col("dot") / (F.sqrt(F.col("n1")) * F.sqrt(F.col("n2"))))
     return out.select(*key_cols, cos.alias("cosine"))
 
 
