@@ -45,8 +45,17 @@ def last_number(c: str | Column, pattern: str) -> Column:
     return F.try_element_at(F.regexp_extract_all(col(c), F.lit(pattern), F.lit(1)), F.lit(-1)).try_cast("double")
 
 
-def gold_first(c: str | Column) -> Column:
-    return first_number(c, GOLD_MARKER_PATTERN)
+# Option of ours (note Q4): numbers with thousands separators after the marker.
+GOLD_MARKER_THOUSANDS_PATTERN = r"####\s*(-?\d{1,3}(?:,\d{3})+(?:\.\d+)?|-?\d+(?:\.\d+)?)"
+
+
+def gold_first(c: str | Column, thousands: bool = False) -> Column:
+    """Number after the first ``####``; ``thousands=True`` reads ``1,234`` as 1234
+    (the reference's pattern stops at the comma and reads 1.0)."""
+    if not thousands:
+        return first_number(c, GOLD_MARKER_PATTERN)
+    raw = F.nullif(F.regexp_extract(col(c), GOLD_MARKER_THOUSANDS_PATTERN, 1), F.lit(""))
+    return F.replace(raw, F.lit(","), F.lit("")).try_cast("double")
 
 
 def gold_last(c: str | Column) -> Column:
@@ -106,6 +115,16 @@ def replace_first(text: Column, old: Column, new: Column) -> Column:
     return F.when(pos > 0, F.concat(head, new, tail)).otherwise(text)
 
 
+def scored_text(prompt: str | Column, response: str | Column, style: str = "space") -> Column:
+    """Text a perplexity is computed on: ``prompt + " " + response`` (style
+    "space") or ``Question: {p}\nAnswer: {r}`` (style "qa")."""
+    if style == "space":
+        return F.concat(col(prompt), F.lit(" "), col(response))
+    if style == "qa":
+        return F.concat(F.lit("Question: "), col(prompt), F.lit("\nAnswer: "), col(response))
+    raise ValueError(style)
+
+
 def seeded_hash_int(*parts: Column, seed: int = SEED) -> Column:
     """Non-negative integer from the first 8 hex digits of md5(seed:part:...)."""
     key = F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in parts])

@@ -62,12 +62,14 @@ def reject_offset(id_col: Column) -> Column:
     return F.pmod(T.seeded_hash_int(id_col), F.lit(span)) + F.lit(REJECT_OFFSET_LOW)
 
 
-def build_samples(qa: DataFrame, id_col: str = "qa_id") -> DataFrame:
+def build_samples(qa: DataFrame, id_col: str = "qa_id", mode: str = "first") -> DataFrame:
     """P6 + P7: prompt, chosen, rejected, correct_answer from raw QA rows.
 
-    Rows without a gold marker are dropped. ``rejected`` replaces the first
-    occurrence of the gold number's text (``str(float)``) by the text of a
-    wrong number; ``unchanged`` flags rows where that text does not occur.
+    Rows without a gold marker are dropped. ``mode="first"`` (the reference)
+    replaces the first occurrence of the gold number's text (``str(float)``)
+    by the text of a wrong number; ``unchanged`` flags rows where that text
+    does not occur (note Q1). ``mode="final"`` rewrites the number after the
+    last ``####`` marker instead, so the final answer is always corrupted.
     """
     q, a = T.strip_ws("question"), T.strip_ws("answer")
     df = qa.select(F.col(id_col), q.alias("prompt"), a.alias("_ans"))
@@ -76,7 +78,14 @@ def build_samples(qa: DataFrame, id_col: str = "qa_id") -> DataFrame:
     wrong = gold + reject_offset(F.col(id_col))
     wrong = F.when(wrong == gold, gold + F.lit(float(REJECT_SAME_SHIFT))).otherwise(wrong)
     df = df.withColumn("wrong_answer", wrong)
-    rejected_ans = T.replace_first(F.col("_ans"), T.float_text(gold), T.float_text(F.col("wrong_answer")))
+    if mode == "first":
+        rejected_ans = T.replace_first(F.col("_ans"), T.float_text(gold), T.float_text(F.col("wrong_answer")))
+    elif mode == "final":
+        rejected_ans = F.regexp_replace(
+            F.col("_ans"), r"(?s)(####\s*)-?\d+(?:\.\d+)?(?!.*####)", F.concat(F.lit("$1"), T.float_text(F.col("wrong_answer")))
+        )
+    else:
+        raise ValueError(mode)
     df = df.withColumn("chosen", template(T.CHOSEN_TEMPLATE_PREFIX + "{q}\n{a}", q=F.col("prompt"), a=F.col("_ans")))
     df = df.withColumn("rejected", template(T.CHOSEN_TEMPLATE_PREFIX + "{q}\n{a}", q=F.col("prompt"), a=rejected_ans))
     df = df.withColumn("chosen_variant", template(T.CHOSEN_VARIANT_PREFIX + "{a}", a=F.col("_ans")))

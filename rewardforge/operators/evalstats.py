@@ -106,13 +106,19 @@ def eval_accuracy(
 EVAL_EVERY_FULL = 200
 
 
-def eval_gate(log: DataFrame, eval_every: int = EVAL_EVERY, run_cols: Sequence[str] = ("reward_type",)) -> DataFrame:
+def eval_gate(
+    log: DataFrame, eval_every: int = EVAL_EVERY, run_cols: Sequence[str] = ("reward_type",), modulo_only: bool = False
+) -> DataFrame:
     """A record is evaluated if step % eval_every == 0 or step >= the run's last step;
     otherwise accuracy is 0.0 and perplexity null.
 
+    ``modulo_only=True`` is the other script's rule: only step % eval_every == 0
+    counts, and the other records are dropped.
     The last step per run is one aggregate joined back (runs are few; AQE
     broadcasts it after measuring), not a window over the whole run.
     """
+    if modulo_only:
+        return log.where(F.col("step") % eval_every == 0).withColumn("evaluated", F.lit(True))
     last = log.groupBy(*run_cols).agg(F.max("step").alias("_max_step"))
     j = log.join(last, list(run_cols))
     ev = (F.col("step") % eval_every == 0) | (F.col("step") >= F.col("_max_step"))

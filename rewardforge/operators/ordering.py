@@ -13,7 +13,8 @@ group across range partitions instead:
   per block comes from a prefix over the block totals.
 
 The order columns must form a unique key inside each group, so that a retried
-task reproduces the same positions.
+task reproduces the same positions. Project to the columns you need first:
+the range-partitioned rows are checkpointed as they are.
 """
 
 from __future__ import annotations

@@ -223,3 +223,13 @@ def preference_loss_audit(seq: DataFrame, pair_col: str, beta: float = DPO_BETA,
         F.round(softplus_neg(F.lit(beta) * margin), digits).alias("dpo_loss"),
         F.round(softplus_neg(lo), digits).alias("or_loss"),
     )
+
+
+def preference_loss_summary(audit: DataFrame) -> DataFrame:
+    """D7 summary: pairs, mean DPO loss, mean odds-ratio loss, share of pairs with margin > 0."""
+    return audit.agg(
+        F.count(F.lit(1)).alias("n_pairs"),
+        (F.sum(F.col("dpo_loss").cast("decimal(38,12)")).cast("double") / F.count(F.lit(1))).alias("mean_dpo_loss"),
+        (F.sum(F.col("or_loss").cast("decimal(38,12)")).cast("double") / F.count(F.lit(1))).alias("mean_or_loss"),
+        (F.sum((F.col("margin") > 0).cast("int")) / F.count(F.lit(1))).alias("share_positive_margin"),
+    )

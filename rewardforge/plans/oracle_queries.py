@@ -47,7 +47,7 @@ group by model, strategy""", [SCORED]))
 
 
 # ---------------- shared CTEs ----------------
-from .oracle import exact_avg, hard, md5_int, toks, words  # noqa: E402
+from .oracle import exact_avg, exact_sum, hard, md5_int, toks, words  # noqa: E402
 
 SAMPLES = (
     "samples",
@@ -568,3 +568,7 @@ from scored""", [SCORED]))
 sql("batched_map", with_fixtures(["qa"], f"""select qa_id,
   '<bos><start_of_turn>user' || chr(10) || {strip('question')} || '<end_of_turn>' || chr(10) || '<start_of_turn>model' || chr(10) || {strip('answer')} || '<end_of_turn><eos>' as text
 from qa"""))
+
+sql("preference_loss_summary", f"""select count(*) as n_pairs, {exact_sum('dpo_loss')} / count(*) as mean_dpo_loss,
+  {exact_sum('or_loss')} / count(*) as mean_or_loss, sum(case when margin > 0 then 1 else 0 end) / count(*) as share_positive_margin
+from ({ORACLE['preference_loss_audit']}) a""")

@@ -175,7 +175,7 @@ def q_preference_export(spark, sf):
 
 @query("batch_assign")
 def q_batch_assign(spark, sf):
-    prompts = P.rl_prompts(_samples(spark, sf))
+    prompts = P.rl_prompts(_samples(spark, sf)).select("qa_id")
     return S.batch_assign(prompts, F.col("qa_id"), epochs=3, batch_size=4).select("epoch", "qa_id", "idx", "batch_id")
 
 
@@ -229,8 +229,8 @@ def q_completion_filter(spark, sf):
 @query("pad_batches")
 def q_pad_batches(spark, sf):
     samples = _samples(spark, sf)
-    b = S.batch_assign(P.rl_prompts(samples), F.col("qa_id"), epochs=1, batch_size=4)
-    b = b.join(samples.select("qa_id", "chosen"), "qa_id")
+    b = S.batch_assign(samples.select("qa_id"), F.col("qa_id"), epochs=1, batch_size=4)
+    b = b.join(P.rl_prompts(samples).join(samples.select("qa_id", "chosen"), "qa_id"), "qa_id")
     b = b.withColumn("q_tok", T.tokens("query")).withColumn("r_tok", T.tokens("chosen"))
     p = P.pad_batches(b, ["epoch", "batch_id"], ["q_tok", "r_tok"], "<pad>")
     return p.select(
@@ -376,6 +376,11 @@ def q_preference_loss_audit(spark, sf):
     return D.preference_loss_audit(_seq_logprobs(spark, sf), "pair_id")
 
 
+@query("preference_loss_summary")
+def q_preference_loss_summary(spark, sf):
+    return D.preference_loss_summary(D.preference_loss_audit(_seq_logprobs(spark, sf), "pair_id"))
+
+
 # ---------------- 2.5 / 2.7 metric logs ----------------
 def _gated(spark, sf):
     return E.eval_gate(FX.metric_log(spark, sf), E.EVAL_EVERY_FULL)
@@ -409,7 +414,7 @@ def q_winner_three(spark, sf):
 
 @query("batch_mean_reward")
 def q_batch_mean_reward(spark, sf):
-    sc = _scored(spark, sf)
+    sc = _scored(spark, sf).select("qa_id", "sample_idx", "hard_marker")
     b = S.batch_assign(sc, F.concat_ws(":", "qa_id", "sample_idx"), epochs=3, batch_size=4)
     return E.batch_mean_reward(b, "hard_marker")
 

@@ -112,3 +112,18 @@ def test_pad_batches(spark):
     out = {r.id: r for r in P.pad_batches(df, ["batch_id"], ["t"], "<pad>").collect()}
     assert out[1].t_padded == ["a", "<pad>", "<pad>"] and out[1].t_pad == 2
     assert out[2].t_padded == ["a", "b", "c"] and out[3].t_padded == ["x"]
+
+
+def test_options_final_mode_and_thousands(spark):
+    qa = spark.createDataFrame([(1, "Q?", "37 then 37\n#### 37")], "qa_id long, question string, answer string")
+    r = P.build_samples(qa, mode="final").first()
+    assert not r.unchanged
+    assert r.rejected.endswith("#### " + str(r.wrong_answer)) and "37 then 37" in r.rejected
+    assert one(spark, lambda c: T.gold_first(c, thousands=True), "#### 1,234") == 1234.0
+    assert one(spark, lambda c: T.gold_first(c, thousands=True), "#### 12.5") == 12.5
+
+
+def test_scored_text_styles(spark):
+    df = spark.createDataFrame([("p", "r")], "p string, r string")
+    row = df.select(T.scored_text("p", "r").alias("a"), T.scored_text("p", "r", "qa").alias("b")).first()
+    assert row.a == "p r" and row.b == "Question: p\nAnswer: r"

@@ -62,3 +62,8 @@ def test_eval_accuracy_first_n(spark):
     acc = {r.strategy: r for r in E.eval_accuracy(df, eval_size=4).collect()}
     assert acc["marker"].n_eval == 4 and acc["marker"].accuracy == 0.5
     assert acc["cascade"].accuracy == 0.0
+
+
+def test_eval_gate_modulo_only(spark):
+    log = spark.createDataFrame([("h", 100, 0.5, 2.0), ("h", 200, 0.6, 2.1), ("h", 250, 0.7, 2.2)], "reward_type string, step long, accuracy double, perplexity double")
+    assert sorted(r.step for r in E.eval_gate(log, 100, modulo_only=True).collect()) == [100, 200]
