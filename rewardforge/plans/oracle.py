@@ -107,7 +107,7 @@ def right(pred: str, gold: str) -> str:
 
 
 def hard(pred: str, gold: str) -> str:
-    return f"(case when {right(pred, gold)} then 1.0 else 0.0 end)"
+    return f"(case when {right(pred, gold)} then 1.0::double else 0.0::double end)"
 
 
 def words(x: str) -> str:
@@ -143,7 +143,7 @@ SCORED_H = (
     "scored_h",
     f"""select *, {hard('pred_marker', 'correct_answer')} as hard_marker,
   {hard('pred_cascade', 'correct_answer')} as hard_cascade,
-  (case when coalesce(pred_marker = correct_answer, false) then 1.0 else 0.0 end) as hard_exact
+  (case when coalesce(pred_marker = correct_answer, false) then 1.0::double else 0.0::double end) as hard_exact
 from scored""",
 )
 

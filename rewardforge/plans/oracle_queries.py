@@ -38,7 +38,7 @@ sql("response_gold_join", with_fixtures(["response"], "select qa_id, sample_idx,
 
 # ---------------- 2.5 ----------------
 sql("eval_accuracy", with_fixtures(["response"], f"""select model, strategy, count(*) as n_eval,
-  sum(case when {right('pred', 'correct_answer')} then 1 else 0 end) as n_right,
+  cast(sum(case when {right('pred', 'correct_answer')} then 1 else 0 end) as bigint) as n_right,
   sum(case when {right('pred', 'correct_answer')} then 1 else 0 end) / greatest(1, count(*)) as accuracy
 from (select model, 'marker' as strategy, pred_marker as pred, correct_answer from scored where split = 'test'
       union all
@@ -258,7 +258,7 @@ from (select s.*, c.reward as cr, r.reward as rr from samples s
     [SAMPLES, SIDE_TEXTS] + CUR + SIDE_PPL + [("sr", f"""select t.qa_id, t.side,
   {reward_log_sql('p.ppl', 't.text', right(marker('t.text'), 't.correct_answer'))} as reward
 from sides t join sppl p on t.qa_id = p.qa_id and t.side = p.side""")]))
-sql("pairs_fixed", with_fixtures(["qa"], "select qa_id, prompt, chosen, rejected, 1.0 as chosen_reward, 0.0 as rejected_reward from samples", [SAMPLES]))
+sql("pairs_fixed", with_fixtures(["qa"], "select qa_id, prompt, chosen, rejected, 1.0::double as chosen_reward, 0.0::double as rejected_reward from samples", [SAMPLES]))
 sql("pairs_fixed_ppl", with_fixtures(["qa"], """select s.qa_id, s.prompt, s.chosen, s.rejected, c.reward as chosen_reward, r.reward as rejected_reward
 from samples s join sr c on c.qa_id = s.qa_id and c.side = 'c' join sr r on r.qa_id = s.qa_id and r.side = 'r'""",
     [SAMPLES, SIDE_TEXTS] + CUR + BASE + SIDE_PPL + SIDE_PPL_BASE + [("sr", f"""select t.qa_id, t.side,
@@ -521,7 +521,7 @@ union all
 select a.conv_id, a.turn, 2, a.tok || ' ' || b.tok from {side}_tok a join {side}_tok b on a.conv_id = b.conv_id and a.turn = b.turn and b.pos = a.pos + 1"""
 
 
-sql("rouge_overlap", with_fixtures(["chat_pair"], """select b.conv_id, b.turn, b.n, coalesce(m.match, 0) as match,
+sql("rouge_overlap", with_fixtures(["chat_pair"], """select b.conv_id, b.turn, b.n, cast(coalesce(m.match, 0) as bigint) as match,
   case when coalesce(c.tot, 0) > 0 then coalesce(m.match, 0) / c.tot else 0.0 end as precision,
   case when coalesce(r.tot, 0) > 0 then coalesce(m.match, 0) / r.tot else 0.0 end as recall,
   case when (case when coalesce(c.tot, 0) > 0 then coalesce(m.match, 0) / c.tot else 0.0 end)
@@ -563,7 +563,7 @@ sql("evaluator_registry", with_fixtures(["response"], f"""select qa_id, sample_i
   case model when 'model_0' then {hard('pred_marker', 'correct_answer')}
              when 'model_1' then {hard('pred_cascade', 'correct_answer')}
              else (case when len(list_filter(regexp_extract_all(response, '{NUMBER_PATTERN}', 1),
-                                             lambda x: abs(cast(x as double) - correct_answer) < 1e-4)) > 0 then 1.0 else 0.0 end) end as reward
+                                             lambda x: abs(cast(x as double) - correct_answer) < 1e-4)) > 0 then 1.0::double else 0.0::double end) end as reward
 from scored""", [SCORED]))
 sql("batched_map", with_fixtures(["qa"], f"""select qa_id,
   '<bos><start_of_turn>user' || chr(10) || {strip('question')} || '<end_of_turn>' || chr(10) || '<start_of_turn>model' || chr(10) || {strip('answer')} || '<end_of_turn><eos>' as text
