@@ -75,6 +75,9 @@ def names() -> list[str]:
 
 def evaluate(df: DataFrame, name_col: str, prompt: str, response: str, gold: str, out: str = "reward") -> DataFrame:
     """Score each row with the evaluator named in ``name_col`` (one CASE over names)."""
+    from ..session import ship_package
+
+    ship_package(df.sparkSession)
     expr = None
     for n, fn in _REGISTRY.items():
         branch = fn(F.col(prompt), F.col(response), F.col(gold))
@@ -86,6 +89,10 @@ def batched_map(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schem
     """a batch function over columns (``mapInPandas``); input columns not in the
     output schema are dropped, like ``map(batched=True, remove_columns=...)``."""
 
+    from ..session import ship_package
+
+    ship_package(df.sparkSession)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield fn(b)
