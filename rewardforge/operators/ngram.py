@@ -58,7 +58,7 @@ def score_perplexities(
     id_cols: Sequence[str],
     text: Column,
     k: float = 1.0,
-    max_length: int = MAX_LENGTH,
+    max_length: int | None = MAX_LENGTH,
     digits: int = 6,
 ) -> DataFrame:
     """A3 (+A1 rule) for several models in one pass: exp(-mean logp) over predicted
@@ -69,7 +69,8 @@ def score_perplexities(
     and ``ppl_<name>`` per model, rounded to ``digits`` (sums of logarithms
     differ in the last bits between engines and row orders).
     """
-    tk = df.select(*id_cols, F.slice(T.tokens(text), 1, max_length).alias("_tok"))
+    toks = T.tokens(text) if max_length is None else F.slice(T.tokens(text), 1, max_length)
+    tk = df.select(*id_cols, toks.alias("_tok"))
     j = tk.select(*id_cols, F.explode_outer(token_bigrams(F.col("_tok"))).alias("b")).select(
         *id_cols, F.col("b.prev").alias("prev"), F.col("b.tok").alias("tok")
     )
@@ -89,7 +90,7 @@ def score_perplexity(
     id_cols: Sequence[str],
     text: Column,
     k: float = 1.0,
-    max_length: int = MAX_LENGTH,
+    max_length: int | None = MAX_LENGTH,
     digits: int = 6,
 ) -> DataFrame:
     """A3 for one model: id columns, ``n_pred``, ``ppl``."""
