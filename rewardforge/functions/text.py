@@ -88,8 +88,8 @@ def hard_reward(pred: Column, gold: Column, exact: bool = False) -> Column:
 
 
 def word_count(c: str | Column) -> Column:
-    """``len(text.split())``: non-empty white-space separated parts."""
-    return F.size(F.filter(F.split(col(c), r"\s+"), lambda t: t != F.lit("")))
+    """``len(text.split())``: non-empty white-space separated parts (0 for a null text)."""
+    return F.coalesce(F.size(F.filter(F.split(col(c), r"\s+"), lambda t: t != F.lit(""))), F.lit(0))
 
 
 def tokens(c: str | Column) -> Column:

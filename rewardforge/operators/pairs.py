@@ -106,9 +106,9 @@ def pairs_fixed(samples: DataFrame, scorer: Callable[[DataFrame], DataFrame] | N
 def flatten_pairs(nested: DataFrame, id_col: str = "qa_id") -> DataFrame:
     return nested.select(
         id_col,
-        F.col("prompt")[0]["content"].alias("prompt"),
-        F.col("chosen")[0]["content"].alias("chosen"),
-        F.col("rejected")[0]["content"].alias("rejected"),
+        F.try_element_at("prompt", F.lit(1))["content"].alias("prompt"),
+        F.try_element_at("chosen", F.lit(1))["content"].alias("chosen"),
+        F.try_element_at("rejected", F.lit(1))["content"].alias("rejected"),
         "chosen_reward",
         "rejected_reward",
     )

@@ -111,7 +111,7 @@ def hard(pred: str, gold: str) -> str:
 
 
 def words(x: str) -> str:
-    return rf"len(list_filter(regexp_split_to_array({x}, '\s+'), lambda t: t <> ''))"
+    return rf"coalesce(len(list_filter(regexp_split_to_array({x}, '\s+'), lambda t: t <> '')), 0)"
 
 
 def toks(x: str) -> str:

@@ -195,7 +195,7 @@ def q_chat_messages(spark, sf):
     m = P.chat_messages(_samples(spark, sf))
     return m.select(
         "qa_id",
-        *[F.col(f"{s}_messages")[0][f].alias(f"{s}_{f}") for s in ("prompt", "chosen", "rejected") for f in ("role", "content")],
+        *[F.try_element_at(f"{s}_messages", F.lit(1))[f].alias(f"{s}_{f}") for s in ("prompt", "chosen", "rejected") for f in ("role", "content")],
     )
 
 

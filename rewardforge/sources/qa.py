@@ -35,8 +35,9 @@ def qa_sample(qa: DataFrame, n: int | None, split: str | None = "train", id_col:
 
 def preference_scan(raw: DataFrame) -> DataFrame:
     """Keep rows with both sides; a side is a message list (first content) or a string."""
-    chosen = F.coalesce(F.col("chosen_messages")[0]["content"], F.col("chosen_text"))
-    rejected = F.coalesce(F.col("rejected_messages")[0]["content"], F.col("rejected_text"))
+    # try_element_at: an empty message list gives null instead of an ANSI index error
+    chosen = F.coalesce(F.try_element_at("chosen_messages", F.lit(1))["content"], F.col("chosen_text"))
+    rejected = F.coalesce(F.try_element_at("rejected_messages", F.lit(1))["content"], F.col("rejected_text"))
     keep = (F.col("chosen_messages").isNotNull() | F.col("chosen_text").isNotNull()) & (
         F.col("rejected_messages").isNotNull() | F.col("rejected_text").isNotNull()
     )
