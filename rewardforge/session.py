@@ -98,14 +98,19 @@ _SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make ``rewardforge`` importable in executor Python workers (pandas UDFs,
-    mapInPandas) by shipping it with ``addPyFile``, as ``--py-files`` would.
-    Once per Spark application."""
+    """Make ``rewardforge`` importable in local Python workers (pandas UDFs,
+    mapInPandas) with ``addPyFile``, once per application.
+
+    Local mode only: a worker started from another working directory does not
+    see the driver's ``sys.path``. On a cluster, submit the package with
+    ``--py-files`` (or install it on the executors); nothing is written to a
+    machine-local folder there.
+    """
     import os
     import zipfile
 
     sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED:
+    if sc.applicationId in _SHIPPED or not sc.master.startswith("local"):
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg)
