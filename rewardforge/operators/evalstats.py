@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import cut_lineage
 from .ordering import blocked_prefix
 
 # --- Fixed values that must equal the reference's ---
@@ -212,6 +213,7 @@ def hist_density(values: DataFrame, group_cols: Sequence[str], value_col: str, b
     """Equal-width bins from min to max (last bin closed; min = max -> +-0.5),
     density = count / (n * width), empty bins included."""
     g = list(group_cols)
+    values = cut_lineage(values.select(*g, value_col))  # read three times below
     st = values.groupBy(*g).agg(F.min(value_col).alias("_mn"), F.max(value_col).alias("_mx"), F.count(value_col).alias("n"))
     same = F.col("_mn") == F.col("_mx")
     st = st.select(

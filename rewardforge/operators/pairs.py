@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import cut_lineage
 from .ordering import ordered_index
 
 # --- Fixed values that must equal the reference's ---
@@ -157,7 +158,8 @@ def group_advantage(scored: DataFrame, group_col: str, reward_col: str) -> DataF
 def reward_gap(pairs: DataFrame) -> DataFrame:
     """gap = chosen - rejected reward; weight = gap / mean gap (one scalar aggregate)."""
     gap = F.col("chosen_reward") - F.col("rejected_reward")
-    p = pairs.withColumn("gap", gap)
+    # the mean and the rows both read the pairs: materialize them once
+    p = cut_lineage(pairs.withColumn("gap", gap))
     mean_gap = p.select(F.sum(F.col("gap").cast("decimal(38,12)")).cast("double") / F.count("gap")).scalar()
     return p.withColumn("weight", F.when(mean_gap != 0, F.col("gap") / mean_gap))
 
@@ -187,6 +189,7 @@ def difficulty_balance(scored: DataFrame, group_col: str, right_col: str, seed_k
     lo, hi = DIFFICULTY_CUTS
     bucket = F.when(F.col("difficulty") < lo, "hard").when(F.col("difficulty") < hi, "moderate").otherwise("easy")
     d = d.withColumn("bucket", bucket).withColumn("_h", seed_key if seed_key is not None else T.seeded_hash_key(F.col(group_col)))
+    d = cut_lineage(d)  # one row per prompt, read three times below
     counts = d.groupBy("bucket").count()
     keep = counts.agg(F.min("count")).scalar()
     n_buckets = counts.agg(F.count(F.lit(1))).scalar()

@@ -383,7 +383,9 @@ def q_preference_loss_summary(spark, sf):
 
 # ---------------- 2.5 / 2.7 metric logs ----------------
 def _gated(spark, sf):
-    return E.eval_gate(FX.metric_log(spark, sf), E.EVAL_EVERY_FULL)
+    from ..session import cut_lineage
+
+    return cut_lineage(E.eval_gate(FX.metric_log(spark, sf), E.EVAL_EVERY_FULL))
 
 
 @query("eval_gate")
@@ -471,7 +473,10 @@ def _tree(spark, sf):
 
 
 def _stats(spark, sf, nodes, paths):
-    return TR.backup_rewards(nodes, paths, FX.rollout(spark, sf))
+    from ..session import cut_lineage
+
+    # one row per node, read by the parent join on both sides
+    return cut_lineage(TR.backup_rewards(nodes, paths, FX.rollout(spark, sf)))
 
 
 def _ucb(spark, sf, nodes, paths):
@@ -571,7 +576,9 @@ def q_path_reward(spark, sf):
     nodes, paths = _tree(spark, sf)
     info = TR.node_info(paths)
     model = NG.fit_bigram(info, "context")
-    ppl = NG.score_perplexity(model, info, ["node_id"], F.col("context"))
+    from ..session import cut_lineage
+
+    ppl = cut_lineage(NG.score_perplexity(model, info, ["node_id"], F.col("context")))
     root_ppl = ppl.join(info.where(F.col("depth") == 0).select("node_id"), "node_id").agg(F.min("ppl")).scalar()
     pr = ppl.select("node_id", R.reward_vs_gold(root_ppl, F.col("ppl")).alias("ppl_reward"))
     judged = FX.node_judge(spark, sf).where(F.col("output") == "1").join(info, "node_id")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ordering import ordered_index
+from ..session import cut_lineage
 from .tables import read_table
 
 
@@ -74,12 +75,13 @@ def token_logprob(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logged per-token log-probabilities: sample_id, pos (1-based), logp_train, logp_base."""
     ev = read_table(spark, sf_dir, "events", "event_id", "ts", "user_id")
     ev = ordered_index(ev, ["ts", "event_id"], ["user_id"], "idx")
-    return ev.select(
+    # read by several consumers in one query: materialize once
+    return cut_lineage(ev.select(
         F.col("user_id").alias("sample_id"),
         (F.col("idx") + 1).alias("pos"),
         (-(1 + (F.col("event_id") * 7919 % 128) / 32.0)).cast("double").alias("logp_train"),
         (-(1 + (F.col("event_id") * 104729 % 128) / 32.0)).cast("double").alias("logp_base"),
-    )
+    ))
 
 
 def metric_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,14 +92,14 @@ def metric_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = ordered_index(ev, ["ts", "event_id"], ["reward_type"], "idx")
     counts = ev.groupBy("reward_type").agg(F.count(F.lit(1)).alias("mx"))
     b = ev.join(counts, "reward_type").withColumn("step", F.col("idx") + 1)
-    return b.select(
+    return cut_lineage(b.select(
         "reward_type",
         (F.col("step") * 100).alias("step"),
         F.when(F.col("step") == F.col("mx"), F.col("value") / 100.0).otherwise(F.lit(0.0)).cast("double").alias("loss"),
         ((F.col("event_id") * 7919 % 21) / 20.0).cast("double").alias("accuracy"),
         F.when(F.col("event_id") % 10 == 0, F.lit(None)).otherwise(F.lit(2.0) + F.col("value") / 1000.0).cast("double").alias("perplexity"),
         "ts",
-    )
+    ))
 
 
 def chat_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
