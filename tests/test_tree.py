@@ -78,3 +78,29 @@ def test_best_path_walk(tree):
         walk.append(cur)
     got = [r.node_id for r in sorted(TR.best_path(nodes, paths, TR.backup_rewards(nodes, paths, roll)).collect(), key=lambda r: r.depth)]
     assert got == walk
+
+
+def test_teacher_weights_match_sequential_filter(spark, sf, tree):
+    nodes, roll, _paths, _parent, _bits, rolls = tree
+    model_of = {r.node_id: r.model for r in nodes.collect()}
+    teachers = sorted(set(model_of.values()))
+    n = len(teachers)
+    a, eps = TR.TEACHER_ALPHA, TR.TEACHER_EPSILON
+    score = {t: 1.0 / n for t in teachers}
+    uses = defaultdict(int)
+    for _it, leaf, reward in rolls:  # rollout order
+        t = model_of[leaf]
+        score[t] = (1 - a) * score[t] + a * reward
+        uses[t] += 1
+    z = sum(math.exp(s) for s in score.values())
+    expect = {t: (1 - eps) * math.exp(score[t]) / z + eps / n for t in teachers}
+    from pyspark.sql import functions as F
+
+    u = roll.join(nodes.select(F.col("node_id").alias("leaf_id"), "model"), "leaf_id").select("model", "iter", "reward")
+    got = {r.model: r for r in TR.teacher_weights(u, nodes.select("model").distinct()).collect()}
+    assert set(got) == set(teachers)
+    for t in teachers:
+        assert got[t].n_uses == uses[t]
+        assert math.isclose(got[t].score, score[t], abs_tol=2e-6)
+        assert math.isclose(got[t].p, expect[t], abs_tol=2e-6)
+    assert math.isclose(sum(r.p for r in got.values()), 1.0, abs_tol=1e-4)
