@@ -125,6 +125,17 @@ def scored_text(prompt: str | Column, response: str | Column, style: str = "spac
     raise ValueError(style)
 
 
+def utc_instant(df, c: str) -> Column:
+    """Event time as an instant: a stored wall-clock value (TIMESTAMP_NTZ) is read
+    as UTC whatever the session time zone is (``withWatermark`` needs TIMESTAMP)."""
+    from pyspark.sql.types import TimestampNTZType
+
+    if isinstance(df.schema[c].dataType, TimestampNTZType):
+        tz = df.sparkSession.conf.get("spark.sql.session.timeZone")
+        return F.convert_timezone(F.lit("UTC"), F.lit(tz), F.col(c)).cast("timestamp")
+    return F.col(c).cast("timestamp")
+
+
 def seeded_hash_int(*parts: Column, seed: int = SEED) -> Column:
     """Non-negative integer from the first 8 hex digits of md5(seed:part:...)."""
     key = F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in parts])

@@ -648,9 +648,8 @@ def q_stream_reward_window(spark, sf):
     from ..streaming import streams as ST
 
     src, sink, ck = _stream_dirs(spark, "window")
-    ev = FX.read_table(spark, sf, "events", "event_id", "ts", "value").select(
-        "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("reward")
-    )
+    ev = FX.read_table(spark, sf, "events", "event_id", "ts", "value")
+    ev = ev.select("event_id", T.utc_instant(ev, "ts").alias("ts"), F.col("value").alias("reward"))
     _write_source(ev, src, "ts")
     return ST.stream_reward_window(spark, src, sink, ck)
 
