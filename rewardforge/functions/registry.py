@@ -42,6 +42,7 @@ _REGISTRY: dict[str, ColumnEvaluator] = {
     "hard_cascade": _hard_cascade,
     "hard_exact": _hard_exact,
 }
+_PYTHON: set[str] = set()  # evaluators that run as pandas UDFs
 
 
 def register(name: str, fn: ColumnEvaluator) -> None:
@@ -67,6 +68,7 @@ def register_python(name: str, fn: Callable[[str, str, float], float], fallback:
         return pd.Series(out, dtype="float64")
 
     _REGISTRY[name] = lambda prompt, resp, gold: F.coalesce(udf(prompt, resp, gold), F.lit(fallback))
+    _PYTHON.add(name)
 
 
 def names() -> list[str]:
@@ -74,15 +76,28 @@ def names() -> list[str]:
 
 
 def evaluate(df: DataFrame, name_col: str, prompt: str, response: str, gold: str, out: str = "reward") -> DataFrame:
-    """Score each row with the evaluator named in ``name_col`` (one CASE over names)."""
+    """Score each row with the evaluator named in ``name_col``.
+
+    Column evaluators share one CASE expression. A pandas-UDF evaluator gets
+    only the rows that name it (Spark evaluates a Python UDF inside a CASE
+    branch for every row), so the rows are split by kind and unioned back.
+    """
     from ..session import ship_package
 
     ship_package(df.sparkSession)
+    p, r, g = F.col(prompt), F.col(response), F.col(gold)
     expr = None
     for n, fn in _REGISTRY.items():
-        branch = fn(F.col(prompt), F.col(response), F.col(gold))
+        if n in _PYTHON:
+            continue
+        branch = fn(p, r, g)
         expr = F.when(F.col(name_col) == n, branch) if expr is None else expr.when(F.col(name_col) == n, branch)
-    return df.withColumn(out, expr)
+    py = sorted(_PYTHON)
+    rest = df.where(~F.col(name_col).isin(py)) if py else df
+    out_df = rest.withColumn(out, expr if expr is not None else F.lit(None).cast("double"))
+    for n in py:
+        out_df = out_df.unionByName(df.where(F.col(name_col) == n).withColumn(out, _REGISTRY[n](p, r, g)))
+    return out_df
 
 
 def batched_map(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: ST.StructType | str) -> DataFrame:

@@ -370,7 +370,6 @@ union all select reward_type || '/loss', step, loss from gated where evaluated""
 
 
 # ---------------- 2.8 tree ----------------
-import math  # noqa: E402
 
 from ..operators.tree import LN, LN_FLOOR  # noqa: E402
 

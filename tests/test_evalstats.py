@@ -44,8 +44,6 @@ def test_eval_gate(spark):
 def test_hist_density_integrates_to_one(spark):
     vals = golden(spark).select("reward_type", F.col("accuracy").alias("v"))
     h = E.hist_density(vals, ["reward_type"], "v")
-    for r in h.groupBy("reward_type").agg(F.sum(F.col("density") * ((F.col("bin_lo") * 0) + 1)).alias("d")).collect():
-        pass
     tot = h.join(
         vals.groupBy("reward_type").agg(((F.max("v") - F.min("v")) / 10).alias("w")), "reward_type"
     ).groupBy("reward_type").agg(F.sum(F.col("density") * F.col("w")).alias("area")).collect()
