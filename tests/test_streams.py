@@ -46,3 +46,22 @@ def test_reward_window_drops_late_file(spark):
     second = {r.window_start: r for r in ST.stream_reward_window(spark, src, sink, ck).collect()}
     assert second[h0].n == 2  # the late row behind the watermark was dropped
     assert len(second) == 4  # hour 3 closed by the new watermark
+
+
+def test_stream_hard_reward_restart_equals_batch(spark):
+    from rewardforge.functions import text as T
+
+    src, sink, ck = dirs(spark)
+    gold = spark.createDataFrame([(1, 10.0), (2, 2.5)], "qa_id long, correct_answer double")
+    rows = [(1, 0, "m", "so #### 10"), (1, 1, "m", "I think 9"), (2, 0, "m", "2.5 it is"), (2, 1, "m", "none")]
+    spark.createDataFrame(rows[:2], ST.RESPONSE_SCHEMA).write.mode("append").parquet(src)
+    first = ST.stream_hard_reward(spark, src, gold, sink, ck)
+    assert first.count() == 2
+    spark.createDataFrame(rows[2:], ST.RESPONSE_SCHEMA).write.mode("append").parquet(src)
+    second = ST.stream_hard_reward(spark, src, gold, sink, ck)  # restart from the checkpoint
+    got = sorted((r.qa_id, r.sample_idx, r.hard_marker) for r in second.collect())
+    batch = spark.createDataFrame(rows, ST.RESPONSE_SCHEMA).join(gold, "qa_id").select(
+        "qa_id", "sample_idx", T.hard_reward(T.extract_marker("response"), F.col("correct_answer")).alias("h")
+    )
+    assert got == sorted((r.qa_id, r.sample_idx, r.h) for r in batch.collect())
+    assert got == [(1, 0, 1.0), (1, 1, 0.0), (2, 0, 1.0), (2, 1, 0.0)]
