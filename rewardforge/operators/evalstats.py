@@ -100,7 +100,15 @@ def eval_accuracy(
     ]
     if perplexity_col:
         aggs.append(F.coalesce(F.avg(perplexity_col), F.lit(0.0)).alias("mean_perplexity"))
-    return long.groupBy(*group_cols, "strategy").agg(*aggs)
+    agg = long.groupBy(*group_cols, "strategy").agg(*aggs)
+    # A group with nothing to evaluate reports 0.0, as the reference does for an
+    # empty validation set: every (group, strategy) of the input gets a row.
+    groups = scored.select(*group_cols).distinct().withColumn(
+        "strategy", F.explode(F.array(F.lit("marker"), F.lit("cascade")))
+    )
+    out = groups.join(agg, [*group_cols, "strategy"], "left")
+    fill = {"n_eval": F.lit(0).cast("bigint"), "n_right": F.lit(0).cast("bigint"), "accuracy": F.lit(0.0), "mean_perplexity": F.lit(0.0)}
+    return out.select(*group_cols, "strategy", *[F.coalesce(F.col(c), fill[c]).alias(c) for c in agg.columns if c in fill])
 
 
 # ---------------- metric logs (W1, W2, A9-A15, U1) ----------------

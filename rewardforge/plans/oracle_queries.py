@@ -37,13 +37,16 @@ from scored_h""", [SCORED, SCORED_H]))
 sql("response_gold_join", with_fixtures(["response"], "select qa_id, sample_idx, model, split, correct_answer from scored", [SCORED]))
 
 # ---------------- 2.5 ----------------
-sql("eval_accuracy", with_fixtures(["response"], f"""select model, strategy, count(*) as n_eval,
+sql("eval_accuracy", with_fixtures(["response"], f"""select g.model, g.strategy, coalesce(a.n_eval, 0) as n_eval,
+  coalesce(a.n_right, 0) as n_right, coalesce(a.accuracy, 0.0) as accuracy
+from (select distinct model, unnest(['marker', 'cascade']) as strategy from scored) g
+left join (select model, strategy, count(*) as n_eval,
   cast(sum(case when {right('pred', 'correct_answer')} then 1 else 0 end) as bigint) as n_right,
   sum(case when {right('pred', 'correct_answer')} then 1 else 0 end) / greatest(1, count(*)) as accuracy
 from (select model, 'marker' as strategy, pred_marker as pred, correct_answer from scored where split = 'test'
       union all
       select model, 'cascade', pred_cascade, correct_answer from scored where split = 'test') l
-group by model, strategy""", [SCORED]))
+group by model, strategy) a on g.model = a.model and g.strategy = a.strategy""", [SCORED]))
 
 
 # ---------------- shared CTEs ----------------

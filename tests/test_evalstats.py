@@ -65,3 +65,13 @@ def test_eval_accuracy_first_n(spark):
 def test_eval_gate_modulo_only(spark):
     log = spark.createDataFrame([("h", 100, 0.5, 2.0), ("h", 200, 0.6, 2.1), ("h", 250, 0.7, 2.2)], "reward_type string, step long, accuracy double, perplexity double")
     assert sorted(r.step for r in E.eval_gate(log, 100, modulo_only=True).collect()) == [100, 200]
+
+
+def test_eval_accuracy_empty_group_reports_zero(spark):
+    df = spark.createDataFrame(
+        [("a", 1, 0, 1.0, 1.0, 1.0, "test"), ("b", 2, 0, 1.0, 1.0, 1.0, "train")],
+        "model string, qa_id long, sample_idx int, correct_answer double, pred_marker double, pred_cascade double, split string",
+    )
+    acc = {(r.model, r.strategy): r for r in E.eval_accuracy(df).collect()}
+    assert acc[("a", "marker")].accuracy == 1.0
+    assert acc[("b", "marker")].accuracy == 0.0 and acc[("b", "marker")].n_eval == 0
