@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import ahocorasick
 import numpy as np
 import pandas as pd
@@ -96,6 +98,32 @@ def _spans(plain: bytes, hit: np.ndarray) -> list[dict]:
     return [{"start": int(chars[starts[a]]), "end": int(chars[ends[b - 1]])} for a, b in zip(turns[0::2], turns[1::2])]
 
 
+def _broadcast_chunks(items: DataFrame, chunk_bytes: int) -> list:
+    """The benchmark as broadcast lists of (id, text), each of about ``chunk_bytes`` at most."""
+    sc = items.sparkSession.sparkContext
+    chunks, own, held = [], [], 0
+    wanted = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))
+    for name, text in wanted.toLocalIterator():
+        own.append((name, text))
+        held += len(text.encode("utf-8", "replace"))
+        if held >= chunk_bytes:
+            chunks.append(sc.broadcast(own))
+            own, held = [], 0
+    return [*chunks, sc.broadcast(own)] if own or not chunks else chunks
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, window: int = WINDOW_WORDS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """The rows of ``docs`` that hold no window of any item, with all their columns (no shuffle)."""
+    chunks = _broadcast_chunks(items, chunk_bytes)
+    scan = _scan(chunks, window)
+
+    def hit(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for found in scan(pd.DataFrame({"doc_id": range(len(t)), "text": t}) for t in texts):
+            yield found["n_hit"] > 0
+
+    return docs.where(~F.pandas_udf(hit, "boolean")("text"))
+
+
 def find_benchmark(
     docs: DataFrame,
     items: DataFrame,
@@ -116,16 +144,7 @@ def find_benchmark(
     at a time. Null texts have no words; repeated rows are each scanned; with no
     items nothing is hit; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    chunks, own, held = [], [], 0
-    wanted = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))
-    for name, text in wanted.toLocalIterator():
-        own.append((name, text))
-        held += len(text.encode("utf-8", "replace"))
-        if held >= chunk_bytes:
-            chunks.append(spark.sparkContext.broadcast(own))
-            own, held = [], 0
-    chunks.append(spark.sparkContext.broadcast(own))
+    chunks = _broadcast_chunks(items, chunk_bytes)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInPandas(_scan(chunks, window), FOUND.format(id_type=rows.schema["doc_id"].dataType.simpleString()))
 

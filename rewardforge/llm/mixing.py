@@ -9,12 +9,14 @@ and slots join blocks by (source, index).
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_value, documents, running_totals, word_count
+from .common import WORD, by_value, documents, running_totals, word_count
 
 by_value(__name__)
 
@@ -140,6 +142,42 @@ def mix_slots(targets: DataFrame, block: int = BLOCK_WORDS, shard_words: int = S
     )
 
 
+def _pieces(docs: DataFrame, weights, max_epochs, block, id_col, text_col, source_col) -> tuple[DataFrame, DataFrame]:
+    """(pieces of documents by block with ``counts``, targets by source).
+
+    ``counts``: for each slot that takes the block, how many words of this piece
+    (from its first word on) it takes, largest first.
+    """
+    sized = docs.select(
+        F.col(id_col).alias("doc_id"),
+        F.monotonically_increasing_id().alias("rid"),
+        F.col(source_col).alias("source"),
+        F.coalesce(F.concat(F.lit("s"), source_col), F.lit("n")).alias("key"),
+        word_count(F.col(text_col)).alias("size"),
+    )
+    placed = running_totals(sized, ["key"], ["doc_id"], "size")
+    targets = source_targets(placed, weights, max_epochs)
+    slots = mix_slots(targets, block)
+    takes = slots.groupBy("key", "block").agg(F.collect_list("words").alias("takes"))  # one per epoch at most
+    first = F.floor(F.col("before") / block)
+    last = F.greatest(first, F.floor((F.col("before") + F.col("size") - 1) / block))
+    pieces = (
+        placed.withColumn("block", F.explode(F.sequence(first, last)))
+        .withColumn("low", F.greatest(F.col("before") - F.col("block") * block, F.lit(0)))
+        .withColumn("high", F.least(F.col("before") + F.col("size") - F.col("block") * block, F.lit(block)))
+        .join(takes, ["key", "block"], "left")
+    )
+    counts = F.filter(
+        F.transform(F.coalesce("takes", F.array().cast("array<bigint>")), lambda words: F.least(words, F.col("high")) - F.col("low")),
+        lambda n: n > 0,
+    )
+    pieces = pieces.select(
+        "rid", "doc_id", "source", "key", "size", (F.col("block") * block + F.col("low") - F.col("before")).alias("from_word"),
+        F.sort_array(counts, asc=False).alias("counts"),
+    )
+    return pieces, targets
+
+
 def mix_documents(
     docs: DataFrame,
     weights: tuple = WEIGHTS,
@@ -158,36 +196,70 @@ def mix_documents(
     target 0; an empty table gives no rows. Repeated rows are documents of
     their own, also under one id. Other columns are not read.
     """
-    sized = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.col(source_col).alias("source"),
-        F.coalesce(F.concat(F.lit("s"), source_col), F.lit("n")).alias("key"),
-        word_count(F.col(text_col)).alias("size"),
-    )
-    placed = running_totals(sized, ["key"], ["doc_id"], "size")
-    targets = source_targets(placed, weights, max_epochs)
-    slots = mix_slots(targets, block)
-    takes = slots.groupBy("key", "block").agg(F.sort_array(F.collect_list("words")).alias("takes"))  # at most max_epochs each
-    pieces = placed.withColumn(
-        "block",
-        F.explode(
-            F.sequence(F.floor(F.col("before") / block), F.greatest(F.floor((F.col("before") + F.col("size") - 1) / block), F.floor(F.col("before") / block)))
-        ),
-    )
-    low = F.greatest(F.col("before") - F.col("block") * block, F.lit(0))
-    high = F.least(F.col("before") + F.col("size") - F.col("block") * block, F.lit(block))
-    joined = pieces.withColumn("low", low).withColumn("high", high).join(takes, ["key", "block"], "left")
-    part = F.aggregate(
-        F.coalesce("takes", F.array().cast("array<bigint>")),
-        F.lit(0).cast("long"),
-        lambda acc, words: acc + F.greatest(F.least(words, F.col("high")) - F.col("low"), F.lit(0)),
-    )
-    per_doc = joined.groupBy("key", "idx").agg(
-        F.first("doc_id").alias("doc_id"), F.first("source").alias("source"), F.first("size").alias("size"), F.sum(part).alias("taken")
-    )
+    pieces, targets = _pieces(docs, weights, max_epochs, block, id_col, text_col, source_col)
+    taken = F.aggregate("counts", F.lit(0).cast("long"), lambda acc, n: acc + n)
+    per_doc = pieces.groupBy("rid", "doc_id", "source", "key", "size").agg(F.sum(taken).alias("taken"))
     return per_doc.join(targets.drop("source"), "key").select("doc_id", "size", "source", "source_size", "target", "taken")
 
 
+def _texts(columns: list[str]):
+    """Rows with ``cuts`` -> the same rows with the words that the mix takes."""
+
+    def taken(text: str, size: int, cuts) -> str:
+        out, words = [], None
+        for copy in range(max(len(c["counts"]) for c in cuts)):
+            runs: list[list[int]] = []
+            for c in cuts:
+                if copy < len(c["counts"]):
+                    start, end = c["from_word"], c["from_word"] + c["counts"][copy]
+                    if runs and runs[-1][1] == start:
+                        runs[-1][1] = end
+                    else:
+                        runs.append([start, end])
+            if runs == [[0, size]]:
+                out.append(text)
+                continue
+            if words is None:
+                words = [m.span() for m in re.finditer(WORD, text)]
+            out += [text[words[a][0] : words[b - 1][1]] for a, b in runs]
+        return "\n".join(out)
+
+    def run(batches):
+        for pdf in batches:
+            texts = [taken(t, n, sorted(c, key=lambda x: x["from_word"])) for t, n, c in zip(pdf["text"], pdf["size"], pdf["cuts"])]
+            pdf = pdf.assign(text=texts)
+            if "n_chars" in columns:
+                pdf["n_chars"] = [len(t) for t in texts]
+            yield pdf[columns]
+
+    return run
+
+
+def mixed_texts(docs: DataFrame, weights: tuple = WEIGHTS, max_epochs: int = MAX_EPOCHS, block: int = BLOCK_WORDS) -> DataFrame:
+    """The documents of the mix, with the columns of ``docs``.
+
+    ``text`` holds the words that the mix takes of a document, one line per
+    stretch and repeats one after the other; a copy that is taken whole stays
+    as it was, white space included. ``n_chars`` (if there) follows the new
+    text. Documents of which the mix takes no word are left out. ``docs`` must
+    be a table (a rescan numbers its rows alike).
+    """
+    pieces, _ = _pieces(docs, weights, max_epochs, block, "doc_id", "text", "source")
+    cuts = (
+        pieces.where(F.size("counts") > 0)
+        .groupBy("rid", "size")  # as many pieces as the document has blocks
+        .agg(F.collect_list(F.struct("from_word", "counts")).alias("cuts"))
+        .select(F.col("rid").alias("_rid"), F.col("size").alias("_size"), F.col("cuts").alias("_cuts"))
+    )
+    joined = docs.withColumn("_rid", F.monotonically_increasing_id()).join(cuts, "_rid")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    known = {"text": "text", "n_chars": "n_chars"}
+    inner = [known.get(c, n) for c, n in zip(docs.columns, names)]
+    plain = joined.select(*[F.col(c).alias(n) for c, n in zip(docs.columns, inner)], F.col("_size").alias("size"), F.col("_cuts").alias("cuts"))
+    schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(inner, docs.schema))
+    return plain.mapInPandas(_texts(inner), schema).toDF(*docs.columns)
+
+
 def op5_mixing(spark, sf_dir):
     out = mix_documents(documents(spark, sf_dir, "doc_id", "text", "source"))
     return out.select("doc_id", "size", "source_size", "target", "taken")

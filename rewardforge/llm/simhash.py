@@ -181,23 +181,36 @@ def connected(links: DataFrame) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, k: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """One row per input row: doc_id, fp (signed 64 bits), component_id.
+    """One row per input row: doc_id, fp (signed 64 bits), component_id, kept, rid.
 
     Fingerprints of ``k``-word shingles link at ``max_bits`` or fewer unlike
     bits; ``component_id`` is the smallest id reachable over links. Texts
     without words (null, empty) have fingerprint 0, linked like any other.
-    Equal fingerprints are one trie leaf, so copies are never paired. Null ids
-    never give a component its id (null only where all ids are null). Repeated
-    rows keep their rows; an empty table gives no rows; other columns are not
-    read.
+    Equal fingerprints are one trie leaf, so copies are never paired. A null id
+    comes after all others (component_id is null only where all are). ``kept``
+    marks one row per component: the smallest id, of equal ids the first in the
+    input; ``rid`` is the row's place in the input. Repeated rows keep their
+    rows; an empty table gives no rows; other columns are not read.
     """
-    marked = cut_lineage(docs.select(F.col(id_col).alias("doc_id"), fingerprint_udf(k)(F.col(text_col)).alias("fp")))
-    leaves = cut_lineage(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
+    place = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("rid"))
+    marked = cut_lineage(docs.select(place.alias("place"), fingerprint_udf(k)(F.col(text_col)).alias("fp")))
+    leaves = cut_lineage(marked.groupBy("fp").agg(F.min("place").alias("least")))
     roots = connected(near_links(leaves.select("fp"), max_bits)).withColumnRenamed("node", "fp")
     leaves = leaves.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    classes = leaves.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    by_fp = leaves.join(classes, "root").select("fp", "component_id")
-    return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    classes = leaves.groupBy("root").agg(F.min("least").alias("first"))
+    by_fp = leaves.join(classes, "root").select("fp", "first")
+    return marked.join(by_fp, "fp").select(
+        "place.doc_id", "fp", F.col("first.doc_id").alias("component_id"), (F.col("place") == F.col("first")).alias("kept"), "place.rid"
+    )
+
+
+def keep_first(docs: DataFrame, k: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
+    """The one row of each component that ``kept`` marks, with all columns of ``docs``.
+
+    ``docs`` must be a table (a rescan numbers its rows alike).
+    """
+    kept = near_duplicates(docs, k, max_bits).where("kept").select(F.col("rid").alias("_rid"))
+    return docs.withColumn("_rid", F.monotonically_increasing_id()).join(kept, "_rid", "left_semi").drop("_rid")
 
 
 def fp_hex(fp):
