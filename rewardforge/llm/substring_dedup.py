@@ -247,19 +247,19 @@ def remove_repeats(
         F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"),
     )
     sample = texts.select("rid", "text").mapInPandas(_sample(length, tuple_bytes), "name long, context long, rid long, low int, n int")
-    names = sample.groupBy("name").count().where("count > 1").select("name")
+    # written sides, so that a hot name or context is a join key that Spark can split
+    names = cut_lineage(sample.groupBy("name").count().where("count > 1").select("name"))
     twice = cut_lineage(sample.join(names, "name", "left_semi"))
     contexts = cut_lineage(
-        twice.groupBy("name", "context").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("rid", "low")).alias("first"))
-    )
-    open_names = contexts.where("copies = 1").select("name").distinct().withColumn("open", F.lit(True))
-    marks = (
-        twice.join(contexts.join(open_names, "name", "left"), ["name", "context"])
-        .withColumn("once", F.col("copies") == 1)
-        .withColumn("sort", F.coalesce("open", F.lit(False)) & (F.col("first") == F.struct("rid", "low")))
-        .groupBy("rid")  # at most one mark per byte of the document
-        .agg(F.collect_list(F.struct("low", "n", "name", "once", "sort")).alias("marks"))
+        twice.groupBy("name", "context").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("rid", "low", "n")).alias("first"))
     )
+    flag = F.col("copies") == 1
+    known = twice.join(contexts.select("name", "context", "copies"), ["name", "context"])
+    known = known.select("rid", F.struct("low", "n", "name", flag.alias("once"), F.lit(False).alias("sort")).alias("mark"))
+    # of names with a context that occurs once, one copy of every context is sorted
+    sorts = contexts.join(contexts.where(flag).select("name").distinct(), "name", "left_semi")
+    sorts = sorts.select("first.rid", F.struct("first.low", "first.n", "name", flag.alias("once"), F.lit(True).alias("sort")).alias("mark"))
+    marks = known.unionByName(sorts).groupBy("rid").agg(F.collect_list("mark").alias("marks"))  # a few per byte at most
     id_type = texts.schema["doc_id"].dataType.simpleString()
     final = RESULT.format(id_type=id_type)
     parts = cut_lineage(
