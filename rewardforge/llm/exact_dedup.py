@@ -131,7 +131,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest"
     )
     again = hashes.where("maybe")
-    groups = again.groupBy("digest").agg(F.min("place").alias("best"), F.count(F.lit(1)).alias("group_size"))
+    # written, so that a hot digest is a join key that Spark can split
+    groups = cut_lineage(again.groupBy("digest").agg(F.min("place").alias("best"), F.count(F.lit(1)).alias("group_size")))
     matched = again.join(groups, "digest").select(
         "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("place") == F.col("best")).alias("kept"), "digest"
     )
