@@ -31,7 +31,7 @@ from .common import by_value, documents, shuffle_partitions
 by_value(__name__)
 
 LENGTH = 200
-TUPLE_BYTES = 96
+TUPLE_BYTES = 64
 SEGMENT = 1 << 19  # starts handled at once; positions must fit in 20 bits
 LARGE_GROUP = 4096  # contexts of one name beyond which their suffixes are dealt out singly
 BUCKET = 2048  # contexts that one call sorts
