@@ -8,7 +8,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -73,11 +73,14 @@ def text_stats(text: str | None) -> list[float]:
     ]
 
 
-@F.pandas_udf("array<double>")
-def stats_udf(text: pd.Series) -> pd.Series:
+def _stats(text: pd.Series) -> pd.Series:
     return pd.Series([text_stats(t) for t in text], dtype=object)
 
 
+def stats_of(text: Column) -> Column:
+    return F.pandas_udf(_stats, "array<double>")(text)
+
+
 @dataclass
 class QualityModel:
     """Fixed-size: N_STATS scales, N_FOURIER frequencies, calibration knots."""
@@ -191,7 +194,7 @@ def fit_quality(stats: DataFrame, labels: DataFrame) -> QualityModel:
 
 
 def document_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return docs.select(F.col(id_col).alias("doc_id"), stats_udf(F.col(text_col)).alias("stats"))
+    return docs.select(F.col(id_col).alias("doc_id"), stats_of(F.col(text_col)).alias("stats"))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -218,7 +221,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     is shuffled.
     """
     model = fit_quality(cut_lineage(document_stats(docs)), labels)
-    return docs.where(scores_udf(model)(stats_udf("text")) >= THRESHOLD)
+    return docs.where(scores_udf(model)(stats_of(F.col("text"))) >= THRESHOLD)
 
 
 def op1_quality(spark, sf_dir):
