@@ -10,7 +10,7 @@ import __spark_entry__ as E
 from rewardforge.sources.tables import TABLES
 
 SF = "/root/testdata/sf0.001"
-KEYS = sorted(E.queries())
+KEYS = sorted(E.oracle_sql())
 
 
 @pytest.fixture(scope="module")
@@ -45,8 +45,14 @@ def test_entry_smoke(spark):
 def test_query_matches_oracle(spark, con, key):
     sp = E.queries()[key](spark, SF).toPandas()
     orc = E.oracle_sql()
-    assert key in orc
+
     dd = con.execute(orc[key]).df()
     cols = sorted(sp.columns)
     assert cols == sorted(dd.columns)
     assert rows(sp, cols) == rows(dd, cols)
+
+
+def test_every_plan_query_has_an_oracle():
+    from rewardforge.plans.queries import queries
+
+    assert set(queries()) <= set(E.oracle_sql())
