@@ -93,8 +93,9 @@ def evaluate(df: DataFrame, name_col: str, prompt: str, response: str, gold: str
         branch = fn(p, r, g)
         expr = F.when(F.col(name_col) == n, branch) if expr is None else expr.when(F.col(name_col) == n, branch)
     py = sorted(_PYTHON)
-    rest = df.where(~F.col(name_col).isin(py)) if py else df
-    out_df = rest.withColumn(out, expr if expr is not None else F.lit(None).cast("double"))
+    rest = df.where(~F.coalesce(F.col(name_col).isin(py), F.lit(False))) if py else df
+    fallback = F.lit(HARD_FALLBACK)
+    out_df = rest.withColumn(out, expr.otherwise(fallback) if expr is not None else fallback)
     for n in py:
         out_df = out_df.unionByName(df.where(F.col(name_col) == n).withColumn(out, _REGISTRY[n](p, r, g)))
     return out_df

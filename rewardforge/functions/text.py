@@ -98,13 +98,23 @@ def tokens(c: str | Column) -> Column:
 
 
 def float_text(x: Column) -> Column:
-    """Python ``str(float)`` for the values answers hold.
-
-    Spark writes 1e7 and above as ``1.0E7``; whole numbers there are written as
-    integer text plus ``.0`` like Python does.
-    """
-    big_whole = (F.abs(x) >= F.lit(1e7)) & (F.abs(x) < F.lit(1e16)) & (x == F.floor(x))
-    return F.when(big_whole, F.concat(x.cast("bigint").cast("string"), F.lit(".0"))).otherwise(x.cast("string"))
+    """Python ``str(float)``: plain digits for 1e-4 <= |x| < 1e16, else an
+    exponent of at least two digits with its sign (Spark writes ``1.0E7``)."""
+    s = x.cast("string")
+    plain = F.regexp_replace(s.try_cast("decimal(38,21)").cast("string"), r"0+$", "")
+    plain = F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain)
+    head = F.regexp_replace(F.regexp_extract(s, r"^(-?[0-9.]+)E", 1), r"\.0$", "")
+    power = F.regexp_extract(s, r"E-?([0-9]+)$", 1)
+    power = F.when(F.length(power) < 2, F.concat(F.lit("0"), power)).otherwise(power)
+    sign = F.when(s.contains("E-"), F.lit("-")).otherwise(F.lit("+"))
+    size = F.abs(x)
+    return (
+        F.when(F.isnan(x), F.lit("nan"))
+        .when(size == float("inf"), F.when(x > 0, F.lit("inf")).otherwise(F.lit("-inf")))
+        .when(~s.contains("E"), s)
+        .when((size >= 1e-4) & (size < 1e16), plain)
+        .otherwise(F.concat(head, F.lit("e"), sign, power))
+    )
 
 
 def replace_first(text: Column, old: Column, new: Column) -> Column:

@@ -155,8 +155,8 @@ def running_best(log: DataFrame, run_cols: Sequence[str] = ("reward_type",)) ->
     )
 
 
-def batch_mean_reward(batched: DataFrame, reward_col: str, every: int = 10) -> DataFrame:
-    """Mean reward per (epoch, batch), kept where batch % every == 0 (filter first)."""
+def batch_mean_reward(batched: DataFrame, reward_col: str, every: int = 1) -> DataFrame:
+    """Mean reward per (epoch, batch); ``every`` keeps one batch in so many (filter first)."""
     kept = batched.where(F.col("batch_id") % every == 0)
     return kept.groupBy("epoch", "batch_id").agg(
         F.count(F.lit(1)).alias("n"), exact_avg(reward_col).alias("mean_reward")
@@ -211,8 +211,9 @@ def winner_pair(summary: DataFrame, run_col: str = "reward_type") -> DataFrame:
 
 
 def argmax_priority(df: DataFrame, group_cols: Sequence[str], name_col: str, score_col: str, priority: Sequence[str]) -> DataFrame:
-    """Highest score per group; ties go to the earlier name in ``priority``."""
-    rank = F.array_position(F.array(*[F.lit(p) for p in priority]), F.col(name_col))
+    """Highest score per group; ties go to the earlier name in ``priority``, unlisted names come last."""
+    listed = F.array_position(F.array(*[F.lit(p) for p in priority]), F.col(name_col))
+    rank = F.when(listed > 0, listed).otherwise(F.lit(len(priority) + 1))
     best = df.groupBy(*group_cols).agg(F.max(F.struct(F.col(score_col).alias("s"), (-rank).alias("p"), F.col(name_col).alias("n"))).alias("b"))
     return best.select(*group_cols, F.col("b.n").alias("winner"), F.col("b.s").alias(score_col))
 

@@ -58,11 +58,11 @@ def score_perplexities(
     id_cols: Sequence[str],
     text: Column,
     k: float = 1.0,
-    max_length: int | None = MAX_LENGTH,
+    max_length: int | None = None,
     digits: int = 6,
 ) -> DataFrame:
     """A3 (+A1 rule) for several models in one pass: exp(-mean logp) over predicted
-    tokens 2..max_length; null if there are none.
+    tokens from the second on (up to ``max_length`` if given); null if there are none.
 
     The texts are tokenized and exploded once; each model adds two lookup joins
     and one more average in the same aggregation. Output: id columns, ``n_pred``
@@ -71,9 +71,11 @@ def score_perplexities(
     """
     toks = T.tokens(text) if max_length is None else F.slice(T.tokens(text), 1, max_length)
     tk = df.select(*id_cols, toks.alias("_tok"))
-    j = tk.select(*id_cols, F.explode_outer(token_bigrams(F.col("_tok"))).alias("b")).select(
+    j = tk.select(*id_cols, F.explode(token_bigrams(F.col("_tok"))).alias("b")).select(
         *id_cols, F.col("b.prev").alias("prev"), F.col("b.tok").alias("tok")
     )
+    # texts without a bigram stay out of the lookups, where they would share a null key
+    short = tk.where(F.coalesce(F.size("_tok"), F.lit(0)) < 2).select(*id_cols, F.lit(None).cast("string").alias("tok"))
     aggs = [F.count(F.col("tok")).alias("n_pred")]
     for name, m in models.items():
         j = j.join(m.pairs.withColumnRenamed("c_pair", f"_cp_{name}"), ["prev", "tok"], "left").join(
@@ -81,7 +83,7 @@ def score_perplexities(
         )
         lp = F.when(F.col("tok").isNotNull(), logp_column(F.col(f"_cp_{name}"), F.col(f"_cc_{name}"), m.vocab.scalar(), k))
         aggs.append(F.round(F.exp(-F.avg(lp)), digits).alias(f"ppl_{name}"))
-    return j.groupBy(*id_cols).agg(*aggs)
+    return j.unionByName(short, allowMissingColumns=True).groupBy(*id_cols).agg(*aggs)
 
 
 def score_perplexity(
@@ -90,7 +92,7 @@ def score_perplexity(
     id_cols: Sequence[str],
     text: Column,
     k: float = 1.0,
-    max_length: int | None = MAX_LENGTH,
+    max_length: int | None = None,
     digits: int = 6,
 ) -> DataFrame:
     """A3 for one model: id columns, ``n_pred``, ``ppl``."""
@@ -99,12 +101,14 @@ def score_perplexity(
 
 
 def perplexity_from_logprobs(
-    token_logprob: DataFrame, id_col: str, pos_col: str, logp_cols: dict[str, str], max_length: int = MAX_LENGTH, digits: int = 6
+    token_logprob: DataFrame, id_col: str, pos_col: str, logp_cols: dict[str, str], max_length: int | None = None, digits: int = 6
 ) -> DataFrame:
     """A1: perplexity per sample from logged token log-probs (several models in one
     aggregation, ``logp_cols`` maps output name -> log-prob column); token 1
-    has no prediction, so positions 2..max_length count."""
-    kept = token_logprob.where((F.col(pos_col) >= 2) & (F.col(pos_col) <= max_length))
+    has no prediction, so positions from 2 on count (up to ``max_length`` if given)."""
+    kept = token_logprob.where(F.col(pos_col) >= 2)
+    if max_length is not None:
+        kept = kept.where(F.col(pos_col) <= max_length)
     return kept.groupBy(id_col).agg(
         F.count(F.lit(1)).alias("n_pred"),
         *[F.round(F.exp(-F.avg(c)), digits).alias(name) for name, c in logp_cols.items()],

@@ -107,9 +107,7 @@ def pairs_fixed(samples: DataFrame, scorer: Callable[[DataFrame], DataFrame] | N
 def flatten_pairs(nested: DataFrame, id_col: str = "qa_id") -> DataFrame:
     return nested.select(
         id_col,
-        F.try_element_at("prompt", F.lit(1))["content"].alias("prompt"),
-        F.try_element_at("chosen", F.lit(1))["content"].alias("chosen"),
-        F.try_element_at("rejected", F.lit(1))["content"].alias("rejected"),
+        *[F.col(c)[0]["content"].alias(c) for c in ("prompt", "chosen", "rejected")],  # one message each
         "chosen_reward",
         "rejected_reward",
     )
@@ -143,16 +141,15 @@ def pairs_by_length(responses: DataFrame, group_col: str, idx_col: str, text_col
 def group_advantage(scored: DataFrame, group_col: str, reward_col: str) -> DataFrame:
     """(r - mean) / (std_pop + 1e-8) per prompt group; 0 when std = 0.
 
-    Mean and variance come from one aggregation per group joined back.
+    Mean and deviation come from one aggregation per group joined back; equal
+    rewards have deviation 0 exactly.
     """
     r = F.col(reward_col)
-    g = scored.groupBy(group_col).agg(
-        (F.sum(r) / F.count(r)).alias("_mean"), (F.sum(r * r) / F.count(r)).alias("_m2")
-    )
-    g = g.withColumn("_std", F.sqrt(F.greatest(F.lit(0.0), F.col("_m2") - F.col("_mean") * F.col("_mean"))))
+    std = F.when(F.min(r) == F.max(r), F.lit(0.0)).otherwise(F.stddev_pop(r))
+    g = scored.groupBy(group_col).agg((F.sum(r) / F.count(r)).alias("_mean"), std.alias("_std"))
     out = scored.join(g, group_col)
     adv = F.when(F.col("_std") == 0, F.lit(0.0)).otherwise((r - F.col("_mean")) / (F.col("_std") + F.lit(ADV_EPS)))
-    return out.withColumn("advantage", adv).drop("_m2").withColumnRenamed("_mean", "group_mean").withColumnRenamed("_std", "group_std")
+    return out.withColumn("advantage", adv).withColumnRenamed("_mean", "group_mean").withColumnRenamed("_std", "group_std")
 
 
 def reward_gap(pairs: DataFrame) -> DataFrame:
@@ -180,7 +177,8 @@ def pairs_best_worst(scored: DataFrame, group_col: str, idx_col: str, reward_col
 
 def difficulty_balance(scored: DataFrame, group_col: str, right_col: str, seed_key: Column | None = None) -> DataFrame:
     """difficulty = share of right responses; buckets hard/moderate/easy; keep the
-    same number of prompts per bucket (the smallest bucket's count), by seeded hash.
+    same number of prompts per bucket (the count of the smallest bucket that has
+    any), by seeded hash. ``n_buckets`` says how many of the three have prompts.
 
     Position inside a bucket uses ``ordered_index`` (range partitions), since one
     bucket can hold a third or more of all prompts.
@@ -194,8 +192,7 @@ def difficulty_balance(scored: DataFrame, group_col: str, right_col: str, seed_k
     keep = counts.agg(F.min("count")).scalar()
     n_buckets = counts.agg(F.count(F.lit(1))).scalar()
     idx = ordered_index(d, ["_h", group_col], ["bucket"], "_i")
-    keep = F.when(n_buckets == 3, keep).otherwise(F.lit(0))
-    return idx.where(F.col("_i") < keep).drop("_i", "_h")
+    return idx.where(F.col("_i") < keep).drop("_i", "_h").withColumn("n_buckets", n_buckets)
 
 
 def preference_loss_audit(seq: DataFrame, pair_col: str, beta: float = DPO_BETA, digits: int = 6) -> DataFrame:
@@ -214,10 +211,11 @@ def preference_loss_audit(seq: DataFrame, pair_col: str, beta: float = DPO_BETA,
     margin = (F.col("chosen_logp") - F.col("chosen_logp_ref")) - (F.col("rejected_logp") - F.col("rejected_logp_ref"))
 
     def softplus_neg(x: Column) -> Column:  # -ln(sigmoid(x)) = ln(1 + e^-x)
-        return F.log(F.lit(1.0) + F.exp(-x))
+        return F.greatest(-x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))
 
-    def log_odds(m: Column) -> Column:  # ln(p / (1 - p)) with p = e^m
-        return m - F.log(F.lit(1.0) - F.exp(m))
+    def log_odds(m: Column) -> Column:  # ln(p / (1 - p)) with p = e^m; p = 1 as the limit
+        m = F.least(m, F.lit(-1e-300))
+        return m - F.log(-F.expm1(m))
 
     lo = log_odds(F.col("chosen_mean_logp")) - log_odds(F.col("rejected_mean_logp"))
     return wide.select(
@@ -232,7 +230,7 @@ def preference_loss_summary(audit: DataFrame) -> DataFrame:
     """D7 summary: pairs, mean DPO loss, mean odds-ratio loss, share of pairs with margin > 0."""
     return audit.agg(
         F.count(F.lit(1)).alias("n_pairs"),
-        (F.sum(F.col("dpo_loss").cast("decimal(38,12)")).cast("double") / F.count(F.lit(1))).alias("mean_dpo_loss"),
-        (F.sum(F.col("or_loss").cast("decimal(38,12)")).cast("double") / F.count(F.lit(1))).alias("mean_or_loss"),
+        (F.sum(F.col("dpo_loss").cast("decimal(38,12)")).cast("double") / F.count("dpo_loss")).alias("mean_dpo_loss"),
+        (F.sum(F.col("or_loss").cast("decimal(38,12)")).cast("double") / F.count("or_loss")).alias("mean_or_loss"),
         (F.sum((F.col("margin") > 0).cast("int")) / F.count(F.lit(1))).alias("share_positive_margin"),
     )

@@ -36,14 +36,15 @@ LN = {k: math.log(v) for k, v in WEIGHT_FACTORS.items()}
 LN_FLOOR = math.log(WEIGHT_FLOOR)
 
 
-def node_paths(nodes: DataFrame, max_levels: int = 10_000) -> DataFrame:
+def node_paths(nodes: DataFrame) -> DataFrame:
     """One row per (node, ancestor) with depths, plus context and bit string.
 
     Columns: node_id, ancestor_id, ancestor_depth, depth, context, binary_code.
     Context of the root is its token; a child's is the parent's context + " " +
     token. The bit string of the root is empty; a child appends its bit.
-    Levels are joined one at a time and each level is checkpointed, so the plan
-    does not grow with the depth.
+    Levels are joined one at a time until one is empty and each level is
+    checkpointed, so the plan does not grow with the depth. A node that is its
+    own ancestor raises an error.
     """
     base = materialize(nodes.select("node_id", "parent_id", "token", "bit"), "tree-nodes")
     level = base.where(F.col("parent_id").isNull()).select(
@@ -53,17 +54,22 @@ def node_paths(nodes: DataFrame, max_levels: int = 10_000) -> DataFrame:
     level = cut_lineage(level)
     children = base.where(F.col("parent_id").isNotNull())
     levels = [level]
-    for _ in range(max_levels):
+    while True:
         nxt = children.join(
             level.select(F.col("node_id").alias("parent_id"), "depth", "path", F.col("context").alias("_pc"), F.col("binary_code").alias("_pb")),
             "parent_id",
         ).select(
             "node_id", (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("node_id")).alias("path"),
+            F.array_contains("path", F.col("node_id")).alias("cycle"),
             F.concat(F.col("_pc"), F.lit(" "), F.col("token")).alias("context"), F.concat(F.col("_pb"), F.col("bit")).alias("binary_code"),
         )
         nxt = cut_lineage(nxt)
-        if nxt.isEmpty():
+        size, cycle = nxt.agg(F.count(F.lit(1)), F.max("cycle")).first()
+        if cycle:
+            raise ValueError("the tree has a cycle")
+        if not size:
             break
+        nxt = nxt.drop("cycle")
         levels.append(nxt)
         level = nxt
     out = levels[0]

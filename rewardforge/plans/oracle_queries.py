@@ -92,7 +92,7 @@ def model_ctes(name: str, source: str, text_col: str) -> list[tuple[str, str]]:
 def score_ctes(name: str, model: str, source: str, id_cols: str, text_expr: str) -> list[tuple[str, str]]:
     ids = ", ".join(f"s.{c.strip()}" for c in id_cols.split(","))
     on = " and ".join(f"s.{c.strip()} = g.{c.strip()}" for c in id_cols.split(","))
-    return bigram_ctes(name, source, id_cols, text_expr, 2048) + [
+    return bigram_ctes(name, source, id_cols, text_expr, None) + [
         (f"{name}_lp", f"""select g.*, ln((coalesce(p.c_pair, 0)::double + 1.0) / (coalesce(c.c_ctx, 0)::double + 1.0 * ((select v from {model}_v) + 1))) as lp
 from {name}_bg g left join {model}_pairs p on g.prev = p.prev and g.tok = p.tok left join {model}_ctx c on g.prev = c.prev"""),
         (name, f"""select {ids}, count(g.lp) as n_pred, round(exp(-avg(g.lp)), 6) as ppl
@@ -177,13 +177,11 @@ from {source} s cross join (select unnest(range({epochs})) as epoch) e"""
 sql("qa_sample", with_fixtures(["qa"], "select qa_id, question, answer from qa where split = 'train' order by md5('3407:' || cast(qa_id as varchar)), qa_id limit 1000"))
 sql("preference_scan", with_fixtures([], "select * from pref", [PREF_RAW, PREF_SCAN]))
 sql("chunk_assign", with_fixtures([], "select conv_id, turn, idx, chunk_id from chunks", [PREF_RAW, PREF_SCAN, CHUNKS]))
-sql("chunk_examples", with_fixtures(["response"], """select e.epoch, h.chunk_id, h.row_in_chunk, h.conv_id, h.turn, h.input, h.output
-from (select qa_id as epoch, max(hard_marker) as reward from scored_h group by qa_id) e
+sql("chunk_examples", with_fixtures(["response"], """select h.chunk_id, h.row_in_chunk, h.conv_id, h.turn, h.input, h.output, e.n_epochs
+from (select epoch % (select max(chunk_id) + 1 from chunks) as chunk_id, count(*) as n_epochs
+      from (select qa_id as epoch, max(hard_marker) as reward from scored_h group by qa_id) r where reward > 0.5 group by 1) e
 join (select chunk_id, row_number() over (partition by chunk_id order by idx) as row_in_chunk, conv_id, turn,
-        substr(chosen, 1, 500) as input, 'This is a good response.' as output from chunks
-      qualify row_in_chunk <= 10) h
-  on e.epoch % (select max(chunk_id) + 1 from chunks) = h.chunk_id
-where e.reward > 0.5""", [SCORED, SCORED_H, PREF_RAW, PREF_SCAN, CHUNKS]))
+        chosen as input, 'This is a good response.' as output from chunks) h on e.chunk_id = h.chunk_id""", [SCORED, SCORED_H, PREF_RAW, PREF_SCAN, CHUNKS]))
 
 PAIRS_HARD = (
     "pairs_hard",
@@ -229,7 +227,7 @@ from (select doc_id, {toks('text')} as t from documents) d""")
 # ---------------- 2.3 ----------------
 sql("perplexity_logged", with_fixtures(["token_logprob"], """select sample_id, count(*) as n_pred,
   round(exp(-avg(logp_train)), 6) as ppl_train, round(exp(-avg(logp_base)), 6) as ppl_base
-from token_logprob where pos between 2 and 2048 group by sample_id"""))
+from token_logprob where pos >= 2 group by sample_id"""))
 sql("ngram_train", with_fixtures(["qa"], """select p.prev, p.tok, p.c_pair, c.c_ctx, (select v from cur_v) as vocab
 from cur_pairs p join cur_ctx c on p.prev = c.prev""", CUR))
 sql("ngram_perplexity", with_fixtures(["response"], "select * from rppl", CUR + RESP_PPL))
@@ -279,10 +277,9 @@ join (select qa_id, sample_idx, length(response) as l,
   on s.qa_id = g.qa_id and s.rn = 1 and g.rn = 1
 where s.n >= 2 and s.l <> g.l""", [SCORED, SCORED_H]))
 sql("group_advantage", with_fixtures(["response"], """select h.qa_id, h.sample_idx, h.hard_marker as reward,
-  case when g.sd = 0 then 0.0 else (h.hard_marker - g.mean) / (g.sd + 1e-8) end as advantage
-from scored_h h join (select qa_id, mean, sqrt(greatest(0.0, m2 - mean * mean)) as sd
-  from (select qa_id, sum(hard_marker) / count(hard_marker) as mean, sum(hard_marker * hard_marker) / count(hard_marker) as m2
-        from scored_h group by qa_id) a) g on h.qa_id = g.qa_id""", [SCORED, SCORED_H]))
+  round(case when g.sd = 0 then 0.0 else (h.hard_marker - g.mean) / (g.sd + 1e-8) end, 9) as advantage
+from scored_h h join (select qa_id, avg(hard_marker) as mean, stddev_pop(hard_marker) as sd
+  from scored_h group by qa_id) g on h.qa_id = g.qa_id""", [SCORED, SCORED_H]))
 BEST_WORST = (
     "bw",
     """select b.qa_id, b.sample_idx as chosen_idx, w.sample_idx as rejected_idx, b.reward as chosen_reward, w.reward as rejected_reward
@@ -296,18 +293,19 @@ sql("reward_gap", with_fixtures(["response"], f"""select qa_id, chosen_reward -
   case when (select {exact_avg('chosen_reward - rejected_reward')} from bw) <> 0
        then (chosen_reward - rejected_reward) / (select {exact_avg('chosen_reward - rejected_reward')} from bw) end as weight
 from bw""", [SCORED, SCORED_H] + CUR + RESP_PPL + [REWARDED, BEST_WORST]))
-sql("difficulty_balance", with_fixtures(["response"], """select qa_id, difficulty, bucket from (
+sql("difficulty_balance", with_fixtures(["response"], """select qa_id, difficulty, bucket, (select count(distinct bucket) from d) as n_buckets from (
   select *, row_number() over (partition by bucket order by md5('3407:' || cast(qa_id as varchar)), qa_id) - 1 as i from d) x
-where i < (select case when count(*) = 3 then min(n) else 0 end from (select bucket, count(*) as n from d group by bucket) c)""",
+where i < (select min(n) from (select bucket, count(*) as n from d group by bucket) c)""",
     [SCORED, SCORED_H, ("d", """select qa_id, difficulty,
   case when difficulty < 0.3333333333333333 then 'hard' when difficulty < 0.6666666666666666 then 'moderate' else 'easy' end as bucket
 from (select qa_id, avg(case when hard_marker > 0.5 then 1.0 else 0.0 end) as difficulty from scored_h group by qa_id) a""")]))
 sql("preference_loss_audit", with_fixtures(["token_logprob"], """select c.pair_id, margin,
-  round(ln(1.0 + exp(-(0.1 * margin))), 6) as dpo_loss,
-  round(ln(1.0 + exp(-((c.mean_logp - ln(1.0 - exp(c.mean_logp))) - (r.mean_logp - ln(1.0 - exp(r.mean_logp)))))), 6) as or_loss
+  round(greatest(-0.1 * margin, 0.0) + ln(1.0 + exp(-abs(0.1 * margin))), 6) as dpo_loss,
+  round(greatest(-lo, 0.0) + ln(1.0 + exp(-abs(lo))), 6) as or_loss
 from (select *, (c.logp - c.logp_ref) as cm from seq c where side = 'chosen') c
 join (select * from seq where side = 'rejected') r on c.pair_id = r.pair_id,
-lateral (select (c.logp - c.logp_ref) - (r.logp - r.logp_ref) as margin) m""",
+lateral (select (c.logp - c.logp_ref) - (r.logp - r.logp_ref) as margin,
+  (c.mean_logp - ln(1.0 - exp(c.mean_logp))) - (r.mean_logp - ln(1.0 - exp(r.mean_logp))) as lo) m""",
     [("seq", """select sample_id // 2 as pair_id, case when sample_id % 2 = 0 then 'chosen' else 'rejected' end as side,
   sum(logp_train) as logp, sum(logp_base) as logp_ref, avg(logp_train) as mean_logp
 from token_logprob where pos >= 2 group by sample_id""")]))
@@ -340,7 +338,7 @@ sql("winner_three", with_fixtures(["response"], f"""select strategy, model as wi
           union all select model, 'cascade', pred_cascade, correct_answer from scored where split = 'test') l
     group by model, strategy) a) b where rn = 1""", [SCORED]))
 sql("batch_mean_reward", with_fixtures(["response"], f"""select epoch, batch_id, count(*) as n, {exact_avg('hard_marker')} as mean_reward
-from b where batch_id % 10 = 0 group by epoch, batch_id""",
+from b group by epoch, batch_id""",
     [SCORED, SCORED_H, ("b", batches_sql("scored_h", "(cast(s.qa_id as varchar) || ':' || cast(s.sample_idx as varchar))", 3, 4))]))
 sql("hist_density", with_fixtures(["metric_log"], """select st.reward_type, st.metric, g.bin, st.lo + g.bin * st.width as bin_lo,
   coalesce(c.cnt, 0) as count, coalesce(c.cnt, 0) / (st.n * st.width) as density
@@ -571,6 +569,6 @@ sql("batched_map", with_fixtures(["qa"], f"""select qa_id,
   '<bos><start_of_turn>user' || chr(10) || {strip('question')} || '<end_of_turn>' || chr(10) || '<start_of_turn>model' || chr(10) || {strip('answer')} || '<end_of_turn><eos>' as text
 from qa"""))
 
-sql("preference_loss_summary", f"""select count(*) as n_pairs, {exact_sum('dpo_loss')} / count(*) as mean_dpo_loss,
-  {exact_sum('or_loss')} / count(*) as mean_or_loss, sum(case when margin > 0 then 1 else 0 end) / count(*) as share_positive_margin
+sql("preference_loss_summary", f"""select count(*) as n_pairs, {exact_sum('dpo_loss')} / count(dpo_loss) as mean_dpo_loss,
+  {exact_sum('or_loss')} / count(or_loss) as mean_or_loss, sum(case when margin > 0 then 1 else 0 end) / count(*) as share_positive_margin
 from ({ORACLE['preference_loss_audit']}) a""")

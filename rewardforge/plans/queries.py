@@ -164,7 +164,7 @@ def q_chunk_examples(spark, sf):
     chunks = S.chunk_assign(S.preference_scan(FX.preference_raw(spark, sf)), ["conv_id", "turn"])
     epochs = _scored(spark, sf).groupBy(F.col("qa_id").alias("epoch")).agg(F.max("hard_marker").alias("reward"))
     ex = S.chunk_examples(chunks, epochs, ["conv_id", "turn"])
-    return ex.select("epoch", "chunk_id", "row_in_chunk", "conv_id", "turn", "input", "output")
+    return ex.select("chunk_id", "row_in_chunk", "conv_id", "turn", "input", "output", "n_epochs")
 
 
 @query("preference_export")
@@ -340,7 +340,7 @@ def q_pairs_by_length(spark, sf):
 @query("group_advantage")
 def q_group_advantage(spark, sf):
     a = D.group_advantage(_scored(spark, sf), "qa_id", "hard_marker")
-    return a.select("qa_id", "sample_idx", F.col("hard_marker").alias("reward"), "advantage")
+    return a.select("qa_id", "sample_idx", F.col("hard_marker").alias("reward"), F.round("advantage", 9).alias("advantage"))
 
 
 @query("pairs_best_worst")

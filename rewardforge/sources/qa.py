@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -10,16 +10,10 @@ from ..operators.ordering import ordered_index
 
 # --- Fixed values that must equal the reference's ---
 CHUNK_SIZE = 1000
-CHUNK_HEAD = 10
-CHUNK_INPUT_CHARS = 500
 CHUNK_OUTPUT_TEXT = "This is a good response."
 CHUNK_GATE = 0.5
 # --- end of fixed values ---
 
-# Above this many rows a seeded sample is cut by a global index, not by
-# TakeOrdered (which merges the per-partition top-n on one task).
-TAKE_ORDERED_MAX = 100_000
-
 
 def qa_sample(qa: DataFrame, n: int | None, split: str | None = "train", id_col: str = "qa_id", seed: int = T.SEED) -> DataFrame:
     """Rows of one split; all if ``n`` is None, else ``min(n, count)`` rows by a seeded hash order."""
@@ -27,8 +21,6 @@ def qa_sample(qa: DataFrame, n: int | None, split: str | None = "train", id_col:
     if n is None:
         return df
     key = T.seeded_hash_key(F.col(id_col), seed=seed)
-    if n <= TAKE_ORDERED_MAX:
-        return df.orderBy(key, F.col(id_col)).limit(n)
     idx = ordered_index(df.withColumn("_h", key), ["_h", id_col], [], "_i")
     return idx.where(F.col("_i") < n).drop("_i", "_h")
 
@@ -51,22 +43,25 @@ def chunk_assign(df: DataFrame, order_cols: list[str], chunk_size: int = CHUNK_S
     return idx.withColumn("chunk_id", F.floor(F.col("idx") / F.lit(chunk_size)))
 
 
-def chunk_examples(chunks: DataFrame, epochs: DataFrame, order_cols: list[str], text_col: str = "chosen") -> DataFrame:
-    """First 10 rows of each chunk as (input, output); epoch e trains on chunk
-    ``e % n_chunks`` when its reward > 0.5.
+def chunk_examples(
+    chunks: DataFrame, epochs: DataFrame, order_cols: list[str], text_col: str = "chosen", head: int | None = None, input_chars: int | None = None
+) -> DataFrame:
+    """The rows of each chunk as (input, output), with ``n_epochs``: how many
+    epochs train on them. Epoch e trains on chunk ``e % n_chunks`` when its
+    reward > 0.5; chunks that no epoch trains on are left out.
 
-    ``epochs`` holds (epoch, reward). The head per chunk is a group limit
-    (partial WindowGroupLimit before the shuffle).
+    ``epochs`` holds (epoch, reward). One row per example, not per (epoch,
+    example). Whole chunks and texts unless ``head`` rows or ``input_chars``
+    characters are asked for.
     """
-    from ..operators.evalstats import first_n_per_group
-
-    head = first_n_per_group(chunks, ["chunk_id"], ["idx"], CHUNK_HEAD).select(
-        "chunk_id", F.col("rn").alias("row_in_chunk"), *order_cols,
-        F.substring(F.col(text_col), 1, CHUNK_INPUT_CHARS).alias("input"), F.lit(CHUNK_OUTPUT_TEXT).alias("output"),
-    )
+    text = F.col(text_col) if input_chars is None else F.substring(F.col(text_col), 1, input_chars)
+    start = F.min("idx").over(Window.partitionBy("chunk_id"))  # a chunk is of bounded size
+    rows = chunks.withColumn("row_in_chunk", (F.col("idx") - start + 1).cast("int"))
+    rows = rows if head is None else rows.where(F.col("row_in_chunk") <= head)
+    rows = rows.select("chunk_id", "row_in_chunk", *order_cols, text.alias("input"), F.lit(CHUNK_OUTPUT_TEXT).alias("output"))
     n_chunks = chunks.agg(F.max("chunk_id") + 1).scalar()
     gated = epochs.where(F.col("reward") > CHUNK_GATE).withColumn("chunk_id", F.pmod(F.col("epoch"), n_chunks))
-    return gated.join(head, "chunk_id")
+    return rows.join(gated.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n_epochs")), "chunk_id")
 
 
 def batch_assign(df: DataFrame, id_col: Column, epochs: int, batch_size: int, seed: int = T.SEED) -> DataFrame:

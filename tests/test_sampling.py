@@ -15,14 +15,6 @@ def test_qa_sample_is_stable_and_sized(spark, sf):
     assert S.qa_sample(qa, n_train + 10, "train").count() == n_train
 
 
-def test_large_sample_path_matches(spark, sf, monkeypatch):
-    qa = FX.qa(spark, sf)
-    small = [r.qa_id for r in S.qa_sample(qa, 300, "train").collect()]
-    monkeypatch.setattr(S, "TAKE_ORDERED_MAX", 10)
-    big = [r.qa_id for r in S.qa_sample(qa, 300, "train").collect()]
-    assert sorted(small) == sorted(big)
-
-
 def test_batches_cover_each_epoch_once(spark, sf):
     qa = FX.qa(spark, sf).select("qa_id")
     n = qa.count()
