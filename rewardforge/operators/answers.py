@@ -32,13 +32,6 @@ def gold_answer(qa: DataFrame, answer_col: str = "answer") -> DataFrame:
     )
 
 
-def with_predictions(df: DataFrame, text_col: str = "response") -> DataFrame:
-    """P3 + P4: both answer readers side by side."""
-    return df.withColumn("pred_marker", T.extract_marker(text_col)).withColumn(
-        "pred_cascade", T.extract_cascade(text_col)
-    )
-
-
 def template(fmt: str, **cols: Column) -> Column:
     """Fill a ``{name}`` template with columns (a concat, no Python per row)."""
     parts: list[Column] = []

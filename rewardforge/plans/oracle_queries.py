@@ -103,7 +103,10 @@ from {source} s left join {name}_lp g on {on} group by {ids}"""),
 CUR = model_ctes("cur", "qa where split = 'train'", "answer")
 BASE = model_ctes("base", "conversations", "text")
 RESP_PPL = score_ctes("rppl", "cur", "response", "qa_id, sample_idx", "prompt || ' ' || response")
-RESP_PPL_BASE = score_ctes("bppl", "base", "response", "qa_id, sample_idx", "prompt || ' ' || response")
+QA_RESPONSE = "'Question: ' || prompt || chr(10) || 'Answer: ' || response"
+QA_SIDE = "'Question: ' || prompt || chr(10) || 'Answer: ' || text"
+RESP_PPL_QA = score_ctes("rppl", "cur", "response", "qa_id, sample_idx", QA_RESPONSE)
+RESP_PPL_BASE = score_ctes("bppl", "base", "response", "qa_id, sample_idx", QA_RESPONSE)
 
 
 def clip(x: str) -> str:
@@ -237,11 +240,11 @@ sql("reward_linear", with_fixtures(["response"], f"""select h.qa_id, h.sample_id
   {reward_linear_sql('p.ppl', 'h.response', 'h.hard_cascade > 0.5')} as reward_linear
 from scored_h h join rppl p on h.qa_id = p.qa_id and h.sample_idx = p.sample_idx""", [SCORED, SCORED_H] + CUR + RESP_PPL))
 sql("baseline_join", with_fixtures(["response"], """select b.qa_id, b.sample_idx, b.ppl as base_ppl, c.ppl as train_ppl
-from bppl b join rppl c on b.qa_id = c.qa_id and b.sample_idx = c.sample_idx""", CUR + BASE + RESP_PPL + RESP_PPL_BASE))
+from bppl b join rppl c on b.qa_id = c.qa_id and b.sample_idx = c.sample_idx""", CUR + BASE + RESP_PPL_QA + RESP_PPL_BASE))
 sql("reward_relative", with_fixtures(["response"], f"""select b.qa_id, b.sample_idx, b.ppl as base_ppl, c.ppl as train_ppl,
   {reward_rel_sql('b.ppl', 'c.ppl', 'h.hard_marker')} as reward_relative
 from bppl b join rppl c on b.qa_id = c.qa_id and b.sample_idx = c.sample_idx
-  join scored_h h on h.qa_id = b.qa_id and h.sample_idx = b.sample_idx""", [SCORED, SCORED_H] + CUR + BASE + RESP_PPL + RESP_PPL_BASE))
+  join scored_h h on h.qa_id = b.qa_id and h.sample_idx = b.sample_idx""", [SCORED, SCORED_H] + CUR + BASE + RESP_PPL_QA + RESP_PPL_BASE))
 sql("reward_vs_gold", with_fixtures(["response"], """select r.qa_id, r.sample_idx, r.ppl as resp_ppl, g.ppl as gold_ppl,
   round((g.ppl - r.ppl) / (g.ppl + 1e-8), 6) as reward_vs_gold
 from rppl r join gppl g on r.qa_id = g.qa_id""", CUR + RESP_PPL + score_ctes("gppl", "cur", "qa", "qa_id", "question || ' ' || answer")))
@@ -250,7 +253,8 @@ from rppl r join gppl g on r.qa_id = g.qa_id""", CUR + RESP_PPL + score_ctes("gp
 sql("pairs_ranked", with_fixtures(["qa"], "select * from pairs_hard", [SAMPLES, PAIRS_HARD]))
 SIDE_TEXTS = ("sides", "select qa_id, 'c' as side, prompt, correct_answer, chosen as text from samples union all select qa_id, 'r', prompt, correct_answer, rejected from samples")
 SIDE_PPL = score_ctes("sppl", "cur", "sides", "qa_id, side", "prompt || ' ' || text")
-SIDE_PPL_BASE = score_ctes("sbppl", "base", "sides", "qa_id, side", "prompt || ' ' || text")
+SIDE_PPL_QA = score_ctes("sppl", "cur", "sides", "qa_id, side", QA_SIDE)
+SIDE_PPL_BASE = score_ctes("sbppl", "base", "sides", "qa_id, side", QA_SIDE)
 sql("pairs_ranked_ppl", with_fixtures(["qa"], f"""select qa_id, prompt,
   case when cr <= rr then rejected else chosen end as chosen, case when cr <= rr then chosen else rejected end as rejected,
   case when cr <= rr then rr else cr end as chosen_reward, case when cr <= rr then cr else rr end as rejected_reward
@@ -262,7 +266,7 @@ from sides t join sppl p on t.qa_id = p.qa_id and t.side = p.side""")]))
 sql("pairs_fixed", with_fixtures(["qa"], "select qa_id, prompt, chosen, rejected, 1.0::double as chosen_reward, 0.0::double as rejected_reward from samples", [SAMPLES]))
 sql("pairs_fixed_ppl", with_fixtures(["qa"], """select s.qa_id, s.prompt, s.chosen, s.rejected, c.reward as chosen_reward, r.reward as rejected_reward
 from samples s join sr c on c.qa_id = s.qa_id and c.side = 'c' join sr r on r.qa_id = s.qa_id and r.side = 'r'""",
-    [SAMPLES, SIDE_TEXTS] + CUR + BASE + SIDE_PPL + SIDE_PPL_BASE + [("sr", f"""select t.qa_id, t.side,
+    [SAMPLES, SIDE_TEXTS] + CUR + BASE + SIDE_PPL_QA + SIDE_PPL_BASE + [("sr", f"""select t.qa_id, t.side,
   {reward_rel_sql('b.ppl', 'p.ppl', hard(marker('t.text'), 't.correct_answer'))} as reward
 from sides t join sppl p on t.qa_id = p.qa_id and t.side = p.side join sbppl b on t.qa_id = b.qa_id and t.side = b.side""")]))
 sql("shortest_correct", with_fixtures(["response"], """select qa_id, sample_idx, length from (

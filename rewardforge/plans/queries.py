@@ -127,8 +127,7 @@ def _side_scorer_relative(spark, sf):
     base, cur = _base_model(spark, sf), _current_model(spark, sf)
 
     def score(sides):
-        text = F.concat(F.col("prompt"), F.lit(" "), F.col("text"))
-        j = _both_ppl(base, cur, sides, ["qa_id", "side"], text).join(sides, ["qa_id", "side"])
+        j = _both_ppl(base, cur, sides, ["qa_id", "side"], T.scored_text("prompt", "text", "qa")).join(sides, ["qa_id", "side"])
         hard = T.hard_reward(T.extract_marker("text"), F.col("correct_answer"))
         return j.select("qa_id", "side", R.reward_relative(F.col("base_ppl"), F.col("train_ppl"), hard).alias("reward"))
 
@@ -278,7 +277,7 @@ def q_reward_linear(spark, sf):
 
 
 def _relative(spark, sf):
-    return _both_ppl(_base_model(spark, sf), _current_model(spark, sf), FX.response(spark, sf), ["qa_id", "sample_idx"], _resp_text())
+    return _both_ppl(_base_model(spark, sf), _current_model(spark, sf), FX.response(spark, sf), ["qa_id", "sample_idx"], T.scored_text("prompt", "response", "qa"))
 
 
 @query("baseline_join")
