@@ -1,21 +1,22 @@
 """Search-tree analytics over logged nodes and rollouts.
 
 The search loop itself is not run; its arithmetic over logged tables is:
-paths by level-by-level self joins (depth is small, width is large), reward
-backup by pre-aggregating rollouts per leaf before the path join (the root is
+paths by pointer doubling, reward backup by pre-aggregating rollouts per leaf before the path join (the root is
 on every path), weights by a closed form over prefix counts.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.mathx import round_sig
-from ..session import cut_lineage, materialize
+from ..session import materialize
 from .ordering import blocked_prefix, ordered_index
 
 # --- Fixed values that must equal the reference's ---
@@ -36,53 +37,56 @@ LN = {k: math.log(v) for k, v in WEIGHT_FACTORS.items()}
 LN_FLOOR = math.log(WEIGHT_FLOOR)
 
 
-def node_paths(nodes: DataFrame) -> DataFrame:
-    """One row per (node, ancestor) with depths, plus context and bit string.
+@dataclass
+class Paths:
+    """T2 result: one row per node, and one row of ids per (node, ancestor)."""
+
+    nodes: DataFrame  # node_id, query (the root's token), root columns, depth, context, binary_code
+    ancestors: DataFrame  # node_id, ancestor_id, ancestor_depth, depth, ancestor_bit (null at the root)
+
+
+def node_paths(nodes: DataFrame, root_cols: Sequence[str] = ()) -> Paths:
+    """Path, context and bit string of every node that hangs on a root.
 
-    Columns: node_id, ancestor_id, ancestor_depth, depth, context, binary_code.
     Context of the root is its token; a child's is the parent's context + " " +
     token. The bit string of the root is empty; a child appends its bit.
-    Levels are joined one at a time until one is empty and each level is
-    checkpointed, so the plan does not grow with the depth. A node that is its
-    own ancestor raises an error.
+    There may be many roots; a node whose parent is missing has no path. Every
+    node points up its path and holds the stretch from there to itself; each
+    round joins the stretch its target holds, so stretches double and the
+    rounds are log2 of the depth. Each round's rows are written once. A cycle
+    raises an error. Of ``root_cols`` every node gets its root's value.
     """
-    base = materialize(nodes.select("node_id", "parent_id", "token", "bit"), "tree-nodes")
-    level = base.where(F.col("parent_id").isNull()).select(
-        "node_id", F.lit(0).alias("depth"), F.array("node_id").alias("path"),
-        F.col("token").alias("context"), F.lit("").alias("binary_code"),
+    top = F.col("parent_id").isNull()
+    state = materialize(
+        nodes.select(
+            "node_id", F.col("parent_id").alias("up"), F.array("node_id").alias("path"),
+            F.when(top, F.struct(F.col("token").alias("query"), *root_cols)).alias("root"),
+            F.col("token").alias("context"), F.when(top, F.lit("")).otherwise(F.col("bit")).alias("binary_code"),
+        ),
+        "tree-paths",
     )
-    level = cut_lineage(level)
-    children = base.where(F.col("parent_id").isNotNull())
-    levels = [level]
+    done, rest = state.where("up is null"), state.where("up is not null")
     while True:
-        nxt = children.join(
-            level.select(F.col("node_id").alias("parent_id"), "depth", "path", F.col("context").alias("_pc"), F.col("binary_code").alias("_pb")),
-            "parent_id",
-        ).select(
-            "node_id", (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("node_id")).alias("path"),
-            F.array_contains("path", F.col("node_id")).alias("cycle"),
-            F.concat(F.col("_pc"), F.lit(" "), F.col("token")).alias("context"), F.concat(F.col("_pb"), F.col("bit")).alias("binary_code"),
+        target = done.unionByName(rest).select(F.col("node_id").alias("up"), *[F.col(c).alias(f"_{c}") for c in ("up", "root", "path", "context", "binary_code")])
+        state = materialize(
+            rest.join(target, "up").select(
+                "node_id", F.col("_up").alias("up"), F.concat("_path", "path").alias("path"), F.col("_root").alias("root"),
+                F.concat(F.col("_context"), F.lit(" "), F.col("context")).alias("context"), F.concat("_binary_code", "binary_code").alias("binary_code"),
+                F.array_contains("_path", F.col("node_id")).alias("cycle"),
+            ),
+            "tree-paths",
         )
-        nxt = cut_lineage(nxt)
-        size, cycle = nxt.agg(F.count(F.lit(1)), F.max("cycle")).first()
+        left, cycle = state.agg(F.count("up"), F.max("cycle")).first()
         if cycle:
             raise ValueError("the tree has a cycle")
-        if not size:
+        state = state.drop("cycle")
+        done, rest = done.unionByName(state.where("up is null")), state.where("up is not null")
+        if not left:
             break
-        nxt = nxt.drop("cycle")
-        levels.append(nxt)
-        level = nxt
-    out = levels[0]
-    for lv in levels[1:]:
-        out = out.unionByName(lv)
-    out = out.select("node_id", "depth", "context", "binary_code", F.posexplode("path").alias("ancestor_depth", "ancestor_id"))
-    # Several consumers read the ancestor table; keep one materialized copy.
-    return cut_lineage(out)
-
-
-def node_info(paths: DataFrame) -> DataFrame:
-    """One row per node: depth, context, binary_code (from T2)."""
-    return paths.where(F.col("ancestor_id") == F.col("node_id")).select("node_id", "depth", "context", "binary_code")
+    info = done.select("node_id", "root.*", (F.size("path") - 1).alias("depth"), "context", "binary_code")
+    steps = done.select("node_id", (F.size("path") - 1).alias("depth"), "binary_code", F.posexplode("path").alias("ancestor_depth", "ancestor_id"))
+    bit = F.when(F.col("ancestor_depth") > 0, F.substring("binary_code", F.col("ancestor_depth"), F.lit(1)))
+    return Paths(info, steps.select("node_id", "ancestor_id", "ancestor_depth", "depth", bit.alias("ancestor_bit")))
 
 
 def expand_nodes(candidates: DataFrame, parents: DataFrame) -> DataFrame:
@@ -120,7 +124,7 @@ def token_set(nodes: DataFrame) -> DataFrame:
     )
 
 
-def backup_rewards(nodes: DataFrame, paths: DataFrame, rollouts: DataFrame) -> DataFrame:
+def backup_rewards(nodes: DataFrame, paths: Paths, rollouts: DataFrame) -> DataFrame:
     """Each rollout adds one visit and its reward to every node on its path.
 
     Rollouts are pre-aggregated per leaf (count, exact decimal sum) before the
@@ -129,7 +133,7 @@ def backup_rewards(nodes: DataFrame, paths: DataFrame, rollouts: DataFrame) -> D
     per_leaf = rollouts.groupBy(F.col("leaf_id").alias("node_id")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("reward").cast("decimal(38,12)")).alias("s")
     )
-    up = per_leaf.join(paths.select("node_id", "ancestor_id"), "node_id").groupBy("ancestor_id").agg(
+    up = per_leaf.join(paths.ancestors.select("node_id", "ancestor_id"), "node_id").groupBy("ancestor_id").agg(
         F.sum("n").alias("visits"), F.sum("s").alias("s")
     )
     out = nodes.select("node_id").join(up.withColumnRenamed("ancestor_id", "node_id"), "node_id", "left")
@@ -148,20 +152,18 @@ def parent_join(nodes: DataFrame, stats: DataFrame) -> DataFrame:
     return child.join(parent, "parent_id")
 
 
-def node_weights(nodes: DataFrame, paths: DataFrame, rollouts: DataFrame, digits: int = 10) -> DataFrame:
+def node_weights(nodes: DataFrame, paths: Paths, rollouts: DataFrame, digits: int = 10) -> DataFrame:
     """Weight after all rollouts, in rollout order, without a sequential fold.
 
     Per step the weight is multiplied by a factor and floored at 0.1. With
     S_t the running sum of ln(factor): weight = exp(S_T + max(0, max_t(ln 0.1 - S_t))).
     S_t is built from running counts of the four factor kinds, which are exact
-    in any association order.
+    in any association order. An ancestor's bit is read off the path.
     """
     on_path = (
         rollouts.select(F.col("leaf_id").alias("node_id"), "iter", "reward")
-        .join(paths.select("node_id", "ancestor_id", "ancestor_depth"), "node_id")
-        .where(F.col("ancestor_depth") > 0)
-        .select(F.col("ancestor_id").alias("nid"), "iter", "reward")
-        .join(nodes.select(F.col("node_id").alias("nid"), "bit"), "nid")
+        .join(paths.ancestors.where(F.col("ancestor_depth") > 0), "node_id")
+        .select(F.col("ancestor_id").alias("nid"), "iter", "reward", F.col("ancestor_bit").alias("bit"))
     )
     pos, right = F.col("reward") > 0, F.col("bit") == "1"
     kinds = {
@@ -223,18 +225,20 @@ def top_child(scored: DataFrame, score_col: str) -> DataFrame:
     return best.select("parent_id", (-F.col("b.ni")).alias("node_id"), F.col("b.s").alias(score_col))
 
 
-def best_path(nodes: DataFrame, paths: DataFrame, stats: DataFrame) -> DataFrame:
-    """From the root follow the most visited child (tie: first inserted) to a leaf.
+def best_path(nodes: DataFrame, paths: Paths, stats: DataFrame) -> DataFrame:
+    """From each root follow the most visited child (tie: first inserted) to a leaf.
+
+    ``answer`` is the text so far: the root's context plus the tokens down to the node.
 
     A node is on the path when every non-root node on its own path is the best
     child of its parent: ``bool_and`` over the ancestor table.
     """
     kids = nodes.select("node_id", "parent_id").where(F.col("parent_id").isNotNull()).join(stats.select("node_id", "visits"), "node_id")
     best = top_child(kids, "visits").select("node_id", F.lit(True).alias("is_best"))
-    anc = paths.where(F.col("ancestor_depth") > 0).join(best.withColumnRenamed("node_id", "ancestor_id"), "ancestor_id", "left")
+    anc = paths.ancestors.where(F.col("ancestor_depth") > 0).join(best.withColumnRenamed("node_id", "ancestor_id"), "ancestor_id", "left")
     on = anc.groupBy("node_id").agg(F.bool_and(F.coalesce(F.col("is_best"), F.lit(False))).alias("on_path"))
-    info = node_info(paths).join(nodes.select("node_id", "token"), "node_id")
-    return info.join(on.where("on_path"), "node_id").select("node_id", "depth", "token")
+    info = paths.nodes.join(on.where("on_path"), "node_id").join(nodes.select("node_id", "token"), "node_id")
+    return info.select("node_id", "depth", "token", F.col("context").alias("answer"))
 
 
 def path_reward(info: DataFrame, ppl_reward: DataFrame, terminal: DataFrame) -> DataFrame:
@@ -271,14 +275,15 @@ def teacher_weights(uses: DataFrame, teachers: DataFrame, alpha: float = TEACHER
 
     score_n = (1-a)^n / N + a * sum_i (1-a)^(n-i) r_i over uses i = 1..n in order
     (a low-pass filter started at 1/N); p = (1 - eps) softmax(score) + eps / N.
-    Positions come from ``ordered_index`` (a teacher may hold most of the uses),
-    the sums from one aggregation per teacher, the softmax from one scalar sum.
+    Positions come from ``ordered_index``, counted from a teacher's last use, so
+    each term is known without the count and sums are partial (a teacher may hold
+    most of the uses). The softmax takes one scalar sum.
     """
     n_teachers = teachers.agg(F.count(F.lit(1))).scalar()
-    idx = ordered_index(uses, ["iter"], ["model"], "i")
-    n = idx.groupBy("model").agg(F.count(F.lit(1)).alias("n"))
-    terms = idx.join(n, "model").withColumn("t", F.pow(F.lit(1.0 - alpha), F.col("n") - 1 - F.col("i")) * F.col("reward"))
-    s = terms.groupBy("model").agg(F.sum("t").alias("acc"), F.first("n").alias("n"))
+    idx = ordered_index(uses.withColumn("_back", -F.col("iter")), ["_back"], ["model"], "i")
+    s = idx.groupBy("model").agg(
+        F.sum(F.pow(F.lit(1.0 - alpha), F.col("i")) * F.col("reward")).alias("acc"), F.count(F.lit(1)).alias("n")
+    )
     all_t = teachers.join(s, "model", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     score = F.pow(F.lit(1.0 - alpha), F.col("n")) / n_teachers + F.lit(alpha) * F.coalesce("acc", F.lit(0.0))
     all_t = all_t.withColumn("score", F.round(score, 12))

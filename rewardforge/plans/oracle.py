@@ -49,6 +49,10 @@ where u.role = 'user' and a.role = 'assistant'""",
     "tree_node": r"""select p_partkey as node_id,
   case when p_partkey = 0 then null else cast(floor((p_partkey - 1) / 6.0) as bigint) end as parent_id,
   p_name as token, case when p_size % 3 = 0 then '0' else '1' end as bit, p_brand as model
+from part""",
+    "forest_node": r"""select p_partkey as node_id,
+  case when p_partkey >= 8 then cast(floor((p_partkey - 8) / 6.0) as bigint) end as parent_id,
+  p_name as token, case when p_size % 3 = 0 then '0' else '1' end as bit, p_brand as model
 from part""",
     "rollout": r"""select o_orderkey as iter, o_custkey % (select count(*) from part) as leaf_id,
   o_totalprice / 100000.0 - 2.0 as reward

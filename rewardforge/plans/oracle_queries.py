@@ -393,13 +393,14 @@ def round_sig(x: str, digits: int = 10) -> str:
 
 
 PATHS = [
-    ("p0", """select node_id, 0 as depth, [node_id] as path, token as context, '' as binary_code from tree_node where parent_id is null
+    ("p0", """select node_id, 0 as depth, [node_id] as path, token as context, '' as binary_code, token as query from tree_node where parent_id is null
   union all
-  select t.node_id, p0.depth + 1, list_append(p0.path, t.node_id), p0.context || ' ' || t.token, p0.binary_code || t.bit
+  select t.node_id, p0.depth + 1, list_append(p0.path, t.node_id), p0.context || ' ' || t.token, p0.binary_code || t.bit, p0.query
   from tree_node t join p0 on t.parent_id = p0.node_id"""),
     ("paths", "select node_id, depth, context, binary_code, unnest(path) as ancestor_id, generate_subscripts(path, 1) - 1 as ancestor_depth from p0"),
-    ("ninfo", "select node_id, depth, context, binary_code from p0"),
+    ("ninfo", "select node_id, depth, context, binary_code, query, path[1] as root_id from p0"),
 ]
+FOREST = [("tree_node", "select * from forest_node")]
 STATS = [
     ("per_leaf", "select leaf_id as node_id, count(*) as n, sum(cast(reward as decimal(38,12))) as s from rollout group by leaf_id"),
     ("up", "select a.ancestor_id as node_id, sum(l.n) as visits, sum(l.s) as s from per_leaf l join paths a on l.node_id = a.node_id group by a.ancestor_id"),
@@ -456,19 +457,25 @@ TREE_ALL = PATHS + STATS + WEIGHTS + [UCB]
 sql("node_paths", with_fixtures(["tree_node"], "select node_id, ancestor_id, ancestor_depth, depth from paths", PATHS, recursive=True))
 sql("expand_nodes", with_fixtures(["tree_node"], """select g.parent_id, g.token, g.place, g.winner_seq, t.bit, t.model,
   i.context || ' ' || g.token as context, i.binary_code || t.bit as binary_code
-from (select parent_id, token, min(node_id) as place, max(node_id) as winner_seq from tree_node where parent_id is not null group by parent_id, token) g
+from (select parent_id, token, max(case when first = 1 then node_id end) as place, max(case when last = 1 then node_id end) as winner_seq
+      from (select *, row_number() over (partition by parent_id, token order by model, dir_rank, node_id) as first,
+              row_number() over (partition by parent_id, token order by model desc, dir_rank desc, node_id desc) as last
+            from (select *, case when bit = '1' then 0 else 1 end as dir_rank from tree_node where parent_id is not null) a) b
+      group by parent_id, token) g
 join tree_node t on t.node_id = g.winner_seq join ninfo i on i.node_id = g.parent_id""", PATHS, recursive=True))
 sql("candidate_union", with_fixtures(["tree_node"], """select parent_id, model, bit, token, node_id, 0 as dir_rank from tree_node where parent_id is not null and bit = '1'
 union all select parent_id, model, bit, token, node_id, 1 from tree_node where parent_id is not null and bit = '0'"""))
 sql("token_set", with_fixtures(["tree_node"], """select distinct parent_id, case when bit = '1' then 'right' else 'wrong' end as direction, model, token
 from tree_node where parent_id is not null"""))
-sql("prompt_fill", with_fixtures(["tree_node"], """select r.parent_id, r.model, r.bit,
+PROMPT_FILL = """select r.parent_id, r.model, r.bit,
   replace(replace('Question: [Insert your query here]' || chr(10) || 'So far: [Insert your context here]' || chr(10) || 'Next token:',
-                  '[Insert your query here]', (select min(context) from ninfo where depth = 0)), '[Insert your context here]', i.context)
+                  '[Insert your query here]', i.query), '[Insert your context here]', i.context)
   || case when len(r.taken) > 0 then 'You must also ensure that the generated token is not from this array: ['
        || array_to_string(list_transform(r.taken, lambda t: '''' || t || ''''), ', ') || ']' else '' end as prompt_text
 from (select parent_id, model, bit, list_sort(array_agg(distinct token)) as taken from tree_node where parent_id is not null group by all) r
-join ninfo i on i.node_id = r.parent_id""", PATHS, recursive=True))
+join ninfo i on i.node_id = r.parent_id"""
+sql("prompt_fill", with_fixtures(["tree_node"], PROMPT_FILL, PATHS, recursive=True))
+sql("prompt_fill_forest", with_fixtures(["forest_node"], PROMPT_FILL, FOREST + PATHS, recursive=True))
 sql("backup_rewards", with_fixtures(["tree_node", "rollout"], "select node_id, visits, total_reward, avg_reward from stats", PATHS + STATS, recursive=True))
 sql("parent_join", with_fixtures(["tree_node", "rollout"], "select node_id, parent_id, visits, parent_visits from pj", PATHS + STATS, recursive=True))
 sql("node_weights", with_fixtures(["tree_node", "rollout"], "select node_id, weight from weights", PATHS + WEIGHTS, recursive=True))
@@ -477,25 +484,29 @@ sql("combined_score", with_fixtures(["tree_node", "rollout"], "select * from com
 sql("top_child", with_fixtures(["tree_node", "rollout"], """select parent_id, node_id, combined from (
   select *, row_number() over (partition by parent_id order by combined desc, node_id) as rn from combined) x where rn = 1""",
     TREE_ALL + COMBINED, recursive=True))
-sql("best_path", with_fixtures(["tree_node", "rollout"], """select i.node_id, i.depth, t.token from ninfo i join tree_node t on i.node_id = t.node_id
+BEST_PATH = """select i.node_id, i.depth, t.token, i.context as answer from ninfo i join tree_node t on i.node_id = t.node_id
 join (select a.node_id from paths a left join best b on a.ancestor_id = b.node_id where a.ancestor_depth > 0
-      group by a.node_id having bool_and(coalesce(b.is_best, false))) o on o.node_id = i.node_id""",
-    PATHS + STATS + [("best", """select node_id, true as is_best from (
+      group by a.node_id having bool_and(coalesce(b.is_best, false))) o on o.node_id = i.node_id"""
+BEST = ("best", """select node_id, true as is_best from (
   select c.node_id, row_number() over (partition by c.parent_id order by s.visits desc, c.node_id) as rn
-  from tree_node c join stats s on c.node_id = s.node_id where c.parent_id is not null) x where rn = 1""")], recursive=True))
-sql("path_reward", with_fixtures(["tree_node"], f"""select i.node_id, i.depth + 1 as path_len,
-  (length(i.binary_code) - length(replace(i.binary_code, '1', ''))) * 1.0::double
-    + (length(i.binary_code) - (length(i.binary_code) - length(replace(i.binary_code, '1', '')))) * (-0.5)::double as direction_reward,
-  coalesce(round((r.root - p.ppl) / (r.root + 1e-8), 6), 0.0) as ppl_reward,
-  coalesce(case when j.node_id is not null then {hard(marker('i.context'), '0.0')} end, 0.0) as terminal_reward,
-  round(coalesce(round((r.root - p.ppl) / (r.root + 1e-8), 6), 0.0) + (-0.1)::double * (i.depth + 1)
-    + ((length(i.binary_code) - length(replace(i.binary_code, '1', ''))) * 1.0::double
-       + (length(i.binary_code) - (length(i.binary_code) - length(replace(i.binary_code, '1', '')))) * (-0.5)::double)
-    + coalesce(case when j.node_id is not null then {hard(marker('i.context'), '0.0')} end, 0.0), 6) as path_reward
-from ninfo i left join nppl p on i.node_id = p.node_id
-left join (select p_partkey as node_id from part where p_size > 40) j on j.node_id = i.node_id,
-(select min(n.ppl) as root from nppl n join ninfo z on n.node_id = z.node_id where z.depth = 0) r""",
-    PATHS + model_ctes("tctx", "ninfo", "context") + score_ctes("nppl", "tctx", "ninfo", "node_id", "context"), recursive=True))
+  from tree_node c join stats s on c.node_id = s.node_id where c.parent_id is not null) x where rn = 1""")
+sql("best_path", with_fixtures(["tree_node", "rollout"], BEST_PATH, PATHS + STATS + [BEST], recursive=True))
+sql("best_path_forest", with_fixtures(["forest_node", "rollout"], BEST_PATH, FOREST + PATHS + STATS + [BEST], recursive=True))
+_ONES = "(length(i.binary_code) - length(replace(i.binary_code, '1', '')))"
+PATH_REWARD = f"""select node_id, path_len, direction_reward, ppl_reward, terminal_reward,
+  round(ppl_reward + (-0.1)::double * path_len + direction_reward + terminal_reward, 6) as path_reward
+from (select i.node_id, i.depth + 1 as path_len,
+    {_ONES} * 1.0::double + (length(i.binary_code) - {_ONES}) * (-0.5)::double as direction_reward,
+    coalesce(round((g.ppl - p.ppl) / (g.ppl + 1e-8), 6), 0.0) as ppl_reward,
+    case when j.p_size > 40 then {hard(marker('i.context'), 'cast(r.p_size as double)')} else 0.0::double end as terminal_reward
+  from ninfo i left join nppl p on i.node_id = p.node_id left join gppl g on i.root_id = g.node_id
+  join part r on r.p_partkey = i.root_id join part j on j.p_partkey = i.node_id) x"""
+PATH_SCORES = [
+    ("ntext", "select node_id, query || ' ' || context as scored from ninfo"),
+    ("gtext", "select t.node_id, t.token || ' #### ' || cast(p.p_size as bigint) as scored from tree_node t join part p on p.p_partkey = t.node_id where t.parent_id is null"),
+] + model_ctes("tctx", "tree_node", "token") + score_ctes("nppl", "tctx", "ntext", "node_id", "scored") + score_ctes("gppl", "tctx", "gtext", "node_id", "scored")
+sql("path_reward", with_fixtures(["tree_node"], PATH_REWARD, PATHS + PATH_SCORES, recursive=True))
+sql("path_reward_forest", with_fixtures(["forest_node"], PATH_REWARD, FOREST + PATHS + PATH_SCORES, recursive=True))
 sql("seeded_pick", with_fixtures(["tree_node"], """select parent_id, node_id from (
   select parent_id, node_id, row_number() over (partition by parent_id order by md5('3407:' || cast(parent_id as varchar) || ':' || cast(node_id as varchar))) as rn
   from tree_node where parent_id is not null) x where rn = 1"""))

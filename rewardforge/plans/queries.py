@@ -228,8 +228,8 @@ def q_completion_filter(spark, sf):
 @query("pad_batches")
 def q_pad_batches(spark, sf):
     samples = _samples(spark, sf)
-    b = S.batch_assign(samples.select("qa_id"), F.col("qa_id"), epochs=1, batch_size=4)
-    b = b.join(P.rl_prompts(samples).join(samples.select("qa_id", "chosen"), "qa_id"), "qa_id")
+    texts = samples.select("qa_id", F.col("prompt").alias("query"), "chosen")  # P10 with the text to pad
+    b = S.batch_assign(texts, F.col("qa_id"), epochs=1, batch_size=4)
     b = b.withColumn("q_tok", T.tokens("query")).withColumn("r_tok", T.tokens("chosen"))
     p = P.pad_batches(b, ["epoch", "batch_id"], ["q_tok", "r_tok"], "<pad>")
     return p.select(
@@ -382,9 +382,7 @@ def q_preference_loss_summary(spark, sf):
 
 # ---------------- 2.5 / 2.7 metric logs ----------------
 def _gated(spark, sf):
-    from ..session import cut_lineage
-
-    return cut_lineage(E.eval_gate(FX.metric_log(spark, sf), E.EVAL_EVERY_FULL))
+    return E.eval_gate(FX.metric_log(spark, sf), E.EVAL_EVERY_FULL)
 
 
 @query("eval_gate")
@@ -500,14 +498,17 @@ def _combined(spark, sf):
 @query("node_paths")
 def q_node_paths(spark, sf):
     _, paths = _tree(spark, sf)
-    return paths.select("node_id", "ancestor_id", "ancestor_depth", "depth")
+    return paths.ancestors.select("node_id", "ancestor_id", "ancestor_depth", "depth")
 
 
 @query("expand_nodes")
 def q_expand_nodes(spark, sf):
     nodes, paths = _tree(spark, sf)
-    cand = nodes.where(F.col("parent_id").isNotNull()).select("parent_id", "token", "bit", "model", F.col("node_id").alias("seq"))
-    return TR.expand_nodes(cand, TR.node_info(paths))
+    # insertion order: teachers in order, each one's right tokens before its wrong ones
+    order = F.struct("model", "dir_rank", "node_id").alias("seq")
+    cand = TR.candidate_union(nodes).select("parent_id", "token", "bit", "model", order)
+    out = TR.expand_nodes(cand, paths.nodes)
+    return out.withColumn("place", F.col("place.node_id")).withColumn("winner_seq", F.col("winner_seq.node_id"))
 
 
 @query("candidate_union")
@@ -520,16 +521,23 @@ def q_token_set(spark, sf):
     return TR.token_set(FX.tree_node(spark, sf))
 
 
-@query("prompt_fill")
-def q_prompt_fill(spark, sf):
-    nodes, paths = _tree(spark, sf)
-    info = TR.node_info(paths)
-    root_ctx = info.where(F.col("depth") == 0).agg(F.min("context")).scalar()
+def _prompt_fill(nodes):
+    info = TR.node_paths(nodes).nodes
     req = nodes.where(F.col("parent_id").isNotNull()).groupBy("parent_id", "model", "bit").agg(F.collect_set("token").alias("taken"))
-    req = req.join(info.select(F.col("node_id").alias("parent_id"), "context"), "parent_id").withColumn("query", root_ctx)
+    req = req.join(info.select(F.col("node_id").alias("parent_id"), "query", "context"), "parent_id")
     return P.prompt_fill(req, NODE_PROMPT_TEMPLATE, "query", "context", "taken").select("parent_id", "model", "bit", "prompt_text")
 
 
+@query("prompt_fill")
+def q_prompt_fill(spark, sf):
+    return _prompt_fill(FX.tree_node(spark, sf))
+
+
+@query("prompt_fill_forest")
+def q_prompt_fill_forest(spark, sf):
+    return _prompt_fill(FX.forest_node(spark, sf))
+
+
 @query("backup_rewards")
 def q_backup_rewards(spark, sf):
     nodes, paths = _tree(spark, sf)
@@ -570,21 +578,38 @@ def q_best_path(spark, sf):
     return TR.best_path(nodes, paths, _stats(spark, sf, nodes, paths))
 
 
-@query("path_reward")
-def q_path_reward(spark, sf):
-    nodes, paths = _tree(spark, sf)
-    info = TR.node_info(paths)
-    model = NG.fit_bigram(info, "context")
-    from ..session import cut_lineage
+@query("best_path_forest")
+def q_best_path_forest(spark, sf):
+    nodes = FX.forest_node(spark, sf)
+    paths = TR.node_paths(nodes)
+    return TR.best_path(nodes, paths, _stats(spark, sf, nodes, paths))
+
 
-    ppl = cut_lineage(NG.score_perplexity(model, info, ["node_id"], F.col("context")))
-    root_ppl = ppl.join(info.where(F.col("depth") == 0).select("node_id"), "node_id").agg(F.min("ppl")).scalar()
-    pr = ppl.select("node_id", R.reward_vs_gold(root_ppl, F.col("ppl")).alias("ppl_reward"))
+def _path_reward(spark, sf, nodes):
+    model = NG.fit_bigram(nodes, "token")
+    nodes = nodes.join(FX.tree_gold(spark, sf), "node_id")
+    # the baseline of a tree: its query with the gold answer
+    roots = nodes.where(F.col("parent_id").isNull())
+    base = NG.score_perplexity(model, roots, ["node_id"], F.concat(F.col("token"), F.lit(" "), F.col("gold_text")))
+    nodes = nodes.join(base.select("node_id", F.col("ppl").alias("base_ppl")), "node_id", "left")
+    info = TR.node_paths(nodes, ["gold", "base_ppl"]).nodes
+    ppl = NG.score_perplexity(model, info, ["node_id", "base_ppl"], F.concat(F.col("query"), F.lit(" "), F.col("context")))
+    pr = ppl.select("node_id", R.reward_vs_gold(F.col("base_ppl"), F.col("ppl")).alias("ppl_reward"))
     judged = FX.node_judge(spark, sf).where(F.col("output") == "1").join(info, "node_id")
-    term = judged.select("node_id", T.hard_reward(T.extract_marker("context"), F.lit(0.0)).alias("terminal_reward"))
+    term = judged.select("node_id", T.hard_reward(T.extract_marker("context"), F.col("gold")).alias("terminal_reward"))
     return TR.path_reward(info, pr, term)
 
 
+@query("path_reward")
+def q_path_reward(spark, sf):
+    return _path_reward(spark, sf, FX.tree_node(spark, sf))
+
+
+@query("path_reward_forest")
+def q_path_reward_forest(spark, sf):
+    return _path_reward(spark, sf, FX.forest_node(spark, sf))
+
+
 @query("seeded_pick")
 def q_seeded_pick(spark, sf):
     kids = FX.tree_node(spark, sf).where(F.col("parent_id").isNotNull())

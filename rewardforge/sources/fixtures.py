@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.keyed import per_key
 from ..operators.ordering import ordered_index
-from ..session import cut_lineage
 from .tables import read_table
 
 
@@ -75,13 +75,12 @@ def token_logprob(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logged per-token log-probabilities: sample_id, pos (1-based), logp_train, logp_base."""
     ev = read_table(spark, sf_dir, "events", "event_id", "ts", "user_id")
     ev = ordered_index(ev, ["ts", "event_id"], ["user_id"], "idx")
-    # read by several consumers in one query: materialize once
-    return cut_lineage(ev.select(
+    return ev.select(
         F.col("user_id").alias("sample_id"),
         (F.col("idx") + 1).alias("pos"),
         (-(1 + (F.col("event_id") * 7919 % 128) / 32.0)).cast("double").alias("logp_train"),
         (-(1 + (F.col("event_id") * 104729 % 128) / 32.0)).cast("double").alias("logp_base"),
-    ))
+    )
 
 
 def metric_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,15 +90,15 @@ def metric_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     ev = ordered_index(ev, ["ts", "event_id"], ["reward_type"], "idx")
     counts = ev.groupBy("reward_type").agg(F.count(F.lit(1)).alias("mx"))
-    b = ev.join(counts, "reward_type").withColumn("step", F.col("idx") + 1)
-    return cut_lineage(b.select(
+    b = ev.withColumn("mx", per_key(counts, ["reward_type"], "mx")).withColumn("step", F.col("idx") + 1)
+    return b.select(
         "reward_type",
         (F.col("step") * 100).alias("step"),
         F.when(F.col("step") == F.col("mx"), F.col("value") / 100.0).otherwise(F.lit(0.0)).cast("double").alias("loss"),
         ((F.col("event_id") * 7919 % 21) / 20.0).cast("double").alias("accuracy"),
         F.when(F.col("event_id") % 10 == 0, F.lit(None)).otherwise(F.lit(2.0) + F.col("value") / 1000.0).cast("double").alias("perplexity"),
         "ts",
-    ))
+    )
 
 
 def chat_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,6 +135,25 @@ def tree_node(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+FOREST_ROOTS = 8
+
+
+def forest_node(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same nodes as ``FOREST_ROOTS`` trees (our fixture for tables of many trees)."""
+    nodes = tree_node(spark, sf_dir)
+    up = F.floor((F.col("node_id") - FOREST_ROOTS) / 6.0).cast("bigint")
+    return nodes.withColumn("parent_id", F.when(F.col("node_id") >= FOREST_ROOTS, up))
+
+
+def tree_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gold answer of the question a node would be the root of: node_id, gold, gold_text (our fixture for T6)."""
+    part = read_table(spark, sf_dir, "part", "p_partkey", "p_size")
+    return part.select(
+        F.col("p_partkey").alias("node_id"), F.col("p_size").cast("double").alias("gold"),
+        F.concat(F.lit("#### "), _s(F.col("p_size").cast("bigint"))).alias("gold_text"),
+    )
+
+
 def rollout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logged rollouts: iter, leaf_id, reward."""
     orders = read_table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_totalprice")

@@ -34,7 +34,7 @@ def test_deep_tree_and_cycle(spark):
     chain = [(i, None if i == 0 else i - 1, f"t{i}", "0") for i in range(6)]
     schema = "node_id long, parent_id long, token string, bit string"
     paths = TR.node_paths(spark.createDataFrame(chain, schema))
-    assert paths.where("node_id = 5").count() == 6
+    assert paths.ancestors.where("node_id = 5").count() == 6
     with pytest.raises(ValueError):
         TR.node_paths(spark.createDataFrame([*chain, (1, 4, "again", "1")], schema))
 

@@ -31,7 +31,7 @@ def path_of(parent, n):
 def test_paths(tree):
     _, _, paths, parent, _, _ = tree
     got = defaultdict(list)
-    for r in paths.collect():
+    for r in paths.ancestors.collect():
         got[r.node_id].append((r.ancestor_depth, r.ancestor_id))
     for n in parent:
         assert [a for _, a in sorted(got[n])] == path_of(parent, n)
