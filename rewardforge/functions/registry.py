@@ -50,22 +50,26 @@ def register(name: str, fn: ColumnEvaluator) -> None:
     _REGISTRY[name] = fn
 
 
-def register_python(name: str, fn: Callable[[str, str, float], float], fallback: float = HARD_FALLBACK) -> None:
-    """Add a Python evaluator ``fn(prompt, response, correct_answer) -> float``.
+def register_python(name: str, fn: Callable[[pd.Series, pd.Series, pd.Series], pd.Series | float], fallback: float = HARD_FALLBACK) -> None:
+    """Add a Python evaluator ``fn(prompts, responses, correct_answers) -> rewards``
+    over the Series of a batch (an Arrow pandas UDF).
 
-    It runs as an Arrow pandas UDF over batches; a failing row gets ``fallback``
-    (the reference catches every error and returns a constant).
+    A batch that fails is halved until only the failing rows are left; these get
+    ``fallback`` (the reference catches every error and returns a constant).
     """
 
+    def score(p: pd.Series, r: pd.Series, g: pd.Series) -> pd.Series:
+        try:
+            return pd.Series(fn(p, r, g), index=p.index, dtype="float64")
+        except Exception:  # noqa: BLE001 - the reference's catch-all
+            if len(p) <= 1:
+                return pd.Series(fallback, index=p.index, dtype="float64")
+            half = len(p) // 2
+            return pd.concat([score(p[:half], r[:half], g[:half]), score(p[half:], r[half:], g[half:])])
+
     @F.pandas_udf(ST.DoubleType())
     def udf(p: pd.Series, r: pd.Series, g: pd.Series) -> pd.Series:
-        out = []
-        for a, b, c in zip(p, r, g):
-            try:
-                out.append(float(fn(a, b, c)))
-            except Exception:  # noqa: BLE001 - the reference's catch-all
-                out.append(fallback)
-        return pd.Series(out, dtype="float64")
+        return score(p, r, g)
 
     _REGISTRY[name] = lambda prompt, resp, gold: F.coalesce(udf(prompt, resp, gold), F.lit(fallback))
     _PYTHON.add(name)

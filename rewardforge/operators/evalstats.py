@@ -48,12 +48,15 @@ def response_gold_join(responses: DataFrame, qa: DataFrame, keep_split: bool = T
     return responses.join(gold, "qa_id")
 
 
-def scored_responses(responses: DataFrame, qa: DataFrame) -> DataFrame:
-    """J2 + P3 + P4 + P5: both readers and their hard rewards per response."""
+def scored_responses(responses: DataFrame, qa: DataFrame, include_prompt: bool = False) -> DataFrame:
+    """J2 + P3 + P4 + P5: both readers and their hard rewards per response.
+
+    ``include_prompt`` reads the answer out of prompt and response, as the
+    reference does for decoded text (note Q13).
+    """
     j = response_gold_join(responses, qa)
-    p = j.withColumn("pred_marker", T.extract_marker("response")).withColumn(
-        "pred_cascade", T.extract_cascade("response")
-    )
+    text = T.scored_text("prompt", "response") if include_prompt else F.col("response")
+    p = j.withColumn("pred_marker", T.extract_marker(text)).withColumn("pred_cascade", T.extract_cascade(text))
     gold = F.col("correct_answer")
     return (
         p.withColumn("hard_marker", T.hard_reward(F.col("pred_marker"), gold))

@@ -152,14 +152,23 @@ def parent_join(nodes: DataFrame, stats: DataFrame) -> DataFrame:
     return child.join(parent, "parent_id")
 
 
-def node_weights(nodes: DataFrame, paths: Paths, rollouts: DataFrame, digits: int = 10) -> DataFrame:
+def node_weights(nodes: DataFrame, paths: Paths, rollouts: DataFrame, digits: int = 10, init: str = "one") -> DataFrame:
     """Weight after all rollouts, in rollout order, without a sequential fold.
 
     Per step the weight is multiplied by a factor and floored at 0.1. With
     S_t the running sum of ln(factor): weight = exp(S_T + max(0, max_t(ln 0.1 - S_t))).
     S_t is built from running counts of the four factor kinds, which are exact
-    in any association order. An ancestor's bit is read off the path.
+    in any association order. An ancestor's bit is read off the path. A node
+    starts at 1; with ``init="uniform"`` at 1 / its number of siblings (itself
+    included; note Q12), which stands in the formula as ln(start) for the 0.
     """
+    if init == "uniform":
+        kids = nodes.where(F.col("parent_id").isNotNull()).groupBy("parent_id").agg((F.lit(1.0) / F.count(F.lit(1))).alias("start"))
+        starts = nodes.select("node_id", "parent_id").join(kids, "parent_id", "left").select("node_id", F.coalesce("start", F.lit(WEIGHT_START)).alias("start"))
+    elif init == "one":
+        starts = nodes.select("node_id", F.lit(WEIGHT_START).alias("start"))
+    else:
+        raise ValueError(init)
     on_path = (
         rollouts.select(F.col("leaf_id").alias("node_id"), "iter", "reward")
         .join(paths.ancestors.where(F.col("ancestor_depth") > 0), "node_id")
@@ -178,8 +187,11 @@ def node_weights(nodes: DataFrame, paths: Paths, rollouts: DataFrame, digits: in
         *[F.sum(f"k_{k}").alias(f"t_{k}") for k in kinds],
     )
     s_total = sum((F.col(f"t_{k}") * F.lit(LN[k]) for k in kinds), F.lit(0.0))
-    w = agg.select(F.col("nid").alias("node_id"), round_sig(F.exp(s_total + F.greatest(F.lit(0.0), F.col("m"))), digits).alias("weight"))
-    return nodes.select("node_id").join(w, "node_id", "left").select("node_id", F.coalesce("weight", F.lit(WEIGHT_START)).alias("weight"))
+    w = starts.join(agg.select(F.col("nid").alias("node_id"), "m", s_total.alias("s_total")), "node_id", "left")
+    # ln(1) is 0, also where the engines' logarithms differ in the last bit
+    ln_start = F.when(F.col("start") == 1.0, F.lit(0.0)).otherwise(F.log("start"))
+    grown = round_sig(F.exp(F.col("s_total") + F.greatest(ln_start, F.col("m"))), digits)
+    return w.select("node_id", F.coalesce(grown, round_sig(F.col("start"), digits)).alias("weight"))
 
 
 def ucb_score(joined: DataFrame, c: float = UCB_C, digits: int = 10) -> DataFrame:

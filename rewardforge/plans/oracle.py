@@ -7,7 +7,16 @@ expressions as ``rewardforge.functions.text`` in SQL.
 
 from __future__ import annotations
 
-from ..functions.text import CASCADE_PATTERNS, GOLD_MARKER_PATTERN, NUMBER_PATTERN
+# --- Fixed values that must equal the reference's, stated here anew so that the
+# oracle does not take them from the code it checks ---
+GOLD_MARKER_PATTERN = r"####\s*(-?\d+(?:\.\d+)?)"
+NUMBER_PATTERN = r"(-?\d+(?:\.\d+)?)"
+CASCADE_PATTERNS = (
+    r"(?:the answer is|answer:|equals?|=)\s*(-?\d+(?:\.\d+)?)",
+    r"(-?\d+(?:\.\d+)?)\s*$",
+    r"=\s*(-?\d+(?:\.\d+)?)",
+)
+# --- end of fixed values ---
 
 FIXTURE_SQL: dict[str, str] = {
     "qa": r"""select l_orderkey as qa_id,
@@ -71,7 +80,8 @@ def with_fixtures(names: list[str], body: str, extra: list[tuple[str, str]] = ()
                 order.append(d)
         if n not in order:
             order.append(n)
-    ctes = [f"{n} as (\n{FIXTURE_SQL[n]}\n)" for n in order] + [f"{n} as (\n{s}\n)" for n, s in extra]
+    # a table read more than once is computed once (the recursive one always is)
+    ctes = [f"{n} as {'' if n == 'p0' else 'materialized '}(\n{s}\n)" for n, s in [(n, FIXTURE_SQL[n]) for n in order] + list(extra)]
     return ("with recursive " if recursive else "with ") + ",\n".join(ctes) + "\n" + body
 
 

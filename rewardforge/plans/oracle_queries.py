@@ -69,30 +69,26 @@ from (select *, cast(correct_answer as varchar) as g, cast(wrong_answer as varch
 )
 
 
-def bigram_ctes(prefix: str, source: str, id_cols: str, text_expr: str, max_len: int | None) -> list[tuple[str, str]]:
-    """Token rows and adjacent-token pairs of texts (positions 2..max_len)."""
-    lim = f" and b.pos <= {max_len}" if max_len else ""
-    ids_a = ", ".join(f"a.{c.strip()}" for c in id_cols.split(","))
-    on = " and ".join(f"a.{c.strip()} = b.{c.strip()}" for c in id_cols.split(","))
+def bigram_ctes(prefix: str, source: str, id_cols: str, text_expr: str) -> list[tuple[str, str]]:
+    """Token lists and adjacent-token pairs of texts."""
     return [
         (f"{prefix}_t", f"select {id_cols}, {toks(text_expr)} as t from {source}"),
-        (f"{prefix}_tok", f"select {id_cols}, unnest(t) as tok, generate_subscripts(t, 1) as pos from {prefix}_t"),
-        (f"{prefix}_bg", f"select {ids_a}, a.tok as prev, b.tok as tok from {prefix}_tok a join {prefix}_tok b on {on} and b.pos = a.pos + 1{lim}"),
+        (f"{prefix}_bg", f"select {id_cols}, unnest(t[1:len(t) - 1]) as prev, unnest(t[2:len(t)]) as tok from {prefix}_t where len(t) > 1"),
     ]
 
 
 def model_ctes(name: str, source: str, text_col: str) -> list[tuple[str, str]]:
-    return bigram_ctes(name, f"(select row_number() over () as rid, {text_col} as txt from {source})", "rid", "txt", None) + [
+    return bigram_ctes(name, f"(select row_number() over () as rid, {text_col} as txt from {source})", "rid", "txt") + [
         (f"{name}_pairs", f"select prev, tok, count(*) as c_pair from {name}_bg group by prev, tok"),
         (f"{name}_ctx", f"select prev, cast(sum(c_pair) as bigint) as c_ctx from {name}_pairs group by prev"),
-        (f"{name}_v", f"select count(distinct tok) as v from {name}_tok"),
+        (f"{name}_v", f"select count(distinct tok) as v from (select unnest(t) as tok from {name}_t) x"),
     ]
 
 
 def score_ctes(name: str, model: str, source: str, id_cols: str, text_expr: str) -> list[tuple[str, str]]:
     ids = ", ".join(f"s.{c.strip()}" for c in id_cols.split(","))
     on = " and ".join(f"s.{c.strip()} = g.{c.strip()}" for c in id_cols.split(","))
-    return bigram_ctes(name, source, id_cols, text_expr, None) + [
+    return bigram_ctes(name, source, id_cols, text_expr) + [
         (f"{name}_lp", f"""select g.*, ln((coalesce(p.c_pair, 0)::double + 1.0) / (coalesce(c.c_ctx, 0)::double + 1.0 * ((select v from {model}_v) + 1))) as lp
 from {name}_bg g left join {model}_pairs p on g.prev = p.prev and g.tok = p.tok left join {model}_ctx c on g.prev = c.prev"""),
         (name, f"""select {ids}, count(g.lp) as n_pred, round(exp(-avg(g.lp)), 6) as ppl
@@ -376,7 +372,13 @@ union all select reward_type || '/loss', step, loss from gated where evaluated""
 
 # ---------------- 2.8 tree ----------------
 
-from ..operators.tree import LN, LN_FLOOR  # noqa: E402
+import math  # noqa: E402
+
+# --- Fixed values that must equal the reference's: factors for a right and a wrong
+# bit after a positive reward, then for a wrong and a right bit after any other; the floor ---
+LN = {"pos_right": math.log(1.1), "pos_wrong": math.log(0.95), "neg_wrong": math.log(0.8), "neg_right": math.log(0.98)}
+LN_FLOOR = math.log(0.1)
+# --- end of fixed values ---
 
 
 def dbl(x: float) -> str:
@@ -533,7 +535,7 @@ from documents d left join (select doc_id, quality - toxic as shift from labels)
 def gram_rows(side: str, col: str) -> str:
     return f"""select conv_id, turn, 1 as n, g from (select conv_id, turn, unnest({toks(col)}) as g from chat_pair) u
 union all
-select a.conv_id, a.turn, 2, a.tok || ' ' || b.tok from {side}_tok a join {side}_tok b on a.conv_id = b.conv_id and a.turn = b.turn and b.pos = a.pos + 1"""
+select conv_id, turn, 2, prev || ' ' || tok from {side}_bg"""
 
 
 sql("rouge_overlap", with_fixtures(["chat_pair"], """select b.conv_id, b.turn, b.n, cast(coalesce(m.match, 0) as bigint) as match,
@@ -552,7 +554,7 @@ left join (select r.conv_id, r.turn, r.n, sum(least(r.c, c.c)) as match from rc
   on b.conv_id = m.conv_id and b.turn = m.turn and b.n = m.n
 left join (select conv_id, turn, n, sum(c) as tot from rc group by all) r on b.conv_id = r.conv_id and b.turn = r.turn and b.n = r.n
 left join (select conv_id, turn, n, sum(c) as tot from cc group by all) c on b.conv_id = c.conv_id and b.turn = c.turn and b.n = c.n""",
-    bigram_ctes("rr", "chat_pair", "conv_id, turn", "prompt", None) + bigram_ctes("cr", "chat_pair", "conv_id, turn", "response", None) + [
+    bigram_ctes("rr", "chat_pair", "conv_id, turn", "prompt") + bigram_ctes("cr", "chat_pair", "conv_id, turn", "response") + [
         ("rg", gram_rows("rr", "prompt")), ("cg", gram_rows("cr", "response")),
         ("rc", "select conv_id, turn, n, g, count(*) as c from rg group by all"),
         ("cc", "select conv_id, turn, n, g, count(*) as c from cg group by all"),
@@ -560,19 +562,48 @@ left join (select conv_id, turn, n, sum(c) as tot from cc group by all) c on b.c
 
 
 # ---------------- 2.9 / 2.10 ----------------
-from ..functions.text import NUMBER_PATTERN  # noqa: E402
+from .oracle import NUMBER_PATTERN  # noqa: E402
 
 sql("stream_running_best", with_fixtures(["metric_log"], """select reward_type, max(step) as latest_step, arg_max(accuracy, step) as latest_accuracy,
   greatest(0.0, max(case when evaluated then accuracy end)) as best_accuracy, count(*) as n_records
 from gated group by reward_type""", [GATED]))
 sql("stream_reward_window", """select ws as window_start, ws + 3600 as window_end, count(*) as n,
-  cast(sum(cast(value as decimal(38,12))) as double) / count(*) as mean_reward
+  cast(sum(cast(value as decimal(38,12))) as double) / count(*) as mean_reward,
+  (ws + 3600) * 1000000 <= (select epoch_us(max(ts)) from events) - 600 * 1000000 as closed
 from (select *, cast(floor(epoch(ts) / 3600) as bigint) * 3600 as ws from events) e
-where (ws + 3600) * 1000000 <= (select epoch_us(max(ts)) from events) - 600 * 1000000
 group by ws""")
 sql("stream_hard_reward", with_fixtures(["response"], "select qa_id, sample_idx, model, correct_answer, pred_marker, hard_marker from scored_h",
                                         [SCORED, SCORED_H]))
 sql("metric_hook", ORACLE["scalar_log"])
+
+# ---------------- options of 2.2-2.8 ----------------
+sql("eval_accuracy_ppl", with_fixtures(["response"], f"""select g.model, g.strategy, coalesce(a.n_eval, 0) as n_eval, coalesce(a.n_right, 0) as n_right,
+  coalesce(a.accuracy, 0.0) as accuracy, round(coalesce(a.mean_perplexity, 0.0), 6) as mean_perplexity
+from (select distinct model, unnest(['marker', 'cascade']) as strategy from scored) g
+left join (select model, strategy, count(*) as n_eval, cast(sum({right('pred', 'correct_answer')}::int) as bigint) as n_right,
+    avg({right('pred', 'correct_answer')}::int) as accuracy, avg(ppl) as mean_perplexity
+  from (select s.model, unnest(['marker', 'cascade']) as strategy, unnest([pred_marker, pred_cascade]) as pred, s.correct_answer, p.ppl
+        from scored s join rppl p on s.qa_id = p.qa_id and s.sample_idx = p.sample_idx where s.split = 'test') l
+  group by model, strategy) a on g.model = a.model and g.strategy = a.strategy""", [SCORED] + CUR + RESP_PPL))
+_WITH_PROMPT = "prompt || ' ' || response"
+sql("hard_reward_prompt", with_fixtures(["response"], f"""select qa_id, sample_idx, pm as pred_marker, pc as pred_cascade,
+  {hard('pm', 'correct_answer')} as hard_marker, {hard('pc', 'correct_answer')} as hard_cascade
+from (select *, {marker(_WITH_PROMPT)} as pm, {cascade(_WITH_PROMPT)} as pc from scored) x""", [SCORED]))
+sql("rejected_text_final", with_fixtures(["qa"], """select qa_id, correct_answer, wrong_answer, rejected, rejected = chosen as unchanged
+from (select qa_id, correct_answer, wrong_answer, chosen, left(chosen, cut) || regexp_replace(substr(chosen, cut + 1),
+        '^(####[ \\s]*)-?\\d+(?:\\.\\d+)?', '\\1' || cast(wrong_answer as varchar)) as rejected
+      from (select *, length(chosen) - instr(reverse(chosen), '####') - 3 as cut from samples) a) b""", [SAMPLES]))
+sql("reward_relative_plain", with_fixtures(["response"], f"""select b.qa_id, b.sample_idx, b.ppl as base_ppl, c.ppl as train_ppl,
+  {clip("(b.ppl - c.ppl) / (b.ppl + 1e-8)")} as reward_relative
+from bppl b join rppl c on b.qa_id = c.qa_id and b.sample_idx = c.sample_idx""", CUR + BASE + RESP_PPL_QA + RESP_PPL_BASE))
+sql("all_correct", with_fixtures(["response"], "select qa_id, sample_idx, length(response) as length from scored_h where hard_marker > 0.5", [SCORED, SCORED_H]))
+sql("report_summary", f"""select 'qa' as dataset, (select count(distinct reward_type) from ({ORACLE['run_summary']}) r) as n_runs, w.winner_final, w.winner_best,
+  w.improvement, w.recommendation, w.final_accuracy_hard, w.final_accuracy_perplexity, w.best_accuracy_hard, w.best_accuracy_perplexity
+from ({ORACLE['winner_pair']}) w""")
+_START = ("starts", """select t.node_id, coalesce(1.0 / k.n, 1.0) as start from tree_node t
+left join (select parent_id, count(*)::double as n from tree_node where parent_id is not null group by parent_id) k on t.parent_id = k.parent_id""")
+sql("node_weights_uniform", with_fixtures(["tree_node", "rollout"], f"""select s.node_id, coalesce({round_sig(f"exp({_TOT} + greatest(ln(s.start), w.m))")}, {round_sig('s.start')}) as weight
+from starts s left join wagg w on s.node_id = w.nid""", PATHS + WEIGHTS + [_START], recursive=True))
 sql("evaluator_registry", with_fixtures(["response"], f"""select qa_id, sample_idx,
   case model when 'model_0' then 'hard' when 'model_1' then 'hard_cascade' else 'any_number' end as evaluator,
   case model when 'model_0' then {hard('pred_marker', 'correct_answer')}

@@ -80,6 +80,20 @@ def q_eval_accuracy(spark, sf):
     return E.eval_accuracy(_scored(spark, sf))
 
 
+@query("eval_accuracy_ppl")
+def q_eval_accuracy_ppl(spark, sf):
+    ppl = _resp_ppl(spark, sf, _current_model(spark, sf)).select("qa_id", "sample_idx", "ppl")
+    acc = E.eval_accuracy(_scored(spark, sf).join(ppl, ["qa_id", "sample_idx"]), perplexity_col="ppl")
+    return acc.withColumn("mean_perplexity", F.round("mean_perplexity", 6))
+
+
+@query("hard_reward_prompt")
+def q_hard_reward_prompt(spark, sf):
+    return E.scored_responses(FX.response(spark, sf), FX.qa(spark, sf), include_prompt=True).select(
+        "qa_id", "sample_idx", "pred_marker", "pred_cascade", "hard_marker", "hard_cascade"
+    )
+
+
 # ---------------- shared building blocks ----------------
 def _samples(spark, sf):
     return P.build_samples(FX.qa(spark, sf))
@@ -189,6 +203,11 @@ def q_rejected_text(spark, sf):
     return _samples(spark, sf).select("qa_id", "correct_answer", "wrong_answer", "rejected", "unchanged")
 
 
+@query("rejected_text_final")
+def q_rejected_text_final(spark, sf):
+    return P.build_samples(FX.qa(spark, sf), mode="final").select("qa_id", "correct_answer", "wrong_answer", "rejected", "unchanged")
+
+
 @query("chat_messages")
 def q_chat_messages(spark, sf):
     m = P.chat_messages(_samples(spark, sf))
@@ -292,6 +311,12 @@ def q_reward_relative(spark, sf):
     return j.select("qa_id", "sample_idx", "base_ppl", "train_ppl", r.alias("reward_relative"))
 
 
+@query("reward_relative_plain")
+def q_reward_relative_plain(spark, sf):
+    r = R.reward_relative(F.col("base_ppl"), F.col("train_ppl"))
+    return _relative(spark, sf).select("qa_id", "sample_idx", "base_ppl", "train_ppl", r.alias("reward_relative"))
+
+
 @query("reward_vs_gold")
 def q_reward_vs_gold(spark, sf):
     model = _current_model(spark, sf)
@@ -331,6 +356,11 @@ def q_shortest_correct(spark, sf):
     return D.shortest_correct(_right(spark, sf), "qa_id", "sample_idx", "response", "right")
 
 
+@query("all_correct")
+def q_all_correct(spark, sf):
+    return D.shortest_correct(_right(spark, sf), "qa_id", "sample_idx", "response", "right", mode="all")
+
+
 @query("pairs_by_length")
 def q_pairs_by_length(spark, sf):
     return D.pairs_by_length(_right(spark, sf), "qa_id", "sample_idx", "response", "right")
@@ -455,6 +485,18 @@ def q_report_json(spark, sf):
     return metrics.select("reward_type", "step", "loss", "accuracy", "perplexity", "final_accuracy", "best_accuracy")
 
 
+@query("report_summary")
+def q_report_summary(spark, sf):
+    g = _gated(spark, sf)
+    summ = E.run_summary(g)
+    path = SK.write_report(E.winner_pair(summ), summ, g, {"eval_every": E.EVAL_EVERY_FULL, "eval_size": E.EVAL_SIZE})
+    doc, _ = SK.read_report(spark, path)
+    return doc.select(
+        "dataset", "winner_final", "winner_best", "improvement", "recommendation", F.size("runs").alias("n_runs"),
+        *[c for c in doc.columns if c.startswith(("final_accuracy_", "best_accuracy_"))],
+    )
+
+
 @query("scalar_log")
 def q_scalar_log(spark, sf):
     return SK.scalar_log(_gated(spark, sf))
@@ -556,6 +598,12 @@ def q_node_weights(spark, sf):
     return TR.node_weights(nodes, paths, FX.rollout(spark, sf))
 
 
+@query("node_weights_uniform")
+def q_node_weights_uniform(spark, sf):
+    nodes, paths = _tree(spark, sf)
+    return TR.node_weights(nodes, paths, FX.rollout(spark, sf), init="uniform")
+
+
 @query("ucb_score")
 def q_ucb_score(spark, sf):
     nodes, paths = _tree(spark, sf)
@@ -645,6 +693,9 @@ def q_rouge_overlap(spark, sf):
 
 
 # ---------------- 2.9 streaming, 2.10 UDF surface ----------------
+STREAM_FILES, STREAM_SLICES = 4, 2  # files per micro-batch; slices of event time
+
+
 def _stream_dirs(spark, name):
     from ..session import scratch_path
     import uuid
@@ -664,7 +715,7 @@ def q_stream_running_best(spark, sf):
 
     src, sink, ck = _stream_dirs(spark, "best")
     _write_source(_gated(spark, sf).select(*[f.name for f in ST.LOG_SCHEMA.fields]), src, "step")
-    return ST.stream_running_best(spark, src, sink, ck)
+    return ST.stream_running_best(spark, src, sink, ck, STREAM_FILES)
 
 
 @query("stream_reward_window")
@@ -674,8 +725,16 @@ def q_stream_reward_window(spark, sf):
     src, sink, ck = _stream_dirs(spark, "window")
     ev = FX.read_table(spark, sf, "events", "event_id", "ts", "value")
     ev = ev.select("event_id", T.utc_instant(ev, "ts").alias("ts"), F.col("value").alias("reward"))
-    _write_source(ev, src, "ts")
-    return ST.stream_reward_window(spark, src, sink, ck)
+    # Land the events a slice of time after the other and run the stream on each
+    # (a restart from its checkpoint): files of one slice have no order among them.
+    us = F.unix_micros("ts")
+    lo, hi = ev.agg(F.min(us), F.max(us)).first()
+    width = (hi - lo) // STREAM_SLICES + 1 if lo is not None else 1
+    slice_no = F.coalesce(F.floor((us - F.lit(lo or 0)) / F.lit(width)), F.lit(0))
+    for k in range(STREAM_SLICES):
+        ev.where(slice_no == k).write.mode("append").parquet(src)
+        out = ST.stream_reward_window(spark, src, sink, ck)
+    return out
 
 
 @query("stream_hard_reward")
@@ -686,7 +745,7 @@ def q_stream_hard_reward(spark, sf):
     _write_source(FX.response(spark, sf).select(*[f.name for f in ST.RESPONSE_SCHEMA.fields]), src, "qa_id")
     qa = FX.qa(spark, sf)
     gold = qa.select("qa_id", T.gold_first("answer").alias("correct_answer")).where(F.col("correct_answer").isNotNull())
-    return ST.stream_hard_reward(spark, src, gold, sink, ck)
+    return ST.stream_hard_reward(spark, src, gold, sink, ck, STREAM_FILES)
 
 
 @query("metric_hook")
@@ -704,14 +763,14 @@ def q_metric_hook(spark, sf):
             .select(F.concat_ws("/", "reward_type", "metric").alias("tag"), "step", "value")
         )
 
-    return ST.stream_metric_hook(spark, src, sink, ck, hook)
+    return ST.stream_metric_hook(spark, src, sink, ck, hook, STREAM_FILES)
 
 
 def _any_number_matches(prompt, response, gold):
-    """A user evaluator in Python: 1.0 if any number in the response equals the gold."""
-    import re
-
-    return 1.0 if any(abs(float(x) - gold) < T.TOLERANCE for x in re.findall(T.NUMBER_PATTERN, response)) else 0.0
+    """A user evaluator over a batch: 1.0 if any number in the response equals the gold."""
+    numbers = response.str.extractall(T.NUMBER_PATTERN)[0].astype("float64")
+    off = (numbers - gold.loc[numbers.index.get_level_values(0)].to_numpy()).abs()
+    return (off < T.TOLERANCE).groupby(level=0).any().reindex(response.index, fill_value=False).astype("float64")
 
 
 @query("evaluator_registry")
@@ -728,10 +787,14 @@ def q_evaluator_registry(spark, sf):
 
 
 def _sft_batch(pdf):
+    import re
+
     import pandas as pd
 
-    text = [P.SFT_TEMPLATE.format(q=q.strip(), a=a.strip()) for q, a in zip(pdf["question"], pdf["answer"])]
-    return pd.DataFrame({"qa_id": pdf["qa_id"], "text": text})
+    q, a = (pdf[c].str.replace(re.compile(T.STRIP_PATTERN, re.ASCII), "", regex=True) for c in ("question", "answer"))
+    head, rest = P.SFT_TEMPLATE.split("{q}")
+    middle, tail = rest.split("{a}")
+    return pd.DataFrame({"qa_id": pdf["qa_id"], "text": head + q + middle + a + tail})
 
 
 @query("batched_map")

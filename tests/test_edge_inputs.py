@@ -100,3 +100,36 @@ def test_pair_queries_compile(spark, sf):
             assert entry.queries()[key](spark, sf).count() > 0
     finally:
         spark.conf.unset("spark.sql.codegen.fallback")
+
+
+def test_null_groups_and_per_key_values(spark):
+    from rewardforge.operators.keyed import per_key
+    from rewardforge.operators.ordering import blocked_prefix, ordered_index
+
+    df = spark.createDataFrame([(None, 1, 1.0), (None, 2, 5.0), ("a", 1, 2.0), ("b", 1, 3.0)], "g string, k int, v double")
+    got = {(r.g, r.k): r.idx for r in ordered_index(df, ["k"], ["g"]).collect()}
+    assert got == {(None, 1): 0, (None, 2): 1, ("a", 1): 0, ("b", 1): 0}
+    run = {(r.g, r.k): r.s for r in blocked_prefix(df, ["k"], ["g"], {"s": ("v", "sum")}, block_rows=1).collect()}
+    assert run[(None, 2)] == 6.0 and run[("b", 1)] == 3.0
+    top = df.where("g is null or g = 'a'").groupBy("g").agg(F.max("v").alias("m"))
+    assert {(r.g, r.k): r.m for r in df.withColumn("m", per_key(top, ["g"], "m")).collect()} == {
+        (None, 1): 5.0, (None, 2): 5.0, ("a", 1): 2.0, ("b", 1): None
+    }
+    assert df.withColumn("m", per_key(top.limit(0), ["g"], "m")).where("m is not null").count() == 0
+
+
+def test_python_evaluator_fails_row_by_row(spark):
+    def picky(prompts, responses, golds):
+        if (responses == "bad").any():
+            raise RuntimeError("bad row")
+        return golds * 2
+
+    REG.register_python("picky", picky, fallback=-1.0)
+    try:
+        rows = [("picky", "p", "bad" if i == 5 else "ok", float(i)) for i in range(9)]
+        df = spark.createDataFrame(rows, "e string, p string, r string, g double").coalesce(1)
+        got = {r.g: r.reward for r in REG.evaluate(df, "e", "p", "r", "g").collect()}
+        assert got == {float(i): -1.0 if i == 5 else 2.0 * i for i in range(9)}
+    finally:
+        REG._REGISTRY.pop("picky")
+        REG._PYTHON.discard("picky")

@@ -37,15 +37,31 @@ def test_reward_window_drops_late_file(spark):
     ).withColumn("ts", F.to_timestamp("ts"))
     ev.write.mode("append").parquet(src)
     first = {r.window_start: r for r in ST.stream_reward_window(spark, src, sink, ck).collect()}
-    # closed windows (end <= max event time - 10 min): hours 0, 1, 2
-    assert len(first) == 3
+    # every window that has rows; closed when its end <= max event time - 10 min: hours 0, 1, 2
     h0 = min(first)
+    assert {(w - h0) // 3600: r.closed for w, r in first.items()} == {0: True, 1: True, 2: True, 3: False}
     assert first[h0].n == 2 and first[h0].mean_reward == 0.5
-    late = spark.createDataFrame([(99, "2024-01-01 00:20:00", 100.0), (100, "2024-01-01 05:00:00", 1.0)], "event_id long, ts string, reward double")
+    late = spark.createDataFrame(
+        [(99, "2024-01-01 00:20:00", 100.0), (98, "2024-01-01 03:45:00", 8.0), (100, "2024-01-01 05:00:00", 1.0)], "event_id long, ts string, reward double"
+    )
     late.withColumn("ts", F.to_timestamp("ts")).write.mode("append").parquet(src)
-    second = {r.window_start: r for r in ST.stream_reward_window(spark, src, sink, ck).collect()}
-    assert second[h0].n == 2  # the late row behind the watermark was dropped
-    assert len(second) == 4  # hour 3 closed by the new watermark
+    second = {(r.window_start - h0) // 3600: r for r in ST.stream_reward_window(spark, src, sink, ck).collect()}
+    assert second[0].n == 2  # the late row behind the watermark was dropped
+    assert second[3].n == 2 and second[3].mean_reward == 6.0 and second[3].closed  # the open window took its row, then closed
+    assert set(second) == {0, 1, 2, 3, 5} and not second[5].closed
+
+
+def test_upsert_log_compacts(spark):
+    src, sink, ck = dirs(spark)
+    for k in range(5):  # one file, so one micro-batch, each
+        rows = [("hard", 100 * (k + 1), 0.0, 0.1 * k, 2.0, True)] + ([("perplexity", 100, 0.0, 0.5, 2.0, True)] if k == 0 else [])
+        log_rows(spark, rows).coalesce(1).write.mode("append").parquet(src)
+        got = {r.reward_type: r for r in ST.stream_running_best(spark, src, sink, ck, files_per_trigger=1, compact_every=2).collect()}
+        assert got["hard"].latest_step == 100 * (k + 1) and got["hard"].n_records == k + 1
+        assert got["perplexity"].best_accuracy == 0.5  # unchanged since the first micro-batch
+    assert spark.read.parquet(f"{sink}/state/3").count() == 2
+    # of the log only the micro-batches after the newest snapshot are read
+    assert ST._upserts(spark, sink, ["reward_type"], 5, 2).count() == 2
 
 
 def test_stream_hard_reward_restart_equals_batch(spark):

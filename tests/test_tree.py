@@ -104,3 +104,37 @@ def test_teacher_weights_match_sequential_filter(spark, sf, tree):
         assert math.isclose(got[t].score, score[t], abs_tol=2e-6)
         assert math.isclose(got[t].p, expect[t], abs_tol=2e-6)
     assert math.isclose(sum(r.p for r in got.values()), 1.0, abs_tol=1e-4)
+
+
+def test_forest_paths_by_doubling(spark):
+    rows = [(0, None, "q0", "1"), (100, None, "q1", "0")]
+    rows += [(i, i - 1, f"t{i}", str(i % 2)) for i in range(1, 38)]  # a chain under 0
+    rows += [(100 + i, 100, f"u{i}", "1") for i in range(1, 4)] + [(900, 901, "lost", "1")]  # a star; a node without a parent row
+    out = TR.node_paths(spark.createDataFrame(rows, "node_id long, parent_id long, token string, bit string"))
+    info = {r.node_id: r for r in out.nodes.collect()}
+    assert 900 not in info and len(info) == 42
+    assert info[37].depth == 37 and info[37].query == "q0" and info[37].binary_code == "".join(str(i % 2) for i in range(1, 38))
+    assert info[3].context == "q0 t1 t2 t3" and (info[102].query, info[102].context) == ("q1", "q1 u2")
+    anc = {(r.node_id, r.ancestor_depth): (r.ancestor_id, r.ancestor_bit) for r in out.ancestors.collect()}
+    assert len(anc) == sum(r.depth + 1 for r in info.values())
+    assert anc[(37, 0)] == (0, None) and anc[(37, 20)] == (20, "0") and anc[(103, 1)] == (103, "1")
+
+
+def test_cycle_apart_from_the_root_raises(spark):
+    rows = [(0, None, "q", "1"), (1, 2, "a", "1"), (2, 3, "b", "1"), (3, 1, "c", "1")]
+    with pytest.raises(ValueError, match="cycle"):
+        TR.node_paths(spark.createDataFrame(rows, "node_id long, parent_id long, token string, bit string"))
+
+
+def test_uniform_start(spark, tree):
+    nodes, roll, paths, parent, bits, rolls = tree
+    kids = defaultdict(int)
+    for p in parent.values():
+        kids[p] += 1
+    weight = {n: 1.0 if p is None else 1.0 / kids[p] for n, p in parent.items()}
+    for _it, leaf, reward in rolls:
+        for n in path_of(parent, leaf)[1:]:
+            factor = (1.1 if bits[n] == "1" else 0.95) if reward > 0 else (0.8 if bits[n] == "0" else 0.98)
+            weight[n] = max(weight[n] * factor, 0.1)
+    got = {r.node_id: r.weight for r in TR.node_weights(nodes, paths, roll, init="uniform").collect()}
+    assert all(math.isclose(got[n], weight[n], rel_tol=1e-8) for n in parent)
