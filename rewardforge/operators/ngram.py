@@ -64,10 +64,12 @@ def score_perplexities(
     """A3 (+A1 rule) for several models in one pass: exp(-mean logp) over predicted
     tokens from the second on (up to ``max_length`` if given); null if there are none.
 
-    The texts are tokenized and exploded once; each model adds two lookup joins
-    and one more average in the same aggregation. Output: id columns, ``n_pred``
-    and ``ppl_<name>`` per model, rounded to ``digits`` (sums of logarithms
-    differ in the last bits between engines and row orders).
+    The texts are tokenized and exploded once. The models' counts are merged into
+    one pair table and one context table, so the token rows take two lookups
+    however many models there are; each model adds one average to the same
+    aggregation. Output: id columns, ``n_pred`` and ``ppl_<name>`` per model,
+    rounded to ``digits`` (sums of logarithms differ in the last bits between
+    engines and row orders).
     """
     toks = T.tokens(text) if max_length is None else F.slice(T.tokens(text), 1, max_length)
     tk = df.select(*id_cols, toks.alias("_tok"))
@@ -76,16 +78,27 @@ def score_perplexities(
     )
     # texts without a bigram stay out of the lookups, where they would share a null key
     short = tk.where(F.coalesce(F.size("_tok"), F.lit(0)) < 2).select(*id_cols, F.lit(None).cast("string").alias("tok"))
+    j = j.join(_merged({n: m.pairs for n, m in models.items()}, ["prev", "tok"], "c_pair"), ["prev", "tok"], "left")
+    j = j.join(_merged({n: m.contexts for n, m in models.items()}, ["prev"], "c_ctx"), ["prev"], "left")
     aggs = [F.count(F.col("tok")).alias("n_pred")]
     for name, m in models.items():
-        j = j.join(m.pairs.withColumnRenamed("c_pair", f"_cp_{name}"), ["prev", "tok"], "left").join(
-            m.contexts.withColumnRenamed("c_ctx", f"_cc_{name}"), ["prev"], "left"
-        )
-        lp = F.when(F.col("tok").isNotNull(), logp_column(F.col(f"_cp_{name}"), F.col(f"_cc_{name}"), m.vocab.scalar(), k))
+        lp = F.when(F.col("tok").isNotNull(), logp_column(F.col(f"c_pair_{name}"), F.col(f"c_ctx_{name}"), m.vocab.scalar(), k))
         aggs.append(F.round(F.exp(-F.avg(lp)), digits).alias(f"ppl_{name}"))
     return j.unionByName(short, allowMissingColumns=True).groupBy(*id_cols).agg(*aggs)
 
 
+def _merged(tables: dict[str, DataFrame], keys: list[str], count: str) -> DataFrame:
+    """The models' count tables as one: a column ``<count>_<name>`` per model (null where it has no such key)."""
+    cols = {n: f"{count}_{n}" for n in tables}
+    named = [t.withColumnRenamed(count, cols[n]) for n, t in tables.items()]
+    if len(named) == 1:
+        return named[0]
+    stacked = named[0]
+    for t in named[1:]:
+        stacked = stacked.unionByName(t, allowMissingColumns=True)
+    return stacked.groupBy(*keys).agg(*[F.max(c).alias(c) for c in cols.values()])
+
+
 def score_perplexity(
     model: BigramModel,
     df: DataFrame,
