@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import materialize
 
 # --- Fixed values that must equal the reference's ---
 MAX_LENGTH = 2048
@@ -41,7 +42,8 @@ def fit_bigram(corpus: DataFrame, text_col: str) -> BigramModel:
     # times, and CollapseProject keeps a costly expression from being inlined.
     tk = corpus.select(T.tokens(text_col).alias("_tok"))
     bg = tk.select(F.explode(token_bigrams(F.col("_tok"))).alias("b")).select("b.prev", "b.tok")
-    pairs = bg.groupBy("prev", "tok").agg(F.count(F.lit(1)).alias("c_pair"))
+    # written once: contexts and every scoring read it
+    pairs = materialize(bg.groupBy("prev", "tok").agg(F.count(F.lit(1)).alias("c_pair")), "bigram-pairs")
     contexts = pairs.groupBy("prev").agg(F.sum("c_pair").alias("c_ctx"))
     vocab = tk.select(F.explode("_tok").alias("t")).agg(F.count_distinct("t").alias("v"))
     return BigramModel(pairs, contexts, vocab)
@@ -73,18 +75,24 @@ def score_perplexities(
     """
     toks = T.tokens(text) if max_length is None else F.slice(T.tokens(text), 1, max_length)
     tk = df.select(*id_cols, toks.alias("_tok"))
-    j = tk.select(*id_cols, F.explode(token_bigrams(F.col("_tok"))).alias("b")).select(
-        *id_cols, F.col("b.prev").alias("prev"), F.col("b.tok").alias("tok")
-    )
-    # texts without a bigram stay out of the lookups, where they would share a null key
-    short = tk.where(F.coalesce(F.size("_tok"), F.lit(0)) < 2).select(*id_cols, F.lit(None).cast("string").alias("tok"))
-    j = j.join(_merged({n: m.pairs for n, m in models.items()}, ["prev", "tok"], "c_pair"), ["prev", "tok"], "left")
-    j = j.join(_merged({n: m.contexts for n, m in models.items()}, ["prev"], "c_ctx"), ["prev"], "left")
+    # A text without a bigram sends one row with no token, so that its id stays in
+    # the result; its ids stand in for the key, so that these rows do not share one.
+    no_key = F.concat(F.lit("\0"), F.concat_ws(",", *[F.col(c).cast("string") for c in id_cols]))
+    empty = F.array(F.struct(no_key.alias("prev"), F.lit(None).cast("string").alias("tok")))
+    grams = F.when(F.size("_tok") >= 2, token_bigrams(F.col("_tok"))).otherwise(empty)
+    j = tk.select(*id_cols, F.explode(grams).alias("b")).select(*id_cols, F.col("b.prev").alias("prev"), F.col("b.tok").alias("tok"))
+    # Written before the lookups, so that Spark knows their size when it plans: it
+    # broadcasts a table under its threshold without shuffling the token rows
+    # first, and takes a sort-merge join beyond it.
+    pairs = _merged({n: m.pairs for n, m in models.items()}, ["prev", "tok"], "c_pair")
+    pairs = materialize(pairs, "bigram-lookup") if len(models) > 1 else pairs  # one model's are written
+    contexts = materialize(_merged({n: m.contexts for n, m in models.items()}, ["prev"], "c_ctx"), "bigram-lookup")
+    j = j.join(pairs, ["prev", "tok"], "left").join(contexts, ["prev"], "left")
     aggs = [F.count(F.col("tok")).alias("n_pred")]
     for name, m in models.items():
         lp = F.when(F.col("tok").isNotNull(), logp_column(F.col(f"c_pair_{name}"), F.col(f"c_ctx_{name}"), m.vocab.scalar(), k))
         aggs.append(F.round(F.exp(-F.avg(lp)), digits).alias(f"ppl_{name}"))
-    return j.unionByName(short, allowMissingColumns=True).groupBy(*id_cols).agg(*aggs)
+    return j.groupBy(*id_cols).agg(*aggs)
 
 
 def _merged(tables: dict[str, DataFrame], keys: list[str], count: str) -> DataFrame:
