@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 
+import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,6 +24,8 @@ def by_value(module: str) -> None:
 
 by_value(__name__)
 
+FILE_BITS, ROW_BITS = 28, 35  # of a row number: its file, its place in the file
+
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents", *columns)
@@ -45,6 +48,39 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(folds)
 
 
+def _stored_number(df: DataFrame) -> Column | None:
+    """A row's file and place in it as one number, if ``df`` is columns of Parquet files; else None."""
+    plan = df._jdf.queryExecution().analyzed()
+    if not plan.deterministic():
+        return None
+    while plan.getClass().getSimpleName() in ("Project", "SubqueryAlias"):
+        plan = plan.children().head()
+    if plan.getClass().getSimpleName() != "LogicalRelation" or plan.relation().toString().lower() != "parquet":
+        return None
+    path, place = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    files = df.groupBy(path.alias("path")).agg(F.count(F.lit(1)).alias("n"), F.max(place).alias("last")).collect()  # one row per file
+    if any(r["n"] != r["last"] + 1 or r["n"] > 1 << ROW_BITS for r in files):  # a file that is listed twice
+        return None
+    for salt in map(str, range(64)):  # a hash that tells all the files apart
+        if len({xxhash.xxh64_intdigest(salt + r["path"], 42) % (1 << FILE_BITS) for r in files}) == len(files):
+            file = F.pmod(F.xxhash64(F.concat(F.lit(salt), path)), F.lit(1 << FILE_BITS))
+            return file * F.lit(1 << ROW_BITS) + place
+    return None
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a number for each row (column ``name``) that any later scan gives it again.
+
+    Rows of Parquet files are numbered by their file and their place in it,
+    which do not depend on how a scan is split, so nothing is written. Anything
+    else is numbered once and checkpointed. Rows of one file keep their order.
+    """
+    number = _stored_number(df)
+    if number is not None:
+        return df.withColumn(name, number)
+    return cut_lineage(df.withColumn(name, F.monotonically_increasing_id()))
+
+
 def running_totals(df: DataFrame, groups: list[str], order: list[str], value: str) -> DataFrame:
     """Add ``before`` (sum of ``value`` over earlier rows of the group) and
     ``idx`` (number of earlier rows of the group), in the given order.

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import by_value, documents
+from .common import by_value, documents, numbered
 
 by_value(__name__)
 
@@ -100,15 +100,14 @@ def remove_repeated_lines(
     occurrence by an equi-join on its lines' digest; no pairs are formed. A
     null text is one empty line. Null ids come last, equal ids in input order,
     so of repeated rows the first stays. Texts shorter than a run keep every
-    line; an empty table gives no rows; other columns are not read. ``docs``
-    must be a table (a rescan numbers its rows alike).
+    line; an empty table gives no rows; other columns are not read.
     """
     texts = docs.select(
-        F.monotonically_increasing_id().alias("rid"),
         F.col(id_col).isNull().alias("no_id"),
         F.col(id_col).alias("doc_id"),
         F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"),
     )
+    texts = numbered(texts, "rid")
     id_type = texts.schema["doc_id"].dataType.simpleString()
     found = texts.mapInPandas(_select(k, window), f"fp long, no_id boolean, doc_id {id_type}, rid long, first int, runs array<binary>")
     twice = found.groupBy("fp").count().where("count > 1").select("fp")

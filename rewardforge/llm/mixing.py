@@ -13,10 +13,10 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, by_value, documents, running_totals, word_count
+from .common import WORD, by_value, documents, numbered, running_totals, word_count
 
 by_value(__name__)
 
@@ -142,7 +142,7 @@ def mix_slots(targets: DataFrame, block: int = BLOCK_WORDS, shard_words: int = S
     )
 
 
-def _pieces(docs: DataFrame, weights, max_epochs, block, id_col, text_col, source_col) -> tuple[DataFrame, DataFrame]:
+def _pieces(docs: DataFrame, rid: Column, weights, max_epochs, block, id_col, text_col, source_col) -> tuple[DataFrame, DataFrame]:
     """(pieces of documents by block with ``counts``, targets by source).
 
     ``counts``: for each slot that takes the block, how many words of this piece
@@ -150,7 +150,7 @@ def _pieces(docs: DataFrame, weights, max_epochs, block, id_col, text_col, sourc
     """
     sized = docs.select(
         F.col(id_col).alias("doc_id"),
-        F.monotonically_increasing_id().alias("rid"),
+        rid.alias("rid"),
         F.col(source_col).alias("source"),
         F.coalesce(F.concat(F.lit("s"), source_col), F.lit("n")).alias("key"),
         word_count(F.col(text_col)).alias("size"),
@@ -196,7 +196,7 @@ def mix_documents(
     target 0; an empty table gives no rows. Repeated rows are documents of
     their own, also under one id. Other columns are not read.
     """
-    pieces, targets = _pieces(docs, weights, max_epochs, block, id_col, text_col, source_col)
+    pieces, targets = _pieces(docs, F.monotonically_increasing_id(), weights, max_epochs, block, id_col, text_col, source_col)
     taken = F.aggregate("counts", F.lit(0).cast("long"), lambda acc, n: acc + n)
     per_doc = pieces.groupBy("rid", "doc_id", "source", "key", "size").agg(F.sum(taken).alias("taken"))
     return per_doc.join(targets.drop("source"), "key").select("doc_id", "size", "source", "source_size", "target", "taken")
@@ -241,17 +241,17 @@ def mixed_texts(docs: DataFrame, weights: tuple = WEIGHTS, max_epochs: int = MAX
     ``text`` holds the words that the mix takes of a document, one line per
     stretch and repeats one after the other; a copy that is taken whole stays
     as it was, white space included. ``n_chars`` (if there) follows the new
-    text. Documents of which the mix takes no word are left out. ``docs`` must
-    be a table (a rescan numbers its rows alike).
+    text. Documents of which the mix takes no word are left out.
     """
-    pieces, _ = _pieces(docs, weights, max_epochs, block, "doc_id", "text", "source")
+    rows = numbered(docs, "_rid")
+    pieces, _ = _pieces(rows, F.col("_rid"), weights, max_epochs, block, "doc_id", "text", "source")
     cuts = (
         pieces.where(F.size("counts") > 0)
         .groupBy("rid", "size")  # as many pieces as the document has blocks
         .agg(F.collect_list(F.struct("from_word", "counts")).alias("cuts"))
         .select(F.col("rid").alias("_rid"), F.col("size").alias("_size"), F.col("cuts").alias("_cuts"))
     )
-    joined = docs.withColumn("_rid", F.monotonically_increasing_id()).join(cuts, "_rid")
+    joined = rows.join(cuts, "_rid")
     names = [f"c{i}" for i in range(len(docs.columns))]
     known = {"text": "text", "n_chars": "n_chars"}
     inner = [known.get(c, n) for c, n in zip(docs.columns, names)]

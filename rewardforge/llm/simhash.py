@@ -9,11 +9,11 @@ from typing import Any
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import by_value, documents
+from .common import by_value, documents, numbered
 
 by_value(__name__)
 
@@ -192,7 +192,11 @@ def near_duplicates(
     input; ``rid`` is the row's place in the input. Repeated rows keep their
     rows; an empty table gives no rows; other columns are not read.
     """
-    place = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("rid"))
+    return _near_duplicates(docs, F.monotonically_increasing_id(), k, max_bits, id_col, text_col)
+
+
+def _near_duplicates(docs: DataFrame, rid: Column, k: int, max_bits: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    place = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("doc_id"), rid.alias("rid"))
     marked = cut_lineage(docs.select(place.alias("place"), fingerprint_udf(k)(F.col(text_col)).alias("fp")))
     leaves = cut_lineage(marked.groupBy("fp").agg(F.min("place").alias("least")))
     roots = connected(near_links(leaves.select("fp"), max_bits)).withColumnRenamed("node", "fp")
@@ -205,12 +209,10 @@ def near_duplicates(
 
 
 def keep_first(docs: DataFrame, k: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """The one row of each component that ``kept`` marks, with all columns of ``docs``.
-
-    ``docs`` must be a table (a rescan numbers its rows alike).
-    """
-    kept = near_duplicates(docs, k, max_bits).where("kept").select(F.col("rid").alias("_rid"))
-    return docs.withColumn("_rid", F.monotonically_increasing_id()).join(kept, "_rid", "left_semi").drop("_rid")
+    """The one row of each component that ``kept`` marks, with all columns of ``docs``."""
+    rows = numbered(docs, "_rid")
+    kept = _near_duplicates(rows, F.col("_rid"), k, max_bits).where("kept").select(F.col("rid").alias("_rid"))
+    return rows.join(kept, "_rid", "left_semi").drop("_rid")
 
 
 def fp_hex(fp):

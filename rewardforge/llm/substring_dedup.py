@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import by_value, documents, shuffle_partitions
+from .common import by_value, documents, numbered, shuffle_partitions
 
 by_value(__name__)
 
@@ -236,16 +236,12 @@ def remove_repeats(
     the maximal removed runs as [start, end) byte offsets, ``kept_sha256`` the
     digest of the remaining bytes. Repeated rows are copies of each other, so
     all they share is removed; texts shorter than ``length`` keep everything;
-    an empty table gives no rows; other columns are not read. ``docs`` must be
-    a table (a rescan numbers its rows alike).
+    an empty table gives no rows; other columns are not read.
     """
     if not 0 < tuple_bytes <= length:
         raise ValueError("tuple_bytes must be between 1 and length")
-    texts = docs.select(
-        F.monotonically_increasing_id().alias("rid"),
-        F.col(id_col).alias("doc_id"),
-        F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"),
-    )
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
+    texts = numbered(texts, "rid")
     sample = texts.select("rid", "text").mapInPandas(_sample(length, tuple_bytes), "name long, context long, rid long, low int, n int")
     # written sides, so that a hot name or context is a join key that Spark can split
     names = cut_lineage(sample.groupBy("name").count().where("count > 1").select("name"))
