@@ -27,11 +27,13 @@ _FAR = -30.0
 # First code points of script blocks, and the script that holds from there.
 SCRIPT_STARTS = (
     0x0000, 0x0370, 0x0400, 0x0530, 0x0590, 0x0600, 0x0900, 0x0980, 0x0B80, 0x0E00, 0x0E80, 0x10A0, 0x1100, 0x1200, 0x1E00,
-    0x1F00, 0x2000, 0x3040, 0x30A0, 0x3400, 0xA000, 0xAC00, 0xD800, 0xF900, 0xFB50, 0x20000,
+    0x1F00, 0x2000, 0x3040, 0x30A0, 0x3400, 0xA000, 0xAC00, 0xD800, 0xF900, 0xFB00, 0xFB13, 0xFB1D, 0xFB50, 0xFE00, 0xFE70, 0xFF00, 0xFF21, 0xFF5B,
+    0xFF66, 0xFFA0, 0xFFE0, 0x20000, 0x323B0,
 )
 SCRIPT_NAMES = (
     "latin", "greek", "cyrillic", "armenian", "hebrew", "arabic", "devanagari", "bengali", "tamil", "thai", "lao", "georgian", "hangul", "ethiopic", "latin",
-    "greek", "other", "kana", "kana", "han", "other", "hangul", "other", "han", "arabic", "han",
+    "greek", "other", "kana", "kana", "han", "other", "hangul", "other", "han", "latin", "armenian", "hebrew", "arabic", "other", "arabic", "other", "latin", "other",
+    "kana", "hangul", "other", "han", "other",
 )
 _NAMES = sorted(set(SCRIPT_NAMES) - {"latin"})
 _SCRIPT_ID = np.array([0 if s == "latin" else 1 + _NAMES.index(s) for s in SCRIPT_NAMES])
@@ -41,10 +43,10 @@ _letters: list[np.ndarray] = []
 
 
 def _is_letter(cp: np.ndarray) -> np.ndarray:
-    """Unicode letters by code point (beyond the basic plane: all count)."""
+    """Unicode letters by code point."""
     if not _letters:
-        _letters.append(np.fromiter((chr(i).isalpha() for i in range(1 << 16)), dtype=bool, count=1 << 16))
-    return np.where(cp < 1 << 16, _letters[0][np.minimum(cp, 0xFFFF)], True)
+        _letters.append(np.fromiter((chr(i).isalpha() for i in range(0x110000)), dtype=bool, count=0x110000))
+    return _letters[0][cp]
 
 
 def _trigrams(cp: np.ndarray, letter: np.ndarray):
