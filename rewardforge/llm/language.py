@@ -118,14 +118,14 @@ def viterbi(scores: list[np.ndarray], cost: float) -> list[np.ndarray]:
     """
     order = sorted(range(len(scores)), key=lambda i: -len(scores[i]))
     sizes = np.array([len(scores[i]) for i in order])
-    out: list[np.ndarray] = [np.zeros(0, dtype=np.int8)] * len(scores)
+    out: list[np.ndarray] = [np.zeros(0, dtype=np.int32)] * len(scores)
     if not len(sizes) or sizes[0] == 0:
         return out
     flat = np.concatenate([scores[i] for i in order])
     offset = np.r_[0, np.cumsum(sizes)[:-1]]
     active = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left")  # documents longer than t
     stay = np.zeros(flat.shape, dtype=bool)
-    best = np.zeros(len(flat), dtype=np.int8)  # the best language before word t
+    best = np.zeros(len(flat), dtype=np.int32)  # the best language before word t
     value = flat[offset[: active[0]]].copy()
     for t in range(1, sizes[0]):
         k = active[t]
@@ -137,7 +137,7 @@ def viterbi(scores: list[np.ndarray], cost: float) -> list[np.ndarray]:
         stay[at], best[at] = keep, top
         value[:k] = flat[at] + np.where(keep, v, jump)
     state = value.argmax(axis=1)
-    paths = np.zeros(len(flat), dtype=np.int8)
+    paths = np.zeros(len(flat), dtype=np.int32)
     for t in range(sizes[0] - 1, -1, -1):
         k = active[t]
         at = offset[:k] + t

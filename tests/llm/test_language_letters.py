@@ -37,3 +37,10 @@ def test_emoji_are_no_letters():
     got = language._label(arabic, [text], language.SWITCH_COST)[0]
     assert got == ("de", 1.0, [{"lang": "de", "start": 0, "end": len(text)}])
     assert len(model.words(language._code_points(text))[0]) == 4 and model.words(language._code_points("geht😀"))[1].tolist() == [4]
+
+
+def test_more_languages_than_a_byte_holds():
+    wanted = [150, 150, 3, 199, 199]
+    scores = np.full((len(wanted), 200), -50.0, dtype=np.float32)
+    scores[np.arange(len(wanted)), wanted] = 0.0
+    assert language.viterbi([scores], 4.0)[0].tolist() == wanted
