@@ -17,6 +17,7 @@ from . import (
     simhash,
     substring_dedup,
     url_filter,
+    whitening,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_sharding": sharding.op9_sharding,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op11_whitening": whitening.op11_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {
