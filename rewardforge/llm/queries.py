@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (
+    collocations,
     decontaminate,
     exact_dedup,
     language,
     line_dedup,
+    minhash,
     mixing,
     quality,
     sharding,
@@ -32,6 +34,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": sharding.op9_sharding,
     "op10_line_dedup": line_dedup.op10_line_dedup,
     "op11_whitening": whitening.op11_whitening,
+    "op12_minhash": minhash.op12_minhash,
+    "op13_collocations": collocations.op13_collocations,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -39,4 +43,6 @@ ORACLE_SQL: dict[str, str] = {
     "op7_decontaminate": decontaminate.ORACLE,
     "op8_url_filter": url_filter.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
+    "op12_minhash": minhash.ORACLE,
+    "op13_collocations": collocations.ORACLE,
 }
