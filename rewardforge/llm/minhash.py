@@ -8,11 +8,12 @@ they share one of the keys that leave one symbol of a chunk out.
 from __future__ import annotations
 
 import hashlib
+from typing import Any
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, materialize
@@ -27,8 +28,9 @@ CHUNKS, CHUNK_SYMBOLS = 16, 5
 SYMBOLS = CHUNKS * CHUNK_SYMBOLS
 SYMBOL_BYTES = 2  # b = 16 bits
 MAX_ERRORS = 2 * CHUNKS - 1  # every pair of signatures up to here shares a key
-FAR = 44  # unlike symbols of 80 from which a pair is not read: at 80 % alike, fewer than 1 in 10^10
-FIRST_HUBS, HUB_GROWTH = 4, 16
+BLOCK = 512  # nodes that are compared with as many others at once
+NEAREST = 4  # candidates of a node in each class that are read first
+MAP_LOAD, MAP_BITS = 4, 1 << 15  # bits per shingle of a set's bitmap, at most bits of a bitmap
 SEED = 42
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BATCH = 1 << 19  # shingles that are hashed at once
@@ -79,12 +81,20 @@ def _signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def bitmap(members: np.ndarray) -> bytes:
+    """One bit per shingle, by the low bits of its hash; a power of two of bits that follows the set."""
+    bits = min(MAP_BITS, max(64, 1 << (MAP_LOAD * len(members) - 1).bit_length()))
+    out = np.zeros(bits, dtype=np.uint8)
+    out[(members & np.uint64(bits - 1)).astype(np.int64)] = 1
+    return np.packbits(out).tobytes()
+
+
 def sketch_udf(k: int):
-    """(n, members, signature) of a text: size of its set, 128-bit hash of the set, symbols."""
+    """(n, members, signature, map) of a text: size of its set, 128-bit hash of the set, symbols, bitmap."""
 
     def run(text: pd.Series) -> pd.DataFrame:
         hashes = _Hashes()
-        sizes, members, signatures = [], [], []
+        sizes, members, signatures, maps = [], [], [], []
         waiting: list[np.ndarray] = []
 
         def flush():
@@ -94,6 +104,7 @@ def sketch_udf(k: int):
                 sizes.append(len(s))
                 members.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 signatures.append(next(rows).tobytes() if len(s) else None)
+                maps.append(bitmap(s) if len(s) else None)
             waiting.clear()
 
         held = 0
@@ -104,15 +115,65 @@ def sketch_udf(k: int):
                 flush()
                 held = 0
         flush()
-        return pd.DataFrame({"n": np.array(sizes, dtype=np.int64), "members": members, "signature": signatures})
+        return pd.DataFrame({"n": np.array(sizes, dtype=np.int64), "members": members, "signature": signatures, "map": maps})
+
+    return F.pandas_udf(run, "n long, members binary, signature binary, map binary")
+
+
+def _folded(words: np.ndarray) -> np.ndarray:
+    """Bitmaps of half as many bits (rows of bytes): the halves together."""
+    half = words.shape[1] // 2
+    return words[:, :half] | words[:, half:]
+
+
+def _possible(x: pd.DataFrame, y: pd.DataFrame, part: int, whole: int):
+    """(i, j, unlike bits) of the pairs of rows that may link, by sizes and bitmaps.
+
+    A bit that only one of two bitmaps has stands for a shingle that only one of
+    the sets has, so no pair that links is left out. Sets that may link have
+    bitmaps of one size or of neighbouring sizes.
+    """
 
-    return F.pandas_udf(run, "n long, members binary, signature binary")
+    def by_size(frame):
+        lengths = frame["map"].map(len).to_numpy()
+        return {n: (at := np.flatnonzero(lengths == n), np.frombuffer(b"".join(frame["map"].iloc[at]), dtype=np.uint8).reshape(-1, n)) for n in set(lengths.tolist())}
+
+    nx, ny = x["n"].to_numpy(), y["n"].to_numpy()
+    left, right = by_size(x), by_size(y)
+    found = []
+    for n, (i, a) in left.items():
+        for m in (n // 2, n, n * 2):
+            if m in right:
+                j, b = right[m]
+                p, q = (_folded(a) if n > m else a).view("<u8"), (_folded(b) if m > n else b).view("<u8")
+                for row, own in zip(i.tolist(), p):
+                    unlike = np.bitwise_count(own ^ q).sum(axis=1)
+                    both, least, most = nx[row] + ny[j], np.minimum(nx[row], ny[j]), np.maximum(nx[row], ny[j])
+                    near = (unlike * (whole + part) <= (whole - part) * both) & (least * whole >= most * part)
+                    found.append((np.full(near.sum(), row), j[near], unlike[near]))
+    return [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, dtype=np.int64)] * 3
+
+
+def _compare(part: int, whole: int, first: int, last: int):
+    """Two blocks of nodes -> pairs of nodes of different classes to read.
+
+    Of a node's candidates in one class, nearest first, those from place
+    ``first`` up to ``last``.
+    """
 
+    def run(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = (pdf[pdf["block"] == k].reset_index(drop=True) for k in key)
+        i, j, unlike = _possible(x, y, part, whole)
+        rx, ry, nx, ny = (f[c].to_numpy() for c, f in (("root", x), ("root", y), ("node", x), ("node", y)))
+        live = rx[i] != ry[j]
+        if key[0] == key[1]:
+            live &= nx[i] < ny[j]
+        out = pd.DataFrame({"x": nx[i[live]], "y": ny[j[live]], "of": rx[i[live]], "unlike": unlike[live]})
+        out = out.sort_values(["y", "of", "unlike", "x"])
+        place = out.groupby(["y", "of"]).cumcount()
+        return out.loc[(place >= first) & (place < last), ["x", "y"]]
 
-def _unlike(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Symbols that differ between two signatures."""
-    x, y = (np.frombuffer(b"".join(s), dtype=">u2").reshape(-1, SYMBOLS) for s in (a, b))
-    return pd.Series((x != y).sum(axis=1))
+    return run
 
 
 def _alike(k: int, part: int, whole: int):
@@ -150,20 +211,34 @@ def chunk_keys(nodes: DataFrame) -> DataFrame:
     return turns.select(F.xxhash64("turn", F.concat(before, after)).alias("key"), "node")
 
 
-def _rank(node: Column) -> Column:
-    """A fixed pseudorandom number of a node in [0, 1)."""
-    return F.shiftrightunsigned(F.xxhash64(node), 11) * F.lit(2.0**-53)
+def _linked(pairs: DataFrame, texts: DataFrame, k: int, similarity: tuple[int, int]) -> DataFrame:
+    """Those ``pairs`` (x, y) of nodes whose full sets link. ``pairs`` are written, so a hot node's can be split."""
+    ends = [texts.select(F.col("node").alias(c), F.col("text").alias(f"t{c}")) for c in "xy"]
+    return pairs.join(ends[0], "x").join(ends[1], "y").where(_alike(k, *similarity)("tx", "ty")).select("x", "y")
 
 
-def _linked(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, similarity: tuple[int, int]) -> DataFrame:
-    """Those ``pairs`` (x, y) of nodes that link: sizes, then signatures, then full sets."""
-    part, whole = similarity
-    ends = [nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("signature").alias(f"s{c}")) for c in "xy"]
-    near = pairs.join(ends[0], "x").join(ends[1], "y").where(F.least("nx", "ny") * whole >= F.greatest("nx", "ny") * part)
-    near = near.where(F.pandas_udf(_unlike, "long")("sx", "sy") <= FAR).select("x", "y")
-    near = cut_lineage(near)  # a written side, so that a hot node's pairs can be split
-    ends = [texts.select(F.col("node").alias(c), F.col("text").alias(f"t{c}")) for c in "xy"]
-    return near.join(ends[0], "x").join(ends[1], "y").where(_alike(k, part, whole)("tx", "ty")).select("x", "y")
+def _blocks(held: DataFrame) -> DataFrame:
+    """(node, block): nodes whose largest key is the same, dealt into blocks of about BLOCK."""
+    home = held.groupBy("node").agg(F.max(F.struct("size", "key")).alias("home")).select("node", F.col("home.key").alias("home"))
+    home = materialize(home, "homes")
+    sizes = materialize(home.groupBy("home").agg(F.count(F.lit(1)).alias("n")), "homes")
+    salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK))
+    return home.join(sizes, "home").select("node", F.xxhash64("home", salt).alias("block"))
+
+
+def _block_pairs(held: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(p, q): pairs of blocks, and each block with itself, that share a key."""
+    seen = materialize(held.join(blocks, "node").select("key", "block").distinct(), "blocks")
+    mate = seen.select("key", F.col("block").alias("q"))
+    pairs = seen.select("key", F.col("block").alias("p")).join(mate, "key").where("p <= q")
+    return materialize(pairs.select("p", "q").distinct(), "blocks")
+
+
+def _open(held: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows (key, node, size, root) of keys that hold several classes."""
+    named = materialize(held.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "members")
+    split = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    return materialize(named.join(materialize(split, "keys"), "key"), "members")
 
 
 def _links(nodes: DataFrame, texts_of, k: int, similarity: tuple[int, int]) -> DataFrame | None:
@@ -171,9 +246,10 @@ def _links(nodes: DataFrame, texts_of, k: int, similarity: tuple[int, int]) -> D
 
     Every pair that shares a key is decided, but none whose ends are already
     known to be connected. First each node meets the smallest node of its keys.
-    Then, in keys that still hold several classes, a growing random share of the
-    nodes (hubs) meets all nodes of other classes, until all nodes were hubs:
-    keys of up to FIRST_HUBS nodes at once, a key of n nodes after log(n) rounds.
+    Then the nodes of keys that still hold several classes are compared block
+    by block on their bitmaps, and what may link is read: of each node the
+    nearest NEAREST candidates in every other class of the block, then, where
+    classes are still apart, all others.
     """
     keys = chunk_keys(nodes)
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("least")).where("size > 1")
@@ -182,26 +258,21 @@ def _links(nodes: DataFrame, texts_of, k: int, similarity: tuple[int, int]) -> D
         return None
     texts = texts_of(held.select("node").distinct())
     first = held.where("node <> least").groupBy(F.col("node").alias("y")).agg(F.min("least").alias("x"))
-    links = cut_lineage(_linked(cut_lineage(first.select("x", "y")), nodes, texts, k, similarity))
-    held = held.drop("least")
-    before, hubs = 0, FIRST_HUBS
-    while True:
+    links = cut_lineage(_linked(cut_lineage(first.select("x", "y")), texts, k, similarity))
+    held = _open(held.drop("least"), roots := cut_lineage(connected(links)))
+    blocks = materialize(_blocks(held), "blocks")
+    pairs = _block_pairs(held, blocks)
+    rows = materialize(nodes.select("node", "n", "map").join(blocks, "node"), "rows")
+    for low, high in ((0, NEAREST), (NEAREST, 1 << 62)):
+        own = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        left = pairs.join(own, pairs["p"] == own["block"])
+        right = pairs.where("p <> q").join(own, pairs["q"] == own["block"])
+        dealt = left.unionByName(right).groupBy("p", "q")
+        near = dealt.applyInPandas(_compare(*similarity, low, high), "x long, y long")
+        near = cut_lineage(near.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
+        links = cut_lineage(links.unionByName(_linked(near, texts, k, similarity)))
         roots = cut_lineage(connected(links))
-        named = held.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        named = materialize(named, "members")
-        split = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-        held = materialize(named.join(materialize(split, "keys"), "key"), "members")
-        largest = held.agg(F.max("size")).first()[0]
-        if largest is None or before >= largest:
-            return roots
-        share = _rank(F.col("node"))
-        hub = held.where((share * F.col("size") < hubs) & (share * F.col("size") >= before))
-        hub = hub.select("key", F.col("node").alias("x"), F.col("root").alias("rx"), share.alias("at"))
-        met = hub.join(held.select("key", F.col("node").alias("y"), F.col("root").alias("ry"), share.alias("to")), "key")
-        later = (F.col("to") > F.col("at")) | ((F.col("to") == F.col("at")) & (F.col("y") > F.col("x")))
-        pairs = cut_lineage(met.where(later & (F.col("rx") != F.col("ry"))).select("x", "y").distinct())
-        links = cut_lineage(links.unionByName(_linked(pairs, nodes, texts, k, similarity)))
-        before, hubs = hubs, hubs * HUB_GROWTH
+    return roots
 
 
 def near_duplicates(
@@ -213,11 +284,11 @@ def near_duplicates(
     them as one). Texts link when the intersection of their sets is at least
     ``similarity`` of the union; components go over links, and
     ``component_id`` is the smallest id reachable. Texts without words (null,
-    empty, blanks) have an empty set and link with nothing. A pair is compared
-    on its full sets if its signatures share a key and differ in at most FAR
-    symbols: surely when they differ in at most MAX_ERRORS of SYMBOLS, and of
-    pairs at exactly 80 % all but some 5 in 10^10. Sets are compared by 64-bit
-    shingle hashes. Equal sets are one node, so copies are never paired. A null
+    empty, blanks) have an empty set and link with nothing. A pair is decided
+    on its full sets if its signatures share a key (and a bitmap of the sets
+    does not rule the link out): surely when they differ in at most MAX_ERRORS
+    of SYMBOLS, and of pairs at exactly 80 % all but some 5 in 10^10. Sets are
+    compared by 64-bit shingle hashes. Equal sets are one node, so copies are never paired. A null
     id comes after all others; ``kept`` marks one row per component (smallest
     id, of equal ids the first in the input), and every row without words.
     Very long texts are hashed whole; repeated rows stay; an empty table gives
@@ -227,9 +298,9 @@ def near_duplicates(
     own_id, digest = F.col(id_col).alias("doc_id"), F.md5(text.cast("binary")).alias("digest")
     place = F.struct(F.col(id_col).isNull().alias("no_id"), own_id, F.monotonically_increasing_id().alias("rid")).alias("place")
     marked = docs.select(place, digest, sketch_udf(k)(text).alias("sketch"))
-    marked = cut_lineage(marked.select("place", "digest", "sketch.n", "sketch.members", "sketch.signature"))
-    nodes = marked.where("n > 0").groupBy("members").agg(F.min(F.struct("place", "digest", "n", "signature")).alias("f"))
-    nodes = cut_lineage(nodes.select(F.monotonically_increasing_id().alias("node"), "members", "f.place", "f.digest", "f.n", "f.signature"))
+    marked = cut_lineage(marked.select("place", "digest", "sketch.n", "sketch.members", "sketch.signature", "sketch.map"))
+    nodes = marked.where("n > 0").groupBy("members").agg(F.min(F.struct("place", "digest", "n", "signature", "map")).alias("f"))
+    nodes = cut_lineage(nodes.select(F.monotonically_increasing_id().alias("node"), "members", "f.place", "f.digest", "f.n", "f.signature", "f.map"))
 
     def texts_of(wanted: DataFrame) -> DataFrame:
         """One text of each wanted node, found again by id and digest."""

@@ -63,9 +63,9 @@ def test_equals_brute_force(spark, seed):
 
 
 def test_a_large_family_takes_several_rounds(spark, monkeypatch):
-    """Copies far from the first hub, in keys larger than the first rounds' share."""
-    monkeypatch.setattr(minhash, "FIRST_HUBS", 1)
-    monkeypatch.setattr(minhash, "HUB_GROWTH", 2)
+    """Copies far from the first one, in blocks smaller than the family."""
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    monkeypatch.setattr(minhash, "NEAREST", 1)
     base = [f"w{i}" for i in range(200)]
     texts = []
     for i in range(40):  # a chain: neighbours link, ends share little
@@ -114,7 +114,7 @@ def test_signatures_estimate_similarity():
         a, b = np.sort(pool[:54]), np.sort(pool[6:])  # 48 of 60: similarity 0.8
         sa, sb = minhash._signatures([a, b])
         unlike.append((sa != sb).sum())
-    assert abs(np.mean(unlike) / minhash.SYMBOLS - 0.2) < 0.02 and max(unlike) < minhash.FAR
+    assert abs(np.mean(unlike) / minhash.SYMBOLS - 0.2) < 0.02
 
 
 def test_hot_family_and_repeated_texts(spark):
@@ -129,3 +129,18 @@ def test_hot_family_and_repeated_texts(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
     got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df).collect()}
     assert [got[i] for i in range(len(texts))] == [c for _, c in brute(texts)]
+
+
+def test_bitmaps_rule_out_no_link():
+    rng = np.random.default_rng(9)
+    for n in (1, 5, 40, 130, 2000, 20000):
+        pool = np.sort(rng.integers(0, 1 << 63, n + max(1, n // 3), dtype=np.uint64))
+        sets = [np.unique(rng.choice(pool, n, replace=False)) for _ in range(12)] + [pool, pool[: n // 2 + 1]]
+        frame = minhash.pd.DataFrame({"n": [len(s) for s in sets], "map": [minhash.bitmap(s) for s in sets]})
+        i, j, unlike = minhash._possible(frame, frame, 80, 100)
+        near = set(zip(i.tolist(), j.tolist()))
+        for a, x in enumerate(sets):
+            for b, y in enumerate(sets):
+                both = len(np.intersect1d(x, y))
+                assert (a, b) in near or 100 * both < 80 * (len(x) + len(y) - both)
+        assert n > minhash.MAP_BITS // minhash.MAP_LOAD or all(u <= (len(sets[a]) + len(sets[b])) / 9 for a, b, u in zip(i, j, unlike))
