@@ -29,7 +29,7 @@ SYMBOLS = CHUNKS * CHUNK_SYMBOLS
 SYMBOL_BYTES = 2  # b = 16 bits
 MAX_ERRORS = 2 * CHUNKS - 1  # every pair of signatures up to here shares a key
 BLOCK = 512  # nodes that are compared with as many others at once
-NEAREST = 4  # candidates of a node in each class that are read first
+NEAREST = 2  # candidates of a node in each class that are read first
 MAP_LOAD, MAP_BITS = 4, 1 << 15  # bits per shingle of a set's bitmap, at most bits of a bitmap
 SEED = 42
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -162,16 +162,20 @@ def _compare(part: int, whole: int, first: int, last: int):
     """
 
     def run(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = (pdf[pdf["block"] == k].reset_index(drop=True) for k in key)
-        i, j, unlike = _possible(x, y, part, whole)
-        rx, ry, nx, ny = (f[c].to_numpy() for c, f in (("root", x), ("root", y), ("node", x), ("node", y)))
-        live = rx[i] != ry[j]
-        if key[0] == key[1]:
-            live &= nx[i] < ny[j]
-        out = pd.DataFrame({"x": nx[i[live]], "y": ny[j[live]], "of": rx[i[live]], "unlike": unlike[live]})
-        out = out.sort_values(["y", "of", "unlike", "x"])
-        place = out.groupby(["y", "of"]).cumcount()
-        return out.loc[(place >= first) & (place < last), ["x", "y"]]
+        main, inside = pdf["root"].mode().iloc[0], key[0] == key[1]
+        found = []
+        for of_main in (True, False):  # nodes of the commonest class are not compared with each other
+            x = pdf[(pdf["block"] == key[0]) & ((pdf["root"] == main) == of_main)]
+            y = pdf[(pdf["block"] == key[1]) & ((pdf["root"] != main) | (not of_main and not inside))]
+            i, j, unlike = _possible(x, y, part, whole)
+            (nx, rx), (ny, ry) = ((f["node"].to_numpy()[at], f["root"].to_numpy()[at]) for f, at in ((x, i), (y, j)))
+            if inside:  # a pair has one order, the same in every round
+                turn = nx > ny
+                nx, ny, rx, ry = np.where(turn, ny, nx), np.where(turn, nx, ny), np.where(turn, ry, rx), np.where(turn, rx, ry)
+            found.append(pd.DataFrame({"x": nx, "y": ny, "rx": rx, "ry": ry, "unlike": unlike})[rx != ry])
+        out = pd.concat(found).drop_duplicates(["x", "y"]).sort_values(["y", "rx", "unlike", "x"])
+        place = out.groupby(["y", "rx"]).cumcount()
+        return out.loc[(place >= first) & (place < last), ["x", "y", "rx", "ry"]]
 
     return run
 
@@ -212,9 +216,17 @@ def chunk_keys(nodes: DataFrame) -> DataFrame:
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, k: int, similarity: tuple[int, int]) -> DataFrame:
-    """Those ``pairs`` (x, y) of nodes whose full sets link. ``pairs`` are written, so a hot node's can be split."""
+    """Those ``pairs`` (x, y of nodes, rx, ry of their classes) whose full sets link, as
+    links between classes. ``pairs`` are written, so a hot node's can be split."""
     ends = [texts.select(F.col("node").alias(c), F.col("text").alias(f"t{c}")) for c in "xy"]
-    return pairs.join(ends[0], "x").join(ends[1], "y").where(_alike(k, *similarity)("tx", "ty")).select("x", "y")
+    linked = pairs.join(ends[0], "x").join(ends[1], "y").where(_alike(k, *similarity)("tx", "ty"))
+    return cut_lineage(linked.select(F.col("rx").alias("x"), F.col("ry").alias("y")).distinct())
+
+
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) once the classes that ``links`` join are one."""
+    to = cut_lineage(connected(links).select(F.col("node").alias("root"), F.col("root").alias("to")))
+    return cut_lineage(roots.join(to, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
 
 
 def _blocks(held: DataFrame) -> DataFrame:
@@ -236,13 +248,13 @@ def _block_pairs(held: DataFrame, blocks: DataFrame) -> DataFrame:
 
 def _open(held: DataFrame, roots: DataFrame) -> DataFrame:
     """The rows (key, node, size, root) of keys that hold several classes."""
-    named = materialize(held.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "members")
+    named = materialize(held.join(roots, "node"), "members")
     split = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
     return materialize(named.join(materialize(split, "keys"), "key"), "members")
 
 
-def _links(nodes: DataFrame, texts_of, k: int, similarity: tuple[int, int]) -> DataFrame | None:
-    """(node, root) of nodes with links, or None without any.
+def _classes(nodes: DataFrame, texts_of, k: int, similarity: tuple[int, int]) -> DataFrame:
+    """(node, root): the smallest node that each node reaches over links.
 
     Every pair that shares a key is decided, but none whose ends are already
     known to be connected. First each node meets the smallest node of its keys.
@@ -254,24 +266,24 @@ def _links(nodes: DataFrame, texts_of, k: int, similarity: tuple[int, int]) -> D
     keys = chunk_keys(nodes)
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("least")).where("size > 1")
     held = materialize(keys.join(materialize(shared, "keys"), "key"), "members")
+    roots = nodes.select("node", F.col("node").alias("root"))
     if held.isEmpty():
-        return None
+        return roots
     texts = texts_of(held.select("node").distinct())
     first = held.where("node <> least").groupBy(F.col("node").alias("y")).agg(F.min("least").alias("x"))
-    links = cut_lineage(_linked(cut_lineage(first.select("x", "y")), texts, k, similarity))
-    held = _open(held.drop("least"), roots := cut_lineage(connected(links)))
+    first = cut_lineage(first.select("x", "y", F.col("x").alias("rx"), F.col("y").alias("ry")))
+    roots = _merged(roots, _linked(first, texts, k, similarity))
+    held = _open(held.drop("least"), roots)
     blocks = materialize(_blocks(held), "blocks")
     pairs = _block_pairs(held, blocks)
     rows = materialize(nodes.select("node", "n", "map").join(blocks, "node"), "rows")
     for low, high in ((0, NEAREST), (NEAREST, 1 << 62)):
-        own = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        own = rows.join(roots, "node")
         left = pairs.join(own, pairs["p"] == own["block"])
         right = pairs.where("p <> q").join(own, pairs["q"] == own["block"])
         dealt = left.unionByName(right).groupBy("p", "q")
-        near = dealt.applyInPandas(_compare(*similarity, low, high), "x long, y long")
-        near = cut_lineage(near.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
-        links = cut_lineage(links.unionByName(_linked(near, texts, k, similarity)))
-        roots = cut_lineage(connected(links))
+        near = dealt.applyInPandas(_compare(*similarity, low, high), "x long, y long, rx long, ry long")
+        roots = _merged(roots, _linked(cut_lineage(near), texts, k, similarity))
     return roots
 
 
@@ -309,9 +321,7 @@ def near_duplicates(
         found = rows.join(which, (rows["digest"] == which["digest"]) & rows["doc_id"].eqNullSafe(which["id"]))
         return materialize(found.select("node", "text").dropDuplicates(["node"]), "texts")
 
-    roots = _links(nodes, texts_of, k, similarity)
-    named = nodes.select("members", "node", "place")
-    named = named.withColumn("root", F.col("node")) if roots is None else named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = nodes.select("members", "node", "place").join(_classes(nodes, texts_of, k, similarity), "node")
     classes = named.groupBy("root").agg(F.min("place").alias("first"))
     classes = cut_lineage(named.join(cut_lineage(classes), "root").select("members", "first"))
     out = marked.where("n > 0").join(classes, "members").select("place", "n", "first")
