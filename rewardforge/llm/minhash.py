@@ -8,10 +8,10 @@ they share one of the keys that leave one symbol of a chunk out.
 from __future__ import annotations
 
 import hashlib
-from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +28,7 @@ CHUNKS, CHUNK_SYMBOLS = 16, 5
 SYMBOLS = CHUNKS * CHUNK_SYMBOLS
 SYMBOL_BYTES = 2  # b = 16 bits
 MAX_ERRORS = 2 * CHUNKS - 1  # every pair of signatures up to here shares a key
-BLOCK = 512  # nodes that are compared with as many others at once
+BLOCK = 2048  # nodes that are compared with as many others at once
 NEAREST = 2  # candidates of a node in each class that are read first
 MAP_LOAD, MAP_BITS = 4, 1 << 15  # bits per shingle of a set's bitmap, at most bits of a bitmap
 SEED = 42
@@ -126,34 +126,43 @@ def _folded(words: np.ndarray) -> np.ndarray:
     return words[:, :half] | words[:, half:]
 
 
-def _possible(x: pd.DataFrame, y: pd.DataFrame, part: int, whole: int):
-    """(i, j, unlike bits) of the pairs of rows that may link, by sizes and bitmaps.
+def _by_size(maps: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Bytes of a bitmap -> (places, bitmaps as rows)."""
+    ends, held = np.frombuffer(maps.buffers()[1], dtype=np.int32)[maps.offset :][: len(maps) + 1], np.frombuffer(maps.buffers()[2], dtype=np.uint8)
+    lengths = np.diff(ends)
+    out = {}
+    for n in set(lengths.tolist()):
+        at = np.flatnonzero(lengths == n)
+        out[n] = at, held[ends[at][:, None] + np.arange(n)]
+    return out
+
+
+def _possible(x: dict, y: dict, nx: np.ndarray, ny: np.ndarray, part: int, whole: int):
+    """(i, j, unlike bits) of the pairs of nodes that may link, by sizes and bitmaps.
 
     A bit that only one of two bitmaps has stands for a shingle that only one of
     the sets has, so no pair that links is left out. Sets that may link have
     bitmaps of one size or of neighbouring sizes.
     """
-
-    def by_size(frame):
-        lengths = frame["map"].map(len).to_numpy()
-        return {n: (at := np.flatnonzero(lengths == n), np.frombuffer(b"".join(frame["map"].iloc[at]), dtype=np.uint8).reshape(-1, n)) for n in set(lengths.tolist())}
-
-    nx, ny = x["n"].to_numpy(), y["n"].to_numpy()
-    left, right = by_size(x), by_size(y)
     found = []
-    for n, (i, a) in left.items():
+    for n, (i, a) in x.items():
         for m in (n // 2, n, n * 2):
-            if m in right:
-                j, b = right[m]
-                p, q = (_folded(a) if n > m else a).view("<u8"), (_folded(b) if m > n else b).view("<u8")
+            if m in y and len(i) and len(y[m][0]):
+                j, b = y[m]
+                p, q = (np.ascontiguousarray(_folded(t) if of > to else t).view("<u8") for t, of, to in ((a, n, m), (b, m, n)))
                 for row, own in zip(i.tolist(), p):
                     unlike = np.bitwise_count(own ^ q).sum(axis=1)
                     both, least, most = nx[row] + ny[j], np.minimum(nx[row], ny[j]), np.maximum(nx[row], ny[j])
-                    near = (unlike * (whole + part) <= (whole - part) * both) & (least * whole >= most * part)
-                    found.append((np.full(near.sum(), row), j[near], unlike[near]))
+                    near = np.flatnonzero((unlike * (whole + part) <= (whole - part) * both) & (least * whole >= most * part))
+                    if len(near):
+                        found.append((np.full(len(near), row), j[near], unlike[near]))
     return [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, dtype=np.int64)] * 3
 
 
+def _among(maps: dict, kept: np.ndarray) -> dict:
+    return {n: (at[own], rows[own]) for n, (at, rows) in maps.items() if (own := kept[at]).any()}
+
+
 def _compare(part: int, whole: int, first: int, last: int):
     """Two blocks of nodes -> pairs of nodes of different classes to read.
 
@@ -161,21 +170,31 @@ def _compare(part: int, whole: int, first: int, last: int):
     ``first`` up to ``last``.
     """
 
-    def run(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
-        main, inside = pdf["root"].mode().iloc[0], key[0] == key[1]
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        block, node, root, n = (table[c].to_numpy() for c in ("block", "node", "root", "n"))
+        maps = _by_size(table["map"].combine_chunks())
+        p, q = (k.as_py() for k in key)
+        roots, times = np.unique(root, return_counts=True)
+        main = root == roots[times.argmax()]  # nodes of the commonest class are not compared with each other
         found = []
-        for of_main in (True, False):  # nodes of the commonest class are not compared with each other
-            x = pdf[(pdf["block"] == key[0]) & ((pdf["root"] == main) == of_main)]
-            y = pdf[(pdf["block"] == key[1]) & ((pdf["root"] != main) | (not of_main and not inside))]
-            i, j, unlike = _possible(x, y, part, whole)
-            (nx, rx), (ny, ry) = ((f["node"].to_numpy()[at], f["root"].to_numpy()[at]) for f, at in ((x, i), (y, j)))
-            if inside:  # a pair has one order, the same in every round
-                turn = nx > ny
-                nx, ny, rx, ry = np.where(turn, ny, nx), np.where(turn, nx, ny), np.where(turn, ry, rx), np.where(turn, rx, ry)
-            found.append(pd.DataFrame({"x": nx, "y": ny, "rx": rx, "ry": ry, "unlike": unlike})[rx != ry])
-        out = pd.concat(found).drop_duplicates(["x", "y"]).sort_values(["y", "rx", "unlike", "x"])
-        place = out.groupby(["y", "rx"]).cumcount()
-        return out.loc[(place >= first) & (place < last), ["x", "y", "rx", "ry"]]
+        for x, y in ((main, ~main), (~main, ~main if p == q else ~main | main)):
+            found.append(_possible(_among(maps, x & (block == p)), _among(maps, y & (block == q)), n, n, part, whole))
+        i, j, unlike = (np.concatenate(c) for c in zip(*found))
+        if p == q:  # a pair has one order, the same in every round
+            turn = node[i] > node[j]
+            i, j = np.where(turn, j, i), np.where(turn, i, j)
+        live = (root[i] != root[j]) & (node[i] != node[j])
+        i, j, unlike = i[live], j[live], unlike[live]
+        order = np.lexsort((node[i], unlike, root[i], node[j]))
+        i, j = i[order], j[order]
+        once = np.r_[True, (node[i][1:] != node[i][:-1]) | (node[j][1:] != node[j][:-1])][: len(i)]
+        i, j = i[once], j[once]
+        start = np.r_[True, (node[j][1:] != node[j][:-1]) | (root[i][1:] != root[i][:-1])][: len(i)]
+        at = np.arange(len(i))
+        place = at - np.maximum.accumulate(np.where(start, at, 0)) if len(i) else at
+        i, j = (c[(place >= first) & (place < last)] for c in (i, j))
+        return pa.table({"x": node[i], "y": node[j], "rx": root[i], "ry": root[j]})
 
     return run
 
@@ -278,11 +297,15 @@ def _classes(nodes: DataFrame, texts_of, k: int, similarity: tuple[int, int]) ->
     pairs = _block_pairs(held, blocks)
     rows = materialize(nodes.select("node", "n", "map").join(blocks, "node"), "rows")
     for low, high in ((0, NEAREST), (NEAREST, 1 << 62)):
-        own = rows.join(roots, "node")
-        left = pairs.join(own, pairs["p"] == own["block"])
-        right = pairs.where("p <> q").join(own, pairs["q"] == own["block"])
+        own = materialize(rows.join(roots, "node"), "rows")
+        apart = pairs
+        for c in "pq":  # blocks of one and the same class need no comparison
+            apart = apart.join(own.groupBy(F.col("block").alias(c)).agg(F.min("root").alias(f"low{c}"), F.max("root").alias(f"high{c}")), c)
+        apart = materialize(apart.where(F.least("lowp", "lowq") < F.greatest("highp", "highq")).select("p", "q"), "apart")
+        left = apart.join(own, apart["p"] == own["block"])
+        right = apart.where("p <> q").join(own, apart["q"] == own["block"])
         dealt = left.unionByName(right).groupBy("p", "q")
-        near = dealt.applyInPandas(_compare(*similarity, low, high), "x long, y long, rx long, ry long")
+        near = dealt.applyInArrow(_compare(*similarity, low, high), "x long, y long, rx long, ry long")
         roots = _merged(roots, _linked(cut_lineage(near), texts, k, similarity))
     return roots
 

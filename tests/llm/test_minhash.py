@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from rewardforge.llm import minhash
@@ -136,8 +137,9 @@ def test_bitmaps_rule_out_no_link():
     for n in (1, 5, 40, 130, 2000, 20000):
         pool = np.sort(rng.integers(0, 1 << 63, n + max(1, n // 3), dtype=np.uint64))
         sets = [np.unique(rng.choice(pool, n, replace=False)) for _ in range(12)] + [pool, pool[: n // 2 + 1]]
-        frame = minhash.pd.DataFrame({"n": [len(s) for s in sets], "map": [minhash.bitmap(s) for s in sets]})
-        i, j, unlike = minhash._possible(frame, frame, 80, 100)
+        maps = minhash._by_size(pa.array([minhash.bitmap(s) for s in sets], pa.binary()))
+        n_of = np.array([len(s) for s in sets])
+        i, j, unlike = minhash._possible(maps, maps, n_of, n_of, 80, 100)
         near = set(zip(i.tolist(), j.tolist()))
         for a, x in enumerate(sets):
             for b, y in enumerate(sets):
