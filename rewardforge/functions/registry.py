@@ -23,6 +23,7 @@ PERPLEXITY_FALLBACK = 0.1
 # --- end of fixed values ---
 
 ColumnEvaluator = Callable[[Column, Column, Column], Column]  # (prompt, response, correct_answer) -> reward
+PythonEvaluator = Callable[[pd.Series, pd.Series, pd.Series], pd.Series]
 
 
 def _hard_marker(prompt: Column, resp: Column, gold: Column) -> Column:
@@ -42,7 +43,8 @@ _REGISTRY: dict[str, ColumnEvaluator] = {
     "hard_cascade": _hard_cascade,
     "hard_exact": _hard_exact,
 }
-_PYTHON: set[str] = set()  # evaluators that run as pandas UDFs
+_PYTHON: set[str] = set()  # evaluators over the Series of a batch
+_SCORES: dict[str, PythonEvaluator] = {}  # and what they run
 
 
 def register(name: str, fn: ColumnEvaluator) -> None:
@@ -67,12 +69,24 @@ def register_python(name: str, fn: Callable[[pd.Series, pd.Series, pd.Series], p
             half = len(p) // 2
             return pd.concat([score(p[:half], r[:half], g[:half]), score(p[half:], r[half:], g[half:])])
 
+    own = _SCORES[name] = lambda p, r, g: score(p, r, g).fillna(fallback)
+    _REGISTRY[name] = lambda prompt, resp, gold: _dispatch({name: own})(F.lit(name), prompt, resp, gold)
+    _PYTHON.add(name)
+
+
+def _dispatch(evaluators: dict[str, PythonEvaluator]):
+    """One Arrow UDF for several Python evaluators: the rows of a batch go to the one they name."""
+
     @F.pandas_udf(ST.DoubleType())
-    def udf(p: pd.Series, r: pd.Series, g: pd.Series) -> pd.Series:
-        return score(p, r, g)
+    def udf(name: pd.Series, p: pd.Series, r: pd.Series, g: pd.Series) -> pd.Series:
+        out = pd.Series(float("nan"), index=name.index, dtype="float64")
+        for n, score in evaluators.items():
+            own = name == n
+            if own.any():
+                out[own] = score(p[own], r[own], g[own])
+        return out
 
-    _REGISTRY[name] = lambda prompt, resp, gold: F.coalesce(udf(prompt, resp, gold), F.lit(fallback))
-    _PYTHON.add(name)
+    return udf
 
 
 def names() -> list[str]:
@@ -82,9 +96,10 @@ def names() -> list[str]:
 def evaluate(df: DataFrame, name_col: str, prompt: str, response: str, gold: str, out: str = "reward") -> DataFrame:
     """Score each row with the evaluator named in ``name_col``.
 
-    Column evaluators share one CASE expression. A pandas-UDF evaluator gets
-    only the rows that name it (Spark evaluates a Python UDF inside a CASE
-    branch for every row), so the rows are split by kind and unioned back.
+    Column evaluators share one CASE expression. The Python ones share one Arrow
+    UDF that hands each row of a batch to the evaluator it names, so the input
+    is read once however many there are; rows that name none travel without
+    their texts (Spark evaluates a UDF inside a CASE branch for every row).
     """
     from ..session import ship_package
 
@@ -96,13 +111,13 @@ def evaluate(df: DataFrame, name_col: str, prompt: str, response: str, gold: str
             continue
         branch = fn(p, r, g)
         expr = F.when(F.col(name_col) == n, branch) if expr is None else expr.when(F.col(name_col) == n, branch)
-    py = sorted(_PYTHON)
-    rest = df.where(~F.coalesce(F.col(name_col).isin(py), F.lit(False))) if py else df
     fallback = F.lit(HARD_FALLBACK)
-    out_df = rest.withColumn(out, expr.otherwise(fallback) if expr is not None else fallback)
-    for n in py:
-        out_df = out_df.unionByName(df.where(F.col(name_col) == n).withColumn(out, _REGISTRY[n](p, r, g)))
-    return out_df
+    plain = expr.otherwise(fallback) if expr is not None else fallback
+    if not _PYTHON:
+        return df.withColumn(out, plain)
+    python = F.coalesce(F.col(name_col).isin(sorted(_PYTHON)), F.lit(False))
+    sent = [F.when(python, c) for c in (F.col(name_col), p, r, g)]
+    return df.withColumn(out, F.when(python, _dispatch({n: _SCORES[n] for n in _PYTHON})(*sent)).otherwise(plain))
 
 
 def batched_map(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: ST.StructType | str) -> DataFrame:

@@ -89,12 +89,12 @@ def hard_reward(pred: Column, gold: Column, exact: bool = False) -> Column:
 
 def word_count(c: str | Column) -> Column:
     """``len(text.split())``: non-empty white-space separated parts (0 for a null text)."""
-    return F.coalesce(F.size(F.filter(F.split(col(c), r"\s+"), lambda t: t != F.lit(""))), F.lit(0))
+    return F.coalesce(F.size(tokens(c)), F.lit(0))
 
 
 def tokens(c: str | Column) -> Column:
     """White-space tokens of a text (the tokenizer of the n-gram and overlap jobs)."""
-    return F.filter(F.split(col(c), r"\s+"), lambda t: t != F.lit(""))
+    return F.array_remove(F.split(col(c), r"\s+"), "")
 
 
 def float_text(x: Column) -> Column:

@@ -6,7 +6,7 @@ the whole pipeline stays inside one whole-stage-codegen span per stage.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -176,11 +176,11 @@ def completion_filter(texts: DataFrame, judge_out: DataFrame, key: str, text_col
 def pad_batches(batched: DataFrame, batch_cols: list[str], array_cols: list[str], pad) -> DataFrame:
     """Right-pad each token array to the longest of its batch.
 
-    The batch maximum is an aggregate per batch joined back (batches are small,
-    bounded by the batch size), not a window over the table.
+    The batch maximum is a window over the batch, which is of bounded size: one
+    shuffle brings a batch together, and nothing is joined back.
     """
-    mx = batched.groupBy(*batch_cols).agg(*[F.max(F.size(c)).alias(f"_max_{c}") for c in array_cols])
-    out = batched.join(mx, batch_cols)
+    batch = Window.partitionBy(*batch_cols)
+    out = batched.withColumns({f"_max_{c}": F.max(F.size(c)).over(batch) for c in array_cols})
     for c in array_cols:
         m = F.col(f"_max_{c}")
         out = out.withColumn(

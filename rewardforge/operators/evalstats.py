@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .keyed import per_key
+from .keyed import with_per_key
 from .ordering import blocked_prefix
 
 # --- Fixed values that must equal the reference's ---
@@ -126,13 +126,13 @@ def eval_gate(
 
     ``modulo_only=True`` is the other script's rule: only step % eval_every == 0
     counts, and the other records are dropped.
-    The last step per run is one aggregate looked up per row (runs are few),
-    not a join or window over the whole run.
+    The last step per run is one aggregate, looked up per row, not a window over
+    the whole run.
     """
     if modulo_only:
         return log.where(F.col("step") % eval_every == 0).withColumn("evaluated", F.lit(True))
     last = log.groupBy(*run_cols).agg(F.max("step").alias("_max_step"))
-    j = log.withColumn("_max_step", per_key(last, list(run_cols), "_max_step"))
+    j = with_per_key(log, last, list(run_cols))
     ev = (F.col("step") % eval_every == 0) | (F.col("step") >= F.col("_max_step"))
     return (
         j.withColumn("evaluated", ev)
@@ -223,7 +223,7 @@ def argmax_priority(df: DataFrame, group_cols: Sequence[str], name_col: str, sco
 
 def hist_density(values: DataFrame, group_cols: Sequence[str], value_col: str, bins: int = HIST_BINS) -> DataFrame:
     """Equal-width bins from min to max (last bin closed; min = max -> +-0.5),
-    density = count / (n * width), empty bins included. Groups are few (runs, metrics)."""
+    density = count / (n * width), empty bins included."""
     g = list(group_cols)
     st = values.groupBy(*g).agg(F.min(value_col).alias("_mn"), F.max(value_col).alias("_mx"), F.count(value_col).alias("n"))
     same = F.col("_mn") == F.col("_mx")
@@ -232,9 +232,9 @@ def hist_density(values: DataFrame, group_cols: Sequence[str], value_col: str, b
         F.when(same, F.col("_mn") - 0.5).otherwise(F.col("_mn")).alias("lo"),
         F.when(same, F.col("_mx") + 0.5).otherwise(F.col("_mx")).alias("hi"),
     ).withColumn("width", (F.col("hi") - F.col("lo")) / float(bins))
-    scale = per_key(st, g, F.struct("lo", "width"))
-    b = values.where(F.col(value_col).isNotNull()).select(
-        *g, F.least(F.lit(bins - 1), F.floor((F.col(value_col) - scale["lo"]) / scale["width"]).cast("int")).alias("bin")
+    kept = values.where(F.col(value_col).isNotNull()).select(*g, F.col(value_col).alias("_value"))
+    b = with_per_key(kept, st.select(*g, "lo", "width"), g).select(
+        *g, F.least(F.lit(bins - 1), F.floor((F.col("_value") - F.col("lo")) / F.col("width")).cast("int")).alias("bin")
     )
     counts = b.groupBy(*g, "bin").agg(F.count(F.lit(1)).alias("count"))
     grid = st.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))

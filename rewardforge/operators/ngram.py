@@ -1,10 +1,11 @@
 """Bigram language model fit and perplexity scoring at corpus scale (A1-A3).
 
-Stands in for a neural forward pass: counts come from a ``groupBy`` with
-map-side partial aggregation, scoring is two left joins (pair counts, context
-counts). Frequent tokens are hot join keys; AQE's skew-join split handles the
-large side. Bigram arrays are built once per text with ``zip_with`` and
-exploded, so no row carries the whole token array of its text.
+Stands in for a neural forward pass. Fitting counts bigrams with map-side
+partial aggregation. The log-probability of a pair is ln(c(v,w) + k) minus
+ln(c(v) + k (V + 1)), so a text's sum splits into one term per distinct pair
+and one per distinct context, and both go through one lookup on one key. A
+context's key ends with a blank, a pair's never does. Long texts are counted
+inside their row first.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from ..session import materialize
 MAX_LENGTH = 2048
 # --- end of fixed values ---
 
+LONG_TEXT = 1024  # pairs of a text from which it is counted inside its row
+
 
 def token_bigrams(toks: Column) -> Column:
     """array<struct<prev, tok>> of adjacent tokens; empty for fewer than two tokens."""
@@ -34,24 +37,56 @@ class BigramModel:
     pairs: DataFrame  # prev, tok, c_pair
     contexts: DataFrame  # prev, c_ctx
     vocab: DataFrame  # one row, one column: v
+    lookup: DataFrame  # gram ("prev tok" or "prev "), c
 
 
 def fit_bigram(corpus: DataFrame, text_col: str) -> BigramModel:
-    """A2: c(v, w), c(v) = sum over w of c(v, w), and the vocabulary size."""
+    """A2: c(v, w), c(v) = sum over w of c(v, w), and the vocabulary size.
+
+    The texts are tokenized once: a text's first token follows the empty token,
+    so the counts hold every token of the vocabulary.
+    """
     # Tokens in their own projection: the bigram builder reads the array three
     # times, and CollapseProject keeps a costly expression from being inlined.
     tk = corpus.select(T.tokens(text_col).alias("_tok"))
-    bg = tk.select(F.explode(token_bigrams(F.col("_tok"))).alias("b")).select("b.prev", "b.tok")
-    # written once: contexts and every scoring read it
-    pairs = materialize(bg.groupBy("prev", "tok").agg(F.count(F.lit(1)).alias("c_pair")), "bigram-pairs")
+    before = F.slice(F.concat(F.array(F.lit("")), F.col("_tok")), 1, F.coalesce(F.size("_tok"), F.lit(0)))
+    grams = F.zip_with(before, "_tok", lambda a, b: F.struct(a.alias("prev"), b.alias("tok")))
+    bg = tk.where(F.col("_tok").isNotNull()).select(F.explode(grams).alias("b")).select("b.prev", "b.tok")
+    # written once: contexts, vocabulary and lookup read it
+    counts = materialize(bg.groupBy("prev", "tok").agg(F.count(F.lit(1)).alias("c_pair")), "bigram-pairs")
+    pairs = counts.where(F.col("prev") != "")
     contexts = pairs.groupBy("prev").agg(F.sum("c_pair").alias("c_ctx"))
-    vocab = tk.select(F.explode("_tok").alias("t")).agg(F.count_distinct("t").alias("v"))
-    return BigramModel(pairs, contexts, vocab)
+    lookup = pairs.select(F.concat_ws(" ", "prev", "tok").alias("gram"), F.col("c_pair").alias("c")).unionByName(
+        contexts.select(F.concat("prev", F.lit(" ")).alias("gram"), F.col("c_ctx").alias("c"))
+    )
+    # Written, so that Spark knows its size when a scoring is planned: it broadcasts a
+    # table under its threshold without shuffling the texts' grams, and beyond it
+    # takes a sort-merge join whose hot keys can be split.
+    return BigramModel(pairs, contexts, counts.agg(F.count_distinct("tok").alias("v")), materialize(lookup, "bigram-lookup"))
+
 
+def _gram_counts(tk: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """(keep, gram, n): occurrences of pairs and of contexts in a text (column ``_tok``).
 
-def logp_column(c_pair: Column, c_ctx: Column, v: Column, k: float = 1.0) -> Column:
-    """ln((c(v,w) + k) / (c(v) + k (V + 1))): add-k smoothing with one unknown-word slot."""
-    return F.log((F.coalesce(c_pair, F.lit(0)) + F.lit(k)) / (F.coalesce(c_ctx, F.lit(0)) + F.lit(k) * (v + F.lit(1))))
+    Texts of more than LONG_TEXT pairs are counted inside the row (sorted, then
+    run lengths), so a token that fills a long text is one row; shorter ones
+    send their pairs as they are. A text without a pair gives one row with n = 0.
+    """
+    last = F.greatest(F.size("_tok") - 1, F.lit(0))
+    # steps of their own, so that no array is built twice
+    tk = tk.select(*keep, F.slice("_tok", 1, last).alias("prev"), F.slice("_tok", 2, last).alias("tok"))
+    tk = tk.withColumn("_s", F.when(F.size("prev") > LONG_TEXT, F.sort_array(F.arrays_zip("prev", "tok"))))
+    first = lambda i: (i == 0) | (F.get("_s", i) != F.get("_s", i - 1))
+    tk = tk.withColumn("_start", F.when(F.col("_s").isNotNull(), F.filter(F.sequence(F.lit(0), F.size("_s") - 1), first)))
+    ends = F.concat(F.slice("_start", 2, F.size("_start") - 1), F.array(F.size("_s")))
+    run = lambda a, b: F.struct(F.get("_s", a)["prev"].alias("prev"), F.get("_s", a)["tok"].alias("tok"), (b - a).alias("n"))
+    plain = F.arrays_zip("prev", "tok", F.array_repeat(F.lit(1), F.size("prev"))).cast("array<struct<prev:string,tok:string,n:int>>")
+    grams = F.when(F.col("_start").isNotNull(), F.zip_with("_start", ends, run)).otherwise(plain)
+    j = tk.select(*keep, F.explode_outer(grams).alias("g")).select(*keep, "g.prev", "g.tok", F.coalesce("g.n", F.lit(0)).alias("n"))
+    # the ids stand in for the key, so that texts without a pair do not share one
+    no_key = F.concat(F.lit("\0"), F.concat_ws(",", *[F.col(c).cast("string") for c in keep]), F.lit("\0"))
+    both = F.when(F.col("n") == 0, F.array(no_key)).otherwise(F.array(F.concat("prev", F.lit(" ")), F.concat("prev", F.lit(" "), "tok")))
+    return j.select(*keep, "n", F.explode(both).alias("gram"))
 
 
 def score_perplexities(
@@ -66,45 +101,37 @@ def score_perplexities(
     """A3 (+A1 rule) for several models in one pass: exp(-mean logp) over predicted
     tokens from the second on (up to ``max_length`` if given); null if there are none.
 
-    The texts are tokenized and exploded once. The models' counts are merged into
-    one pair table and one context table, so the token rows take two lookups
-    however many models there are; each model adds one average to the same
-    aggregation. Output: id columns, ``n_pred`` and ``ppl_<name>`` per model,
-    rounded to ``digits`` (sums of logarithms differ in the last bits between
-    engines and row orders).
+    The texts are tokenized and counted once. The models' counts are merged into
+    one table, so the counts take one lookup however many models there are; each
+    model adds one sum to the same aggregation. Output: id columns (what else a
+    caller needs per text may be among them), ``n_pred`` and ``ppl_<name>`` per
+    model, rounded to ``digits`` (sums of logarithms differ in the last bits
+    between engines and row orders).
     """
     toks = T.tokens(text) if max_length is None else F.slice(T.tokens(text), 1, max_length)
-    tk = df.select(*id_cols, toks.alias("_tok"))
-    # A text without a bigram sends one row with no token, so that its id stays in
-    # the result; its ids stand in for the key, so that these rows do not share one.
-    no_key = F.concat(F.lit("\0"), F.concat_ws(",", *[F.col(c).cast("string") for c in id_cols]))
-    empty = F.array(F.struct(no_key.alias("prev"), F.lit(None).cast("string").alias("tok")))
-    grams = F.when(F.size("_tok") >= 2, token_bigrams(F.col("_tok"))).otherwise(empty)
-    j = tk.select(*id_cols, F.explode(grams).alias("b")).select(*id_cols, F.col("b.prev").alias("prev"), F.col("b.tok").alias("tok"))
-    # Written before the lookups, so that Spark knows their size when it plans: it
-    # broadcasts a table under its threshold without shuffling the token rows
-    # first, and takes a sort-merge join beyond it.
-    pairs = _merged({n: m.pairs for n, m in models.items()}, ["prev", "tok"], "c_pair")
-    pairs = materialize(pairs, "bigram-lookup") if len(models) > 1 else pairs  # one model's are written
-    contexts = materialize(_merged({n: m.contexts for n, m in models.items()}, ["prev"], "c_ctx"), "bigram-lookup")
-    j = j.join(pairs, ["prev", "tok"], "left").join(contexts, ["prev"], "left")
-    aggs = [F.count(F.col("tok")).alias("n_pred")]
+    toks = F.coalesce(toks, F.array().cast("array<string>"))
+    grams = _gram_counts(df.select(*id_cols, toks.alias("_tok")), id_cols)
+    j = grams.join(_merged({n: m.lookup for n, m in models.items()}), "gram", "left")
+    n, context = F.col("n"), F.endswith(F.col("gram"), F.lit(" "))
+    n_pred = F.sum(F.when(context, F.lit(0)).otherwise(n))
+    aggs = [n_pred.alias("n_pred")]
     for name, m in models.items():
-        lp = F.when(F.col("tok").isNotNull(), logp_column(F.col(f"c_pair_{name}"), F.col(f"c_ctx_{name}"), m.vocab.scalar(), k))
-        aggs.append(F.round(F.exp(-F.avg(lp)), digits).alias(f"ppl_{name}"))
+        c = F.coalesce(F.col(f"c_{name}"), F.lit(0))
+        term = F.when(context, -n * F.log(c + F.lit(k) * (m.vocab.scalar() + F.lit(1)))).otherwise(n * F.log(c + F.lit(k)))
+        mean = F.when(n_pred > 0, F.sum(term) / n_pred)
+        aggs.append(F.round(F.exp(-mean), digits).alias(f"ppl_{name}"))
     return j.groupBy(*id_cols).agg(*aggs)
 
 
-def _merged(tables: dict[str, DataFrame], keys: list[str], count: str) -> DataFrame:
-    """The models' count tables as one: a column ``<count>_<name>`` per model (null where it has no such key)."""
-    cols = {n: f"{count}_{n}" for n in tables}
-    named = [t.withColumnRenamed(count, cols[n]) for n, t in tables.items()]
+def _merged(tables: dict[str, DataFrame]) -> DataFrame:
+    """The models' lookups as one: a column ``c_<name>`` per model (null where it has no such key)."""
+    named = [t.withColumnRenamed("c", f"c_{n}") for n, t in tables.items()]
     if len(named) == 1:
         return named[0]
     stacked = named[0]
     for t in named[1:]:
         stacked = stacked.unionByName(t, allowMissingColumns=True)
-    return stacked.groupBy(*keys).agg(*[F.max(c).alias(c) for c in cols.values()])
+    return materialize(stacked.groupBy("gram").agg(*[F.max(f"c_{n}").alias(f"c_{n}") for n in tables]), "bigram-lookup")
 
 
 def score_perplexity(

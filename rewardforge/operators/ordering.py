@@ -33,11 +33,11 @@ def _cols(names: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in names]
 
 
-def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inner join on ``keys`` where null equals null: a null group is a group."""
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` where null equals null: a null group is a group."""
     renamed = right.select([F.col(c).alias(f"_rf_r_{c}") if c in keys else F.col(c) for c in right.columns])
     cond = [F.col(k).eqNullSafe(F.col(f"_rf_r_{k}")) for k in keys]
-    return left.join(renamed, cond).drop(*[f"_rf_r_{k}" for k in keys])
+    return left.join(renamed, cond, how).drop(*[f"_rf_r_{k}" for k in keys])
 
 
 def ordered_index(
@@ -63,7 +63,7 @@ def ordered_index(
     stats = ranged.groupBy(_PID, *group_cols).agg(F.min(_MID).alias(_M0), F.count(F.lit(1)).alias(_N))
     before = Window.partitionBy(*group_cols).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
     stats = stats.withColumn(_OFF, F.coalesce(F.sum(_N).over(before), F.lit(0)))
-    out = _join_null_safe(ranged, stats.drop(_N), [_PID, *group_cols])
+    out = join_null_safe(ranged, stats.drop(_N), [_PID, *group_cols])
     return out.withColumn(idx_col, F.col(_OFF) + F.col(_MID) - F.col(_M0)).drop(_PID, _MID, _M0, _OFF)
 
 
@@ -103,7 +103,7 @@ def blocked_prefix(
         totals = totals.withColumn(f"_rf_c_{name}", agg[op](f"_rf_t_{name}").over(carry_w))
     totals = totals.select(*group_cols, blk, *[f"_rf_c_{name}" for name in values])
 
-    out = _join_null_safe(indexed, totals, [*group_cols, blk])
+    out = join_null_safe(indexed, totals, [*group_cols, blk])
     for name, (_src, op) in values.items():
         local, carry = F.col(f"_rf_l_{name}"), F.col(f"_rf_c_{name}")
         if op == "sum":

@@ -142,11 +142,14 @@ def group_advantage(scored: DataFrame, group_col: str, reward_col: str) -> DataF
     """(r - mean) / (std_pop + 1e-8) per prompt group; 0 when std = 0.
 
     Mean and deviation come from one aggregation per group joined back; equal
-    rewards have deviation 0 exactly.
+    rewards have deviation 0 exactly. The rows are written once before both
+    reads, so nothing is scored twice and a hot group's rows are a join side
+    that Spark can split: project to ids and reward first.
     """
     r = F.col(reward_col)
+    scored = cut_lineage(scored)
     std = F.when(F.min(r) == F.max(r), F.lit(0.0)).otherwise(F.stddev_pop(r))
-    g = scored.groupBy(group_col).agg((F.sum(r) / F.count(r)).alias("_mean"), std.alias("_std"))
+    g = cut_lineage(scored.groupBy(group_col).agg((F.sum(r) / F.count(r)).alias("_mean"), std.alias("_std")))
     out = scored.join(g, group_col)
     adv = F.when(F.col("_std") == 0, F.lit(0.0)).otherwise((r - F.col("_mean")) / (F.col("_std") + F.lit(ADV_EPS)))
     return out.withColumn("advantage", adv).withColumnRenamed("_mean", "group_mean").withColumnRenamed("_std", "group_std")

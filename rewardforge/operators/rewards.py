@@ -32,17 +32,22 @@ def bonus(right: Column) -> Column:
     return F.when(right, F.lit(CORRECT_BONUS)).otherwise(F.lit(0.0))
 
 
-def reward_log(ppl: Column, text: Column, right: Column, digits: int = 6) -> Column:
+def _words(text: Column, words: Column | None) -> Column:
+    """Words of a text, unless the caller has counted them."""
+    return T.word_count(text) if words is None else words
+
+
+def reward_log(ppl: Column, text: Column, right: Column, digits: int = 6, words: Column | None = None) -> Column:
     """A4: clip(1/(1+ln(1+ppl)) + min(0.3, words/100) + 0.1 if right, 0, 1); error 0.1."""
     p = clean(ppl)
-    r = F.lit(1.0) / (F.lit(1.0) + F.log1p(p)) + F.least(F.lit(0.3), T.word_count(text) / 100.0) + bonus(right)
+    r = F.lit(1.0) / (F.lit(1.0) + F.log1p(p)) + F.least(F.lit(0.3), _words(text, words) / 100.0) + bonus(right)
     return F.round(F.coalesce(clip01(r), F.lit(ERROR_FALLBACK)), digits)
 
 
-def reward_linear(ppl: Column, text: Column, right: Column, digits: int = 6) -> Column:
+def reward_linear(ppl: Column, text: Column, right: Column, digits: int = 6, words: Column | None = None) -> Column:
     """A5: clip(1/(1+ppl/100) + min(0.2, words/50) + 0.1 if right, 0, 1); error 0.1."""
     p = clean(ppl)
-    r = F.lit(1.0) / (F.lit(1.0) + p / 100.0) + F.least(F.lit(0.2), T.word_count(text) / 50.0) + bonus(right)
+    r = F.lit(1.0) / (F.lit(1.0) + p / 100.0) + F.least(F.lit(0.2), _words(text, words) / 50.0) + bonus(right)
     return F.round(F.coalesce(clip01(r), F.lit(ERROR_FALLBACK)), digits)
 
 

@@ -204,31 +204,31 @@ def ucb_score(joined: DataFrame, c: float = UCB_C, digits: int = 10) -> DataFram
 def text_cosine(pairs: DataFrame, key_cols: list[str], a: str | Column, b: str | Column) -> DataFrame:
     """Cosine of white-space token-count vectors of two texts (0 if one is empty).
 
-    Both texts are exploded once with a side tag; one aggregation gives the two
-    counts per (pair, token), a second gives the dot product and both squared
-    norms per pair. Integer sums, so the result does not depend on row order,
-    and no join on tokens is needed.
+    Both texts' tokens are sorted together inside the row, and one pass adds up
+    the dot product and both squared norms: an occurrence more raises a squared
+    count by 2c + 1 and the product by the other side's count. Integer sums, no
+    shuffle, linear after the sort.
     """
-    sides = pairs.select(
-        *key_cols,
-        F.explode(
-            F.concat(
-                F.transform(T.tokens(T.col(a)), lambda t: F.struct(t.alias("tok"), F.lit(1).alias("sa"), F.lit(0).alias("sb"))),
-                F.transform(T.tokens(T.col(b)), lambda t: F.struct(t.alias("tok"), F.lit(0).alias("sa"), F.lit(1).alias("sb"))),
-            )
-        ).alias("e"),
+    sides = F.concat(
+        F.transform(F.coalesce(T.tokens(T.col(a)), F.array()), lambda t: F.struct(t.alias("t"), F.lit(True).alias("a"))),
+        F.transform(F.coalesce(T.tokens(T.col(b)), F.array()), lambda t: F.struct(t.alias("t"), F.lit(False).alias("a"))),
     )
-    per_tok = sides.groupBy(*key_cols, F.col("e.tok").alias("tok")).agg(F.sum("e.sa").alias("c1"), F.sum("e.sb").alias("c2"))
-    per_pair = per_tok.groupBy(*key_cols).agg(
-        F.sum(F.col("c1") * F.col("c2")).alias("dot"),
-        F.sum(F.col("c1") * F.col("c1")).alias("n1"),
-        F.sum(F.col("c2") * F.col("c2")).alias("n2"),
-    )
-    out = pairs.select(*key_cols).join(per_pair, key_cols, "left")
-    cos = F.when(
-        F.coalesce(F.col("n1"), F.lit(0)) * F.coalesce(F.col("n2"), F.lit(0)) == 0, F.lit(0.0)
-    ).otherwise(F.col("dot") / (F.sqrt(F.col("n1")) * F.sqrt(F.col("n2"))))
-    return out.select(*key_cols, cos.alias("cosine"))
+    zero = F.lit(0).cast("long")
+    start = F.struct(F.lit("").alias("t"), *[zero.alias(c) for c in ("ca", "cb", "dot", "na", "nb")])
+
+    def add(acc: Column, x: Column) -> Column:
+        again = acc["t"] == x["t"]
+        ca, cb = F.when(again, acc["ca"]).otherwise(zero), F.when(again, acc["cb"]).otherwise(zero)
+        one_a, one_b = F.when(x["a"], F.lit(1)).otherwise(0), F.when(x["a"], F.lit(0)).otherwise(1)
+        return F.struct(
+            x["t"].alias("t"), (ca + one_a).alias("ca"), (cb + one_b).alias("cb"),
+            (acc["dot"] + F.when(x["a"], cb).otherwise(ca)).alias("dot"),
+            (acc["na"] + one_a * (ca * 2 + 1)).alias("na"), (acc["nb"] + one_b * (cb * 2 + 1)).alias("nb"),
+        )
+
+    sums = pairs.select(*key_cols, F.aggregate(F.sort_array(sides), start, add).alias("s")).select(*key_cols, "s.dot", "s.na", "s.nb")
+    cos = F.when(F.col("na") * F.col("nb") == 0, F.lit(0.0)).otherwise(F.col("dot") / (F.sqrt("na") * F.sqrt("nb")))
+    return sums.select(*key_cols, cos.alias("cosine"))
 
 
 def top_child(scored: DataFrame, score_col: str) -> DataFrame:

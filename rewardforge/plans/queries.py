@@ -119,20 +119,24 @@ def _resp_ppl(spark, sf, model):
 
 def _rewarded(spark, sf):
     """Scored responses with the log reward (A4, marker reader) of each."""
-    sc = _scored(spark, sf)
-    ppl = _resp_ppl(spark, sf, _current_model(spark, sf))
-    j = sc.join(ppl, ["qa_id", "sample_idx"])
-    return j.withColumn("reward", R.reward_log(F.col("ppl"), F.col("response"), F.col("hard_marker") > 0.5))
+    j = _scored_ppl(spark, sf, "hard_marker")
+    return j.withColumn("reward", R.reward_log(F.col("ppl"), F.lit(None), F.col("hard_marker") > 0.5, words=F.col("words")))
+
+
+def _scored_ppl(spark, sf, hard):
+    """Perplexity, words and one hard reward per response: texts are read once, only numbers leave the scoring."""
+    sc = _scored(spark, sf).withColumn("words", T.word_count("response"))
+    return NG.score_perplexity(_current_model(spark, sf), sc, ["qa_id", "sample_idx", "words", hard], _resp_text())
 
 
 def _side_scorer_log(spark, sf):
     model = _current_model(spark, sf)
 
     def score(sides):
-        ppl = NG.score_perplexity(model, sides, ["qa_id", "side"], F.concat(F.col("prompt"), F.lit(" "), F.col("text")))
-        j = sides.join(ppl, ["qa_id", "side"])
         right = T.is_right(T.extract_marker("text"), F.col("correct_answer"))
-        return j.select("qa_id", "side", R.reward_log(F.col("ppl"), F.col("text"), right).alias("reward"))
+        sides = sides.withColumn("words", T.word_count("text")).withColumn("right", right)
+        ppl = NG.score_perplexity(model, sides, ["qa_id", "side", "words", "right"], F.concat(F.col("prompt"), F.lit(" "), F.col("text")))
+        return ppl.select("qa_id", "side", R.reward_log(F.col("ppl"), F.lit(None), F.col("right"), words=F.col("words")).alias("reward"))
 
     return D.sides_scorer(score, "qa_id")
 
@@ -141,9 +145,9 @@ def _side_scorer_relative(spark, sf):
     base, cur = _base_model(spark, sf), _current_model(spark, sf)
 
     def score(sides):
-        j = _both_ppl(base, cur, sides, ["qa_id", "side"], T.scored_text("prompt", "text", "qa")).join(sides, ["qa_id", "side"])
-        hard = T.hard_reward(T.extract_marker("text"), F.col("correct_answer"))
-        return j.select("qa_id", "side", R.reward_relative(F.col("base_ppl"), F.col("train_ppl"), hard).alias("reward"))
+        sides = sides.withColumn("hard", T.hard_reward(T.extract_marker("text"), F.col("correct_answer")))
+        j = _both_ppl(base, cur, sides, ["qa_id", "side", "hard"], T.scored_text("prompt", "text", "qa"))
+        return j.select("qa_id", "side", R.reward_relative(F.col("base_ppl"), F.col("train_ppl"), F.col("hard")).alias("reward"))
 
     return D.sides_scorer(score, "qa_id")
 
@@ -189,7 +193,7 @@ def q_preference_export(spark, sf):
 @query("batch_assign")
 def q_batch_assign(spark, sf):
     prompts = P.rl_prompts(_samples(spark, sf)).select("qa_id")
-    return S.batch_assign(prompts, F.col("qa_id"), epochs=3, batch_size=4).select("epoch", "qa_id", "idx", "batch_id")
+    return S.batch_assign(prompts, "qa_id", epochs=3, batch_size=4).select("epoch", "qa_id", "idx", "batch_id")
 
 
 # ---------------- 2.2 (continued) ----------------
@@ -248,7 +252,7 @@ def q_completion_filter(spark, sf):
 def q_pad_batches(spark, sf):
     samples = _samples(spark, sf)
     texts = samples.select("qa_id", F.col("prompt").alias("query"), "chosen")  # P10 with the text to pad
-    b = S.batch_assign(texts, F.col("qa_id"), epochs=1, batch_size=4)
+    b = S.batch_assign(texts, "qa_id", epochs=1, batch_size=4)
     b = b.withColumn("q_tok", T.tokens("query")).withColumn("r_tok", T.tokens("chosen"))
     p = P.pad_batches(b, ["epoch", "batch_id"], ["q_tok", "r_tok"], "<pad>")
     return p.select(
@@ -289,9 +293,8 @@ def q_reward_log(spark, sf):
 
 @query("reward_linear")
 def q_reward_linear(spark, sf):
-    sc = _scored(spark, sf)
-    j = sc.join(_resp_ppl(spark, sf, _current_model(spark, sf)), ["qa_id", "sample_idx"])
-    r = R.reward_linear(F.col("ppl"), F.col("response"), F.col("hard_cascade") > 0.5)
+    j = _scored_ppl(spark, sf, "hard_cascade")
+    r = R.reward_linear(F.col("ppl"), F.lit(None), F.col("hard_cascade") > 0.5, words=F.col("words"))
     return j.select("qa_id", "sample_idx", "ppl", r.alias("reward_linear"))
 
 
@@ -306,7 +309,8 @@ def q_baseline_join(spark, sf):
 
 @query("reward_relative")
 def q_reward_relative(spark, sf):
-    j = _relative(spark, sf).join(_scored(spark, sf).select("qa_id", "sample_idx", "hard_marker"), ["qa_id", "sample_idx"])
+    ids, text = ["qa_id", "sample_idx", "hard_marker"], T.scored_text("prompt", "response", "qa")
+    j = _both_ppl(_base_model(spark, sf), _current_model(spark, sf), _scored(spark, sf), ids, text)
     r = R.reward_relative(F.col("base_ppl"), F.col("train_ppl"), F.col("hard_marker"))
     return j.select("qa_id", "sample_idx", "base_ppl", "train_ppl", r.alias("reward_relative"))
 
@@ -368,7 +372,7 @@ def q_pairs_by_length(spark, sf):
 
 @query("group_advantage")
 def q_group_advantage(spark, sf):
-    a = D.group_advantage(_scored(spark, sf), "qa_id", "hard_marker")
+    a = D.group_advantage(_scored(spark, sf).select("qa_id", "sample_idx", "hard_marker"), "qa_id", "hard_marker")
     return a.select("qa_id", "sample_idx", F.col("hard_marker").alias("reward"), F.round("advantage", 9).alias("advantage"))
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.keyed import per_key
+from ..operators.keyed import with_per_key
 from ..operators.ordering import ordered_index
 from .tables import read_table
 
@@ -90,7 +90,7 @@ def metric_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     ev = ordered_index(ev, ["ts", "event_id"], ["reward_type"], "idx")
     counts = ev.groupBy("reward_type").agg(F.count(F.lit(1)).alias("mx"))
-    b = ev.withColumn("mx", per_key(counts, ["reward_type"], "mx")).withColumn("step", F.col("idx") + 1)
+    b = with_per_key(ev, counts, ["reward_type"]).withColumn("step", F.col("idx") + 1)
     return b.select(
         "reward_type",
         (F.col("step") * 100).alias("step"),

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
-from ..operators.keyed import per_key
+from ..operators.keyed import with_per_key
 from ..session import scratch_path
 
 MESSAGES = ST.ArrayType(ST.StructType([ST.StructField("role", ST.StringType()), ST.StructField("content", ST.StringType())]))
@@ -117,8 +117,7 @@ def read_report(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     summary = spark.read.schema(SUMMARY_SCHEMA).json(f"{path}/summary")
     metrics = spark.read.schema(METRIC_SCHEMA).json(f"{path}/metrics")
     runs = summary.select(F.explode("runs").alias("r")).select("r.*")
-    entry = per_key(runs, ["reward_type"], F.struct("final_accuracy", "best_accuracy"))
-    return summary, metrics.withColumn("_run", entry).select(*metrics.columns, "_run.final_accuracy", "_run.best_accuracy")
+    return summary, with_per_key(metrics, runs.select("reward_type", "final_accuracy", "best_accuracy"), ["reward_type"])
 
 
 def scalar_log(gated: DataFrame, path: str | None = None) -> DataFrame:
