@@ -31,6 +31,19 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents", *columns)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, longer by underscores until ``df`` has no such column (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def named(column: str) -> Column:
+    """A top-level column by its name, dots and all."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -50,6 +63,8 @@ def fold(doc_id: Column, folds: int) -> Column:
 
 def _stored_number(df: DataFrame) -> Column | None:
     """A row's file and place in it as one number, if ``df`` is columns of Parquet files; else None."""
+    if free_name(df, "_metadata") != "_metadata":  # a column of the table hides the files' own
+        return None
     plan = df._jdf.queryExecution().analyzed()
     if not plan.deterministic():
         return None

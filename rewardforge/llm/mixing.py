@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, by_value, documents, numbered, running_totals, word_count
+from .common import WORD, by_value, documents, free_name, named, numbered, running_totals, word_count
 
 by_value(__name__)
 
@@ -241,21 +241,23 @@ def mixed_texts(docs: DataFrame, weights: tuple = WEIGHTS, max_epochs: int = MAX
     ``text`` holds the words that the mix takes of a document, one line per
     stretch and repeats one after the other; a copy that is taken whole stays
     as it was, white space included. ``n_chars`` (if there) follows the new
-    text. Documents of which the mix takes no word are left out.
+    text. Documents of which the mix takes no word are left out. All other columns
+    stay as they are, whatever their names.
     """
-    rows = numbered(docs, "_rid")
-    pieces, _ = _pieces(rows, F.col("_rid"), weights, max_epochs, block, "doc_id", "text", "source")
+    rid, size, cut = (free_name(docs, c) for c in ("_rid", "_size", "_cuts"))
+    rows = numbered(docs, rid)
+    pieces, _ = _pieces(rows, F.col(rid), weights, max_epochs, block, "doc_id", "text", "source")
     cuts = (
         pieces.where(F.size("counts") > 0)
         .groupBy("rid", "size")  # as many pieces as the document has blocks
         .agg(F.collect_list(F.struct("from_word", "counts")).alias("cuts"))
-        .select(F.col("rid").alias("_rid"), F.col("size").alias("_size"), F.col("cuts").alias("_cuts"))
+        .select(F.col("rid").alias(rid), F.col("size").alias(size), F.col("cuts").alias(cut))
     )
-    joined = rows.join(cuts, "_rid")
+    joined = rows.join(cuts, rid)
     names = [f"c{i}" for i in range(len(docs.columns))]
     known = {"text": "text", "n_chars": "n_chars"}
     inner = [known.get(c, n) for c, n in zip(docs.columns, names)]
-    plain = joined.select(*[F.col(c).alias(n) for c, n in zip(docs.columns, inner)], F.col("_size").alias("size"), F.col("_cuts").alias("cuts"))
+    plain = joined.select(*[named(c).alias(n) for c, n in zip(docs.columns, inner)], F.col(size).alias("size"), F.col(cut).alias("cuts"))
     schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(inner, docs.schema))
     return plain.mapInPandas(_texts(inner), schema).toDF(*docs.columns)
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import by_value, documents, numbered
+from .common import by_value, documents, free_name, numbered
 
 by_value(__name__)
 
@@ -209,10 +209,11 @@ def _near_duplicates(docs: DataFrame, rid: Column, k: int, max_bits: int, id_col
 
 
 def keep_first(docs: DataFrame, k: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """The one row of each component that ``kept`` marks, with all columns of ``docs``."""
-    rows = numbered(docs, "_rid")
-    kept = _near_duplicates(rows, F.col("_rid"), k, max_bits).where("kept").select(F.col("rid").alias("_rid"))
-    return rows.join(kept, "_rid", "left_semi").drop("_rid")
+    """The one row of each component that ``kept`` marks, with all columns of ``docs``, whatever their names."""
+    rid = free_name(docs, "_rid")
+    rows = numbered(docs, rid)
+    kept = _near_duplicates(rows, F.col(rid), k, max_bits).where("kept").select(F.col("rid").alias(rid))
+    return rows.join(kept, rid, "left_semi").drop(rid)
 
 
 def fp_hex(fp):
