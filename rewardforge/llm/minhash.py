@@ -249,9 +249,11 @@ def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _blocks(held: DataFrame) -> DataFrame:
-    """(node, block): nodes whose largest key is the same, dealt into blocks of about BLOCK."""
-    home = held.groupBy("node").agg(F.max(F.struct("size", "key")).alias("home")).select("node", F.col("home.key").alias("home"))
-    home = materialize(home, "homes")
+    """(node, block): nodes whose keys lead to the same smallest node, dealt into blocks of about BLOCK.
+
+    The nodes of a family share few such nodes, so its blocks are few and full.
+    """
+    home = materialize(held.groupBy("node").agg(F.min("least").alias("home")), "homes")
     sizes = materialize(home.groupBy("home").agg(F.count(F.lit(1)).alias("n")), "homes")
     salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK))
     return home.join(sizes, "home").select("node", F.xxhash64("home", salt).alias("block"))
@@ -266,7 +268,7 @@ def _block_pairs(held: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def _open(held: DataFrame, roots: DataFrame) -> DataFrame:
-    """The rows (key, node, size, root) of keys that hold several classes."""
+    """The rows (key, node, least, root) of keys that hold several classes."""
     named = materialize(held.join(roots, "node"), "members")
     split = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
     return materialize(named.join(materialize(split, "keys"), "key"), "members")
@@ -292,7 +294,7 @@ def _classes(nodes: DataFrame, texts_of, k: int, similarity: tuple[int, int]) ->
     first = held.where("node <> least").groupBy(F.col("node").alias("y")).agg(F.min("least").alias("x"))
     first = cut_lineage(first.select("x", "y", F.col("x").alias("rx"), F.col("y").alias("ry")))
     roots = _merged(roots, _linked(first, texts, k, similarity))
-    held = _open(held.drop("least"), roots)
+    held = _open(held, roots)
     blocks = materialize(_blocks(held), "blocks")
     pairs = _block_pairs(held, blocks)
     rows = materialize(nodes.select("node", "n", "map").join(blocks, "node"), "rows")
