@@ -29,7 +29,7 @@ SYMBOLS = CHUNKS * CHUNK_SYMBOLS
 SYMBOL_BYTES = 2  # b = 16 bits
 MAX_ERRORS = 2 * CHUNKS - 1  # every pair of signatures up to here shares a key
 BLOCK = 2048  # nodes that are compared with as many others at once
-NEAREST = 2  # candidates of a node in each class that are read first
+NEAREST = 2  # candidates of a node that are read first
 MAP_LOAD, MAP_BITS = 4, 1 << 15  # bits per shingle of a set's bitmap, at most bits of a bitmap
 SEED = 42
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -163,11 +163,10 @@ def _among(maps: dict, kept: np.ndarray) -> dict:
     return {n: (at[own], rows[own]) for n, (at, rows) in maps.items() if (own := kept[at]).any()}
 
 
-def _compare(part: int, whole: int, first: int, last: int):
+def _compare(part: int, whole: int, nearest: int):
     """Two blocks of nodes -> pairs of nodes of different classes to read.
 
-    Of a node's candidates in one class, nearest first, those from place
-    ``first`` up to ``last``.
+    Of a node's candidates in other classes, the ``nearest`` ones.
     """
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -186,14 +185,14 @@ def _compare(part: int, whole: int, first: int, last: int):
             i, j = np.where(turn, j, i), np.where(turn, i, j)
         live = (root[i] != root[j]) & (node[i] != node[j])
         i, j, unlike = i[live], j[live], unlike[live]
-        order = np.lexsort((node[i], unlike, root[i], node[j]))
+        order = np.lexsort((node[i], unlike, node[j]))
         i, j = i[order], j[order]
         once = np.r_[True, (node[i][1:] != node[i][:-1]) | (node[j][1:] != node[j][:-1])][: len(i)]
         i, j = i[once], j[once]
-        start = np.r_[True, (node[j][1:] != node[j][:-1]) | (root[i][1:] != root[i][:-1])][: len(i)]
+        start = np.r_[True, node[j][1:] != node[j][:-1]][: len(i)]
         at = np.arange(len(i))
         place = at - np.maximum.accumulate(np.where(start, at, 0)) if len(i) else at
-        i, j = (c[(place >= first) & (place < last)] for c in (i, j))
+        i, j = i[place < nearest], j[place < nearest]
         return pa.table({"x": node[i], "y": node[j], "rx": root[i], "ry": root[j]})
 
     return run
@@ -281,8 +280,8 @@ def _classes(nodes: DataFrame, texts_of, k: int, similarity: tuple[int, int]) ->
     known to be connected. First each node meets the smallest node of its keys.
     Then the nodes of keys that still hold several classes are compared block
     by block on their bitmaps, and what may link is read: of each node the
-    nearest NEAREST candidates in every other class of the block, then, where
-    classes are still apart, all others.
+    nearest NEAREST candidates per pair of blocks, then, where classes are still
+    apart, all.
     """
     keys = chunk_keys(nodes)
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("least")).where("size > 1")
@@ -298,7 +297,7 @@ def _classes(nodes: DataFrame, texts_of, k: int, similarity: tuple[int, int]) ->
     blocks = materialize(_blocks(held), "blocks")
     pairs = _block_pairs(held, blocks)
     rows = materialize(nodes.select("node", "n", "map").join(blocks, "node"), "rows")
-    for low, high in ((0, NEAREST), (NEAREST, 1 << 62)):
+    for nearest in (NEAREST, 1 << 62):  # the second time, all that are still apart
         own = materialize(rows.join(roots, "node"), "rows")
         apart = pairs
         for c in "pq":  # blocks of one and the same class need no comparison
@@ -307,7 +306,7 @@ def _classes(nodes: DataFrame, texts_of, k: int, similarity: tuple[int, int]) ->
         left = apart.join(own, apart["p"] == own["block"])
         right = apart.where("p <> q").join(own, apart["q"] == own["block"])
         dealt = left.unionByName(right).groupBy("p", "q")
-        near = dealt.applyInArrow(_compare(*similarity, low, high), "x long, y long, rx long, ry long")
+        near = dealt.applyInArrow(_compare(*similarity, nearest), "x long, y long, rx long, ry long")
         roots = _merged(roots, _linked(cut_lineage(near), texts, k, similarity))
     return roots
 
