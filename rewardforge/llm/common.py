@@ -24,7 +24,7 @@ def by_value(module: str) -> None:
 
 by_value(__name__)
 
-FILE_BITS, ROW_BITS = 28, 35  # of a row number: its file, its place in the file
+NUMBER_BITS = 63  # of a row number: its place in its file takes what the longest file needs, its file the rest
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -74,12 +74,25 @@ def _stored_number(df: DataFrame) -> Column | None:
         return None
     path, place = F.col("_metadata.file_path"), F.col("_metadata.row_index")
     files = df.groupBy(path.alias("path")).agg(F.count(F.lit(1)).alias("n"), F.max(place).alias("last")).collect()  # one row per file
-    if any(r["n"] != r["last"] + 1 or r["n"] > 1 << ROW_BITS for r in files):  # a file that is listed twice
+    if any(r["n"] != r["last"] + 1 for r in files):  # a file that is listed twice
         return None
-    for salt in map(str, range(64)):  # a hash that tells all the files apart
-        if len({xxhash.xxh64_intdigest(salt + r["path"], 42) % (1 << FILE_BITS) for r in files}) == len(files):
-            file = F.pmod(F.xxhash64(F.concat(F.lit(salt), path)), F.lit(1 << FILE_BITS))
-            return file * F.lit(1 << ROW_BITS) + place
+    row_bits = max((r["last"].bit_length() for r in files), default=0) or 1
+    salt = file_salt([r["path"] for r in files], NUMBER_BITS - row_bits)
+    if salt is None:
+        return None
+    file = F.pmod(F.xxhash64(F.concat(F.lit(salt), path)), F.lit(1 << (NUMBER_BITS - row_bits)))
+    return file * F.lit(1 << row_bits) + place
+
+
+def file_salt(paths: list[str], bits: int) -> str | None:
+    """A salt with which ``bits`` bits of XXH64 tell all the paths apart, if one of 64 does.
+
+    With files of up to a million rows (43 bits left), one salt does for a
+    million paths in nineteen of twenty cases and for five million in one of four.
+    """
+    for salt in map(str, range(64)):
+        if len({xxhash.xxh64_intdigest(salt + p, 42) % (1 << bits) for p in paths}) == len(paths):
+            return salt
     return None
 
 

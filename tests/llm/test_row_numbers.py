@@ -80,3 +80,19 @@ def test_numbers_tell_rows_apart(spark, table, splits):
     assert twice.select("n").distinct().count() == 96
     both = common.numbered(spark.read.parquet(table, table), "n")
     assert both.select("n").distinct().count() == both.count() == 96
+
+
+def test_many_files_are_told_apart():
+    paths = [f"hdfs://store/documents.parquet/part-{i:06d}-0b2c.snappy.parquet" for i in range(200_000)]
+    assert common.file_salt(paths, 43) == common.file_salt(paths[:8], 43) == "0"
+    assert common.file_salt(paths[:300], 8) is None  # more files than numbers: the caller writes them
+
+
+def test_numbers_of_files_of_any_length(spark, tmp_path):
+    for rows in ([1], [1, 70000, 3]):
+        path = str(tmp_path / f"t{len(rows)}")
+        for i, n in enumerate(rows):
+            spark.range(n).coalesce(1).write.mode("append").parquet(path)
+        got = common.numbered(spark.read.parquet(path), "n")
+        assert got.where("n < 0").count() == 0 and got.select("n").distinct().count() == sum(rows)
+    assert common.numbered(spark.read.parquet(path).where("id < 0"), "n").count() == 0
