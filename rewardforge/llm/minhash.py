@@ -29,6 +29,7 @@ SYMBOLS = CHUNKS * CHUNK_SYMBOLS
 SYMBOL_BYTES = 2  # b = 16 bits
 MAX_ERRORS = 2 * CHUNKS - 1  # every pair of signatures up to here shares a key
 BLOCK = 2048  # nodes that are compared with as many others at once
+HOME_STEPS = 1  # small families join the one their smallest node belongs to
 NEAREST = 2  # candidates of a node that are read first
 MAP_LOAD, MAP_BITS = 4, 1 << 15  # bits per shingle of a set's bitmap, at most bits of a bitmap
 SEED = 42
@@ -248,14 +249,25 @@ def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _blocks(held: DataFrame) -> DataFrame:
-    """(node, block): nodes whose keys lead to the same smallest node, dealt into blocks of about BLOCK.
+    """(node, block): nodes dealt into blocks of about BLOCK.
 
-    The nodes of a family share few such nodes, so its blocks are few and full.
+    From a node one goes to the smallest node of its keys, and HOME_STEPS times
+    on from there; the nodes that come to the same one are a family. A
+    class that most of a family belongs to has blocks of its own, which are
+    never compared with each other; the rest of the family has others.
     """
-    home = materialize(held.groupBy("node").agg(F.min("least").alias("home")), "homes")
-    sizes = materialize(home.groupBy("home").agg(F.count(F.lit(1)).alias("n")), "homes")
+    home = materialize(held.groupBy("node", "root").agg(F.min("least").alias("home")), "homes")
+    for _ in range(HOME_STEPS):
+        home = home.join(home.select(F.col("node").alias("home"), F.col("home").alias("next")), "home")
+        home = materialize(home.select("node", "root", F.col("next").alias("home")), "homes")
+    classes = home.groupBy("home", "root").agg(F.count(F.lit(1)).alias("n"))
+    main = materialize(classes.groupBy("home").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all")), "homes")
+    of_main = (F.col("root") == F.col("top.root")) & (2 * F.col("top.n") > F.col("all"))
+    family = home.join(main, "home").select("node", of_main.alias("main"), F.when(of_main, F.col("root")).otherwise(F.col("home")).alias("family"))
+    family = materialize(family, "homes")
+    sizes = materialize(family.groupBy("family", "main").agg(F.count(F.lit(1)).alias("n")), "homes")
     salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK))
-    return home.join(sizes, "home").select("node", F.xxhash64("home", salt).alias("block"))
+    return family.join(sizes, ["family", "main"]).select("node", F.xxhash64("family", "main", salt).alias("block"))
 
 
 def _block_pairs(held: DataFrame, blocks: DataFrame) -> DataFrame:
