@@ -287,24 +287,55 @@ def test_shards(spark, odd, none):
 
 
 # ---- 10 lines
-def test_repeated_lines_against_brute_force(spark, odd, none):
+def lines_that_go(texts, min_lines, min_words):
+    """Every run of lines that counts, of any length, against all that start earlier."""
+    texts = [(t or "").split("\n") for t in texts]
+    seen, gone = set(), [set() for _ in texts]
+    for i, lines in enumerate(texts):
+        for p in range(len(lines)):
+            for end in range(p + 1, len(lines) + 1):
+                run = tuple(lines[p:end])
+                if len(run) >= min_lines or sum(len(WORD.findall(x)) for x in run) >= min_words:
+                    gone[i] |= set(range(p, end)) if run in seen else set()
+                    seen.add(run)
+    return gone
+
+
+@pytest.mark.parametrize(("min_lines", "min_words"), [(3, 50), (3, 5), (1, 9), (5, 4)])
+def test_repeated_lines_against_brute_force(spark, min_lines, min_words):
     rng = random.Random(10)
-    texts = [None, ""] + ["\n".join(rng.choice("abcdef") for _ in range(rng.randint(1, 12))) for _ in range(120)]
-    out = by_id(line_dedup.remove_repeated_lines(docs_of(spark, texts)))
-    seen = set()
-    for i, t in enumerate(texts):
-        lines, gone = (t or "").split("\n"), set()
-        for p in range(len(lines) - 2):
-            run = tuple(lines[p : p + 3])
-            gone |= set(range(p, p + 3)) if run in seen else set()
-            seen.add(run)
+    texts = [None, ""] + ["\n".join(rng.choice(["a", "b", "c c", "d d d", "", "f f f f"]) for _ in range(rng.randint(1, 12))) for _ in range(120)]
+    out = by_id(line_dedup.remove_repeated_lines(docs_of(spark, texts), min_lines, min_words))
+    for i, (t, gone) in enumerate(zip(texts, lines_that_go(texts, min_lines, min_words))):
+        lines = (t or "").split("\n")
         kept = "\n".join(x for p, x in enumerate(lines) if p not in gone)
         assert (out[i]["n_lines"], out[i]["n_removed"], out[i]["kept_text"]) == (len(lines), len(gone), kept)
+        assert out[i]["n_runs"] == sum(p - 1 not in gone for p in gone)
+
+
+def test_repeated_lines_of_odd_rows(spark, odd, none):
     rows = line_dedup.remove_repeated_lines(odd).collect()
     assert len(rows) == N_ODD and sum(r["n_removed"] for r in rows) >= 7
     assert line_dedup.remove_repeated_lines(none).count() == 0
 
 
+def test_one_and_two_long_lines_go_where_they_come_again(spark):
+    long, half, rest = (" ".join(f"{w}{i}" for i in range(n)) for w, n in (("a", 50), ("b", 30), ("c", 30)))
+    short = "only nine and forty " * 12 + "words"
+    texts = [long, f"x\n{long}\ny", f"{half}\n{rest}", f"x\n{half}\n{rest}\ny", half, short, short, long]
+    out = by_id(line_dedup.remove_repeated_lines(docs_of(spark, texts)))
+    assert [out[i]["kept_text"] for i in range(8)] == [long, "x\ny", f"{half}\n{rest}", "x\ny", half, short, short, ""]
+
+
+def test_a_line_in_every_document_and_a_very_long_text(spark):
+    common = " ".join(f"w{i}" for i in range(60))
+    many = "\n".join(f"row {i}" for i in range(200_000))
+    texts = [f"own {i}\n{common}\nend {i}" for i in range(600)] + [many, f"head\n{many}", "one line " * 400_000]
+    out = by_id(line_dedup.remove_repeated_lines(docs_of(spark, texts)))
+    assert out[0]["n_removed"] == 0 and all(out[i]["kept_text"] == f"own {i}\nend {i}" for i in range(1, 600))
+    assert [out[i]["n_removed"] for i in (600, 601, 602)] == [0, 200_000, 0] and out[601]["kept_text"] == "head"
+
+
 # ---- queries and pipeline
 OTHER_ROWS = {"op11_whitening", "op13_collocations"}  # by contract not one row per row of a table
 
