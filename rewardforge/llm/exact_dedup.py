@@ -16,7 +16,7 @@ from .common import SPACE, by_value, documents
 
 by_value(__name__)
 
-FILTER_BYTES = 32 << 20  # most bytes of one round's filter, held by every task
+FILTER_BYTES = 32 << 20  # most bytes of one round's filter; a task that builds it holds two such
 CELLS_PER_ROW = 16
 PROBES = 4
 SEGMENT = 1 << 16  # cells per segment of a filter
@@ -33,23 +33,33 @@ def _words(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(d[:16] for d in column), dtype="<u8").reshape(-1, 2)
 
 
+def _set_bits(packed: np.ndarray, at: np.ndarray) -> None:
+    """Set the bits at sorted distinct places ``at``."""
+    if len(at):
+        byte = at >> 3
+        first = np.flatnonzero(np.r_[True, byte[1:] != byte[:-1]])
+        packed[byte[first]] |= np.bitwise_or.reduceat((128 >> (at & 7)).astype(np.uint8), first)
+
+
 def _two_bits(cells: int):
-    """One task's filter: per cell, whether it was hit once and whether twice."""
+    """One task's filter: per cell, a bit whether it was hit once and one whether twice."""
 
     def run(batches):
-        once, twice = np.zeros(cells, dtype=bool), np.zeros(cells, dtype=bool)
+        once, twice = (np.zeros(-(-cells // 8), dtype=np.uint8) for _ in range(2))
         for pdf in batches:
             if len(pdf):
                 at = np.sort(_cells(_words(pdf["digest"]), cells), axis=1)
                 own = np.c_[np.ones(len(at), dtype=bool), at[:, 1:] != at[:, :-1]]  # a row hits a cell once
                 hit, n = np.unique(at[own], return_counts=True)
-                twice[hit[(n > 1) | once[hit]]] = True
-                once[hit] = True
-        for low in range(0, cells, SEGMENT):
-            part = once[low : low + SEGMENT]
+                known = (once[hit >> 3] >> (7 - (hit & 7)).astype(np.uint8)) & 1
+                _set_bits(twice, hit[(n > 1) | (known == 1)])
+                _set_bits(once, hit)
+        step = SEGMENT // 8
+        for low in range(0, len(once), step):
+            part = once[low : low + step]
             if part.any():
-                bits = np.r_[np.packbits(part), np.packbits(twice[low : low + SEGMENT])]
-                yield pd.DataFrame({"segment": [low // SEGMENT], "bits": [zlib.compress(bits.tobytes(), 1)]})
+                bits = np.r_[part, twice[low : low + step]]
+                yield pd.DataFrame({"segment": [low // step], "bits": [zlib.compress(bits.tobytes(), 1)]})
 
     return run
 
@@ -66,7 +76,7 @@ def _merge(key: tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd
 
 
 def repeat_filter(hashes: DataFrame, cells: int) -> np.ndarray:
-    """First pass: the cells that two rows hit, as booleans (``cells`` / 8 bytes travel)."""
+    """First pass: the cells that two rows hit, one bit each (``cells`` / 8 bytes travel)."""
     made = hashes.select("digest").mapInPandas(_two_bits(cells), "segment long, bits binary")
     merged = made.groupBy("segment").applyInPandas(_merge, "segment long, bits binary")
     out = np.zeros(-(-cells // 8), dtype=np.uint8)
