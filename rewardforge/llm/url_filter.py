@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from ..sources.tables import read_table
 from .common import lower_ascii
 
@@ -90,7 +91,9 @@ def judge_urls(
         lower_ascii(F.regexp_extract(url, URL_PARTS, 1)).alias("host"),
         F.regexp_extract(url, URL_PARTS, 2).alias("path"),
     )
-    return parts.join(match_urls(parts, rules), ["host", "path"], "left").select(
+    # written, so that a hot (host, path) is a join key that Spark can split
+    matched = cut_lineage(match_urls(parts, rules))
+    return parts.join(matched, ["host", "path"], "left").select(
         "page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict")
     )
 
