@@ -42,6 +42,7 @@ ORACLE_SQL: dict[str, str] = {
     "op3_exact_dedup": exact_dedup.ORACLE,
     "op7_decontaminate": decontaminate.ORACLE,
     "op8_url_filter": url_filter.ORACLE,
+    "op9_sharding": sharding.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
     "op12_minhash": minhash.ORACLE,
     "op13_collocations": collocations.ORACLE,

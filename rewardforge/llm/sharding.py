@@ -53,3 +53,20 @@ def as_contract(shards: DataFrame) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"),
     )
 
+
+
+# The CRC-32 table comes from its rule: eight halvings of a byte, each odd value xor the polynomial.
+ORACLE = """
+with recursive bits(b, k, c) as (
+  select range, 0, range from range(256)
+  union all select b, k + 1, case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end from bits where k < 8
+), crc as (select list(c order by b) as t from bits where k = 8),
+d as (select doc_id, encode(coalesce(text, '')) as body from documents),
+t as (select doc_id, octet_length(body) + 1 as size,
+  xor(list_reduce(list_prepend(4294967295::bigint, list_transform(regexp_extract_all(hex(body), '..'), lambda x: ('0x' || x)::bigint)),
+    lambda a, x: xor(a // 256, t[xor(a % 256, x) + 1])), 4294967295) as text_crc32 from d, crc),
+p as (select *, sum(size) over (order by doc_id) - size as before, sum(size) over () as total from t)
+select doc_id, size::bigint as size, text_crc32, 'bytes' as law, (before * 16 // total)::int as shard,
+  row_number() over (partition by before * 16 // total order by doc_id) - 1 as slot, null::int as grown_shard
+from p
+"""

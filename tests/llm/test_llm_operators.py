@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from rewardforge.llm import (
@@ -115,6 +116,15 @@ def test_exact_groups(odd, none, filter_bytes):
     assert exact_dedup.exact_groups(none).count() == 0
 
 
+def test_packed_filter_counts_hits():
+    rng = np.random.default_rng(3)
+    cells, batches = 1003, [pd.DataFrame({"digest": [rng.bytes(32) for _ in range(n)]}) for n in (0, 40, 1, 90)]
+    hits = Counter(c for b in batches if len(b) for row in exact_dedup._cells(exact_dedup._words(b["digest"]), cells) for c in set(row.tolist()))
+    (row,) = [r for out in exact_dedup._two_bits(cells)(iter(batches)) for r in out.itertuples()]
+    once, twice = np.unpackbits(np.frombuffer(zlib.decompress(row.bits), dtype=np.uint8).reshape(2, -1), axis=1)[:, :cells]
+    assert set(np.flatnonzero(once)) == set(hits) and set(np.flatnonzero(twice)) == {c for c, n in hits.items() if n > 1}
+
+
 # ---- 4 SimHash
 def test_trie_pairs_against_brute_force(monkeypatch):
     monkeypatch.setattr(simhash, "FRONTIER", 64)
