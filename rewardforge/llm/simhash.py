@@ -21,6 +21,9 @@ SHINGLE_WORDS = 3
 MAX_BITS = 2
 SEED = 42
 LEAF_BITS = 14  # a subtrie handed to one task has about 2^14 leaves
+NODE_LEAVES = 1 << 16  # beyond so many leaves a node's pairs are joined deeper down
+DEEPER = 8
+LAST_DEPTH = 56
 FRONTIER = 1 << 18  # node pairs that a task holds at once
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _VOTES = 1 << 15  # shingles whose bits are counted at once
@@ -107,7 +110,7 @@ def _join_subtries(depth: int, max_bits: int):
     """All leaves under a pair of trie nodes -> links that connect what they connect."""
 
     def run(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
-        low, high = key[0] >> depth, key[0] & ((1 << depth) - 1)
+        low, high = key
         leaves = np.sort(pdf["fp"].to_numpy().view(np.uint64))
         heads = (leaves >> np.uint64(64 - depth)).astype(np.int64)
         a, b = leaves[heads == low], None if low == high else leaves[heads == high]
@@ -132,48 +135,81 @@ def _join_subtries(depth: int, max_bits: int):
     return run
 
 
-def near_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+def _deal(fps: DataFrame, depth: int, max_bits: int) -> DataFrame:
+    """Each fingerprint under every pair (low, high) of nodes at ``depth`` that holds
+    its node and differs in at most ``max_bits`` bits."""
+    masks = [sum(1 << b for b in bits) for r in range(max_bits + 1) for bits in combinations(range(depth), r)]
+    mask = F.explode(F.array(*[F.lit(m).cast("long") for m in masks]))
+    mate = F.col("head").bitwiseXOR(F.col("mask"))
+    dealt = fps.select("fp", F.shiftrightunsigned("fp", 64 - depth).alias("head"), mask.alias("mask"))
+    return dealt.select("fp", F.least("head", mate).alias("low"), F.greatest("head", mate).alias("high"))
+
+
+def _below(dealt: DataFrame, heavy: DataFrame, levels: int) -> DataFrame:
+    """Add ``hot``: whether one node of the pair lies ``levels`` below (0: is) a heavy one."""
+    for side in ("low", "high"):
+        own = heavy.select(F.col("head").alias(side + "_up"), F.lit(True).alias(side + "_hot"))
+        dealt = dealt.withColumn(side + "_up", F.shiftright(side, levels)).join(own, side + "_up", "left")
+    hot = F.coalesce("low_hot", F.lit(False)) | F.coalesce("high_hot", F.lit(False))
+    return dealt.select("fp", "low", "high", hot.alias("hot"))
+
+
+def near_links(fps: DataFrame, max_bits: int = MAX_BITS, node_leaves: int = NODE_LEAVES) -> DataFrame:
     """Links (x, y) between distinct fingerprints of ``fps`` (column fp) that
     connect exactly the pairs within ``max_bits`` bits.
 
-    The trie is cut at a depth that follows the number of fingerprints. Node
-    pairs at that depth whose prefixes differ in at most ``max_bits`` bits are
-    the tasks; each fingerprint goes to the pairs of its node.
+    The trie is cut first at a depth that follows the number of fingerprints.
+    Node pairs there whose prefixes differ in at most ``max_bits`` bits are the
+    tasks; each fingerprint goes to the pairs of its node. A pair with a node of
+    more than ``node_leaves`` leaves (a large family of near copies) is not
+    joined there: its leaves go on to the node pairs ``DEEPER`` levels below,
+    and so on, so a task has at most 2 * ``node_leaves`` leaves. Under a node at
+    depth 56 there are at most 256, the least ``node_leaves`` can be.
     """
-    n = max(1, fps.count())
-    depth = min(24, max(6, math.ceil(math.log2(n)) - LEAF_BITS))
-    masks = [sum(1 << b for b in bits) for r in range(max_bits + 1) for bits in combinations(range(depth), r)]
-    head = F.shiftrightunsigned("fp", 64 - depth)
-    mask = F.explode(F.array(*[F.lit(m).cast("long") for m in masks]))
-    dealt = fps.select("fp", head.alias("head"), mask.alias("mask"))
-    mate = F.col("head").bitwiseXOR(F.col("mask"))
-    pair = F.least("head", mate) * (1 << depth) + F.greatest("head", mate)
-    return dealt.select("fp", pair.alias("pair")).groupBy("pair").applyInPandas(_join_subtries(depth, max_bits), "x long, y long")
+    if node_leaves < 256:
+        raise ValueError("node_leaves must be 256 or more")
+    depth = min(24, max(6, math.ceil(math.log2(max(1, fps.count()))) - LEAF_BITS))
+    links = above = None
+    while True:
+        nodes = fps.groupBy(F.shiftrightunsigned("fp", 64 - depth).alias("head")).count()
+        heavy = cut_lineage(nodes.where(F.col("count") > node_leaves).select("head"))
+        dealt = _deal(fps, depth, max_bits)
+        if above is not None:  # the other pairs are joined already
+            dealt = _below(dealt, *above).where("hot").drop("hot")
+        last = heavy.isEmpty()
+        dealt = dealt if last else _below(dealt, heavy, 0)
+        now = dealt if last else dealt.where("not hot")
+        found = now.select("fp", "low", "high").groupBy("low", "high").applyInPandas(_join_subtries(depth, max_bits), "x long, y long")
+        links = found if links is None else links.unionByName(found)
+        if last:
+            return links
+        fps = cut_lineage(dealt.where("hot").select("fp").distinct())
+        levels = min(LAST_DEPTH - depth, DEEPER)
+        above, depth = (heavy, levels), depth + levels
 
 
 def connected(links: DataFrame) -> DataFrame:
     """(node, root) for every node of ``links``: root is the smallest node reachable.
 
     Alternating star contraction: every node sends its larger neighbours, then
-    its smaller ones, to the smallest it sees, until nothing changes. Rounds
-    grow with the logarithm of the longest chain; each is checkpointed.
+    its smaller ones, to the smallest it sees, until the links are the same set
+    as before. Rounds grow with the logarithm of the longest chain; each is
+    checkpointed. What a node joins is written, so that the links of a big
+    star's centre can be split.
     """
     links = cut_lineage(links.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).where("x <> y").distinct())
-    state = None
     while True:
         both = links.unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y")))
         least = both.groupBy("x").agg(F.min("y").alias("m"))
-        least = least.select(F.col("x").alias("u"), F.least("x", "m").alias("m"))
+        least = cut_lineage(least.select(F.col("x").alias("u"), F.least("x", "m").alias("m")))
         # large star: (u, v) with v > u becomes (v, m(u))
-        large = links.join(least, links["y"] == least["u"]).select(F.col("x"), F.col("m").alias("y")).where("x <> y").distinct()
+        large = cut_lineage(links.join(least, F.col("y") == F.col("u")).select("x", F.col("m").alias("y")).where("x <> y").distinct())
         # a link's larger end also learns its own smallest neighbour
-        own = large.groupBy("x").agg(F.min("y").alias("m"))
+        own = cut_lineage(large.groupBy("x").agg(F.min("y").alias("m")))
         small = large.join(own, "x").select(F.explode(F.array(F.struct("x", F.col("m").alias("y")), F.struct(F.col("y").alias("x"), F.col("m").alias("y")))).alias("l"))
-        links = cut_lineage(small.select("l.x", "l.y").where("x <> y").distinct())
-        now = links.agg(F.count(F.lit(1)), F.sum(F.hash("x", "y").cast("decimal(20,0)"))).first()
-        if now == state:
+        before, links = links, cut_lineage(small.select("l.x", "l.y").where("x <> y").distinct())
+        if links.count() == before.count() and links.join(before, ["x", "y"], "left_anti").isEmpty():
             break
-        state = now
     roots = links.groupBy("x").agg(F.min("y").alias("root")).withColumnRenamed("x", "node")
     return roots.unionByName(links.select(F.col("y").alias("node"), F.col("y").alias("root")).distinct())
 
@@ -201,8 +237,8 @@ def _near_duplicates(docs: DataFrame, rid: Column, k: int, max_bits: int, id_col
     leaves = cut_lineage(marked.groupBy("fp").agg(F.min("place").alias("least")))
     roots = connected(near_links(leaves.select("fp"), max_bits)).withColumnRenamed("node", "fp")
     leaves = leaves.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    classes = leaves.groupBy("root").agg(F.min("least").alias("first"))
-    by_fp = leaves.join(classes, "root").select("fp", "first")
+    classes = cut_lineage(leaves.groupBy("root").agg(F.min("least").alias("first")))
+    by_fp = cut_lineage(leaves.join(classes, "root").select("fp", "first"))
     return marked.join(by_fp, "fp").select(
         "place.doc_id", "fp", F.col("first.doc_id").alias("component_id"), (F.col("place") == F.col("first")).alias("kept"), "place.rid"
     )

@@ -163,6 +163,27 @@ def test_near_duplicates_against_brute_force(spark, odd, none):
     assert first.columns == odd.columns and first.count() == len(groups)
 
 
+def test_large_families_are_joined_deeper_down(spark):
+    rng = random.Random(4)
+    base = rng.getrandbits(64)
+    family = {base ^ sum(1 << b for b in rng.sample(range(11), rng.randint(0, 8))) for _ in range(900)}
+    spread = {base ^ sum(1 << b for b in rng.sample(range(64), 4)) for _ in range(150)}
+    fps = sorted(family | spread | {x ^ 1 << rng.randrange(64) for x in spread})
+    assert len(family) > 512
+    df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long").repartition(3)
+    links = simhash.near_links(df, node_leaves=256).cache()
+    pairs = {(r["x"] ^ r["y"]) & (1 << 64) - 1 for r in links.collect()}
+    assert pairs and all(0 < p.bit_count() <= 2 for p in pairs)
+    got = {r["node"]: r["root"] for r in simhash.connected(links).collect()}
+    classes = {}
+    for f in fps:
+        near = {id(c): c for o, c in classes.items() if (f ^ o).bit_count() <= 2}
+        joined = {f}.union(*near.values())
+        classes |= dict.fromkeys(joined, joined)
+    signed = {f: f - (1 << 64) if f >> 63 else f for f in fps}
+    assert {f: got.get(signed[f], signed[f]) for f in fps} == {f: min(signed[o] for o in classes[f]) for f in fps}
+
+
 def test_connected_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "x long, y long")
     got = {r["node"]: r["root"] for r in simhash.connected(links).collect()}
