@@ -4,17 +4,26 @@ Stands in for a neural forward pass. Fitting counts bigrams with map-side
 partial aggregation. The log-probability of a pair is ln(c(v,w) + k) minus
 ln(c(v) + k (V + 1)), so a text's sum splits into one term per distinct pair
 and one per distinct context, and both go through one lookup on one key. A
-context's key ends with a blank, a pair's never does. Long texts are counted
-inside their row first.
+context's key ends with a blank, a pair's never does.
+
+The terms of the grams that are frequent in the texts (a bounded number, found
+from a sample of them) are summed where the text is read, in Arrow batches; each
+distinct gram of a text that is not among them is a row of the lookup's join.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import sys
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 
 from ..functions import text as T
 from ..session import materialize
@@ -24,6 +33,11 @@ MAX_LENGTH = 2048
 # --- end of fixed values ---
 
 LONG_TEXT = 1024  # pairs of a text from which it is counted inside its row
+HEAD = 1 << 16  # frequent grams whose terms every task holds
+SAMPLE = 128  # one key in so many says which grams are frequent
+PART_BYTES = 1 << 22  # text that a task takes apart at once
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have the package
 
 
 def token_bigrams(toks: Column) -> Column:
@@ -103,26 +117,132 @@ def score_perplexities(
 
     The texts are tokenized and counted once. The models' counts are merged into
     one table, so the counts take one lookup however many models there are; each
-    model adds one sum to the same aggregation. Output: id columns (what else a
-    caller needs per text may be among them), ``n_pred`` and ``ppl_<name>`` per
+    model adds one sum to the same aggregation. Output: id columns (the first is
+    the key that the sample goes by; what else a caller needs per text may be
+    among them), ``n_pred`` and ``ppl_<name>`` per
     model, rounded to ``digits`` (sums of logarithms differ in the last bits
     between engines and row orders).
     """
-    toks = T.tokens(text) if max_length is None else F.slice(T.tokens(text), 1, max_length)
-    toks = F.coalesce(toks, F.array().cast("array<string>"))
-    grams = _gram_counts(df.select(*id_cols, toks.alias("_tok")), id_cols)
-    j = grams.join(_merged({n: m.lookup for n, m in models.items()}), "gram", "left")
-    n, context = F.col("n"), F.endswith(F.col("gram"), F.lit(" "))
-    n_pred = F.sum(F.when(context, F.lit(0)).otherwise(n))
+    texts = df.select(*id_cols, text.alias("_text"))
+    merged = _merged({n: m.lookup for n, m in models.items()})
+    vocab = {n: m.vocab.first()[0] for n, m in models.items()}
+    head = df.sparkSession.sparkContext.broadcast(_head(texts, id_cols[0], merged, vocab, k, max_length))
+    rest = ST.ArrayType(ST.StructType([ST.StructField("gram", ST.StringType()), ST.StructField("n", ST.LongType())]))
+    sums = [ST.StructField("_n", ST.LongType()), *[ST.StructField(f"_s_{n}", ST.DoubleType()) for n in models], ST.StructField("_rest", rest)]
+    found = texts.mapInArrow(_head_sums(head, len(models), max_length), ST.StructType([*texts.schema.fields[:-1], *sums]))
+    rows = found.select("*", F.posexplode_outer("_rest").alias("_pos", "_g")).drop("_rest")
+    # the ids stand in for the key, so that texts without another gram do not share one
+    no_key = F.concat(F.lit("\0"), F.concat_ws(",", *[F.col(c).cast("string") for c in id_cols]), F.lit("\0"))
+    rows = rows.withColumn("gram", F.coalesce("_g.gram", no_key)).withColumn("n", F.coalesce("_g.n", F.lit(0))).drop("_g")
+    j = rows.join(merged, "gram", "left")
+    n, context, first = F.col("n"), F.endswith(F.col("gram"), F.lit(" ")), F.coalesce("_pos", F.lit(0)) == 0
+    n_pred = F.sum(F.when(first, F.col("_n")).otherwise(F.lit(0)))
     aggs = [n_pred.alias("n_pred")]
-    for name, m in models.items():
+    for name in models:
         c = F.coalesce(F.col(f"c_{name}"), F.lit(0))
-        term = F.when(context, -n * F.log(c + F.lit(k) * (m.vocab.scalar() + F.lit(1)))).otherwise(n * F.log(c + F.lit(k)))
-        mean = F.when(n_pred > 0, F.sum(term) / n_pred)
+        term = F.when(context, -n * F.log(c + F.lit(k) * F.lit(vocab[name] + 1))).otherwise(n * F.log(c + F.lit(k)))
+        own = F.when(first, F.col(f"_s_{name}")).otherwise(F.lit(0.0))
+        mean = F.when(n_pred > 0, F.sum(own + F.when(n > 0, F.coalesce(term, F.lit(0.0))).otherwise(F.lit(0.0))) / n_pred)
         aggs.append(F.round(F.exp(-mean), digits).alias(f"ppl_{name}"))
     return j.groupBy(*id_cols).agg(*aggs)
 
 
+@dataclass
+class _Head:
+    """Terms of the frequent grams, a row per model in ``contexts`` and ``pairs``."""
+
+    tokens: dict[str, int]  # a number per token of these grams
+    is_context: np.ndarray  # by token: whether it is a frequent context
+    contexts: np.ndarray  # by token: -ln(c + k (V + 1))
+    keys: np.ndarray  # sorted: previous token * number of tokens + token
+    pairs: np.ndarray  # by place of the key: ln(c + k)
+
+
+def _head(texts: DataFrame, key: str, merged: DataFrame, vocab: dict[str, int], k: float, max_length: int | None) -> _Head:
+    """The grams that occur most in the texts of one key in SAMPLE, at most HEAD.
+
+    The sample says only which grams these are: their counts are the lookup's,
+    0 for one that it does not hold, and all other grams are looked up too.
+    """
+    some = texts.where(F.pmod(F.xxhash64(key), F.lit(SAMPLE)) == 0)
+    toks = T.tokens("_text") if max_length is None else F.slice(T.tokens("_text"), 1, max_length)
+    grams = _gram_counts(some.select(F.coalesce(toks, F.array().cast("array<string>")).alias("_tok")), []).where("n > 0")
+    top = grams.groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "gram").limit(HEAD)
+    rows = top.select("gram").join(merged, "gram", "left").collect()
+    split = [r["gram"].split(" ") for r in rows]
+    tokens = {t: i for i, t in enumerate(dict.fromkeys(t for g in split for t in g if t))}
+    counts = np.array([[r[f"c_{n}"] or 0 for r in rows] for n in vocab], dtype=np.float64).reshape(len(vocab), len(rows))
+    unseen = np.array([[k * (v + 1)] for v in vocab.values()])
+
+    def log(x: np.ndarray) -> np.ndarray:  # as in the join: no logarithm, no term
+        return np.log(x, out=np.zeros_like(x), where=x > 0)
+
+    one = [i for i, g in enumerate(split) if not g[1]]
+    two = [i for i, g in enumerate(split) if g[1]]
+    at = np.array([tokens[split[i][0]] for i in one], dtype=np.int64)
+    is_context, contexts = np.zeros(len(tokens), dtype=bool), np.zeros((len(vocab), len(tokens)))
+    is_context[at], contexts[:, at] = True, -log(counts[:, one] + unseen)
+    keys = np.array([tokens[split[i][0]] * len(tokens) + tokens[split[i][1]] for i in two], dtype=np.int64)
+    order = np.argsort(keys)
+    return _Head(tokens, is_context, contexts, keys[order], log(counts[:, two] + k)[:, order])
+
+
+def _head_sums(head, n_models: int, max_length: int | None):
+    """Per text (last column): ids, number of pairs, sum of the head's terms per model, the other grams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(np.diff(np.cumsum(size, dtype=np.int64) // PART_BYTES)) + 1
+            for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+                if low < high:
+                    yield part(batch.slice(low, high - low))
+
+    def part(batch: pa.RecordBatch) -> pa.RecordBatch:
+        h, rows = head.value, batch.num_rows
+        text = pc.fill_null(batch.column(batch.num_columns - 1), "")
+        lists = pc.ascii_split_whitespace(text)
+        full = pc.not_equal(pc.list_flatten(lists), "")
+        tokens = pc.list_flatten(lists).filter(full).dictionary_encode()
+        owner = pc.list_parent_indices(lists).filter(full).to_numpy().astype(np.int64)
+        code, words = tokens.indices.to_numpy().astype(np.int64), tokens.dictionary
+        if max_length is not None:
+            kept = np.arange(len(owner)) - np.searchsorted(owner, owner) < max_length
+            owner, code = owner[kept], code[kept]
+        pair = owner[1:] == owner[:-1]
+        at, a, b = owner[1:][pair], code[:-1][pair], code[1:][pair]
+        number = np.array([h.tokens.get(w, -1) for w in words.to_pylist()], dtype=np.int64)
+        prev, tok = number[a], number[b]
+        near = prev >= 0
+        near[near] = h.is_context[prev[near]]
+        both = (prev >= 0) & (tok >= 0)
+        key = prev * len(h.tokens) + tok
+        place = np.searchsorted(h.keys, key)
+        both &= place < len(h.keys)
+        both[both] = h.keys[place[both]] == key[both]
+        sums = [
+            np.bincount(at[near], h.contexts[m][prev[near]], rows) + np.bincount(at[both], h.pairs[m][place[both]], rows)
+            for m in range(n_models)
+        ]
+        # each other gram of a text once; a context's second word has the number 0
+        at_, a_, b_ = np.r_[at[~near], at[~both]], np.r_[a[~near], a[~both]], np.r_[0 * a[~near], b[~both] + 1]
+        order = np.lexsort((b_, a_, at_))
+        at_, a_, b_ = at_[order], a_[order], b_[order]
+        new = np.flatnonzero(np.r_[True, (np.diff(at_) != 0) | (np.diff(a_) != 0) | (np.diff(b_) != 0)][: len(at_)])
+        times = np.diff(np.r_[new, len(at_)])
+        second = pa.concat_arrays([pa.array([""], words.type), words])
+        gram = pc.binary_join_element_wise(words.take(pa.array(a_[new])), second.take(pa.array(b_[new])), " ")
+        ends = np.cumsum(np.bincount(at_[new], minlength=rows))
+        rest = pa.ListArray.from_arrays(
+            pa.array(np.r_[0, ends], pa.int32()), pa.StructArray.from_arrays([gram, pa.array(times, pa.int64())], ["gram", "n"])
+        )
+        names = [*batch.schema.names[:-1], "_n", *[f"_s_{m}" for m in range(n_models)], "_rest"]
+        pairs = pa.array(np.bincount(at, minlength=rows), pa.int64())
+        return pa.RecordBatch.from_arrays([*batch.columns[:-1], pairs, *[pa.array(s, pa.float64()) for s in sums], rest], names)
+
+    return run
+
+
 def _merged(tables: dict[str, DataFrame]) -> DataFrame:
     """The models' lookups as one: a column ``c_<name>`` per model (null where it has no such key)."""
     named = [t.withColumnRenamed("c", f"c_{n}") for n, t in tables.items()]
