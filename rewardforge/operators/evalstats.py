@@ -38,14 +38,15 @@ def exact_avg(c: str | Column) -> Column:
 def response_gold_join(responses: DataFrame, qa: DataFrame, keep_split: bool = True) -> DataFrame:
     """Pair responses with the gold answer of their question by key (never by position).
 
-    Both sides grow with the data, so this is a shuffle join on qa_id; AQE turns
-    it into a broadcast only when the gold side measures small.
+    Both sides grow with the data, so this is a shuffle join on qa_id. The gold
+    side (one narrow row per question) is hashed: a sort would hold every text
+    of a task's responses.
     """
     cols = ["qa_id", T.gold_first("answer").alias("correct_answer")]
     if keep_split:
         cols.append("split")
     gold = qa.select(*cols).where(F.col("correct_answer").isNotNull())
-    return responses.join(gold, "qa_id")
+    return responses.join(gold.hint("shuffle_hash"), "qa_id")
 
 
 def scored_responses(responses: DataFrame, qa: DataFrame, include_prompt: bool = False) -> DataFrame:

@@ -74,7 +74,7 @@ def sides_scorer(score_texts: Callable[[DataFrame], DataFrame], id_col: str) ->
             F.max(F.when(F.col("side") == "c", F.col("reward"))).alias("cr"),
             F.max(F.when(F.col("side") == "r", F.col("reward"))).alias("_rr"),
         )
-        out = samples.join(wide, id_col)
+        out = samples.join(wide.hint("shuffle_hash"), id_col)  # a sort would hold the texts
         return out.withColumn("rr", F.coalesce(F.col("_rr"), F.col("cr"))).drop("_rr")
 
     return run

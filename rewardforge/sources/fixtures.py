@@ -27,7 +27,10 @@ def _s(c) -> F.Column:
 def qa(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Question/answer rows: qa_id, split, question, answer (free text ending in a marker)."""
     li = read_table(spark, sf_dir, "lineitem", "l_orderkey", "l_quantity")
-    g = li.groupBy("l_orderkey").agg(
+    # A few bytes a row here become several texts in the same stage: partitions must not
+    # be merged by the bytes that were shuffled, so their number is given.
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    g = li.repartition(n_parts, "l_orderkey").groupBy("l_orderkey").agg(
         F.sum("l_quantity").cast("bigint").alias("q"), F.count(F.lit(1)).cast("bigint").alias("n")
     )
     k, q, n = F.col("l_orderkey"), F.col("q"), F.col("n")
