@@ -448,7 +448,7 @@ def q_winner_three(spark, sf):
 @query("batch_mean_reward")
 def q_batch_mean_reward(spark, sf):
     sc = _scored(spark, sf).select("qa_id", "sample_idx", "hard_marker")
-    b = S.batch_assign(sc, F.concat_ws(":", "qa_id", "sample_idx"), epochs=3, batch_size=4)
+    b = S.batch_assign(sc, F.concat_ws(":", "qa_id", "sample_idx"), epochs=3, batch_size=4, carry=["hard_marker"])
     return E.batch_mean_reward(b, "hard_marker")
 
 

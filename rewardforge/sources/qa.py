@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators.ordering import join_null_safe, ordered_index
+from ..session import materialize
 
 # --- Fixed values that must equal the reference's ---
 CHUNK_SIZE = 1000
@@ -101,16 +104,27 @@ def chunk_examples(
     return rows.join(gated.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n_epochs")), "chunk_id")
 
 
-def batch_assign(df: DataFrame, id_col: str | Column, epochs: int, batch_size: int, seed: int = T.SEED) -> DataFrame:
+def batch_assign(
+    df: DataFrame, id_col: str | Column, epochs: int, batch_size: int, seed: int = T.SEED, carry: Sequence[str] = ()
+) -> DataFrame:
     """Per epoch a fresh seeded shuffle, then batches of ``batch_size`` (last may be short).
 
     Only the ids (unique) are shuffled and checkpointed; other columns join them.
+    With ``carry`` (narrow columns) there is no join: the result has these
+    columns and each row's epoch, idx and batch_id.
     """
     key = F.col(id_col) if isinstance(id_col, str) else id_col
-    e = df.select(key.alias("_id")).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
-    e = e.withColumn("_h", T.seeded_hash_key(F.col("epoch"), F.col("_id"), seed=seed)).withColumn("_text", F.col("_id").cast("string"))
-    idx = ordered_index(e, ["_h", "_text"], ["epoch"], "idx")
+    ids = df.select(key.alias("_id"), *carry)
+    if carry:  # written once: the range bounds read the rows too
+        ids = materialize(ids, "batch-rows")
+    e = ids.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
+    e = e.withColumn("_h", F.unhex(T.seeded_hash_key(F.col("epoch"), F.col("_id"), seed=seed)))  # sorts like its hex text
+    if dict(ids.dtypes)["_id"] != "string":
+        e = e.withColumn("_text", F.col("_id").cast("string"))
+    idx = ordered_index(e, ["_h", "_text" if "_text" in e.columns else "_id"], ["epoch"], "idx")
     idx = idx.withColumn("batch_id", F.floor(F.col("idx") / F.lit(batch_size))).drop("_h", "_text")
+    if carry:
+        return idx.drop("_id")
     if isinstance(id_col, str) and df.columns == [id_col]:
         return idx.withColumnRenamed("_id", id_col)
     return join_null_safe(df.withColumn("_id", key), idx, ["_id"]).drop("_id")
