@@ -746,10 +746,12 @@ def q_stream_hard_reward(spark, sf):
     from ..streaming import streams as ST
 
     src, sink, ck = _stream_dirs(spark, "hard")
-    _write_source(FX.response(spark, sf).select(*[f.name for f in ST.RESPONSE_SCHEMA.fields]), src, "qa_id")
+    # As many files as the table has partitions, in two micro-batches; their order is free.
+    FX.response(spark, sf).select(*[f.name for f in ST.RESPONSE_SCHEMA.fields]).write.mode("overwrite").parquet(src)
+    per_batch = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
     qa = FX.qa(spark, sf)
     gold = qa.select("qa_id", T.gold_first("answer").alias("correct_answer")).where(F.col("correct_answer").isNotNull())
-    return ST.stream_hard_reward(spark, src, gold, sink, ck, STREAM_FILES)
+    return ST.stream_hard_reward(spark, src, gold, sink, ck, per_batch)
 
 
 @query("metric_hook")

@@ -151,12 +151,12 @@ def stream_hard_reward(
 ) -> DataFrame:
     """ST3: responses stream in, join the static gold table, get the marker reader's
     hard reward, and are appended to a parquet sink (stream-static inner join).
-    The gold table is written once per run, not derived anew per micro-batch."""
+    The gold table is written once per run, not derived anew per micro-batch;
+    the answer is read before the join, so no text is shuffled or sorted."""
     gold = materialize(gold, "stream-gold")
     resp = _source(spark, RESPONSE_SCHEMA, source, files_per_trigger)
-    scored = resp.join(gold, "qa_id").select(
-        "qa_id", "sample_idx", "model", "correct_answer", T.extract_marker("response").alias("pred_marker"),
-    ).withColumn("hard_marker", T.hard_reward(F.col("pred_marker"), F.col("correct_answer")))
+    read = resp.select("qa_id", "sample_idx", "model", T.extract_marker("response").alias("pred_marker"))
+    scored = read.join(gold, "qa_id").select("qa_id", "sample_idx", "model", "correct_answer", "pred_marker").withColumn("hard_marker", T.hard_reward(F.col("pred_marker"), F.col("correct_answer")))
     run_available(
         lambda: scored.writeStream.outputMode("append").format("parquet").option("path", sink).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
