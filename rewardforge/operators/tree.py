@@ -11,13 +11,13 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.mathx import round_sig
 from ..session import materialize
-from .ordering import blocked_prefix, ordered_index
+from .ordering import ordered_index
 
 # --- Fixed values that must equal the reference's ---
 UCB_C = 1.414
@@ -33,6 +33,8 @@ WEIGHT_FACTORS = {"pos_right": 1.1, "pos_wrong": 0.95, "neg_wrong": 0.8, "neg_ri
 TEACHER_ALPHA = 0.1
 TEACHER_EPSILON = 0.05
 
+BLOCK_ROWS = 1 << 18  # of a node's rollouts, folded at once
+
 LN = {k: math.log(v) for k, v in WEIGHT_FACTORS.items()}
 LN_FLOOR = math.log(WEIGHT_FLOOR)
 
@@ -170,23 +172,34 @@ def node_weights(nodes: DataFrame, paths: Paths, rollouts: DataFrame, digits: in
     else:
         raise ValueError(init)
     on_path = (
-        rollouts.select(F.col("leaf_id").alias("node_id"), "iter", "reward")
+        rollouts.select(F.col("leaf_id").alias("node_id"), "iter", (F.col("reward") > 0).alias("pos"))
         .join(paths.ancestors.where(F.col("ancestor_depth") > 0), "node_id")
-        .select(F.col("ancestor_id").alias("nid"), "iter", "reward", F.col("ancestor_bit").alias("bit"))
+        .select(F.col("ancestor_id").alias("nid"), "iter", "pos", (F.col("ancestor_bit") == "1").alias("right"))
     )
-    pos, right = F.col("reward") > 0, F.col("bit") == "1"
+    pos, right = F.col("pos"), F.col("right")
     kinds = {
         "pos_right": pos & right, "pos_wrong": pos & ~right, "neg_wrong": ~pos & ~right, "neg_right": ~pos & right,
     }
-    for k, cond in kinds.items():
-        on_path = on_path.withColumn(f"k_{k}", cond.cast("int"))
-    pre = blocked_prefix(on_path, ["iter"], ["nid"], {f"c_{k}": (f"k_{k}", "sum") for k in kinds})
-    s_t = sum((F.col(f"c_{k}") * F.lit(LN[k]) for k in kinds), F.lit(0.0))
-    agg = pre.groupBy("nid").agg(
-        F.max(F.lit(LN_FLOOR) - s_t).alias("m"),
-        *[F.sum(f"k_{k}").alias(f"t_{k}") for k in kinds],
+
+    def log_sum(prefix: str, missing: Column | None = None) -> Column:
+        counts = {k: F.col(f"{prefix}_{k}") if missing is None else F.coalesce(f"{prefix}_{k}", missing) for k in kinds}
+        return sum((c * F.lit(LN[k]) for k, c in counts.items()), F.lit(0.0))
+
+    # Blocks of a node's rows are folded each on its own; only their totals meet. The number
+    # of partitions is given: merged by their bytes, a task's rows would grow with the input.
+    indexed = ordered_index(on_path, ["iter"], ["nid"], "i").select("nid", F.floor(F.col("i") / F.lit(BLOCK_ROWS)).alias("blk"), "i", "pos", "right")
+    rows = indexed.repartition(int(indexed.sparkSession.conf.get("spark.sql.shuffle.partitions")), "nid", "blk")
+    run = Window.partitionBy("nid", "blk").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.select("*", *[F.sum(cond.cast("int")).over(run).alias(f"c_{k}") for k, cond in kinds.items()])
+    blocks = rows.groupBy("nid", "blk").agg(
+        F.max(F.lit(LN_FLOOR) - log_sum("c")).alias("m"), *[F.sum(cond.cast("int")).alias(f"t_{k}") for k, cond in kinds.items()]
+    )
+    before = Window.partitionBy("nid").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("*", *[F.sum(f"t_{k}").over(before).alias(f"b_{k}") for k in kinds])
+    agg = blocks.groupBy("nid").agg(
+        F.max(F.col("m") - log_sum("b", F.lit(0))).alias("m"), *[F.sum(f"t_{k}").alias(f"t_{k}") for k in kinds]
     )
-    s_total = sum((F.col(f"t_{k}") * F.lit(LN[k]) for k in kinds), F.lit(0.0))
+    s_total = log_sum("t")
     w = starts.join(agg.select(F.col("nid").alias("node_id"), "m", s_total.alias("s_total")), "node_id", "left")
     # ln(1) is 0, also where the engines' logarithms differ in the last bit
     ln_start = F.when(F.col("start") == 1.0, F.lit(0.0)).otherwise(F.log("start"))

@@ -138,3 +138,21 @@ def test_uniform_start(spark, tree):
             weight[n] = max(weight[n] * factor, 0.1)
     got = {r.node_id: r.weight for r in TR.node_weights(nodes, paths, roll, init="uniform").collect()}
     assert all(math.isclose(got[n], weight[n], rel_tol=1e-8) for n in parent)
+
+
+def test_weights_do_not_depend_on_the_blocks(spark, monkeypatch):
+    """A node's rollouts are folded block by block; before, a block was always 2^20 rows of one sort."""
+    nodes = spark.createDataFrame([(0, None, "q", "0"), (1, 0, "a", "1"), (2, 0, "b", "0"), (3, 1, "c", "0")], "node_id long, parent_id long, token string, bit string")
+    rolls = [(i, (3, 2, 1, 3)[i % 4], None if i % 11 == 5 else (-1.0 if (i // 9) % 2 else 0.5)) for i in range(120)]
+    paths = TR.node_paths(nodes)
+    rollouts = spark.createDataFrame(rolls, "iter long, leaf_id long, reward double")
+    want, bits, up = {0: 1.0, 1: 1.0, 2: 1.0, 3: 1.0}, {1: "1", 2: "0", 3: "0"}, {1: 0, 2: 0, 3: 1}
+    for _, leaf, reward in rolls:
+        while leaf and reward is not None:
+            kind = ("pos_" if reward > 0 else "neg_") + ("right" if bits[leaf] == "1" else "wrong")
+            want[leaf] = max(TR.WEIGHT_FLOOR, want[leaf] * TR.WEIGHT_FACTORS[kind])
+            leaf = up[leaf]
+    for size in (7, 1 << 18):
+        monkeypatch.setattr(TR, "BLOCK_ROWS", size)
+        got = {r["node_id"]: r["weight"] for r in TR.node_weights(nodes, paths, rollouts).collect()}
+        assert got == pytest.approx(want, rel=1e-9)
